@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step of a task works on; a longer document is a step of its own.
 SLICE_BYTES = 4 << 20
@@ -92,3 +93,51 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
 
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), pa.int32()), pa.array(values, kind))
+
+
+def code_points(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts in one array, and each text's offset."""
+    raw = b"".join(texts)
+    heads = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+    at = offsets_of(np.fromiter(map(len, texts), np.int64, len(texts)))
+    return np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32), np.concatenate([np.zeros(1, np.int64), np.cumsum(heads)])[at]
+
+
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def letter_table() -> np.ndarray:
+    """For each code point its lower-case letter, or a space where it is no letter."""
+    if "letter" not in _TABLES:
+        table = np.full(0x110000, 32, np.uint32)
+        for c in range(0x110000):
+            x = chr(c)
+            if x.isalpha():
+                low = x.lower()
+                table[c] = ord(low) if len(low) == 1 else c
+        _TABLES["letter"] = table
+    return _TABLES["letter"]
+
+
+def held_out() -> Column:
+    """The fold that no model learns from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+
+
+def hash_share(share: float, column: str = "doc_id", seed: int = 11) -> Column:
+    """A reproducible share of the rows, by the hash of their id."""
+    return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -> np.ndarray:
+    """Logistic regression with an intercept (first weight) by Newton steps; for a few dense columns."""
+    x = np.column_stack([np.ones(len(x)), x])
+    w = np.zeros(x.shape[1])
+    ridge = np.diag([1e-9, *[l2 * len(x)] * (x.shape[1] - 1)])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (y - p) - ridge @ w)
+        w += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

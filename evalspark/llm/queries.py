@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evalspark.llm.common import read
+from evalspark.llm.common import held_out, read
+from evalspark.llm.language_id import predicted, train
 from evalspark.llm.mixing import mixed
 from evalspark.llm.near_dedup import NearDedup, near_duplicates
+from evalspark.llm.sentencepiece import encoded
 from evalspark.llm.substring_dedup import substring_dedup
 
+#: Folder of the public tokenizers' files on every executor.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), NearDedup(shingle_words=2))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = predicted(docs.select("doc_id", "text"), train(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "cross_entropy", "rejected")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_tokens", "ids", "exact")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -25,7 +42,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op4_mix_sources, op8_substring_dedup)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_sentencepiece, op4_mix_sources, op8_substring_dedup)
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
