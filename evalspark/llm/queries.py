@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import toxicity
+from evalspark.llm import quality, toxicity
 from evalspark.llm.common import held_out, read
 from evalspark.llm.language_id import predicted, train
 from evalspark.llm.mixing import mixed
@@ -49,8 +49,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.judged(docs, quality.train(docs.join(labels, "doc_id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_sentencepiece, op4_mix_sources, op7_toxicity, op8_substring_dedup)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_sentencepiece, op4_mix_sources, op7_toxicity, op8_substring_dedup, op9_quality_rules)
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
