@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm import quality, toxicity
+from evalspark.llm.chat import formatted
 from evalspark.llm.common import held_out, read
 from evalspark.llm.language_id import predicted, train
 from evalspark.llm.mixing import mixed
@@ -55,8 +56,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.train(docs.join(labels, "doc_id")))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return formatted(turns.union(more))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_sentencepiece, op4_mix_sources, op7_toxicity, op8_substring_dedup, op9_quality_rules)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_sentencepiece, op4_mix_sources, op7_toxicity, op8_substring_dedup, op9_quality_rules, op10_chat_format)
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -93,4 +101,15 @@ spread AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)
 kept AS (SELECT s.doc_id, string_agg(word, ' ' ORDER BY s.pos) AS text FROM spread s ANTI JOIN gone g ON s.doc_id = g.doc_id AND s.pos = g.pos GROUP BY s.doc_id)
 SELECT j.doc_id, len(j.words)::BIGINT AS n_words, len(j.positions)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM judged j LEFT JOIN kept k USING (doc_id)""",
+    "op10_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (SELECT *, 4 + 2 + 8 + length(regexp_replace(text, '([\\#<])', 'xx', 'g')) + length(regexp_replace(role, '([\\#<:])', 'xx', 'g')) AS size FROM turns)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(size)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id""",
 }
