@@ -14,6 +14,7 @@ from evalspark.llm.common import held_out, read
 from evalspark.llm.language_id import predicted, train
 from evalspark.llm.mixing import mixed
 from evalspark.llm.near_dedup import NearDedup, near_duplicates
+from evalspark.llm.neighbours import nearest
 from evalspark.llm.sentencepiece import encoded
 from evalspark.llm.substring_dedup import substring_dedup
 
@@ -39,6 +40,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, F.coalesce(F.pmod("vec_id", F.lit(50)) == 0, F.lit(False)))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
@@ -64,7 +70,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_sentencepiece, op4_mix_sources, op7_toxicity, op8_substring_dedup, op9_quality_rules, op10_chat_format)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_sentencepiece, op4_mix_sources, op5_nearest_neighbours, op7_toxicity, op8_substring_dedup, op9_quality_rules, op10_chat_format)
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
