@@ -15,12 +15,17 @@ from evalspark.llm.language_id import predicted, train
 from evalspark.llm.mixing import mixed
 from evalspark.llm.near_dedup import NearDedup, near_duplicates
 from evalspark.llm.neighbours import nearest
+from evalspark.llm.redaction import with_edits
 from evalspark.llm.sentencepiece import encoded
 from evalspark.llm.substring_dedup import substring_dedup
+from evalspark.llm.token_counts import counted
 
 #: Folder of the public tokenizers' files on every executor.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
+#: Pattern of the public byte-level vocabularies: what splits a text before merges.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), NearDedup(shingle_words=2))
@@ -45,6 +50,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, F.coalesce(F.pmod("vec_id", F.lit(50)) == 0, F.lit(False)))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(with_edits(read(spark, sf_dir, "documents")), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", SPLIT)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
@@ -70,7 +79,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_sentencepiece, op4_mix_sources, op5_nearest_neighbours, op7_toxicity, op8_substring_dedup, op9_quality_rules, op10_chat_format)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_sentencepiece, op4_mix_sources, op5_nearest_neighbours, op6_token_counts, op7_toxicity, op8_substring_dedup, op9_quality_rules, op10_chat_format)
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
