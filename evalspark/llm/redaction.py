@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from evalspark.llm.common import slices
 
 #: Addresses, long numbers and long hexadecimal or key-like strings.
-FOUND = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+|\+?\d[\d ().-]{7,}\d|\b[0-9a-fA-F]{16,}\b|\b[A-Z0-9]{16,}\b")
+FOUND = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+|\b[0-9a-fA-F]{16,}\b|\b[A-Z0-9]{16,}\b|\+?\d[\d ().-]{7,}\d")
 PLACEHOLDER = "<removed>"
 
 
