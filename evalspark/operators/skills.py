@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODEL = ("ord", "model_path")
+POPULATION_MAX = 10_000
 
 
 def assemble(results: DataFrame) -> DataFrame:
@@ -33,8 +34,11 @@ def combined_fitness(task_quality: DataFrame, skill_quality: DataFrame) -> DataF
 
 
 def grid(models: DataFrame, pool: DataFrame, skills: DataFrame) -> DataFrame:
-    """Every model against every pool task; a missing score is 0. Models are a population, so their side is the small one."""
-    tasks = pool.select("task_number", F.explode(F.lit([r["ord"] for r in models.select("ord").distinct().orderBy("ord").limit(10_001).collect()])).alias("ord"))
+    """Every model against every pool task; a missing score is 0. A population of more than POPULATION_MAX is an error."""
+    places = [r["ord"] for r in models.select("ord").distinct().orderBy("ord").limit(POPULATION_MAX + 1).collect()]
+    if len(places) > POPULATION_MAX:
+        raise ValueError(f"a population of more than {POPULATION_MAX} models")
+    tasks = pool.select("task_number", F.explode(F.array(*map(F.lit, places)).cast("array<bigint>")).alias("ord"))
     return tasks.join(skills.select("ord", "task_number", "score"), ["ord", "task_number"], "left").select("ord", "task_number", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -203,7 +203,7 @@ def projected(vectors: DataFrame, clusters: int, seed: int = 7) -> tuple[DataFra
 def solved_by(scores: DataFrame, selection: DataFrame) -> DataFrame:
     """Per task the selected models that solve it, and whether these are none, one or many."""
     names = F.array_sort(F.collect_list(F.when(F.col("solved"), F.col("model_path"))))
-    per = scores.join(F.broadcast(selection.select("model_path")), "model_path", "left_semi").groupBy("task_number").agg(names.alias("models"))
+    per = scores.join(selection.select("model_path"), "model_path", "left_semi").groupBy("task_number").agg(names.alias("models"))
     return per.withColumn("category", F.when(F.size("models") == 0, "none").when(F.size("models") == 1, "one").otherwise("many"))
 
 

@@ -50,7 +50,7 @@ def weighted(v):
     return n.pair_ratios(bits, n.fitter(models(v)), w).select("s", "f", F.round("ratio", 9).alias("ratio"), F.round("ratio_full", 9).alias("ratio_full"))
 
 
-@query("e05_prefix_ratio", f"WITH {MODELS}, {BITS}, {FITTER}, {ratios('AND a.pos + 0 < 20')} SELECT s, f, ratio, ratio_full FROM ratios")
+@query("e05_prefix_ratio", f"WITH {MODELS}, {BITS}, {FITTER}, {ratios('JOIN (SELECT unnest(range(0, 20)) AS k) lim ON lim.k = a.pos')} SELECT s, f, ratio, ratio_full FROM ratios")
 def prefix(v):
     return n.pair_ratios(bits_of(v), n.fitter(models(v)), limit=20)
 

@@ -91,3 +91,64 @@ def flattened(v):
 def stored(v):
     vectors = v.skills.select("model_path", F.col("task_number").cast("string").alias("task"), "score", F.get(F.split("model_path", "_"), F.lit(1)).try_cast("bigint").alias("gen"))
     return archives.model_fitness(vectors).withColumn("fitness", F.round("fitness", 9))
+
+
+def result_files(v) -> str:
+    """A result file per model: results and groups of each benchmark, with one metric per filter."""
+    per = v.samples.groupBy("model_name", "benchmark", "filter").agg((F.count_if("correct") / F.count("*")).alias("x"))
+    metric = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("exact_match,"), "filter"), "x")))
+    per = per.groupBy("model_name", "benchmark").agg(metric.alias("m")).groupBy("model_name").agg(F.map_from_entries(F.collect_list(F.struct("benchmark", "m"))).alias("results"))
+    path = place(v, "results")
+    per.select("model_name", F.to_json(F.struct("results", F.col("results").alias("groups"))).alias("value")).repartition("model_name").write.partitionBy("model_name").option("lineSep", " ").text(path)
+    return path
+
+
+@query("a02_judge_partition", "SELECT model_name, 'samples_' || benchmark || '.jsonl' AS file_name FROM (SELECT DISTINCT model_name, benchmark FROM samples) x WHERE benchmark <> 'R'")
+def judged(v):
+    name = F.concat(F.lit("samples_"), "benchmark", F.when(F.col("benchmark") == "R", "_llm_as_a_judge").otherwise(""), F.lit(".jsonl"))
+    rows = v.samples.select("model_name", name.alias("file_name")).distinct()
+    return rows.where(~F.contains("file_name", F.lit(harness.JUDGE)))
+
+
+@query("a08_boolean_archives", "SELECT ord, string_agg(CASE WHEN score >= 0.5 THEN 'true' ELSE 'false' END, ',' ORDER BY task_number) AS bits FROM skills GROUP BY ord")
+def booleans(v):
+    item = F.struct("task_number", (F.col("score") >= 0.5).alias("solved"))
+    rows = v.skills.groupBy("ord", "gen", "model_path").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["solved"]).alias("skill_vector"))
+    path = place(v, "booleans")
+    archives.write_archive(rows, path)
+    back = v.spark.read.schema(archives.ARCHIVE_SCHEMA + ", ord long, gen long").json(path)
+    return back.select("ord", F.array_join(F.transform("skill_vector", lambda b: b.cast("string")), ",").alias("bits"))
+
+
+@query("a09_archives_of_generations", "SELECT gen, model_path FROM archive WHERE gen IN (1, 3, 4)")
+def some_archives(v):
+    path = place(v, "generations")
+    archives.write_archive(v.archive.select("gen", "model_path", "fitness"), path)
+    return v.spark.read.schema("model_path string, fitness double, gen long").json(path).where(F.col("gen").isin(1, 3, 4)).select("gen", "model_path")
+
+
+ACC = "acc AS (SELECT model_name, benchmark, filter, count(*) FILTER (correct) / count(*) AS value FROM samples GROUP BY ALL)"
+
+
+@query("a05_main_metrics", f"WITH {ACC} SELECT model_name, benchmark, value FROM acc WHERE filter = 'F'")
+def main_metrics(v):
+    rows = harness.read_results(v.spark, result_files(v), "*.txt")
+    return harness.main_metrics(rows, {b: "exact_match,F" for b in "ANR"}).select("model_name", "benchmark", "value")
+
+
+@query("a06_metric_groups", f"WITH {ACC} SELECT model_name, benchmark, filter, value FROM acc WHERE contains(benchmark, 'N')")
+def groups(v):
+    rows = harness.read_results(v.spark, result_files(v), "*.txt", "groups")
+    found = harness.groups_of(rows, "N", containing=True)
+    return found.select("model_name", "benchmark", F.substring_index("metric", ",", -1).alias("filter"), "value")
+
+
+@query("a12_task_directories", "SELECT task_id AS task, generation_type, original_pass_rate FROM tasks")
+def task_dirs(v):
+    path = place(v, "tasks")
+    rows = v.tasks.select(F.col("task_id").alias("task"), F.col("task_id").alias("name_of_task"), "generation_type", "original_pass_rate")
+    rows.select("task", "name_of_task").write.json(f"{path}/texts")
+    rows.select("task", "generation_type", "original_pass_rate").write.json(f"{path}/meta")
+    texts = v.spark.read.schema(archives.TASK_SCHEMA + ", task string").json(f"{path}/texts")
+    meta = v.spark.read.schema(archives.META_SCHEMA + ", task string").json(f"{path}/meta")
+    return archives.joined_task_dirs(texts, meta).select("task", "generation_type", "original_pass_rate")

@@ -60,14 +60,18 @@ TASK_SCHEMA = "name_of_task string, description_of_task string, capability_being
 META_SCHEMA = "generated_from_task string, generated_from_seed string, generation_type string, original_pass_rate double, task_number long"
 
 
-def read_task_dirs(spark: SparkSession, root: str) -> DataFrame:
+def read_task_dirs(spark: SparkSession, root: str, files: tuple[str, str] = ("task.json", "metadata.json")) -> DataFrame:
     """task.json and metadata.json of each task directory, joined; both are needed, and a task_ name unless it is a seed."""
 
     def part(name: str, schema: str) -> DataFrame:
         rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", name).option("recursiveFileLookup", "true").json(root)
         return rows.withColumn("task", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
 
-    both = part("task.json", TASK_SCHEMA).join(part("metadata.json", META_SCHEMA), "task")
+    return joined_task_dirs(part(files[0], TASK_SCHEMA), part(files[1], META_SCHEMA))
+
+
+def joined_task_dirs(texts: DataFrame, metadata: DataFrame) -> DataFrame:
+    both = texts.join(metadata, "task")
     return both.where(F.startswith("task", F.lit("task_")) | (F.col("generation_type") == "seed"))
 
 

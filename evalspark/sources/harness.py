@@ -18,9 +18,9 @@ SAMPLE_SCHEMA = "doc_id long, doc variant, target variant, arguments variant, re
 
 
 def located(rows: DataFrame) -> DataFrame:
-    """rows with file_name, model_name (its directory) and line order inside the file."""
+    """rows with file_name, model_name (its directory, also as a partition directory) and line order inside the file."""
     path = F.col("_metadata.file_path")
-    return rows.select("*", F.regexp_extract(path, r"([^/]+)$", 1).alias("file_name"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("model_name"), F.monotonically_increasing_id().alias("line"))
+    return rows.select("*", F.regexp_extract(path, r"([^/]+)$", 1).alias("file_name"), F.regexp_replace(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1), r"^\w+=", "").alias("model_name"), F.monotonically_increasing_id().alias("line"))
 
 
 def read_samples(spark: SparkSession, root: str, benchmark: str, judge: bool = False) -> DataFrame:
@@ -111,11 +111,11 @@ def normalized(samples: DataFrame, name: str) -> DataFrame:
     return later_wins(out, "model_name", "sample_id").drop("file_name", "line")
 
 
-def read_results(spark: SparkSession, root: str) -> DataFrame:
-    """model_name, file_name, benchmark, metric, value of every ``results*.json``."""
-    rows = located(spark.read.option("pathGlobFilter", "results*.json").option("recursiveFileLookup", "true").option("wholetext", "true").text(root))
+def read_results(spark: SparkSession, root: str, pattern: str = "results*.json", section: str = "results") -> DataFrame:
+    """model_name, file_name, benchmark, metric, value of every result file, from its results or its groups."""
+    rows = located(spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("wholetext", "true").text(root))
     v = F.try_parse_json("value")
-    per = rows.select("model_name", "file_name", F.explode(F.try_variant_get(v, "$.results", "map<string,variant>")).alias("benchmark", "metrics"))
+    per = rows.select("model_name", "file_name", F.explode(F.try_variant_get(v, f"$.{section}", "map<string,variant>")).alias("benchmark", "metrics"))
     flat = per.select("model_name", "file_name", "benchmark", F.explode(F.col("metrics").cast("map<string,variant>")).alias("metric", "x"))
     return flat.select("model_name", "file_name", "benchmark", "metric", F.try_variant_get("x", "$", "double").alias("value"))
 
