@@ -5,11 +5,11 @@ Every stage is a Spark job over tables that hold one small row per document, buc
 1. each document becomes a set of distinct word shingles; equal sets are one *representative* (smallest id),
    so thousands of exact copies cost one row from here on;
 2. SuperMinHash signs the sets, bands of the signature become buckets;
-3. in rounds, the most central members of each open bucket are compared with the bucket's other members (links are
-   confirmed on whole sets), and components grow by union-find. A bucket closes when all members that are left are in
-   one component; a member that was compared with all others leaves. The number of pivots per bucket grows fourfold
-   per round, so every pair of a bucket is compared or already known to be connected, but a group of near copies
-   never emits all its pairs.
+3. the most central member of each bucket is compared with the bucket's other members, links are confirmed on whole
+   sets, and union-find makes components of them;
+4. what a bucket then holds outside its central component is compared with all members around that component, block
+   against block. So every pair that shares a bucket is compared or already connected, and a group of near copies
+   never emits its pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ class NearDedup:
     bands: int = 36
     rows: int = 6
     seed: int = 7
+    #: Expected members of one block of step 4.
+    block_rows: int = 128
 
 
 def shingle_sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,15 +159,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets meet 100 * intersection >= percent * union."""
     a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    both: Column = F.size(F.array_intersect("sa", "sb"))
-    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    return (
-        pairs.join(a, "a")
-        .join(b, "b")
-        .where(100 * small >= percent * large)
-        .where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-        .select("a", "b")
-    )
+    sized = pairs.join(a, "a").join(b, "b").where(100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb")))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return sized.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def intersections(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, columns: int = 1 << 15) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``, by products of 0-1 matrices a few columns wide."""
+    names, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    rows = np.concatenate([np.repeat(np.arange(len(a_at) - 1), np.diff(a_at)), np.repeat(np.arange(len(b_at) - 1), np.diff(b_at))])
+    first = np.arange(len(where)) < len(a)
+    order = np.argsort(where, kind="stable")
+    where, rows, first = where[order], rows[order], first[order]
+    out = np.zeros((len(a_at) - 1, len(b_at) - 1), np.float32)
+    for lo in range(0, len(names), columns):
+        part = slice(*np.searchsorted(where, [lo, lo + columns]))
+        w, r, f = where[part] - lo, rows[part], first[part]
+        x, y = (np.zeros((n, min(columns, len(names) - lo)), np.float32) for n in out.shape)
+        x[r[f], w[f]] = 1
+        y[r[~f], w[~f]] = 1
+        out += x @ y.T
+    return np.rint(out).astype(np.int64)
+
+
+def block_links(around: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
+    """(u, v): components that a confirmed link joins, among the members around each heart.
+
+    ``around``: heart, rep, comp. Members outside the heart's component, in blocks, meet all members, in blocks: every
+    pair of different components that shares a bucket is compared on whole sets, and a block gives back no more links
+    than it has members.
+    """
+    full = around.join(sets, "rep")
+    n = around.groupBy("heart").agg(F.count_if(F.col("comp") != F.col("heart")).alias("m"), F.count("*").alias("n"))
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / p.block_rows)).cast("int")
+    full = full.join(n.select("heart", parts("m").alias("few"), parts("n").alias("all")), "heart")
+    item = F.collect_list(F.struct("rep", "comp", "shingles"))
+    place = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
+    left = full.where("comp <> heart").groupBy("heart", place("few").alias("x")).agg(item.alias("left"))
+    right = full.groupBy("heart", "few", place("all").alias("y")).agg(item.alias("right"))
+    right = right.select("heart", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("x"), "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+                sides = []
+                for side in (left.values, right.values):
+                    sets = side.field("shingles")
+                    at = sets.offsets.to_numpy()
+                    sides.append((sets.values.to_numpy()[at[0] : at[-1]], at - at[0], side.field("comp").to_numpy()))
+                (a, a_at, ca), (b, b_at, cb) = sides
+                both = intersections(a, a_at, b, b_at)
+                either = np.diff(a_at)[:, None] + np.diff(b_at)[None, :] - both
+                i, j = np.nonzero((100 * both >= p.percent * either) & (ca[:, None] != cb[None, :]))
+                out += forest(ca[i].tolist(), cb[j].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
+
+    pairs = left.join(right, ["heart", "x"])
+    return pairs.select("left", "right").mapInArrow(run, "u long, v long").distinct()
+
+
+def forest(us: list[int], vs: list[int]) -> list[tuple[int, int]]:
+    """Union-find: a star per component of the edges, its smallest node last."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    for u, v in zip(us, vs, strict=True):
+        a, b = find(u), find(v)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return [(x, r) for x in list(parent) if (r := find(x)) != x]
 
 
 def local_forest(edges: DataFrame) -> DataFrame:
@@ -173,24 +241,18 @@ def local_forest(edges: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parent: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while (up := parent.setdefault(x, x)) != x:
-                    parent[x] = parent[up]
-                    x = parent[x]
-                return x
-
-            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = find(u), find(v)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-            star = [(x, r) for x in list(parent) if (r := find(x)) != x]
+            star = forest(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in star], pa.int64()), pa.array([r for _, r in star], pa.int64())], names=["u", "v"])
 
     return edges.select("u", "v").mapInArrow(run, "u long, v long")
 
 
+def relabelled(comp: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """rep, comp after the components that ``edges`` (u, v) name have grown together."""
+    root = components(edges, scratch).select(F.col("u").alias("comp"), F.col("v").alias("root"))
+    return comp.join(root, "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp"))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v): the smallest node v of u's connected component, for every node u that is not that node itself.
 
@@ -231,40 +293,28 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
         sig.where("n_shingles > 0").select("doc_id", "n_shingles", "set_a", "set_b").join(owner, ["set_a", "set_b"]).select("doc_id", "n_shingles", "rep"), "copies"
     )
     reps = copies.where("doc_id = rep").select("doc_id").distinct()
-    rows = scratch.save(sig.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("buckets").alias("bucket")), "buckets")
+    signed = sig.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "buckets")
+    rows = scratch.save(signed.select("rep", F.explode("buckets").alias("bucket")), "buckets")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = scratch.save(rows.join(shared, "bucket"), "members")
     popular = members.groupBy("rep").agg(F.sum("members").alias("popularity"))
-    live = scratch.save(members.join(popular, "rep").select("bucket", "rep", "popularity", F.col("rep").alias("comp")), "live")
+    live = scratch.save(members.join(popular, "rep").select("bucket", "rep", "popularity"), "live")
+    scratch.drop(rows, members)
     wanted = live.select("rep").distinct()
     sets = scratch.save(whole_sets(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi"), p).dropDuplicates(["rep"]), "sets")
-    scratch.drop(rows, members)
-    comp, pivots_each = scratch.save(wanted.select("rep", F.col("rep").alias("comp")), "components"), 1
-    while True:
-        still = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        opened = scratch.save(live.join(still, "bucket", "left_semi"), "open")
-        scratch.drop(live)
-        if opened.isEmpty():
-            break
-        salt = F.pmod(F.xxhash64("rep", F.lit(pivots_each)), F.lit(pivots_each))
-        pivots = scratch.save(
-            opened.groupBy("bucket", salt.alias("salt")).agg(F.max(F.struct("popularity", (-F.col("rep")).alias("minus"), "comp")).alias("p")).select("bucket", (-F.col("p.minus")).alias("pivot"), F.col("p.comp").alias("pivot_comp")),
-            "pivots",
-        )
-        pairs = (
-            opened.join(pivots, "bucket").where("comp <> pivot_comp").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        )
-        links = confirmed(pairs, sets, p.percent)
-        ca, cb = comp.select(F.col("rep").alias("a"), F.col("comp").alias("u")), comp.select(F.col("rep").alias("b"), F.col("comp").alias("v"))
-        edges = scratch.save(links.join(ca, "a").join(cb, "b").select("u", "v").distinct(), "edges")
-        root = components(edges, scratch).select(F.col("u").alias("comp"), F.col("v").alias("root"))
-        moved = scratch.save(comp.join(root, "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")), "components")
-        scratch.drop(comp, edges)
-        comp = moved
-        used = pivots.select("bucket", F.col("pivot").alias("rep"))
-        live = scratch.save(opened.drop("comp").join(used, ["bucket", "rep"], "left_anti").join(comp, "rep"), "live")
-        scratch.drop(opened, pivots)
-        pivots_each *= 4
+    # the most central member of each bucket against the others
+    best = live.groupBy("bucket").agg(F.max(F.struct("popularity", (-F.col("rep")).alias("minus"))).alias("best"))
+    pivots = scratch.save(best.select("bucket", (-F.col("best.minus")).alias("pivot")), "pivots")
+    pairs = live.join(pivots, "bucket").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    links = scratch.save(confirmed(pairs, sets, p.percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    comp = scratch.save(relabelled(wanted.select("rep", F.col("rep").alias("comp")), links, scratch), "components")
+    # buckets that still hold several components: members outside the pivot's component against all members
+    heart = pivots.join(comp.select(F.col("rep").alias("pivot"), F.col("comp").alias("heart")), "pivot").select("bucket", "heart")
+    placed = scratch.save(live.join(comp, "rep").join(heart, "bucket").select("bucket", "rep", "comp", "heart"), "placed")
+    open_ = placed.where("comp <> heart").select("bucket").distinct()
+    around = scratch.save(placed.join(open_, "bucket", "left_semi").select("heart", "rep", "comp").distinct(), "around")
+    late = scratch.save(block_links(around, sets, p), "late")
+    comp = relabelled(comp, late, scratch)
     grouped = copies.join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     alone = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.union(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
