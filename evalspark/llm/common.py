@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step of a task works on; a longer document is a step of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 
@@ -129,6 +129,22 @@ def hash_share(share: float, column: str = "doc_id", seed: int = 11) -> Column:
     return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, balanced: bool = False) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, label of about ``rows`` labelled documents, by hash; all labelled rows by label value).
+
+    Labels are cut first, so only a table of at most 2 * rows ids and labels is broadcast and no text is shuffled; the
+    sample is written once for the passes that training makes. ``balanced``: as many rows of each value.
+    """
+    used = labels.select("doc_id", F.col(label).cast("long").alias(label)).where(F.col(label).isNotNull())
+    per = {r[label]: r["count"] for r in used.groupBy(label).count().collect()}
+    total, pick = sum(per.values()), F.lit(False)
+    for value, n in per.items():
+        pick = pick | ((F.col(label) == value) & hash_share(min(1.0, rows / len(per) / n if balanced else rows / total)))
+    few = used.where(pick).limit(2 * rows)
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id")
+    return Scratch(docs.sparkSession).save(found, "labelled"), per
+
+
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -> np.ndarray:
     """Logistic regression with an intercept (first weight) by Newton steps; for a few dense columns."""
     x = np.column_stack([np.ones(len(x)), x])

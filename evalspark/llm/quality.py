@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import U64, code_points, hash_share, hash_words, join_hashes, logistic, mix, offsets_of, slices, texts_of
+from evalspark.llm.common import U64, code_points, hash_words, join_hashes, labelled_sample, logistic, mix, offsets_of, slices, texts_of
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -102,16 +102,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(feats, rows) + self.shift, -30, 30)))
 
 
-def train(labelled: DataFrame, params: Quality = Quality()) -> Model | None:
-    """Learns from rows (doc_id, text, quality 0 or 1). None if there are not both qualities."""
+def train(docs: DataFrame, labels: DataFrame, params: Quality = Quality()) -> Model | None:
+    """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0 or 1), half of the sample from either
+    quality. None if there are not both."""
     p = params
-    rows = labelled.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).where("text is not null and quality is not null")
-    per = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
-    if set(per) != {0, 1}:
+    rows, per = labelled_sample(docs, labels, "quality", p.rows, balanced=True)
+    if set(per) != {0, 1} or rows.select("quality").distinct().count() < 2:
         return None
-    pick = F.lit(False)
-    for q, n in per.items():  # half of the sample from either quality
-        pick = pick | ((F.col("quality") == q) & hash_share(min(1.0, p.rows / 2 / n)))
     kinds = "y int, f array<int>, v array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +124,11 @@ def train(labelled: DataFrame, params: Quality = Quality()) -> Model | None:
             order = np.argsort(key, kind="stable")
             at = np.searchsorted(key[order] >> 32, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("quality"), pa.ListArray.from_arrays(at, pa.array((key[order] & 0xFFFFFFFF).astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(val[order].astype(np.float32)))],
+                [batch.column("quality").cast(pa.int32()), pa.ListArray.from_arrays(at, pa.array((key[order] & 0xFFFFFFFF).astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(val[order].astype(np.float32)))],
                 names=["y", "f", "v"],
             )
 
-    got = rows.where(pick).select("text", "quality").mapInArrow(run, kinds).toArrow()
+    got = rows.select("text", "quality").mapInArrow(run, kinds).toArrow()
     f, v = got.column("f").combine_chunks(), got.column("v").combine_chunks()
     y, at = got.column("y").to_numpy().astype(float), f.offsets.to_numpy()
     r, feat, val = np.repeat(np.arange(len(y)), np.diff(at)), f.flatten().to_numpy(), v.flatten().to_numpy().astype(float)

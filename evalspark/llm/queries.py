@@ -56,8 +56,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    model = toxicity.train(docs, read(spark, sf_dir, "labels").where(~held_out()))
     return toxicity.scored(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted")
 
 
@@ -67,8 +66,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
-    return quality.judged(docs, quality.train(docs.join(labels, "doc_id")))
+    return quality.judged(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

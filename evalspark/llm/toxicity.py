@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import code_points, hash_share, logistic, slices, texts_of
+from evalspark.llm.common import code_points, labelled_sample, logistic, slices, texts_of
 
 #: Quotation marks, opening and closing.
 QUOTES = "\"“”„«»‹›‘’"
@@ -250,19 +250,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(labelled: DataFrame, params: Toxicity = Toxicity()) -> Model:
-    """Learns from rows (doc_id, text, toxic 0 or 1). Without toxic rows, or without others, every text scores alike."""
+def train(docs: DataFrame, labels: DataFrame, params: Toxicity = Toxicity()) -> Model:
+    """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1). Without toxic rows, or without others,
+    every text scores alike."""
     p = params
-    rows = labelled.select("doc_id", "text", F.col("toxic").cast("long").alias("toxic")).where("text is not null and toxic is not null")
-    n = rows.count()
-    rows = rows.where(hash_share(min(1.0, p.rows / max(n, 1)))) if n > p.rows else rows
+    rows, _ = labelled_sample(docs, labels, "toxic", p.rows)
     terms = candidate_terms(rows, p)
     if not terms:
         mean = rows.agg(F.avg("toxic")).first()[0] or 0.0
         mean = min(max(mean, 1e-3), 1 - 1e-3)
         return Model(None, np.array([math.log(mean / (1 - mean)), *[0.0] * 6]))
     automaton = Automaton.build(terms, p)
-    shared = labelled.sparkSession.sparkContext.broadcast(automaton)
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

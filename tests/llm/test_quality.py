@@ -31,16 +31,17 @@ def test_counts(table, documents):
 
 def test_held_out(documents, spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = train(documents.join(labels, "doc_id").where(~held_out()))
+    model = train(documents, labels.where(~held_out()))
     got = judged(documents, model).join(labels, "doc_id").where(held_out()).toPandas()
     assert ((got["quality_score"] >= 0.5) == (got["quality"] == 1)).mean() > 0.9
     assert got["quality_score"].between(0, 1).all()
 
 
 def test_edges(table):
-    rows = table(["good words in a row " * 3, "### $$$ ||| " * 9] * 12).withColumn("quality", (F.col("doc_id") % 2 == 0).cast("int"))
-    model = train(rows, Quality(steps=40))
+    rows = table(["good words in a row " * 3, "### $$$ ||| " * 9] * 12)
+    labels = rows.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"))
+    model = train(rows, labels, Quality(steps=40))
     got = {r["doc_id"]: r["quality_score"] for r in judged(table(["good words in a row", "||| ### $$$", None, ""]), model).collect()}
     assert got[0] > got[1] and got[2] == got[3]
-    assert train(rows.where("quality = 1")) is None and train(table([]).withColumn("quality", F.lit(1))) is None
+    assert train(rows, labels.where("quality = 1")) is None and train(table([]), labels) is None
     assert judged(table([]), model).count() == 0

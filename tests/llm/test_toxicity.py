@@ -45,8 +45,7 @@ def test_held_out(spark):
     sf_dir = "/root/testdata/sf0.01"
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = documents.join(labels.where(~held_out()).select("doc_id", "toxic"), "doc_id")
-    got = scored(documents, train(rows)).join(labels.where(held_out()), "doc_id").toPandas()
+    got = scored(documents, train(documents, labels.where(~held_out()))).join(labels.where(held_out()), "doc_id").toPandas()
     good = got[got["quality"] == 1]
     assert len(good) > 10 and (good["predicted"] == good["toxic"]).mean() > 0.9
     assert got["score"].between(0, 1).all()
@@ -54,21 +53,23 @@ def test_held_out(spark):
 
 def corpus(table):
     texts = [f"you are a horrid{'ly' * (i % 2)} fool number {i} here" if i % 4 == 0 else f"plain words about number {i} and more" for i in range(80)]
-    return table(texts).withColumn("toxic", (F.col("doc_id") % 4 == 0).cast("int"))
+    docs = table(texts)
+    return docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
 
 
 def test_misspelling_and_quotation(table):
-    model = train(corpus(table))
+    model = train(*corpus(table))
     got = {r["doc_id"]: r for r in scored(table(["you are a horrid fool here", "you are a horid fol here", "plain words about more", None, "", "he said \"horrid fool\" about it"]), model).collect()}
     assert got[0]["predicted"] == 1 and got[1]["score"] > got[2]["score"] and got[2]["predicted"] == 0
     assert got[3]["score"] == got[4]["score"] and 0 <= got[3]["score"] < 0.7
 
 
 def test_edges(table):
-    none = train(table([]).withColumn("toxic", F.lit(1)))
+    none = train(table([]), table([]).select("doc_id", F.lit(1).alias("toxic")))
     assert scored(table(["a"]), none).first()["predicted"] == 0
-    every = train(table(["bad word"] * 6).withColumn("toxic", F.lit(1)))
+    bad = table(["bad word"] * 6)
+    every = train(bad, bad.select("doc_id", F.lit(1).alias("toxic")))
     assert 0 <= scored(table(["a"]), every).first()["score"] <= 1
     assert scored(table([]), every).count() == 0
-    long = scored(table(["fool " * 50_000, None]), train(corpus(table))).collect()
+    long = scored(table(["fool " * 50_000, None]), train(*corpus(table))).collect()
     assert len(long) == 2
