@@ -112,7 +112,7 @@ class Vocabulary:
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         order = np.argsort(size, kind="stable")
         order, far = order[size[order] <= LONG], order[size[order] > LONG]
-        cells, at = 2 << 20, 0
+        cells, at = 1 << 20, 0
         counts = np.zeros(len(chunks), np.int64)
         found = []
         while at < len(order):
