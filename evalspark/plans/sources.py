@@ -50,9 +50,9 @@ def files(v):
 @query("a07_archive_round_trip", "SELECT a.gen, a.model_path, string_agg(concat('task_', CAST(s.task_number AS STRING), '_x'), ',' ORDER BY s.task_number) AS tasks FROM archive a JOIN skills s ON s.ord = a.ord GROUP BY a.gen, a.model_path")
 def archive(v):
     key = F.concat(F.lit("task_"), F.col("task_number").cast("string"), F.lit("_x"))
-    skills = v.skills.groupBy("gen", "model_path").agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.col("score").cast("double").alias("v")))).alias("acdc_skill_vector"))
+    skills = v.skills.groupBy("gen", "model_path").agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.col("score").cast("double").alias("v")))).alias("skills"))
     path = place(v, "archive")
-    archives.write_archive(skills.withColumn("acdc_eval_details", F.array().cast("array<struct<task_id:string,instructions:string,raw_output:string,score:double>>")), path)
+    archives.write_archive(skills.withColumn("details", F.array().cast(archives.DETAILS)), path)
     rows = v.spark.read.schema(archives.ARCHIVE_SCHEMA + ", gen long").json(path)
     return archives.archive_rows(rows, 3).select("gen", "model_path", F.array_join(F.transform("skills", lambda e: e["task"]), ",").alias("tasks"))
 

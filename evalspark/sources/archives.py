@@ -7,27 +7,42 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.text import generation, task_number
 
-ARCHIVE_SCHEMA = "model_path string, fitness double, acdc_skill_vector map<string,double>, skill_vector array<boolean>, acdc_eval_details array<struct<task_id:string,instructions:string,raw_output:string,score:double>>, validation_quality double, is_gibberish boolean, rank int"
+DETAILS = "array<struct<task_id:string,instructions:string,raw_output:string,score:double>>"
+ARCHIVE_SCHEMA = f"model_path string, fitness double, skills map<string,double>, skill_vector array<boolean>, details {DETAILS}, validation_quality double, is_gibberish boolean, rank int"
 
 
 def read_archives(spark: SparkSession, root: str, gens: list[int] | None = None) -> DataFrame:
-    """Rows of ``gen<N>_dns_archive.json`` (arrays of solutions) with gen and ord, of the generations asked for."""
-    rows = spark.read.schema(ARCHIVE_SCHEMA).option("multiLine", "true").option("pathGlobFilter", "gen*_dns_archive.json").option("recursiveFileLookup", "true").json(root)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
-    gen = F.regexp_extract(name, r"^gen(\d+)_dns_archive\.json$", 1).try_cast("bigint")
-    rows = rows.withColumns({"gen": gen, "ord": F.monotonically_increasing_id()}).where("gen is not null")
-    return rows.where(F.col("gen").isin(gens)) if gens is not None else rows
+    """Solutions of ``gen<N>_...archive.json`` (an array each) with gen and ord (place in the array), of the generations
+    asked for. A project's prefix of the skill map (``..._skill_vector``) and of the details (``..._eval_details``) may
+    be any."""
+    rows = spark.read.option("pathGlobFilter", "gen*archive.json").option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
+    gen = F.regexp_extract(F.col("_metadata.file_path"), r"/gen(\d+)_(?:\w+_)?archive\.json$", 1).try_cast("bigint")
+    rows = rows.select(gen.alias("gen"), "value").where("gen is not null")
+    rows = rows.where(F.col("gen").isin(gens)) if gens is not None else rows
+    each = rows.select("gen", F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("ord", "v"))
+    each = each.withColumn("m", F.try_variant_get("v", "$", "map<string,variant>"))
+    some = lambda end: F.get(F.map_values(F.map_filter("m", lambda k, x: F.endswith(k, F.lit(end)))), F.lit(0))
+    plain = {"model_path": "string", "fitness": "double", "skill_vector": "array<boolean>", "validation_quality": "double", "is_gibberish": "boolean", "rank": "int"}
+    return each.select(
+        "gen",
+        F.col("ord").cast("bigint").alias("ord"),
+        *(F.try_variant_get("v", f"$.{c}", kind).alias(c) for c, kind in plain.items()),
+        F.try_variant_get(some("_skill_vector"), "$", "map<string,double>").alias("skills"),
+        F.try_variant_get(some("_eval_details"), "$", DETAILS).alias("details"),
+    )
 
 
 def archive_rows(archive: DataFrame, max_details: int = -1) -> DataFrame:
     """What a saved archive holds: the skill map as entries by task number (names without one last), and the last
     ``max_details`` details where there are more (all if negative; null if there are none)."""
     number = lambda e: F.coalesce(F.regexp_extract(e["key"], r"task_(\d+)_", 1).try_cast("bigint"), F.lit(1 << 62))
-    entries = F.transform(F.array_sort(F.transform(F.map_entries("acdc_skill_vector"), lambda e: F.struct(number(e).alias("n"), e["key"].alias("key"), e["value"].alias("value")))), lambda e: F.struct(e["key"].alias("task"), e["value"].alias("score")))
-    details = F.col("acdc_eval_details")
+    numbered = F.transform(F.map_entries("skills"), lambda e: F.struct(number(e).alias("n"), e["key"].alias("key"), e["value"].alias("value")))
+    entries = F.transform(F.array_sort(numbered), lambda e: F.struct(e["key"].alias("task"), e["value"].alias("score")))
+    details = F.col("details")
     if max_details >= 0:
-        details = F.when(F.size(details) > max_details, F.slice(details, -max_details, max_details) if max_details else F.slice(details, 1, 0)).otherwise(details)
-    return archive.withColumn("skills", entries).withColumn("acdc_eval_details", F.when(F.size("acdc_eval_details") > 0, details))
+        last = F.slice(details, -max_details, max_details) if max_details else F.slice(details, 1, 0)
+        details = F.when(F.size(details) > max_details, last).otherwise(details)
+    return archive.withColumns({"skills": entries, "details": F.when(F.size(details) > 0, details)})
 
 
 def write_archive(archive: DataFrame, path: str) -> None:

@@ -190,15 +190,15 @@ def test_samples_from_files(spark, tmp_path):
 
 
 def test_archives_from_files(spark, tmp_path):
-    solution = {"model_path": "gen_0_ind_1", "fitness": 0.5, "acdc_skill_vector": {"task_10_b": 1.0, "other": 0.0, "task_2_a": 0.5}, "acdc_eval_details": [{"task_id": str(i)} for i in range(4)]}
-    (tmp_path / "gen0_dns_archive.json").write_text(json.dumps([solution]))
-    (tmp_path / "gen5_dns_archive.json").write_text(json.dumps([solution, solution]))
+    solution = {"model_path": "gen_0_ind_1", "fitness": 0.5, "own_skill_vector": {"task_10_b": 1.0, "other": 0.0, "task_2_a": 0.5}, "own_eval_details": [{"task_id": str(i)} for i in range(4)]}
+    (tmp_path / "gen0_archive.json").write_text(json.dumps([solution]))
+    (tmp_path / "gen5_own_archive.json").write_text(json.dumps([solution, solution]))
     (tmp_path / "active_pool_gen_3.json").write_text(json.dumps(["/p/task_7_x", "/p/seed"]))
     rows = archives.read_archives(spark, str(tmp_path), [5])
     assert rows.count() == 2
     kept = archives.archive_rows(rows, 2).first()
     assert [e["task"] for e in kept["skills"]] == ["task_2_a", "task_10_b", "other"]
-    assert [d["task_id"] for d in kept["acdc_eval_details"]] == ["2", "3"]
+    assert [d["task_id"] for d in kept["details"]] == ["2", "3"]
     assert [(r["gen"], r["pos"], r["task_number"]) for r in archives.read_active_pools(spark, str(tmp_path)).orderBy("pos").collect()] == [(3, 0, 7), (3, 1, -1)]
 
 
