@@ -70,14 +70,14 @@ def prefix_tree(turns: DataFrame, scratch: Scratch, params: Chat = Chat()) -> tu
     (begin, end) intervals of its ancestors, oldest first. leaves: conv_id, path.
     """
     leaves = scratch.save(nodes_of(turns), "conversations")
-    each = leaves.select(F.posexplode(F.arrays_zip("turns", "path")).alias("depth", "x"), "path")
-    each = each.select(F.col("x.path").alias("node"), F.slice("path", 1, F.col("depth") + 1).alias("path"), "depth", F.col("x.turns.role").alias("role"), F.col("x.turns.text").alias("body"))
+    each = leaves.select("conv_id", F.posexplode(F.arrays_zip("turns", "path")).alias("depth", "x"), "path")
+    each = each.select("conv_id", F.col("x.path").alias("node"), F.slice("path", 1, F.col("depth") + 1).alias("path"), "depth", F.col("x.turns.role").alias("role"), F.col("x.turns.text").alias("body"))
     head = F.concat(F.lit(HEAD), escaped_role(F.col("role")), F.lit(COLON))
-    merged = each.groupBy("node", "path", "depth", "role", "body").agg(F.count("*").alias("conversations"))
+    merged = each.groupBy("node", "path", "depth", "role", "body").agg(F.count("*").alias("conversations"), F.min("conv_id").alias("owner"))
     merged = merged.withColumn("head", F.length(head)).withColumn("text", F.concat(head, escaped(F.col("body")), F.lit(TAIL)))
     loss = F.col("role") == params.loss_role
     merged = merged.select(
-        "node", "path", "depth", "conversations", "text", F.length("text").cast("long").alias("size"),
+        "node", "path", "depth", "conversations", "owner", "text", F.length("text").cast("long").alias("size"),
         F.when(loss, F.col("head")).alias("loss_from"), F.when(loss, F.length("text") - len(TAIL)).alias("loss_to"),
         F.substring(F.col("path")[0], 1, params.range_digits).alias("range"),
         # a hot first turn is split once more by its second turn
@@ -94,12 +94,14 @@ def prefix_tree(turns: DataFrame, scratch: Scratch, params: Chat = Chat()) -> tu
     ahead = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = merged.withColumn("ahead", ahead).withColumn("root", F.col("path")[0]).join(starts, ["root", "second"])
     placed = scratch.save(placed.withColumn("begin", F.col("start") + F.col("ahead")).drop("root", "second", "range", "start", "ahead"), "placed")
-    # a node's ancestors: as many rows as it is deep
-    up = placed.select("node", "depth", F.posexplode("path").alias("at", "ancestor")).where("at < depth")
-    spans = placed.select(F.col("node").alias("ancestor"), F.col("begin"), (F.col("begin") + F.col("size")).alias("end"))
-    seen = up.join(spans, "ancestor").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "begin", "end"))).alias("a"))
-    attention = seen.select("node", F.transform("a", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"))).alias("attention"), F.aggregate("a", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"]).alias("position"))
-    nodes = placed.join(attention, "node", "left").withColumn("position", F.coalesce("position", F.lit(0)))
+    # along each conversation the places of its turns; a node takes those before it from the conversation that owns it
+    way = leaves.select("conv_id", F.posexplode("path").alias("at", "node"))
+    span = F.struct("at", "node", "owner", "begin", (F.col("begin") + F.col("size")).alias("end"))
+    spans = way.join(placed.select("node", "owner", "begin", "size"), "node").groupBy("conv_id").agg(F.array_sort(F.collect_list(span)).alias("a"))
+    own = spans.select("conv_id", "a", F.explode("a").alias("x")).where("x.owner <=> conv_id")
+    before = F.transform(F.slice("a", 1, F.col("x.at")), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end")))
+    attention = own.select(F.col("x.node").alias("node"), before.alias("attention")).withColumn("position", F.aggregate("attention", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"]))
+    nodes = placed.drop("owner").join(attention, "node", "left").withColumn("position", F.coalesce("position", F.lit(0)))
     nodes = nodes.withColumn("attention", F.coalesce("attention", F.array().cast("array<struct<begin:bigint,end:bigint>>"))).withColumn("parent", F.when(F.col("depth") > 0, F.col("path")[F.col("depth") - 1]))
     return nodes, leaves.select("conv_id", "path")
 
