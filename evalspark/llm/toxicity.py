@@ -28,8 +28,7 @@ QUOTES = "\"“”„«»‹›‘’"
 class Toxicity:
     #: Labelled documents that lexicon and model learn from (a share by hash, about this many).
     rows: int = 20_000
-    terms: int = 400
-    #: Toxic documents and share of toxic documents that a term needs.
+    #: Toxic texts and share of toxic texts that a term needs (equal texts count once).
     support: int = 4
     purity: float = 0.8
     stems: tuple[int, ...] = (4, 5, 6, 7)
@@ -83,7 +82,11 @@ def tokens(batch: pa.RecordBatch) -> Tokens:
 
 
 def candidate_terms(rows: DataFrame, p: Toxicity) -> list[tuple[str, float]]:
-    """(term, weight); a stem ends in ``*``. Documents are counted by Spark, ``terms`` rows reach the driver."""
+    """(term, weight) of every term with the support and purity asked for; a stem ends in ``*``.
+
+    Spark counts distinct texts (one whose copies disagree goes with most of them) and takes out the terms that others
+    stand for; the lexicon reaches the driver whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -100,22 +103,21 @@ def candidate_terms(rows: DataFrame, p: Toxicity) -> list[tuple[str, float]]:
                 toxic += [label] * len(keys)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(toxic, pa.int64())], names=["term", "toxic"])
 
-    total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+    texts = rows.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("long").alias("toxic"))
+    total = texts.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     if not total["t"] or total["t"] == total["n"]:
         return []
-    seen = rows.select("text", "toxic").mapInArrow(run, "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    seen = texts.mapInArrow(run, "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     rate = total["t"] / total["n"]
     good = seen.where((F.col("t") >= p.support) & (F.col("t") >= p.purity * F.col("n")) & (F.col("t") > 2 * rate * F.col("n")))
-    best = good.orderBy(F.desc("t"), F.length("term"), "term").limit(4 * p.terms).collect()
-    # the term with most toxic documents first; of equal ones the longest stem; its extensions and prefixes add nothing
+    # the term with most toxic texts first; of equal ones the longest stem; its extensions and prefixes add nothing
     chosen: list[tuple[str, float]] = []
-    best.sort(key=lambda r: (-r["t"], r["n"], -len(r["term"]), r["term"]))
-    for r in best:
+    for r in sorted(good.collect(), key=lambda r: (-r["t"], r["n"], -len(r["term"]), r["term"])):
         stem = r["term"].rstrip("*")
         if not any(stem.startswith(c.rstrip("*")) or c.startswith(stem) for c, _ in chosen):
             odds = math.log((r["t"] + 0.5) / (r["n"] - r["t"] + 0.5)) - math.log(rate / (1 - rate))
             chosen.append((r["term"], odds))
-    return chosen[: p.terms]
+    return chosen
 
 
 @dataclass

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import held_out
-from evalspark.llm.toxicity import Automaton, Tokens, Toxicity, scored, train
+from evalspark.llm.toxicity import Automaton, Tokens, Toxicity, candidate_terms, scored, train
 
 
 def distance(a, b):
@@ -73,3 +73,17 @@ def test_edges(table):
     assert scored(table([]), every).count() == 0
     long = scored(table(["fool " * 50_000, None]), train(*corpus(table))).collect()
     assert len(long) == 2
+
+
+def test_copies_do_not_crowd_out_terms(table):
+    """A toxic text with many copies and many words of its own, next to terms with small support."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = [f"{x}{y}{z}unusual" for x in letters for y in letters[:25] for z in "qx"]
+    terms = [f"{x}{y}nasty" for x in letters for y in letters[:20]]
+    texts = [" ".join(own)] * 30 + [f"they said {w} number {k}" for w in terms for k in range(4)] + [f"plain words {i}" for i in range(8000)]
+    docs = table(texts)
+    bad = 30 + 4 * len(terms)
+    rows = docs.select("text", (F.col("doc_id") < bad).cast("long").alias("toxic"))
+    found = {t for t, _ in candidate_terms(rows, Toxicity())}
+    assert all(w in found or any(t.endswith("*") and w.startswith(t[:-1]) for t in found) for w in terms)
+    assert not any(w in found for w in own)
