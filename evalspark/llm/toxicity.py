@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import code_points, labelled_sample, logistic, slices, texts_of
+from evalspark.llm.common import Scratch, code_points, labelled_sample, logistic, slices, texts_of
 
 #: Quotation marks, opening and closing.
 QUOTES = "\"“”„«»‹›‘’"
@@ -98,7 +98,7 @@ def candidate_terms(rows: DataFrame, p: Toxicity) -> list[tuple[str, float]]:
                     words[r].add(text[b : b + n])
             out, toxic = [], []
             for seen, label in zip(words, batch.column("toxic").to_pylist(), strict=True):
-                keys = seen | {w[:k] + "*" for w in seen for k in p.stems if len(w) > k}
+                keys = seen | {w[:k] + "*" for w in seen for k in p.stems if len(w) >= k}
                 out += keys
                 toxic += [label] * len(keys)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(toxic, pa.int64())], names=["term", "toxic"])
@@ -110,14 +110,30 @@ def candidate_terms(rows: DataFrame, p: Toxicity) -> list[tuple[str, float]]:
     seen = texts.mapInArrow(run, "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     rate = total["t"] / total["n"]
     good = seen.where((F.col("t") >= p.support) & (F.col("t") >= p.purity * F.col("n")) & (F.col("t") > 2 * rate * F.col("n")))
-    # the term with most toxic texts first; of equal ones the longest stem; its extensions and prefixes add nothing
-    chosen: list[tuple[str, float]] = []
-    for r in sorted(good.collect(), key=lambda r: (-r["t"], r["n"], -len(r["term"]), r["term"])):
-        stem = r["term"].rstrip("*")
-        if not any(stem.startswith(c.rstrip("*")) or c.startswith(stem) for c, _ in chosen):
-            odds = math.log((r["t"] + 0.5) / (r["n"] - r["t"] + 0.5)) - math.log(rate / (1 - rate))
-            chosen.append((r["term"], odds))
-    return chosen
+    best = uncovered(Scratch(rows.sparkSession).save(good, "terms"), p).collect()
+    best.sort(key=lambda r: (-r["t"], r["n"], -len(r["term"]), r["term"]))
+    return [(r["term"], math.log((r["t"] + 0.5) / (r["n"] - r["t"] + 0.5)) - math.log(rate / (1 - rate))) for r in best]
+
+
+def uncovered(good: DataFrame, p: Toxicity) -> DataFrame:
+    """The terms (term, t, n) without those that others stand for.
+
+    A stem whose texts are all those of a longer term gives way to it. Then a stem covers the terms that it begins, but
+    one that is too short to be met with an edit leaves those that may be; a whole word covers no other.
+    """
+    stem = F.rtrim(F.lit("*"), F.col("term"))
+    whole, size = F.col("term") == stem, F.length(stem)
+    fuzzy = size >= F.when(whole, p.fuzzy_word).otherwise(p.fuzzy_stem)
+    heads = [F.when((size > k) | (whole & (size == k)), F.concat(F.substring(stem, 1, k), F.lit("*"))) for k in p.stems]
+
+    def begun(terms: DataFrame) -> DataFrame:
+        return terms.select("term", "t", "n", fuzzy.alias("fuzzy"), F.explode(F.array_compact(F.array(*heads))).alias("head"))
+
+    wider = begun(good).select(F.col("head").alias("term"), "t", "n").distinct()
+    kept = good.join(wider, ["term", "t", "n"], "left_anti")
+    stems = kept.where(~whole).select(F.col("term").alias("head"), (size >= p.fuzzy_stem).alias("reaches"))
+    covered = begun(kept).join(stems, "head").where(F.col("reaches") | ~F.col("fuzzy")).select("term").distinct()
+    return kept.join(covered, "term", "left_anti")
 
 
 @dataclass

@@ -87,3 +87,13 @@ def test_copies_do_not_crowd_out_terms(table):
     found = {t for t, _ in candidate_terms(rows, Toxicity())}
     assert all(w in found or any(t.endswith("*") and w.startswith(t[:-1]) for t in found) for w in terms)
     assert not any(w in found for w in own)
+
+
+def test_whole_words_and_their_extensions_are_all_met(table):
+    words = ["hate"] * 9 + ["hateful"] * 5 + ["hater"] * 4 + ["scumbag"] * 9 + ["scum"] * 4 + ["vile"] * 5
+    texts = [f"they {w} number {i}" for i, w in enumerate(words)] + [f"plain {w} {i}" for i in range(30) for w in ("words", "scumpole", "vileda")]
+    docs = table(texts)
+    terms = candidate_terms(docs.select("text", (F.col("doc_id") < len(words)).cast("long").alias("toxic")), Toxicity())
+    got = dict(zip([*dict.fromkeys(words), "scumpole", "vileda", "words"], met([*dict.fromkeys(words), "scumpole", "vileda", "words"], Automaton.build(terms, Toxicity()))))
+    assert all(got[w] == (True, 0) for w in set(words)), (terms, got)
+    assert not any(got[w][0] for w in ("scumpole", "vileda", "words"))
