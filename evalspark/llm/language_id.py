@@ -1,8 +1,10 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Texts become lower-case letters with single spaces between words. Spark counts the n-grams of all training documents
-of a language; the most frequent ``grams`` of each language make its model: sorted arrays of n-gram hashes with the
-log probabilities of every language, and of context hashes with their back-off weights. A text gets the language with
+of a language; all of them make the models. As many as executors can hold are sorted arrays of n-gram hashes with the
+log probabilities of every language, and of context hashes with their back-off weights. Beyond that the models are
+tables made by joins and groupings; only the most frequent n-grams are sent, and a text's other n-grams meet the tables
+by joins, with the same result. A text gets the language with
 the lowest cross-entropy per character. A text whose lowest cross-entropy lies beyond what that language's own
 documents show is rejected.
 """
@@ -14,22 +16,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import U64, code_points, hash_share, held_out, letter_table, offsets_of, slices, texts_of
+from evalspark.llm.common import U64, Scratch, code_points, hash_share, held_out, letter_table, offsets_of, slices, texts_of
 
 PRIME = 0x9E3779B97F4A7C15
 #: Text bytes of one step; a step holds about 150 bytes for each of them.
 TEXT_BYTES = 1 << 19
+#: Inner columns beside those of the caller.
+REST, DIGEST = "__language_rest", "__language_digest"
 
 
 @dataclass(frozen=True)
 class LanguageId:
     order: int = 4
-    #: N-grams that the models hold together; it bounds what executors receive.
+    #: N-grams that executors receive at most, with up to ``languages`` languages; with more languages fewer. The others
+    #: are met by joins.
     grams: int = 600_000
-    #: Languages at most; more is an error.
     languages: int = 64
     #: Documents of each language that calibrate scores and rejection (a share by hash, about this many).
     calibration: int = 400
@@ -173,28 +177,132 @@ class Model:
         some = n > 0
         if some.any():
             out[some] = -np.add.reduceat(self.scores(x, place).astype(np.float64), offsets_of(n)[:-1][some], axis=0) / n[some, None]
+        if REST in batch.schema.names:
+            rest = batch.column(REST)
+            met = rest.is_valid().to_numpy(zero_copy_only=False)
+            out[met] -= rest.drop_null().flatten().to_numpy().reshape(-1, len(self.names)) / n[met, None]
         return out, n
 
 
+@dataclass
+class Head(Model):
+    """The most frequent n-grams of the highest order, and the tables that hold all (left behind when this is sent)."""
+
+    grams: list[DataFrame] | None = None
+    backoff: list[DataFrame] | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "grams": None, "backoff": None}
+
+    def place_of(self, x: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = gram_keys(x, place, self.order)[-1]
+        at = np.minimum(np.searchsorted(self.keys[0], key), len(self.keys[0]) - 1) if len(self.keys[0]) else np.zeros(len(key), np.int64)
+        return at, (self.keys[0][at] == key if len(self.keys[0]) else np.zeros(len(key), bool))
+
+    def scores(self, x: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """As of ``Model``, but 0 where the n-gram is not among those sent."""
+        at, hit = self.place_of(x, place)
+        out = np.zeros((len(place), len(self.names)), np.float32)
+        out[hit] = self.logs[0][at[hit]]
+        return out
+
+    @staticmethod
+    def build(counts: DataFrame, names: list[str], order: int, size: int, scratch: Scratch) -> Head:
+        """counts: lang, gram, n. The estimate of ``Model.fit``, by groupings and joins; ``size`` n-grams are sent."""
+        spark, many = counts.sparkSession, len(names)
+        index = spark.createDataFrame(list(zip(names, range(many), strict=True)), "lang string, l int")
+        levels = {order: scratch.save(counts.join(F.broadcast(index), "lang").select("l", "gram", F.col("n").cast("double").alias("c")), f"grams{order}")}
+        for k in range(order - 1, 0, -1):  # continuation counts: distinct left neighbours
+            levels[k] = scratch.save(levels[k + 1].groupBy("l", F.slice("gram", 2, k).alias("gram")).agg(F.count("*").cast("double").alias("c")), f"grams{k}")
+        base = 1.0 / (levels[1].select("gram").distinct().count() + 1)
+        places = F.sequence(F.lit(0), F.lit(many - 1))
+        spread = lambda col: F.map_from_entries(F.collect_list(F.struct("l", col)))
+        at = lambda m, i, other: F.coalesce(F.col(m)[i], F.lit(other))
+        probs, backoff = [], []
+        for k in range(1, order + 1):
+            level, d = levels[k], np.full(many, 0.5)
+            for r in level.groupBy("l").agg(F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).collect():
+                d[r["l"]] = r["ones"] / (r["ones"] + 2 * r["twos"]) if r["ones"] else 0.5
+            less = F.array(*map(F.lit, np.clip(d, 0.1, 0.9).tolist()))
+            ctx = F.slice("gram", 1, k - 1)
+            sums = level.groupBy(ctx.alias("ctx"), "l").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+            sums = sums.groupBy("ctx").agg(spread(F.col("total")).alias("totals"), spread(F.col("kinds") / F.col("total")).alias("spreads"))
+            lam = F.transform(places, lambda i: F.coalesce(less[i] * F.col("spreads")[i], F.lit(1.0)))  # noqa: B023
+            held = scratch.save(sums.select("ctx", F.transform(places, lambda i: at("totals", i, 1.0)).alias("total"), lam.alias("lam")), f"contexts{k}")
+            rows = level.groupBy("gram").agg(spread(F.col("c")).alias("m"), F.sum("c").alias("n")).withColumn("ctx", ctx).join(held, "ctx")
+            if k > 1:
+                rows = rows.withColumn("tail", F.slice("gram", 2, k - 1)).join(probs[-1].select(F.col("gram").alias("tail"), F.col("p").alias("lower")), "tail")
+            else:
+                rows = rows.withColumn("lower", F.transform(places, lambda i: F.lit(base)))
+            p = F.transform(places, lambda i: F.greatest(at("m", i, 0.0) - less[i], F.lit(0.0)) / F.col("total")[i] + F.col("lam")[i] * F.col("lower")[i])  # noqa: B023
+            probs.append(scratch.save(rows.select("gram", "n", p.alias("p")), f"probabilities{k}"))
+            backoff.append(held)
+        # the lowest count of which all n-grams with as many fit
+        cut, room = np.inf, size
+        for r in probs[-1].groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+            room -= r["count"]
+            if room < 0:
+                break
+            cut = r["n"]
+        sent = probs[-1].where(F.col("n") >= F.lit(float(cut))).select("gram", "p").toArrow()
+        x = sent.column("gram").combine_chunks().flatten().to_numpy().astype(np.uint32)
+        keys = gram_keys(x, np.arange(order - 1, len(x), order), order)[-1] if len(x) else np.zeros(0, U64)
+        logs = np.log(sent.column("p").combine_chunks().flatten().to_numpy().reshape(-1, many)).astype(np.float32)
+        by = np.argsort(keys)
+        return Head(names, order, [keys[by]], [logs[by]], [], [], np.full(many, np.log(base), np.float32), grams=probs, backoff=backoff)
+
+    def with_rest(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with the summed log probabilities of the n-grams that are not sent (null if there are none)."""
+        shared = docs.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            for batch in slices(batches, limit=TEXT_BYTES):
+                x, place, n = letters(batch, m.order)
+                row, p = np.repeat(np.arange(len(n)), n), place
+                away = ~m.place_of(x, place)[1]
+                row, p = row[away], p[away]
+                grams = np.stack([x[p - j] for j in range(m.order - 1, -1, -1)], 1).astype(np.int32).reshape(-1, m.order)
+                pairs, times = np.unique(np.column_stack([row, grams]), axis=0, return_counts=True)
+                gram = pa.FixedSizeListArray.from_arrays(pa.array(pairs[:, 1:].ravel().astype(np.int32)), m.order).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(pairs[:, 0])), gram, pa.array(times.astype(np.int64))], names=["digest", "gram", "times"])
+
+        texts = docs.where("text is not null").select("text", F.md5("text").alias("digest"))
+        # equal texts have equal rows
+        away = Scratch(docs.sparkSession).save(texts.mapInArrow(run, "digest string, gram array<int>, times long").distinct(), "away")
+        asked, p = away.select("gram").distinct(), None
+        for k in range(1, self.order + 1):
+            tail, ctx = F.slice("gram", self.order - k + 1, k), F.slice("gram", self.order - k + 1, k - 1)
+            asked = asked.withColumns({"tail": tail, "ctx": ctx}).join(self.grams[k - 1].select(F.col("gram").alias("tail"), F.col("p").alias("found")), "tail", "left").join(self.backoff[k - 1].select("ctx", "lam"), "ctx", "left")
+            low = F.array(*map(F.lit, np.exp(self.floor.astype(float)).tolist())) if p is None else F.col("p")
+            p = F.coalesce("found", F.when(F.col("lam").isNull(), low).otherwise(F.zip_with("lam", low, lambda a, b: a * b)))
+            asked = asked.select("gram", p.alias("p"))
+        sums = F.array(*(F.sum(F.col("times") * F.ln(F.col("p")[i])) for i in range(len(self.names))))
+        rest = away.join(asked, "gram").groupBy("digest").agg(sums.alias(REST)).withColumnRenamed("digest", DIGEST)
+        return docs.withColumn(DIGEST, F.md5("text")).join(rest, DIGEST, "left").drop(DIGEST)
+
+
 def train(docs: DataFrame, params: LanguageId = LanguageId()) -> Model | None:
     """Learns from the rows given (doc_id, text, lang); rows without text or lang teach nothing. None if none does."""
     p = params
     docs = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    per = docs.groupBy("lang").count().orderBy("lang").limit(p.languages + 1).collect()
-    if len(per) > p.languages:
-        raise ValueError(f"more than {p.languages} languages")
+    scratch = Scratch(docs.sparkSession)
+    per = docs.groupBy("lang").count().orderBy("lang").collect()
     if not per:
         return None
-    names = [r["lang"] for r in per]
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    counts = gram_counts(docs, p.order).withColumn("place", F.row_number().over(top)).where(F.col("place") <= p.grams // len(names))
-    rows = counts.select("lang", "gram", "n").toArrow()
-    if not rows.num_rows:
+    counts = scratch.save(gram_counts(docs, p.order), "counts")
+    held = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
+    names = sorted(held)
+    if not names:
         return None
-    names = sorted(set(rows.column("lang").to_pylist()))
-    lang = np.searchsorted(np.array(names, object), np.array(rows.column("lang").to_pylist(), object)).astype(np.int64)
-    grams = rows.column("gram").combine_chunks().flatten().to_numpy().reshape(-1, p.order)
-    model = Model.fit(names, lang, grams, rows.column("n").to_numpy())
+    size = p.grams * p.languages // max(p.languages, len(names))
+    if sum(held.values()) <= size:
+        rows = counts.select("lang", "gram", "n").toArrow()
+        lang = np.searchsorted(np.array(names, object), np.array(rows.column("lang").to_pylist(), object)).astype(np.int64)
+        grams = rows.column("gram").combine_chunks().flatten().to_numpy().reshape(-1, p.order)
+        model = Model.fit(names, lang, grams, rows.column("n").to_numpy())
+    else:
+        model = Head.build(counts, names, p.order, size, scratch)
     share = F.lit(False)
     for r in per:
         share = share | ((F.col("lang") == r["lang"]) & hash_share(min(1.0, p.calibration / r["count"])))
@@ -224,7 +332,8 @@ def cross_entropies(docs: DataFrame, model: Model, *extra: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), ce, pa.array(n)], names=[*extra, "ce", "n"])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in extra)
-    return docs.select("text", *extra).mapInArrow(run, kinds + "ce array<double>, n long")
+    docs = docs.select("text", *extra)
+    return (model.with_rest(docs) if isinstance(model, Head) else docs).mapInArrow(run, kinds + "ce array<double>, n long")
 
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -249,12 +358,12 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
             none = n == 0
             label = [("und" if u else m.names[k]) for u, k in zip(none, win, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(label, pa.string()), pa.array(np.where(none, 0.0, 1 / z.sum(1))), pa.array(low, mask=none), pa.array(none | (low > m.limits[win]))],
+                [*(batch.column(c) for c in columns), pa.array(label, pa.string()), pa.array(np.where(none, 0.0, 1 / z.sum(1))), pa.array(low, mask=none), pa.array(none | (low > m.limits[win]))],
                 names=[*columns, "lang_pred", "lang_score", "cross_entropy", "rejected"],
             )
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
-    return docs.mapInArrow(run, kinds + "lang_pred string, lang_score double, cross_entropy double, rejected boolean")
+    return (model.with_rest(docs) if isinstance(model, Head) else docs).mapInArrow(run, kinds + "lang_pred string, lang_score double, cross_entropy double, rejected boolean")
 
 
 def identify(docs: DataFrame, params: LanguageId = LanguageId()) -> DataFrame:

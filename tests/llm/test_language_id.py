@@ -62,3 +62,19 @@ def test_edges(table, documents, spark):
     one = train(table(["only one language here"] * 3), LanguageId())
     assert predicted(table(["some text"]), one).first()["lang_pred"] == "en"
     assert predicted(table([]), model).count() == 0
+
+
+def test_all_grams_count_wherever_they_are_held(documents):
+    """Few n-grams sent and the rest met by joins: the scores are those of a model of all n-grams."""
+    docs = documents.select("doc_id", "text", "lang").where("doc_id % 4 = 0 or doc_id < 20")
+    more = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).selectExpr("doc_id", "'qqzzxw \u9fd5\u9fd6 wxq' AS text", "lang"))
+    whole, few, none = (predicted(more, train(docs, LanguageId(grams=g))).orderBy("doc_id", "text").toPandas() for g in (600_000, 3000, 0))
+    for got in (few, none):
+        assert np.allclose(whole["cross_entropy"].fillna(-1), got["cross_entropy"].fillna(-1), atol=1e-4)
+        assert (whole[["doc_id", "lang_pred", "rejected"]] == got[["doc_id", "lang_pred", "rejected"]]).all(axis=None)
+
+
+def test_more_than_64_languages(spark):
+    texts = [(i, f"{chr(0x4E00 + i) * 5} {chr(0x5E00 + i)}" * 4, f"l{i:03d}") for i in range(70)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert predicted(docs, train(docs)).where("lang <> lang_pred").count() == 0
