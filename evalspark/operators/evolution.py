@@ -67,18 +67,23 @@ def averages(results: DataFrame, by: Sequence[str], benchmarks: int | None = Non
     return rows.groupBy(*by).agg(mean.alias("mean"), F.sqrt(F.greatest(F.sum(F.col("value") * F.col("value")) / benchmarks - mean * mean, F.lit(0.0))).alias("deviation"), F.count("*").alias("n"))
 
 
-def ancestry(tasks: DataFrame, depth: int = 64) -> DataFrame:
+def ancestry(tasks: DataFrame) -> DataFrame:
     """task_number, step, ancestor, rate: the chain from each task to its root (step 0 is the task itself).
 
-    A recursive query; a chain longer than ``depth`` is an error of the data.
+    By doubling: what is known of the ancestor ``reach`` steps up continues a task's chain, until no task has one. A task
+    that is its own ancestor is an error of the data.
     """
-    text = f"""
-      WITH RECURSIVE chain(task_number, step, ancestor, parent, rate) MAX RECURSION LEVEL {depth} AS (
-        SELECT task_number, 0, task_number, parent_number, original_pass_rate FROM {{tasks}}
-        UNION ALL
-        SELECT c.task_number, c.step + 1, t.task_number, t.parent_number, t.original_pass_rate FROM chain c JOIN {{tasks}} t ON c.parent = t.task_number)
-      SELECT task_number, step, ancestor, rate FROM chain"""
-    return tasks.sparkSession.sql(text, tasks=tasks)
+    tables, reach = Tables(tasks.sparkSession), 1
+    found = tables.save(tasks.select("task_number", F.lit(0).alias("step"), F.col("task_number").alias("ancestor"), F.col("original_pass_rate").alias("rate")), "ancestry")
+    jumps = tables.save(tasks.where("parent_number is not null").select("task_number", F.col("parent_number").alias("up")), "jumps")
+    while not jumps.isEmpty():
+        above = found.withColumnRenamed("task_number", "up")
+        more = tables.save(jumps.join(above, "up").select("task_number", (F.col("step") + reach).alias("step"), "ancestor", "rate"), "ancestry")
+        if not more.where("ancestor = task_number").isEmpty():
+            raise ValueError("a task is its own ancestor")
+        found, reach = tables.save(found.unionByName(more), "ancestry"), 2 * reach
+        jumps = tables.save(jumps.join(jumps.select(F.col("task_number").alias("up"), F.col("up").alias("next")), "up").select("task_number", F.col("next").alias("up")), "jumps")
+    return found
 
 
 def reported_rates(tasks: DataFrame) -> DataFrame:

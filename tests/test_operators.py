@@ -216,3 +216,18 @@ def test_empty_population(spark):
     empty = spark.createDataFrame([], "ord long, model_path string, task_number long, score double")
     assert skills.assemble(empty).count() == 0
     assert selection.greedy_cover(empty, 2).count() == 0
+
+
+def test_ancestry_has_no_limit_of_rows_or_depth(spark):
+    from evalspark.operators.evolution import ancestry
+
+    tasks = "task_number long, parent_number long, original_pass_rate double"
+    deep = spark.createDataFrame([(i, i - 1 if i else None, i / 100) for i in range(70)], tasks)
+    assert {(r["task_number"], r["step"], r["ancestor"], r["rate"]) for r in ancestry(deep).collect()} == {(i, i - j, j, j / 100) for i in range(70) for j in range(i + 1)}
+    wide = spark.range(400_000).selectExpr("id AS task_number", "CASE WHEN id >= 4 THEN id % 4 END AS parent_number", "0.5D AS original_pass_rate")
+    wide = wide.unionByName(spark.range(400_000, 800_000).selectExpr("id AS task_number", "id - 400000 AS parent_number", "0.5D AS original_pass_rate"))
+    assert ancestry(wide).count() == 4 + 2 * 399_996 + 2 * 4 + 3 * 399_996
+    ring = spark.createDataFrame([(0, 2, 0.5), (1, 0, 0.5), (2, 1, 0.5)], tasks)
+    with pytest.raises(ValueError):
+        ancestry(ring)
+
