@@ -3,7 +3,8 @@
 Equal vectors are one graph node that knows its smallest ids, so a vector that a third of all rows share costs one
 node. Nodes are dealt to shards of bounded size by hash; a task builds the graph of a shard: greedy searches from the
 medoid propose neighbours, relaxed distance pruning keeps diverse ones, and pruned reverse edges keep the graph
-reachable. Queries travel in blocks to every shard; a beam search per query runs there for a whole block in step.
+reachable. Every shard then comes to one task, and the queries come after it, row by row; a beam search runs there for
+a block of them in step. So a shard is read once, whatever the number of queries.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ class Graph:
     build_beam: int = 64
     beam: int = 160
     relax: float = 1.15
-    #: Expected vectors of a shard and queries of a block.
+    #: Expected vectors of a shard; with more than ``shards`` shards they grow, up to ``shard_rows_max``.
     shard_rows: int = 8192
+    shards: int = 1024
+    shard_rows_max: int = 65_536
+    #: Queries that a task searches for at a time.
     block_rows: int = 512
     #: Beam entries that each query expands per step.
     wide: int = 4
@@ -137,62 +141,108 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
+class Shard:
+    """The graph of one shard, its vectors, and the ids that each of its nodes stands for."""
+
+    def __init__(self, where: tuple[int, int], ids, sizes, vectors, graph, start: int):
+        self.where, self.start = where, start
+        self.vectors = np.frombuffer(vectors).reshape(-1, where[0])
+        self.unit, self.graph = unit(self.vectors), np.frombuffer(graph, np.int32).reshape(len(self.vectors), -1)
+        self.ids, self.sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int32).astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def nearest(self, names: np.ndarray, asked: np.ndarray, by: np.ndarray, k: int, p: Graph) -> list[np.ndarray]:
+        """query id, digest of its vector, id found, score: the ``k`` nearest other ids of each query.
+
+        Where the nodes found hold fewer ids (an id may have many vectors), the beam grows to the whole shard.
+        """
+        out, open_, beam = [], np.arange(len(names)), max(p.beam, k + 2)
+        while len(open_):
+            nodes, _ = beam_search(self.unit, self.graph, self.start, unit(asked[open_]), beam, p.wide)
+            row, col = np.nonzero(nodes >= 0)
+            node = nodes[row, col]
+            score = cosine(asked[open_[row]], self.vectors[node])
+            each = self.sizes[node]
+            row, score = np.repeat(row, each), np.repeat(score, each)
+            ids = self.ids[np.repeat(self.first[node] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+            other = ids != names[open_[row]]
+            row, score, ids = row[other], score[other], ids[other]
+            order = np.lexsort((ids, -score, row))
+            row, score, ids = row[order], score[order], ids[order]
+            _, again = np.unique(np.column_stack([row, ids]), axis=0, return_index=True)  # the best of each id
+            again.sort()
+            row, score, ids = row[again], score[again], ids[again]
+            count = np.bincount(row, minlength=len(open_))
+            rank = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            done = (count >= k) | (beam >= len(self.vectors))
+            keep = (rank < k) & done[row]
+            out.append([names[open_[row[keep]]], by[open_[row[keep]]], ids[keep], score[keep]])
+            open_, beam = open_[~done], 4 * beam
+        return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, params: Graph = Graph()) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the ``k`` nearest other rows found for each row that ``queries`` names.
+    """query_id, rank (from 1), vec_id, score: the ``k`` nearest others found for each row that ``queries`` names.
 
-    ``vectors``: vec_id, embedding. Rows with null, zero or non-finite vectors take no part; vectors of different
-    lengths do not meet. Ties go to the smaller vec_id. Fewer candidates than ``k`` are all returned. Extra columns
-    are ignored, and an empty table gives no rows. Repeated vec_ids are separate rows, but no row meets its own id.
+    ``vectors``: vec_id, embedding. Rows with a null id or a null, zero or non-finite vector take no part; vectors of
+    different lengths do not meet. Ties go to the smaller vec_id. Fewer candidates than ``k`` are all returned. Extra
+    columns are ignored, and an empty table gives no rows. Repeated rows (id and vector) count once, as queries and as
+    candidates. An id with several vectors is a query by each of them, is found by the nearest of them, once, and is
+    never its own neighbour.
     """
     p, scratch = params, Scratch(vectors.sparkSession)
-    clean = vectors.where(usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asks"))
-    clean = scratch.save(clean.withColumn("key", F.xxhash64("embedding")), "vectors")
-    ranked = clean.withColumn("place", F.row_number().over(Window.partitionBy("key", "embedding").orderBy("vec_id"))).where(F.col("place") <= k + 1)
+    clean = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("embedding"), queries.alias("asks"))
+    clean = scratch.save(clean.withColumn("key", F.xxhash64("embedding")).distinct(), "vectors")
+    # the k + 1 smallest ids of a vector suffice: whoever asks, k of them are others
+    place = F.row_number().over(Window.partitionBy("key", "embedding").orderBy("vec_id"))
+    ranked = clean.select("vec_id", "key", "embedding").distinct().withColumn("place", place).where(F.col("place") <= k + 1)
     nodes = ranked.groupBy("key", "embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    nodes = scratch.save(nodes.select(F.col("ids")[0].alias("node"), "ids", "embedding", F.size("embedding").alias("dim")), "nodes")
+    nodes = scratch.save(nodes.select("key", "ids", "embedding", F.size("embedding").alias("dim")), "nodes")
     n = nodes.count()
-    shards = max(1, -(-n // p.shard_rows))
+    shards = max(1, -(-n // min(p.shard_rows_max, max(p.shard_rows, n // p.shards))))
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
+        rows = rows.assign(first=rows["ids"].map(lambda x: x[0])).sort_values(["first", "key"])
         v = np.stack(rows["embedding"].to_numpy())
         graph, start = build_graph(unit(v), p)
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "nodes": [rows["node"].tolist()], "vectors": [v.tobytes()], "graph": [graph.tobytes()], "start": [start]})
-
-    dealt = nodes.select("dim", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "embedding")
-    built = scratch.save(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, nodes array<long>, vectors binary, graph binary, start int"), "graphs")
+        sizes = rows["ids"].map(len).to_numpy()
+        return pd.DataFrame(
+            {"dim": [key[0]], "shard": [key[1]], "ids": [np.concatenate(rows["ids"].to_numpy()).astype(np.int64).tobytes()], "sizes": [sizes.astype(np.int32).tobytes()], "vectors": [v.tobytes()], "graph": [graph.tobytes()], "start": [start]}
+        )
+
+    dealt = nodes.select("dim", F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", "ids", "embedding")
+    built = scratch.save(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids binary, sizes binary, vectors binary, graph binary, start int"), "graphs")
+    asked = clean.where("asks").select("vec_id", "embedding").distinct()
+    asked = scratch.save(asked.select(F.size("embedding").alias("dim"), F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("asked_by"), F.col("embedding").alias("asked")), "asked")
+    # the stated queries, in blocks, against every shard: a shard comes to its task once, its queries follow
+    to = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    rows = built.unionByName(to, allowMissingColumns=True).repartition(shards, "dim", "shard")
+    rows = rows.sortWithinPartitions("dim", "shard", F.col("graph").isNull(), "query_id", "asked_by")
 
-    asked = scratch.save(clean.where("asks").groupBy("key", "embedding").agg(F.min("vec_id").alias("asker")), "asked")
-    blocks = max(1, -(-asked.count() // p.block_rows))
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("asker")
-        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "askers": [rows["asker"].tolist()], "asked": [np.stack(rows["embedding"].to_numpy()).tobytes()]})
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, waiting = None, []
 
-    grouped = asked.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("asker"), F.lit(blocks)).cast("int").alias("block"), "asker", "embedding").groupBy("dim", "block")
-    packed = grouped.applyInPandas(pack, "dim int, block int, askers array<long>, asked binary")
-    # the stated queries, in blocks, against every shard
-    to = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        def found() -> pa.RecordBatch:
+            names, by, asked = (np.stack(c) for c in zip(*waiting, strict=True))
+            waiting.clear()
+            cols = shard.nearest(names, asked, by, k, p)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.float64())], names=["query_id", "asked_by", "vec_id", "score"])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.to_pylist():
-                v, q = (np.frombuffer(x[c]).reshape(-1, x["dim"]) for c in ("vectors", "asked"))
-                graph = np.frombuffer(x["graph"], np.int32).reshape(len(v), -1)
-                found, _ = beam_search(unit(v), graph, x["start"], unit(q), max(p.beam, k + 2), p.wide)
-                found = found[:, : 2 * k + 6]
-                row, col = np.nonzero(found >= 0)
-                score = cosine(q[row], v[found[row, col]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(x["askers"])[row], pa.int64()), pa.array(np.array(x["nodes"])[found[row, col]], pa.int64()), pa.array(score)], names=["asker", "node", "score"]
-                )
-
-    pairs = to.join(built, ["dim", "shard"]).repartition(max(shards, blocks), "shard", "block")
-    hits = pairs.select("dim", "askers", "asked", "nodes", "vectors", "graph", "start").mapInArrow(search, "asker long, node long, score double")
-    best = hits.withColumn("place", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "node"))).where(F.col("place") <= 2 * k + 2)
-    ids = scratch.save(best.join(nodes.select("node", "ids"), "node").select("asker", "score", F.explode("ids").alias("vec_id")), "hits")
-    near = ids.withColumn("place", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
-    who = clean.where("asks").join(asked, ["key", "embedding"]).select(F.col("vec_id").alias("query_id"), "asker")
-    result = who.join(near, "asker").where("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return result.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+            asks = batch.column("graph").is_null().to_pylist()
+            for i, (dim, number, is_query) in enumerate(zip(batch.column("dim").to_pylist(), batch.column("shard").to_pylist(), asks, strict=True)):
+                if not is_query:
+                    if waiting:
+                        yield found()
+                    shard = Shard((dim, number), *(batch.column(c)[i].as_buffer() for c in ("ids", "sizes", "vectors", "graph")), batch.column("start")[i].as_py())
+                elif shard is not None and shard.where == (dim, number):
+                    waiting.append((batch.column("query_id")[i].as_py(), batch.column("asked_by")[i].as_py(), batch.column("asked")[i].values.to_numpy()))
+                    if len(waiting) == p.block_rows:
+                        yield found()
+        if waiting:
+            yield found()
+
+    hits = rows.mapInArrow(search, "query_id long, asked_by long, vec_id long, score double")
+    best = hits.groupBy("query_id", "asked_by", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "asked_by").orderBy(F.desc("score"), "vec_id"))
+    return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -14,8 +14,11 @@ def brute(rows, asks, k):
     for q, v in use:
         if not asks(q):
             continue
-        near = [(-(v @ w) / (np.linalg.norm(v) * np.linalg.norm(w)), i) for i, w in use if i != q and len(w) == len(v)]
-        out[q] = [(i, -s) for s, i in sorted(near, key=lambda x: (round(x[0], 12), x[1]))[:k]]
+        near = sorted(((-(v @ w) / (np.linalg.norm(v) * np.linalg.norm(w)), i) for i, w in use if i != q and len(w) == len(v)), key=lambda x: (round(x[0], 12), x[1]))
+        best = {}
+        for s, i in near:
+            best.setdefault(i, -s)
+        out[q] = list(best.items())[:k]
     return out
 
 
@@ -26,6 +29,21 @@ def found(df, asks, k, p=Graph()):
     return out
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_larger_tables(spark, sf_dir, sf):
+    df = spark.read.parquet(f"{sf_dir}/../{sf}/embeddings.parquet")
+    x = df.orderBy("vec_id").toPandas()
+    v = np.stack(x["embedding"].to_numpy()).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    asks = np.flatnonzero(x["vec_id"] % 50 == 0)
+    sim = v[asks] @ v.T
+    sim[np.arange(len(asks)), asks] = -2
+    want = {int(x["vec_id"][q]): set(x["vec_id"].to_numpy()[np.argsort(-s, kind="stable")[:5]].tolist()) for q, s in zip(asks, sim, strict=True)}
+    got = found(df, F.pmod("vec_id", F.lit(50)) == 0, 5)
+    assert set(got) == set(want)
+    assert np.mean([len({i for i, _ in got[q]} & want[q]) / 5 for q in want]) >= 0.9
+
+
 def test_recall_and_scores(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     want = brute([(r["vec_id"], r["embedding"]) for r in df.collect()], lambda i: i % 50 == 0, 5)
@@ -56,3 +74,19 @@ def test_edges(spark):
     assert got[0][0][1] == pytest.approx(1.0, abs=1e-15)
     assert nearest(df.limit(0), F.lit(True)).count() == 0
     assert nearest(df, F.lit(False)).count() == 0
+
+
+def test_repeated_ids(spark):
+    """Equal rows count once; an id with many vectors is found once and is never its own neighbour."""
+    rng = np.random.default_rng(2)
+    same = [1.0, 2.0, 3.0]
+    rows = [(50, same)] * 8 + [(51, same), (53, same), (53, same)] + [(i, rng.normal(size=3).tolist()) for i in (2, 12, 17, 20, 31, 100)]
+    rows += [(7, [1.0 + j / 1e4, 2.0, 3.0]) for j in range(1, 300)] + [(None, same)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    stored = [(r["vec_id"], r["embedding"]) for r in df.where("vec_id is not null").collect()]
+    want = brute(stored, lambda i: i in (50, 53, 100), 5)
+    for p in (Graph(), Graph(shard_rows=40, block_rows=2, beam=16)):
+        got = found(df, F.col("vec_id").isin(50, 53, 100), 5, p)
+        assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+    two = nearest(df, F.col("vec_id") == 7, 3).groupBy("query_id", "rank").count().collect()
+    assert {r["count"] for r in two} == {299} and len(two) == 3
