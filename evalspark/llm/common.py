@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step of a task works on; a longer document is a step of its own.
@@ -20,9 +20,14 @@ U64 = np.uint64
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """Folder for intermediate tables, which driver and executors must share: ``spark.checkpoint.dir``.
+
+    Only in local mode, where all run on one machine, an unset name is made up.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="evalspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -120,8 +125,8 @@ def letter_table() -> np.ndarray:
 
 
 def held_out() -> Column:
-    """The fold that no model learns from."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    """The fold that no model learns from; rows without a doc_id belong to it."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
 
 
 def hash_share(share: float, column: str = "doc_id", seed: int = 11) -> Column:
@@ -129,20 +134,26 @@ def hash_share(share: float, column: str = "doc_id", seed: int = 11) -> Column:
     return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, balanced: bool = False) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, label of about ``rows`` labelled documents, by hash; all labelled rows by label value).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, balanced: bool = False, chars: int = 1 << 26) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, label of about ``rows`` labelled documents, by hash; all labelled ids by label value).
 
-    Labels are cut first, so only a table of at most 2 * rows ids and labels is broadcast and no text is shuffled; the
-    sample is written once for the passes that training makes. ``balanced``: as many rows of each value.
+    An id labelled more than once has the label of most of its rows (1 in a tie). Labels are cut first, so only a table
+    of about ``rows`` ids and labels is broadcast and no text is shuffled. Equal rows are one. The sample is taken in
+    the order of a hash until it holds ``chars`` code points, and written once for the passes that training makes.
+    ``balanced``: as many rows of each value.
     """
-    used = labels.select("doc_id", F.col(label).cast("long").alias(label)).where(F.col(label).isNotNull())
+    used = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(F.col(label)) >= 0.5).cast("long").alias(label)).where(F.col(label).isNotNull())
     per = {r[label]: r["count"] for r in used.groupBy(label).count().collect()}
     total, pick = sum(per.values()), F.lit(False)
     for value, n in per.items():
         pick = pick | ((F.col(label) == value) & hash_share(min(1.0, rows / len(per) / n if balanced else rows / total)))
-    few = used.where(pick).limit(2 * rows)
-    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id")
-    return Scratch(docs.sparkSession).save(found, "labelled"), per
+    scratch = Scratch(docs.sparkSession)
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(used.where(pick)), "doc_id").dropDuplicates(["doc_id", "text"])
+    found = scratch.save(found.withColumns({"order": F.xxhash64("doc_id", "text"), "length": F.length("text")}), "labelled")
+    # the hash up to which the sample keeps to its code points: of a few thousand lengths
+    so_far = F.sum("length").over(Window.orderBy("order", "doc_id")) - F.col("length")
+    last = found.select("order", so_far.alias("before")).where(F.col("before") < chars).agg(F.max("order")).first()[0]
+    return found.where(F.col("order") <= F.lit(last)).drop("length"), per
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -> np.ndarray:

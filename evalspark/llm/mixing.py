@@ -52,7 +52,8 @@ def targets(sizes: DataFrame, p: Mixing) -> DataFrame:
 
 
 def mixed(docs: DataFrame, params: Mixing = Mixing()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted).
+    """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted); and ``text`` and
+    ``rest``, the struct that ``docs`` may bring along for its caller.
 
     Null and empty texts have size 0 and are taken 0 times; null is a source of its own. Sources whose documents are
     all empty have target 0. Equal rows are placed next to each other and may share one place only if they are alike
@@ -62,18 +63,20 @@ def mixed(docs: DataFrame, params: Mixing = Mixing()) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     key = F.md5(F.concat_ws("|", F.lit(p.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = scratch.save(docs.select("doc_id", "source", size.alias("size"), key.alias("key")).withColumn("bucket", F.substring("key", 1, p.bucket_digits)), "sizes")
+    along, order = (["text", "rest"], ["key", "doc_id", "size", F.xxhash64("text")]) if "rest" in docs.columns else ([], ["key", "doc_id", "size"])
+    whole = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *along).withColumn("bucket", F.substring("key", 1, p.bucket_digits))
+    rows = scratch.save(whole.select("source", "size", "bucket") if along else whole, "sizes")
     goal = targets(rows, p)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     place = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "bucket", F.coalesce(F.sum("words").over(place), F.lit(0)).alias("start"))
     g, s = goal.alias("g"), starts.alias("s")
     starts = s.join(g, F.col("s.source").eqNullSafe(F.col("g.source"))).select(F.col("s.source").alias("of"), F.col("s.bucket").alias("in"), "start", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("source", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = (whole if along else rows).withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
     budget = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(F.lit(0))
     left = budget - whole * F.col("source_size") - F.col("start") - F.col("ahead")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *along)

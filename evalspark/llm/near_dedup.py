@@ -278,35 +278,40 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept: a row for each row.
 
     Null and empty texts have an empty set, are linked with nothing and kept. Equal texts share a component. Rows with
-    the same doc_id are one document each and end in the component of the smallest id. Other columns are ignored.
+    one doc_id are one document with several texts: it is linked by any of them, and all its rows have one component.
+    Rows without a doc_id are linked with nothing, have no component and are kept. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     p = params
     docs = docs.select("doc_id", "text")
-    sig = scratch.save(signatures(docs, p), "signatures")
+    sig = scratch.save(signatures(docs.where("doc_id is not null"), p), "signatures")
     owner = sig.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     copies = scratch.save(
         sig.where("n_shingles > 0").select("doc_id", "n_shingles", "set_a", "set_b").join(owner, ["set_a", "set_b"]).select("doc_id", "n_shingles", "rep"), "copies"
     )
     reps = copies.where("doc_id = rep").select("doc_id").distinct()
-    signed = sig.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "buckets")
-    rows = scratch.save(signed.select("rep", F.explode("buckets").alias("bucket")), "buckets")
+    signed = sig.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"])
+    rows = scratch.save(signed.select(F.col("doc_id").alias("rep"), F.explode("buckets").alias("bucket")), "buckets")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = scratch.save(rows.join(shared, "bucket"), "members")
     popular = members.groupBy("rep").agg(F.sum("members").alias("popularity"))
     live = scratch.save(members.join(popular, "rep").select("bucket", "rep", "popularity"), "live")
     scratch.drop(rows, members)
     wanted = live.select("rep").distinct()
-    sets = scratch.save(whole_sets(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi"), p).dropDuplicates(["rep"]), "sets")
+    sets = whole_sets(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi"), p).withColumn("digest", F.xxhash64("shingles"))
+    sets = scratch.save(sets.dropDuplicates(["rep", "digest"]).drop("digest"), "sets")
     # the most central member of each bucket against the others
     best = live.groupBy("bucket").agg(F.max(F.struct("popularity", (-F.col("rep")).alias("minus"))).alias("best"))
     pivots = scratch.save(best.select("bucket", (-F.col("best.minus")).alias("pivot")), "pivots")
     pairs = live.join(pivots, "bucket").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    links = scratch.save(confirmed(pairs, sets, p.percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    # the texts of one id lead to one component
+    own = copies.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("hi")).where("v < hi").select("doc_id", "v")
+    own = copies.join(own, "doc_id").where("rep <> v").select(F.col("rep").alias("u"), "v")
+    links = scratch.save(confirmed(pairs, sets, p.percent).select(F.col("a").alias("u"), F.col("b").alias("v")).union(own).distinct(), "links")
     comp = scratch.save(relabelled(wanted.select("rep", F.col("rep").alias("comp")), links, scratch), "components")
     # buckets that still hold several components: members outside the pivot's component against all members
     heart = pivots.join(comp.select(F.col("rep").alias("pivot"), F.col("comp").alias("heart")), "pivot").select("bucket", "heart")
@@ -317,4 +322,5 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
     comp = relabelled(comp, late, scratch)
     grouped = copies.join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     alone = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.union(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    unnamed = signatures(docs.where("doc_id is null"), p).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return grouped.union(alone).union(unnamed).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -1,7 +1,7 @@
 """Quality rules: counted rules, and a hashed word and character n-gram logistic regression with calibrated output.
 
 The model is trained on a bounded sample of labelled rows and scores every text in Arrow batches: the mean weight of
-the text's hashed features, made a probability by a calibration on rows that training left out.
+the text's hashed features, made a probability by a calibration on scores of rows that their model had not learned.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Quality:
-    #: Labelled rows that the model learns from (a share by hash, about this many), and code points of them at most.
+    #: Labelled rows that the model learns from (a share by hash, about this many), and code points at which it stops.
     rows: int = 3000
+    code_points: int = 1 << 26
     bits: int = 16
     #: Letters of the character n-grams.
     chars: int = 3
@@ -106,10 +107,10 @@ def train(docs: DataFrame, labels: DataFrame, params: Quality = Quality()) -> Mo
     """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0 or 1), half of the sample from either
     quality. None if there are not both."""
     p = params
-    rows, per = labelled_sample(docs, labels, "quality", p.rows, balanced=True)
+    rows, per = labelled_sample(docs, labels, "quality", p.rows, balanced=True, chars=p.code_points)
     if set(per) != {0, 1} or rows.select("quality").distinct().count() < 2:
         return None
-    kinds = "y int, f array<int>, v array<float>"
+    kinds = "y int, o long, f array<int>, v array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -124,30 +125,46 @@ def train(docs: DataFrame, labels: DataFrame, params: Quality = Quality()) -> Mo
             order = np.argsort(key, kind="stable")
             at = np.searchsorted(key[order] >> 32, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("quality").cast(pa.int32()), pa.ListArray.from_arrays(at, pa.array((key[order] & 0xFFFFFFFF).astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(val[order].astype(np.float32)))],
-                names=["y", "f", "v"],
+                [batch.column("quality").cast(pa.int32()), batch.column("order"), pa.ListArray.from_arrays(at, pa.array((key[order] & 0xFFFFFFFF).astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(val[order].astype(np.float32)))],
+                names=["y", "o", "f", "v"],
             )
 
-    got = rows.select("text", "quality").mapInArrow(run, kinds).toArrow()
+    got = rows.select("text", "quality", "order").mapInArrow(run, kinds).toArrow().sort_by("o")
     f, v = got.column("f").combine_chunks(), got.column("v").combine_chunks()
     y, at = got.column("y").to_numpy().astype(float), f.offsets.to_numpy()
     r, feat, val = np.repeat(np.arange(len(y)), np.diff(at)), f.flatten().to_numpy(), v.flatten().to_numpy().astype(float)
-    fold = np.arange(len(y)) % 4 == 3  # left out of training, for the calibration
-    balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) * ~fold
-    w, bias, m1, m2 = np.zeros(2 << p.bits), 0.0, np.zeros(2 << p.bits), np.zeros(2 << p.bits)
-    for t in range(1, p.steps + 1):  # Adam on the whole sample
+    used, feat = np.unique(feat, return_inverse=True)
+
+    def fitted(rows: np.ndarray) -> tuple[np.ndarray, float]:
+        """Weights of the used features, and bias, by Adam on all of these rows at once."""
+        mine = rows[r]
+        rr, ff, vv = r[mine], feat[mine], val[mine]
+        balance = rows * np.where(y > 0, 0.5 / max(y[rows].mean(), 1e-9), 0.5 / max(1 - y[rows].mean(), 1e-9))
+        balance = balance / max(balance.sum(), 1e-9)
+        w, bias, m1, m2 = np.zeros(len(used)), 0.0, np.zeros(len(used)), np.zeros(len(used))
+        for t in range(1, p.steps + 1):
+            z = bias + np.bincount(rr, w[ff] * vv, len(y))
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * balance
+            grad = np.bincount(ff, vv * g[rr], len(w)) + 1e-6 * w
+            m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+            w -= 0.3 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
+            bias -= 0.5 * g.sum()
+        return w, bias
+
+    # each half is scored by the model of the other half: what the calibration sees, no model has learned
+    half, z = got.column("o").to_numpy() % 2 == 0, np.zeros(len(y))
+    for rows in (half, ~half) if len(set(y[half])) == len(set(y[~half])) == 2 else ():
+        w, bias = fitted(rows)
+        z = np.where(rows, z, bias + np.bincount(r, w[feat] * val, len(y)))
+    w, bias = fitted(np.ones(len(y), bool))
+    if not z.any():
         z = bias + np.bincount(r, w[feat] * val, len(y))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * balance / max(balance.sum(), 1e-9)
-        grad = np.bincount(feat, val * g[r], len(w)) + 1e-6 * w
-        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
-        w -= 0.3 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
-        bias -= 0.5 * g.sum()
-    z = bias + np.bincount(r, w[feat] * val, len(y))
-    use = fold if len(set(y[fold])) == 2 else np.ones(len(y), bool)
-    shift, slope = logistic(z[use][:, None], y[use], l2=1e-3)
+    shift, slope = logistic(z[:, None], y, l2=1e-3)
     prior = per[1] / (per[0] + per[1])
-    shift += np.log(prior / (1 - prior)) - np.log(max(y[use].mean(), 1e-3) / max(1 - y[use].mean(), 1e-3))
-    return Model(w.astype(np.float32), bias, float(slope), float(shift))
+    shift += np.log(prior / (1 - prior)) - np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3))
+    weights = np.zeros(2 << p.bits, np.float32)
+    weights[used] = w
+    return Model(weights, bias, float(slope), float(shift))
 
 
 def judged(docs: DataFrame, model: Model | None, params: Quality = Quality()) -> DataFrame:

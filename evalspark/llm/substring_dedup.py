@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import U64, Scratch, hash_words, join_hashes, mix, offsets_of, slices, texts_of
 
 
+#: What tells rows apart: the id, and a hash of the text for several rows with one id.
+KEY = ["doc_id", "version"]
+
+
 @dataclass(frozen=True)
 class SubstringDedup:
     window: int = 50
@@ -75,8 +79,8 @@ def digests(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.
 
 
 def super_kmers(docs: DataFrame, p: SubstringDedup) -> DataFrame:
-    """minimiser, digest (a, b), doc_id, first word and number of windows of each super-k-mer."""
-    names = ["minimiser", "a", "b", "doc_id", "at", "windows"]
+    """minimiser, digest (a, b), doc_id, version, first word and number of windows of each super-k-mer."""
+    names = ["minimiser", "a", "b", "doc_id", "version", "at", "windows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -99,32 +103,33 @@ def super_kmers(docs: DataFrame, p: SubstringDedup) -> DataFrame:
             count = np.diff(np.append(heads, len(windows)))
             start = windows[heads]
             a, b = digests(h, start, count + p.window - 1)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[d[heads]]
+            ids, versions = (batch.column(c).to_numpy()[d[heads]] for c in ("doc_id", "version"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (m[heads].view(np.int64), a.view(np.int64), b.view(np.int64), ids, start - base[d[heads]], count)], names=names
+                [pa.array(x, pa.int64()) for x in (m[heads].view(np.int64), a.view(np.int64), b.view(np.int64), ids, versions, start - base[d[heads]], count)], names=names
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "version", "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def packed(docs: DataFrame, places: DataFrame) -> DataFrame:
     """The owners' words, cut out of their documents: one string per super-k-mer.
 
-    ``places`` holds the owned super-k-mers of one document as an array, which is no longer than the document.
+    ``places`` holds the owned super-k-mers of one document as an array, which is no longer than the document. Equal
+    rows are cut once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["minimiser", "hot", "doc_id", "at", "words"]
+        names = ["minimiser", "hot", *KEY, "at", "words"]
         for batch in slices(batches):
             out: list[tuple] = []
-            for doc, text, owned in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("owned").to_pylist(), strict=True):
+            for doc, version, text, owned in zip(*(batch.column(c).to_pylist() for c in KEY), texts_of(batch), batch.column("owned").to_pylist(), strict=True):
                 w = text.split()
-                out += [(x["minimiser"], x["hot"], doc, x["at"], b" ".join(w[x["at"] : x["at"] + x["size"]])) for x in owned]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+                out += [(x["minimiser"], x["hot"], doc, version, x["at"], b" ".join(w[x["at"] : x["at"] + x["size"]])) for x in owned]
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return docs.join(places, "doc_id").mapInArrow(run, "minimiser long, hot boolean, doc_id long, at long, words binary")
+    return docs.join(places, KEY).dropDuplicates(KEY).mapInArrow(run, "minimiser long, hot boolean, doc_id long, version long, at long, words binary")
 
 
 def window_rows(table: pa.Table, p: SubstringDedup) -> dict[str, np.ndarray]:
@@ -136,12 +141,12 @@ def window_rows(table: pa.Table, p: SubstringDedup) -> dict[str, np.ndarray]:
     start = np.flatnonzero(row[: len(h) - p.window + 1] == row[p.window - 1 :])
     a, b = digests(h, start, np.full(len(start), p.window))
     r = row[start]
-    doc, at = (table.column(c).to_numpy() for c in ("doc_id", "at"))
-    return {"a": a.view(np.int64), "b": b.view(np.int64), "doc_id": doc[r], "at": at[r] + start - offsets_of(n)[r]}
+    doc, version, at = (table.column(c).to_numpy() for c in (*KEY, "at"))
+    return {"a": a.view(np.int64), "b": b.view(np.int64), "doc_id": doc[r], "version": version[r], "at": at[r] + start - offsets_of(n)[r]}
 
 
 def sorted_windows(strings: DataFrame, p: SubstringDedup) -> DataFrame:
-    """doc_id, at of the windows that a smaller document of the same bucket holds too.
+    """doc_id, version, at of the windows that a smaller document of the same bucket holds too.
 
     A partition holds whole buckets in order; a task sorts as many buckets as fit ``sort_windows``.
     """
@@ -154,7 +159,7 @@ def sorted_windows(strings: DataFrame, p: SubstringDedup) -> DataFrame:
         first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         owner = doc[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
         hit = order[owner < doc]
-        return pa.RecordBatch.from_arrays([pa.array(w["doc_id"][hit], pa.int64()), pa.array(w["at"][hit], pa.int64())], names=["doc_id", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(w[c][hit], pa.int64()) for c in (*KEY, "at")], names=[*KEY, "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -176,7 +181,7 @@ def sorted_windows(strings: DataFrame, p: SubstringDedup) -> DataFrame:
         if held:
             yield marks(held)
 
-    return strings.mapInArrow(run, "doc_id long, at long")
+    return strings.mapInArrow(run, "doc_id long, version long, at long")
 
 
 def dealt_windows(strings: DataFrame, p: SubstringDedup) -> DataFrame:
@@ -187,49 +192,53 @@ def dealt_windows(strings: DataFrame, p: SubstringDedup) -> DataFrame:
             w = window_rows(pa.Table.from_batches([batch]), p)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in w.values()], names=list(w))
 
-    rows = strings.mapInArrow(run, "a long, b long, doc_id long, at long")
+    rows = strings.mapInArrow(run, "a long, b long, doc_id long, version long, at long")
     owner = rows.groupBy("a", "b").agg(F.min("doc_id").alias("owner"))
-    return rows.join(owner, ["a", "b"]).where("doc_id > owner").select("doc_id", "at")
+    return rows.join(owner, ["a", "b"]).where("doc_id > owner").select(*KEY, "at")
 
 
 def removed_ranges(docs: DataFrame, p: SubstringDedup, scratch: Scratch) -> DataFrame:
-    """doc_id, ranges: arrays of (first window, number of windows) to remove."""
+    """doc_id, version, ranges: arrays of (first window, number of windows) to remove."""
     found = scratch.save(super_kmers(docs, p), "superkmers")
     shared = found.groupBy("minimiser").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("minimiser")
     here = scratch.save(found.join(shared, "minimiser", "left_semi"), "shared")
     owner = here.groupBy("minimiser", "a", "b").agg(F.min("doc_id").alias("owner"))
-    ranked = scratch.save(here.join(owner, ["minimiser", "a", "b"]).select("minimiser", "doc_id", "at", "windows", "owner"), "owners")
+    ranked = scratch.save(here.join(owner, ["minimiser", "a", "b"]).select("minimiser", *KEY, "at", "windows", "owner"), "owners")
     scratch.drop(found, here)
-    whole = ranked.where("doc_id > owner").select("doc_id", "at", "windows")
-    owned = ranked.where("doc_id = owner")
+    whole = ranked.where("doc_id > owner").select(*KEY, "at", "windows")
+    owned = ranked.where("doc_id = owner").drop("owner")
     buckets = owned.groupBy("minimiser").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows"))
     buckets = buckets.where("lo < hi").select("minimiser", (F.col("rows") > p.bucket_rows).alias("hot"))
     item = F.struct("minimiser", "hot", "at", (F.col("windows") + p.window - 1).alias("size"))
-    places = owned.join(buckets, "minimiser").groupBy("doc_id").agg(F.collect_list(item).alias("owned"))
-    strings = scratch.save(packed(docs.select("doc_id", "text"), places), "packed")
+    places = owned.join(buckets, "minimiser").groupBy(*KEY).agg(F.collect_set(item).alias("owned"))
+    strings = scratch.save(packed(docs, places), "packed")
     cold = sorted_windows(strings.where("not hot").repartition("minimiser").sortWithinPartitions("minimiser", "doc_id", "at"), p)
-    hot = dealt_windows(strings.where("hot").select("doc_id", "at", "words"), p)
-    single = cold.union(hot).select("doc_id", "at", F.lit(1).cast("long").alias("windows"))
-    return whole.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("at", "windows")).alias("ranges"))
+    hot = dealt_windows(strings.where("hot").select(*KEY, "at", "words"), p)
+    single = cold.union(hot).select(*KEY, "at", F.lit(1).cast("long").alias("windows"))
+    return whole.union(single).groupBy(*KEY).agg(F.collect_set(F.struct("at", "windows")).alias("ranges"))
 
 
 def substring_dedup(docs: DataFrame, params: SubstringDedup = SubstringDedup()) -> DataFrame:
-    """doc_id, text (kept words joined by one space), n_words, n_removed, kept_sha256, touched.
+    """doc_id, text, n_words, n_removed, kept_sha256 (of the kept words joined by one space), touched; and ``rest``, the
+    struct that ``docs`` may bring along for its caller. A text that loses nothing stays as it is; the kept words of
+    others are joined by one space.
 
     Words are maximal runs without ASCII white space; a null or empty text has none and stays empty. Texts shorter
     than a window lose nothing. Windows repeated inside one document, or in rows with equal doc_id, are kept: only a
-    strictly smaller doc_id removes. Several rows with one doc_id are judged together and need equal texts.
+    strictly smaller doc_id removes. Each of several rows with one doc_id is judged by its own text. A row without a
+    doc_id is neither smaller nor larger than another: it keeps all words and removes none. Other columns are ignored.
     """
     p = params
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    ranges = removed_ranges(docs, p, scratch)
+    rest = [c for c in docs.columns if c == "rest"]
+    docs = docs.select("doc_id", F.xxhash64("text").alias("version"), "text", *rest)
+    ranges = removed_ranges(docs.select(*KEY, "text"), p, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for text, cut in zip(texts_of(batch), batch.column("ranges"), strict=True):
-                words = text.split()
+            for text, cut in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("ranges"), strict=True):
+                words = text.split() if text else []
                 gone = 0
                 if cut.is_valid:
                     at = cut.values.field("at").to_numpy()
@@ -241,11 +250,13 @@ def substring_dedup(docs: DataFrame, params: SubstringDedup = SubstringDedup())
                     kept = b" ".join([words[i] for i in np.flatnonzero(stays)])
                 else:
                     kept = b" ".join(words)
-                out.append((kept.decode(), len(words), gone, hashlib.sha256(kept).hexdigest(), gone > 0))
+                out.append((None if text is None else kept.decode() if gone else text.decode(), len(words), gone, hashlib.sha256(kept).hexdigest(), gone > 0))
             cols = zip(*out, strict=True)
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "text", "n_words", "n_removed", "kept_sha256", "touched"]
+                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *(batch.column(c) for c in rest)],
+                names=["doc_id", "text", "n_words", "n_removed", "kept_sha256", "touched", *rest],
             )
 
-    return docs.join(ranges, "doc_id", "left").mapInArrow(run, "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, touched boolean")
+    kinds = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, touched boolean"
+    return docs.join(ranges, KEY, "left").mapInArrow(run, kinds + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in rest))

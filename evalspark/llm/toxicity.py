@@ -26,8 +26,10 @@ QUOTES = "\"“”„«»‹›‘’"
 
 @dataclass(frozen=True)
 class Toxicity:
-    #: Labelled documents that lexicon and model learn from (a share by hash, about this many).
+    #: Labelled documents that lexicon and model learn from (a share by hash, about this many), and code points at
+    #: which it stops.
     rows: int = 20_000
+    code_points: int = 1 << 28
     #: Toxic texts and share of toxic texts that a term needs (equal texts count once).
     support: int = 4
     purity: float = 0.8
@@ -272,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Toxicity = Toxicity()) ->
     """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1). Without toxic rows, or without others,
     every text scores alike."""
     p = params
-    rows, _ = labelled_sample(docs, labels, "toxic", p.rows)
+    rows, _ = labelled_sample(docs, labels, "toxic", p.rows, chars=p.code_points)
     terms = candidate_terms(rows, p)
     if not terms:
         mean = rows.agg(F.avg("toxic")).first()[0] or 0.0
@@ -287,6 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Toxicity = Toxicity()) ->
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column("toxic")], names=[*"abcdef", "y"])
 
     got = rows.select("text", "toxic").mapInArrow(run, ", ".join(f"{c} double" for c in "abcdef") + ", y long").toPandas().to_numpy(float)
+    got = got[np.lexsort(got.T)]
     return Model(automaton, logistic(got[:, :6], got[:, 6], l2=1e-4))
 
 

@@ -68,6 +68,16 @@ def test_edges(table, spark):
     assert near_duplicates(table([]), NearDedup()).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    """An id with several texts is linked by any of them; rows without an id by none."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(9, a), (9, b), (3, b), (4, a + " more"), (2, c), (9, b), (None, a), (None, c), (1, None), (1, c), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted({(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df, NearDedup(shingle_words=2)).collect()}, key=str)
+    assert got == sorted({(9, 3, False), (3, 3, True), (4, 3, False), (2, 1, False), (1, 1, True), (6, 6, True), (None, None, True)}, key=str)
+    assert near_duplicates(df).count() == len(rows)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 102), (102, 101)], "u long, v long").repartition(7)
     got = {r["u"]: r["v"] for r in components(edges, Scratch(spark)).collect()}

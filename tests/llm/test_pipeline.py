@@ -34,6 +34,34 @@ def test_edges(spark, table, sf_dir):
     assert empty.count() == 0
 
 
+CLASHES = ["cut", "words", "rejected", "lang_score", "lang_pred", "cross_entropy", "copy", "taken", "size", "kept", "component_id", "touched", "version", "ranges", "rest", "text_", "n_words", "rep", "bucket", "key", "target", "short"]
+
+
+def test_columns_with_names_used_inside(spark, documents, sf_dir):
+    """Every stage leaves other columns alone, whatever their names, and judges as without them."""
+    docs = documents.selectExpr("*", *(f"concat('{c}', doc_id) AS `{c}`" for c in CLASHES))
+    for _name, stage in c.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns and got.where(" OR ".join(f"`{x}` IS DISTINCT FROM concat('{x}', doc_id)" for x in CLASHES)).count() == 0
+        plain = stage(spark, documents, sf_dir)
+        assert rows(got.select(*documents.columns).toPandas()) == rows(plain.toPandas())
+
+
+def test_null_and_repeated_ids(spark, sf_dir):
+    long = " ".join(f"the word {i} of a long text" for i in range(30))
+    other = " ".join(f"another story with {i} parts and pieces" for i in range(30))
+    rows_ = [(None, long), (None, long), (5, long), (5, long), (5, other), (7, other), (9, long + " and one more"), (11, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows_], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = c.near_dedup(spark, docs, sf_dir)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [11, 5, None, None]
+    assert c.near_dedup(spark, docs.repartition(5), sf_dir).where("doc_id = 5").first() == kept.where("doc_id = 5").first()
+    cut = c.substrings(spark, docs, sf_dir)
+    assert cut.where("doc_id is null").count() == 2 and cut.where("doc_id = 5").count() == 3 and cut.where("doc_id = 7").count() == 0
+    mixed = c.mix(spark, docs, sf_dir)
+    assert mixed.where("doc_id is null").count() >= 2
+    assert c.language_id(spark, docs.union(docs.where("doc_id = 7")), sf_dir).columns == docs.columns
+
+
 def test_mix_repeats_and_cuts(spark, documents, sf_dir):
     from pyspark.sql import functions as F
 

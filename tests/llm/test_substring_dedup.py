@@ -54,3 +54,24 @@ def test_edges(table):
     assert substring_dedup(table([])).count() == 0
     same = found(table([(1, "a " * 60), (1, "a " * 60)]), SubstringDedup())
     assert same[1][1] == 0
+
+
+@pytest.mark.parametrize("rows", [1, 20_000])
+def test_null_and_repeated_ids(spark, rows):
+    """Rows of one id are judged by their own texts; a row without an id keeps all words and removes none."""
+    texts = passages()
+    docs = [(None if i % 7 == 0 else i // 3, t) for i, t in enumerate(texts)] + [(4, texts[12])] * 3
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    named = [(i, t) for i, t in docs if i is not None]
+    starts, want = {}, []
+    for i, t in named:
+        w = t.split()
+        for k in range(len(w) - 24):
+            key = tuple(w[k : k + 25])
+            starts[key] = min(starts.get(key, i), i)
+    for i, t in docs:
+        w = t.split()
+        gone = {k + j for k in range(len(w) - 24) if i is not None and starts[tuple(w[k : k + 25])] < i for j in range(25)}
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    got = substring_dedup(df, SubstringDedup(window=25, mer=8, bucket_rows=rows)).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == sorted(want, key=str)
