@@ -4,13 +4,13 @@ Texts become lower-case letters with single spaces between words. Spark counts t
 of a language; all of them make the models. As many as executors can hold are sorted arrays of n-gram hashes with the
 log probabilities of every language, and of context hashes with their back-off weights. Beyond that the models are
 tables made by joins and groupings; only the most frequent n-grams are sent, and a text's other n-grams meet the tables
-by joins, with the same result. A text gets the language with
-the lowest cross-entropy per character. A text whose lowest cross-entropy lies beyond what that language's own
-documents show is rejected.
+by joins, with the same result. A text gets the language with the lowest cross-entropy per character. A text whose
+lowest cross-entropy lies beyond what documents of that language that were left out of training show is rejected.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,9 +35,15 @@ class LanguageId:
     #: are met by joins.
     grams: int = 600_000
     languages: int = 64
-    #: Documents of each language that calibrate scores and rejection (a share by hash, about this many).
+    #: Documents of each language that calibrate scores and rejection and teach nothing else (a share by hash, about this
+    #: many, and no more than a fifth; none of a language with fewer than ``few`` documents).
     calibration: int = 400
-    #: Nats beyond the highest cross-entropy of the calibration documents.
+    few: int = 50
+    #: A text may lie so many nats a letter above its language's own documents, or twice as far as 99 % of them do, ...
+    slack: float = 0.75
+    #: ... and by this over the root of its number of letters, for chance in short texts.
+    spread: float = 3.0
+    #: Added to the slack where no documents could be left out of training.
     margin: float = 1.0
 
 
@@ -106,8 +112,11 @@ class Model:
     contexts: list[np.ndarray]
     weights: list[np.ndarray]
     floor: np.ndarray
-    limits: np.ndarray | None = None
+    usual: np.ndarray | None = None
+    slack: float = np.inf
+    spread: float = 0.0
     scale: float = 1.0
+    power: float = 1.0
 
     @staticmethod
     def fit(names: list[str], lang: np.ndarray, grams: np.ndarray, n: np.ndarray) -> Model:
@@ -170,6 +179,14 @@ class Model:
         out[rows] += self.floor
         return out
 
+    def limits(self, win: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The cross-entropy beyond which a text of ``n`` letters is unlike the language."""
+        return self.usual[win] + self.slack + self.spread / np.sqrt(np.maximum(n, 1))
+
+    def odds(self, e: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log odds of each language; differences in cross-entropy count by a power of the length."""
+        return -(e - e.min(1, keepdims=True)) * (np.maximum(n, 1) ** self.power)[:, None] / self.scale
+
     def entropies(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy of each row in each language (nats per scored character), and scored characters."""
         x, place, n = letters(batch, self.order)
@@ -290,7 +307,11 @@ def train(docs: DataFrame, params: LanguageId = LanguageId()) -> Model | None:
     per = docs.groupBy("lang").count().orderBy("lang").collect()
     if not per:
         return None
-    counts = scratch.save(gram_counts(docs, p.order), "counts")
+    left_out = F.lit(False)
+    for r in per:
+        if r["count"] >= p.few:
+            left_out = left_out | ((F.col("lang") == r["lang"]) & hash_share(min(0.2, p.calibration / r["count"])))
+    counts = scratch.save(gram_counts(docs.where(~left_out), p.order), "counts")
     held = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
     names = sorted(held)
     if not names:
@@ -303,23 +324,34 @@ def train(docs: DataFrame, params: LanguageId = LanguageId()) -> Model | None:
         model = Model.fit(names, lang, grams, rows.column("n").to_numpy())
     else:
         model = Head.build(counts, names, p.order, size, scratch)
-    share = F.lit(False)
-    for r in per:
-        share = share | ((F.col("lang") == r["lang"]) & hash_share(min(1.0, p.calibration / r["count"])))
-    seen = cross_entropies(docs.where(share), model, "lang").toPandas()
-    seen = seen[(seen["n"] > 0) & seen["lang"].isin(names)]
-    e, n = np.array(seen["ce"].tolist()).reshape(-1, len(names)), seen["n"].to_numpy()
+    calibrate(model, docs.where(left_out), docs.where(hash_share(min(1.0, p.calibration * len(per) / sum(r["count"] for r in per)))), p)
+    return model
+
+
+def calibrate(model: Model, left_out: DataFrame, learned: DataFrame, p: LanguageId) -> None:
+    """Sets usual cross-entropies, slack and the odds' scale and power from documents that were left out of training, or
+    from learned ones if there are none."""
+    names, slack = model.names, p.slack
+    for docs in (left_out, learned):
+        seen = cross_entropies(docs, model, "lang").toPandas()
+        seen = seen[(seen["n"] > 0) & seen["lang"].isin(names)]
+        if len(seen):
+            break
+        slack = p.slack + p.margin
+    e, n = np.array(seen["ce"].tolist()).reshape(-1, len(names)), seen["n"].to_numpy().astype(float)
     truth = np.array([names.index(v) for v in seen["lang"]], np.int64)
     own = e[np.arange(len(e)), truth]
-    model.limits = np.array([own[truth == k].max() if (truth == k).any() else np.inf for k in range(len(names))]) + p.margin
+    middle = np.median(own) if len(own) else 0.0
+    model.usual = np.array([np.median(own[truth == k]) if (truth == k).any() else middle for k in range(len(names))])
+    beyond = own - model.usual[truth] - p.spread / np.sqrt(n)
+    model.slack, model.spread = (max(slack, 2 * float(np.quantile(beyond, 0.99))) if len(own) else np.inf), p.spread
     best = []
-    for scale in np.geomspace(0.05, 20, 25):
-        z = -e * np.minimum(n, 200)[:, None] / scale
-        z -= z.max(1, keepdims=True)
-        q = np.exp(z) / np.exp(z).sum(1, keepdims=True)
-        best.append((-np.log(np.maximum(q[np.arange(len(q)), truth], 1e-6)).mean(), scale))
-    model.scale = min(best)[1]
-    return model
+    for power, scale in itertools.product((0.25, 0.5, 0.75, 1.0), np.geomspace(0.01, 20, 30)):
+        model.power, model.scale = power, scale
+        q = np.exp(model.odds(e, n))
+        q /= q.sum(1, keepdims=True)
+        best.append((-np.log(np.maximum(q[np.arange(len(q)), truth], 1e-6)).sum(), power, scale))
+    _, model.power, model.scale = min(best)
 
 
 def cross_entropies(docs: DataFrame, model: Model, *extra: str) -> DataFrame:
@@ -354,11 +386,11 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
             e, n = m.entropies(batch)
             win = e.argmin(1)
             low = e[np.arange(len(e)), win]
-            z = np.exp(-(e - low[:, None]) * np.minimum(n, 200)[:, None] / m.scale)
+            z = np.exp(m.odds(e, n.astype(float)))
             none = n == 0
             label = [("und" if u else m.names[k]) for u, k in zip(none, win, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(label, pa.string()), pa.array(np.where(none, 0.0, 1 / z.sum(1))), pa.array(low, mask=none), pa.array(none | (low > m.limits[win]))],
+                [*(batch.column(c) for c in columns), pa.array(label, pa.string()), pa.array(np.where(none, 0.0, 1 / z.sum(1))), pa.array(low, mask=none), pa.array(none | (low > m.limits(win, n)))],
                 names=[*columns, "lang_pred", "lang_score", "cross_entropy", "rejected"],
             )
 

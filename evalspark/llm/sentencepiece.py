@@ -73,6 +73,20 @@ class Trie:
         return Trie(base[:top], check[:top], value[:top])
 
 
+def ranked(scores: np.ndarray) -> bool:
+    """Whether the scores are negated ranks of merges: whole numbers, as log probabilities never are throughout."""
+    return len(scores) > 1 and bool((scores <= 0).all() and (scores == np.rint(scores)).all())
+
+
+def zipf(rank: np.ndarray, shift: float = 2.7) -> np.ndarray:
+    """Log probabilities that fall with the rank as word frequencies do (Zipf's law with Mandelbrot's shift).
+
+    Merges are made in the order of frequency, so a rank tells about how frequent a piece is; nothing is trained.
+    """
+    p = 1 / (rank + shift)
+    return np.log(p / p.sum())
+
+
 @dataclass
 class Vocabulary:
     pieces: list[bytes]
@@ -97,13 +111,20 @@ class Vocabulary:
 
     @staticmethod
     def load(path: str) -> Vocabulary:
-        """Reads pieces and scores of a model file; the library is used for reading only."""
+        """Reads pieces and scores of a model file; the library is used for reading only.
+
+        A file of merges has ranks as scores, not probabilities. Its pieces get log probabilities by their ranks.
+        """
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         n = m.vocab_size()
-        use = [not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)) for i in range(n)]
-        return Vocabulary.of([(m.id_to_piece(i), m.get_score(i) if use[i] else None) for i in range(n)], [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        use = [not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i) or m.is_byte(i)) for i in range(n)]
+        scores = np.array([m.get_score(i) for i in range(n)])
+        if ranked(scores[use]):
+            scores[use] = zipf(np.argsort(np.argsort(-scores[use], kind="stable")))
+        byte = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        return Vocabulary.of([(m.id_to_piece(i), float(scores[i]) if use[i] or i in set(byte) else None) for i in range(n)], byte)
 
     # -- encoding
 

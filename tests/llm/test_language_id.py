@@ -54,7 +54,7 @@ def test_edges(table, documents, spark):
     rows = {r["doc_id"]: r for r in predicted(table([None, "", "1234 !?", "the and of", "x" * 100_000, "鿕鿖鿗 鿘鿙鿚鿛鿜鿝" * 9]), model).collect()}
     assert [rows[i]["lang_pred"] for i in range(3)] == ["und"] * 3
     assert all(rows[i]["rejected"] for i in (0, 1, 2, 5)) and rows[0]["lang_score"] == 0.0 and rows[0]["cross_entropy"] is None
-    assert not rows[3]["rejected"]
+    assert not rows[3]["rejected"] and rows[4]["rejected"]
     assert train(table([])) is None
     assert train(table([None, ""])) is None
     empty = predicted(table(["text"]), None).first()
@@ -64,6 +64,22 @@ def test_edges(table, documents, spark):
     assert predicted(table([]), model).count() == 0
 
 
+def test_gibberish_and_an_unlearned_language_are_rejected(spark, sf_dir):
+    rng = np.random.default_rng(3)
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    noise = [(10**6 + i, " ".join("".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(n)), None) for i, n in enumerate([2, 5, 20, 200, 2000] * 4)]
+    rows = docs.unionByName(spark.createDataFrame(noise, docs.schema))
+    got = predicted(rows, train(docs.where(~held_out() & (docs.lang != "fr")))).toPandas()
+    n = got["text"].str.len()
+    assert got[(got["doc_id"] >= 10**6)]["rejected"].all()
+    assert got[(got["lang"] == "fr") & (n > 300)]["rejected"].mean() > 0.95
+    clean = got[got["lang"].isin(["de", "en", "es"]) & (got["doc_id"] < 10**6)]
+    assert clean["rejected"].mean() < 0.003
+    got = identify(docs).toPandas()
+    assert got[got["lang"].notna()]["rejected"].mean() < 0.003
+
+
 def test_all_grams_count_wherever_they_are_held(documents):
     """Few n-grams sent and the rest met by joins: the scores are those of a model of all n-grams."""
     docs = documents.select("doc_id", "text", "lang").where("doc_id % 4 = 0 or doc_id < 20")
