@@ -2,8 +2,8 @@
 
 A node of the tree is a prefix of turns; conversations that share their first turns share its nodes. Nodes are found
 by a digest of the turns down to them, so merging is a grouping with partial aggregation, however common a first turn
-is. The depth-first order is the order of the digest paths; running sums over ranges of it give every node its place
-in the output, where each node's text stands once. Attention of a node: the intervals of its ancestors and its own.
+is. The depth-first order is that of the paths of digests, sorted over ranges of whole paths; running sums give every
+node its place in the output, where each node's text stands once. Attention of a node: the intervals of its ancestors.
 
 Template of a turn: ``### Role: text</turn>\\n``. Backslashes, ``#`` and ``<`` inside roles and texts get a backslash in
 front, so no text can hold a control string and unescaping is exact.
@@ -31,8 +31,6 @@ UNESCAPE = re.compile(r"\\(.)", re.S)
 class Chat:
     #: Role whose texts carry the loss.
     loss_role: str = "assistant"
-    #: Hex digits of the first digest that name a range of the depth-first order.
-    range_digits: int = 3
 
 
 def escaped(text: Column) -> Column:
@@ -43,80 +41,92 @@ def escaped_role(role: Column) -> Column:
     return F.regexp_replace(escaped(role), ":", r"\\:")
 
 
-def nodes_of(turns: DataFrame) -> DataFrame:
-    """conv_id, nodes: for every turn in order its path (digests of all prefixes down to it), role and text.
+def turns_in_order(turns: DataFrame) -> DataFrame:
+    """conv_id, depth, node, role, body: every turn with its place, and a digest of all turns down to it.
 
-    The turns of one conversation are an array; it is as long as the conversation. Rows of one turn number are ordered
-    by role and text, and equal rows count as often as they occur.
+    Rows of one turn number are ordered by role and text, and equal rows count as often as they occur. The digest is the
+    exclusive or of two 64-bit hashes of each turn and its place, so a running aggregate builds it.
     """
-    item = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("turns"))
-    step = F.aggregate(
-        "turns",
-        F.array().cast("array<string>"),
-        lambda done, t: F.concat(
-            done,
-            F.array(F.md5(F.concat_ws("\n", F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")), F.length(t["role"]).cast("string"), t["role"], t["text"]))),
-        ),
-    )
-    return per.select("conv_id", "turns", step.alias("path"))
+    text = lambda c: F.coalesce(c, F.lit("")).alias("body" if c == "text" else c)
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "body")
+    rows = turns.select("conv_id", "turn", text("role"), text("text")).withColumn("depth", F.row_number().over(order) - 1)
+    half = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "depth", "role", "body")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    node = F.concat(*(F.lpad(F.hex(half(seed)), 16, "0") for seed in (1, 2)))
+    return rows.select("conv_id", "depth", node.alias("node"), "role", "body")
+
+
+def joined(spans: Column) -> Column:
+    """Spans (begin, end) in order, those that touch made one."""
+    kind = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["begin"].alias("begin"), x["end"].alias("end"))))
+        return F.when(last["end"] == x["begin"], longer).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(spans, kind, add)
 
 
 def prefix_tree(turns: DataFrame, scratch: Scratch, params: Chat = Chat()) -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaves).
+    """(nodes, ways).
+
+    nodes: node, parent, depth, conversations, formatted text of the turn, loss span inside it (from, to), begin and
+    size in the depth-first output, position of its first character in its conversation, and attention: the
+    (begin, end) intervals that its ancestors fill, in order, touching ones made one. ways: conv_id, depth, node.
 
-    nodes: node, path, parent, depth, role, formatted text of the turn, loss span inside it (from, to), begin and
-    length in the depth-first output, position of its first character in its conversation, and attention: the
-    (begin, end) intervals of its ancestors, oldest first. leaves: conv_id, path.
+    Distinct conversations, sorted by their paths of digests over ranges of the whole path, are the leaves in
+    depth-first order. A node stands with the first leaf that has it: the nodes of one leaf are one run of the output.
+    So running sums over leaves and along each leaf place every node, and what a node attends to is a piece of each run
+    above it; a conversation that shares nothing has one interval, however long it is.
     """
-    leaves = scratch.save(nodes_of(turns), "conversations")
-    each = leaves.select("conv_id", F.posexplode(F.arrays_zip("turns", "path")).alias("depth", "x"), "path")
-    each = each.select("conv_id", F.col("x.path").alias("node"), F.slice("path", 1, F.col("depth") + 1).alias("path"), "depth", F.col("x.turns.role").alias("role"), F.col("x.turns.text").alias("body"))
+    each = scratch.save(turns_in_order(turns), "turns")
+    item = F.array_sort(F.collect_list(F.struct("depth", "node")))
+    paths = each.groupBy("conv_id").agg(F.transform(item, lambda x: x["node"]).alias("path")).select("path").distinct()
+    leaves = scratch.save(paths.orderBy("path").select("path", F.monotonically_increasing_id().alias("leaf")), "leaves")
+    parents = F.concat(F.array(F.lit(None).cast("string")), F.slice("path", 1, F.size("path") - 1))
+    way = leaves.select("leaf", F.posexplode(F.arrays_zip("path", parents.alias("parents"))).alias("depth", "x"))
+    way = scratch.save(way.select("leaf", "depth", F.col("x.path").alias("node"), F.col("x.parents").alias("parent")), "way")
+    first = way.groupBy("node").agg(F.min("leaf").alias("leaf"), F.min("parent").alias("parent"))
     head = F.concat(F.lit(HEAD), escaped_role(F.col("role")), F.lit(COLON))
-    merged = each.groupBy("node", "path", "depth", "role", "body").agg(F.count("*").alias("conversations"), F.min("conv_id").alias("owner"))
-    merged = merged.withColumn("head", F.length(head)).withColumn("text", F.concat(head, escaped(F.col("body")), F.lit(TAIL)))
+    content = each.groupBy("node", "depth", "role", "body").agg(F.count("*").alias("conversations"))
+    content = content.withColumn("head", F.length(head)).withColumn("text", F.concat(head, escaped(F.col("body")), F.lit(TAIL)))
     loss = F.col("role") == params.loss_role
-    merged = merged.select(
-        "node", "path", "depth", "conversations", "owner", "text", F.length("text").cast("long").alias("size"),
+    merged = content.join(first, "node").select(
+        "node", "leaf", "parent", "depth", "conversations", "text", F.length("text").cast("long").alias("size"),
         F.when(loss, F.col("head")).alias("loss_from"), F.when(loss, F.length("text") - len(TAIL)).alias("loss_to"),
-        F.substring(F.col("path")[0], 1, params.range_digits).alias("range"),
-        # a hot first turn is split once more by its second turn
-        F.substring(F.concat_ws("", F.slice("path", 2, 1)), 1, params.range_digits).alias("second"),
     )
     merged = scratch.save(merged, "nodes")
-    inside = Window.partitionBy("range", F.col("path")[0], "second").orderBy("path")
-    keys = [F.col("range"), F.col("path")[0].alias("root"), F.col("second")]
-    sums = merged.groupBy(*keys).agg(F.sum("size").alias("words"))
-    tops = sums.groupBy("range").agg(F.sum("words").alias("words"))
-    tops = tops.select("range", F.coalesce(F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("top"))
-    mids = sums.withColumn("mid", F.coalesce(F.sum("words").over(Window.partitionBy("range").orderBy("root", "second").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = mids.join(tops, "range").select("root", "second", (F.col("mid") + F.col("top")).alias("start"))
-    ahead = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = merged.withColumn("ahead", ahead).withColumn("root", F.col("path")[0]).join(starts, ["root", "second"])
-    placed = scratch.save(placed.withColumn("begin", F.col("start") + F.col("ahead")).drop("root", "second", "range", "start", "ahead"), "placed")
-    # along each conversation the places of its turns; a node takes those before it from the conversation that owns it
-    way = leaves.select("conv_id", F.posexplode("path").alias("at", "node"))
-    span = F.struct("at", "node", "owner", "begin", (F.col("begin") + F.col("size")).alias("end"))
-    spans = way.join(placed.select("node", "owner", "begin", "size"), "node").groupBy("conv_id").agg(F.array_sort(F.collect_list(span)).alias("a"))
-    own = spans.select("conv_id", "a", F.explode("a").alias("x")).where("x.owner <=> conv_id")
-    before = F.transform(F.slice("a", 1, F.col("x.at")), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end")))
-    attention = own.select(F.col("x.node").alias("node"), before.alias("attention")).withColumn("position", F.aggregate("attention", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"]))
-    nodes = placed.drop("owner").join(attention, "node", "left").withColumn("position", F.coalesce("position", F.lit(0)))
-    nodes = nodes.withColumn("attention", F.coalesce("attention", F.array().cast("array<struct<begin:bigint,end:bigint>>"))).withColumn("parent", F.when(F.col("depth") > 0, F.col("path")[F.col("depth") - 1]))
-    return nodes, leaves.select("conv_id", "path")
+    # where the run of each leaf begins: sums over ranges of leaves (the parts of the sort), then inside each range
+    span = F.shiftright("leaf", 33).alias("range")
+    runs = merged.groupBy("leaf").agg(F.sum("size").alias("chars")).select("leaf", span, "chars")
+    before = lambda w: F.coalesce(F.sum("chars").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = runs.groupBy("range").agg(F.sum("chars").alias("chars"))
+    tops = tops.select("range", before(Window.orderBy("range")).alias("top"))
+    runs = runs.withColumn("mid", before(Window.partitionBy("range").orderBy("leaf"))).join(tops, "range").select("leaf", (F.col("mid") + F.col("top")).alias("start"))
+    ahead = F.coalesce(F.sum("size").over(Window.partitionBy("leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = merged.withColumn("ahead", ahead).join(runs, "leaf").withColumn("begin", F.col("start") + F.col("ahead"))
+    placed = scratch.save(placed, "placed")
+    # the pieces of other leaves' runs above each run
+    above = way.join(placed.select("node", F.col("leaf").alias("of"), "begin", "size"), "node").where("of <> leaf")
+    pieces = above.groupBy("leaf", "of").agg(F.min("begin").alias("begin"), F.max(F.col("begin") + F.col("size")).alias("end"))
+    shared = pieces.groupBy("leaf").agg(joined(F.array_sort(F.collect_list(F.struct("begin", "end")))).alias("above"), F.sum(F.col("end") - F.col("begin")).alias("chars_above"))
+    own = F.when(F.col("ahead") > 0, F.array(F.struct(F.col("start").alias("begin"), F.col("begin").alias("end")))).otherwise(F.array().cast("array<struct<begin:bigint,end:bigint>>"))
+    before_run = F.coalesce("above", F.array().cast("array<struct<begin:bigint,end:bigint>>"))
+    nodes = placed.join(shared, "leaf", "left").withColumns({"attention": joined(F.concat(before_run, own)), "position": F.coalesce("chars_above", F.lit(0)) + F.col("ahead")})
+    return nodes.drop("leaf", "start", "ahead", "above", "chars_above"), each.select("conv_id", "depth", "node")
 
 
 def unescape(s: str) -> str:
     return UNESCAPE.sub(r"\1", s)
 
 
-def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+def read_back(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """Per conversation, from the output alone: roles, texts, loss text, and lengths.
 
     Every conversation gathers the nodes that its last turn attends to, in order, and parses the template; a part that
     is not a turn, or a position or interval that does not fit, is an error.
     """
-    way = leaves.select("conv_id", F.posexplode("path").alias("at", "node"))
+    way = ways.select("conv_id", F.col("depth").alias("at"), "node")
     parts = way.join(nodes.select("node", "text", "loss_from", "loss_to", "begin", "size", "position", "attention"), "node")
     item = F.struct("at", "text", "loss_from", "loss_to", "begin", "size", "position", "attention")
     per = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("parts"))
@@ -138,7 +148,8 @@ def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
                         chars += len(under)
                     size += len(x["text"])
                     at += x["size"]
-                    seen.append((x["begin"], x["begin"] + x["size"]))
+                    begin = seen.pop()[0] if seen and seen[-1][1] == x["begin"] else x["begin"]
+                    seen.append((begin, x["begin"] + x["size"]))
                 out.append((len(parts), digest.hexdigest(), chars, masked.hexdigest(), size))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
@@ -156,5 +167,5 @@ def formatted(turns: DataFrame, params: Chat = Chat()) -> DataFrame:
     are ignored; an empty table gives no rows.
     """
     scratch = Scratch(turns.sparkSession)
-    nodes, leaves = prefix_tree(turns.select("conv_id", "turn", "role", "text"), scratch, params)
-    return read_back(scratch.save(nodes, "tree"), leaves)
+    nodes, ways = prefix_tree(turns.select("conv_id", "turn", "role", "text"), scratch, params)
+    return read_back(scratch.save(nodes, "tree"), ways)

@@ -49,7 +49,7 @@ def test_whole_table(spark, sf_dir):
 
 def test_shared_turns_stand_once_in_depth_first_order(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    nodes, leaves = prefix_tree(df, Scratch(spark))
+    nodes, ways = prefix_tree(df, Scratch(spark))
     rows = sorted(nodes.collect(), key=lambda r: r["begin"])
     assert sum(r["text"] == "### user: hi</turn>\n" for r in rows) == 1
     at, stack = 0, []
@@ -57,10 +57,14 @@ def test_shared_turns_stand_once_in_depth_first_order(spark):
         assert r["begin"] == at  # no gap, nothing twice
         at += r["size"]
         stack = stack[: r["depth"]]
-        assert [(a["begin"], a["end"]) for a in r["attention"]] == [(s["begin"], s["begin"] + s["size"]) for s in stack]
-        assert r["position"] == sum(s["size"] for s in stack) and [s["node"] for s in stack] == r["path"][:-1]
+        seen = []
+        for s in stack:  # touching intervals are one
+            begin = seen.pop()[0] if seen and seen[-1][1] == s["begin"] else s["begin"]
+            seen.append((begin, s["begin"] + s["size"]))
+        assert [(a["begin"], a["end"]) for a in r["attention"]] == seen
+        assert r["position"] == sum(s["size"] for s in stack) and r["parent"] == (stack[-1]["node"] if stack else None)
         stack.append(r)
-    assert leaves.count() == len({r[0] for r in ROWS})
+    assert ways.count() == len(ROWS) and ways.select("conv_id").distinct().count() == len({r[0] for r in ROWS})
     whole = "".join(r["text"] for r in rows)
     for r in rows:
         if r["loss_from"] is not None:
@@ -72,6 +76,19 @@ def test_broken_output_is_an_error(spark):
 
     from evalspark.llm.chat import read_back
 
-    nodes, leaves = prefix_tree(spark.createDataFrame(ROWS, SCHEMA), Scratch(spark))
+    nodes, ways = prefix_tree(spark.createDataFrame(ROWS, SCHEMA), Scratch(spark))
     with pytest.raises(Exception, match="broken"):
-        read_back(nodes.withColumn("position", F.col("position") + F.when(F.col("depth") == 1, 1).otherwise(0)), leaves).collect()
+        read_back(nodes.withColumn("position", F.col("position") + F.when(F.col("depth") == 1, 1).otherwise(0)), ways).collect()
+
+
+def test_thousands_of_turns_and_a_common_beginning(spark):
+    """The tree of one long conversation stays as small as its text, and a common beginning is no single group."""
+    long = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(3000)]
+    many = [(10 + c, i, r, x) for c in range(300) for i, (r, x) in enumerate([("system", "be kind"), ("user", "what now?"), ("assistant", f"answer {c // 2}"), ("user", "thanks")])]
+    none = [(None, 0, "user", "no id"), (None, 1, "assistant", "none at all")]
+    rows = long + many + none
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert found(df) == want(rows)
+    nodes = prefix_tree(df, Scratch(spark))[0].collect()
+    assert len(nodes) == 3000 + 2 + 2 * 150 + 2 and sum(len(r["attention"]) for r in nodes) < 2 * len(nodes)
+    assert sum(r["conversations"] for r in nodes) == len(rows)

@@ -69,8 +69,8 @@ def test_same_as_a_unigram_library(v, documents):
     other = tokenizers.Tokenizer(tokenizers.models.Unigram(vocab, unk_id=0, byte_fallback=True))
     for r in documents.select("text").collect()[:40]:
         ids, theirs = v.encode([r["text"].encode()])[0].tolist(), other.encode("▁" + r["text"].replace(" ", "▁")).ids
-        differ = sum(a != b for a, b in zip(ids, theirs, strict=True))  # the same pieces in another order, as in a|aa and aa|a
-        assert abs(score(v, ids) - score(v, theirs)) < 1e-6 and differ < 0.02 * len(ids)
+        # equally good ways differ in the order of their pieces, as a|aa and aa|a
+        assert abs(score(v, ids) - score(v, theirs)) < 1e-6 and sorted(ids) == sorted(theirs)
 
 
 def test_scores_are_log_probabilities_that_follow_the_ranks(v, documents):
