@@ -39,10 +39,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{scratch_dir(spark)}/evalspark-{uuid.uuid4().hex}", 0
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, **options)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

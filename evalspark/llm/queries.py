@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 from evalspark.llm import quality, toxicity
 from evalspark.llm.chat import formatted
-from evalspark.llm.common import held_out, read
+from evalspark.llm.common import Scratch, held_out, read
 from evalspark.llm.language_id import predicted, train
 from evalspark.llm.mixing import mixed
 from evalspark.llm.near_dedup import NearDedup, near_duplicates
 from evalspark.llm.neighbours import nearest
-from evalspark.llm.redaction import with_edits
+from evalspark.llm.redaction import first_line, redactions
 from evalspark.llm.sentencepiece import encoded
 from evalspark.llm.substring_dedup import substring_dedup
-from evalspark.llm.token_counts import counted
+from evalspark.llm.token_counts import built, counted, edited
 
 #: Folder of the public tokenizers' files on every executor.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -51,7 +51,11 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(with_edits(read(spark, sf_dir, "documents")), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", SPLIT)
+    """Trees are stored; personal data are taken out of the stored trees, then first lines out of those."""
+    ranks, scratch = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", Scratch(spark)
+    trees = scratch.save(built(read(spark, sf_dir, "documents"), ranks, SPLIT), "trees", compression="zstd")
+    trees = scratch.save(edited(trees, ranks, SPLIT, redactions), "redacted", compression="zstd")
+    return counted(edited(trees, ranks, SPLIT, first_line))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,32 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
-from evalspark.llm.common import slices
 
 #: Addresses, long numbers and long hexadecimal or key-like strings.
 FOUND = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+|\b[0-9a-fA-F]{16,}\b|\b[A-Z0-9]{16,}\b|\+?\d[\d ().-]{7,}\d")
 PLACEHOLDER = "<removed>"
 
 
-def with_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, text, edits: from the last match to the first, then a first line that others follow is dropped."""
+def redactions(text: str) -> list[dict]:
+    """From the last match to the first, so that places hold."""
+    return [{"at": m.start(), "remove": m.end() - m.start(), "insert": PLACEHOLDER} for m in FOUND.finditer(text)][::-1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("at", pa.int64()), ("remove", pa.int64()), ("insert", pa.string())]))
-        for batch in slices(batches):
-            out = []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                edits = [{"at": m.start(), "remove": m.end() - m.start(), "insert": PLACEHOLDER} for m in FOUND.finditer(text)][::-1]
-                line = text.find("\n") + 1
-                if line and not any(e["at"] < line for e in edits):
-                    edits.append({"at": 0, "remove": line, "insert": ""})
-                out.append(edits)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, kind)], names=["doc_id", "text", "edits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, edits array<struct<at:long, remove:long, insert:string>>")
+def first_line(text: str) -> list[dict]:
+    """A first line that others follow is dropped."""
+    line = text.find("\n") + 1
+    return [{"at": 0, "remove": line, "insert": ""}] if line else []

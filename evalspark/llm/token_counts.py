@@ -1,17 +1,19 @@
 """Edit-aware token counts: a segment tree of pre-tokens per document, re-encoded only around edits.
 
 A byte-level BPE never merges across pre-tokens, so the count of a text is the sum over its pre-tokens. Each document
-keeps them in blocks under a binary tree of (characters, tokens) sums. An edit finds its place by walking down the
-character sums, matches pre-tokens anew from the one that touches the edit until a match begins where an old one
+keeps them in blocks under a binary tree of (characters, tokens) sums, a row of a stored table; edits read that row and
+give the next one. An edit finds its place by walking down the character sums, matches pre-tokens anew from the one that touches the edit until a match begins where an old one
 behind the edit begins (from there on the old ones hold), and corrects the sums from the touched blocks to the root.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from evalspark.llm.common import slices
@@ -50,24 +52,35 @@ class Counter:
 
 
 class PieceTree:
-    """Pre-tokens of one text: ``blocks`` of pieces, and for every tree node the characters and tokens below it."""
-
-    def __init__(self, text: str, counter: Counter):
-        self.text, self.counter, self.encoded = text, counter, 0
-        self._build(counter.split.findall(text))
-
-    def _build(self, pieces: list[str]) -> None:
-        self.blocks = [pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK)] or [[]]
-        self.width = 1 << (len(self.blocks) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, block in enumerate(self.blocks):
-            self._leaf(i, block)
-        for i in range(self.width - 1, 0, -1):
-            self._sum(i)
-
-    def _leaf(self, i: int, block: list[str]) -> None:
-        self.blocks[i] = block
-        self.chars[self.width + i], self.tokens[self.width + i] = sum(map(len, block)), sum(map(self.counter.count, block))
+    """Pre-tokens of one text in blocks (text, lengths and counts of its pieces), and for every node of a binary tree over
+    the blocks the characters and tokens below it."""
+
+    def __init__(self, counter: Counter, blocks: list[str], lens: list[list[int]], counts: list[list[int]], chars: list[int], tokens: list[int]):
+        self.counter, self.encoded = counter, 0
+        self.blocks, self.lens, self.counts, self.chars, self.tokens = blocks, lens, counts, chars, tokens
+        self.width = len(chars) // 2
+
+    @staticmethod
+    def of(text: str, counter: Counter) -> PieceTree:
+        pieces = counter.split.findall(text)
+        return PieceTree.rebuilt(counter, text, list(map(len, pieces)), list(map(counter.count, pieces)))
+
+    @staticmethod
+    def rebuilt(counter: Counter, text: str, lens: list[int], counts: list[int]) -> PieceTree:
+        """Fresh blocks and sums from counts that are known."""
+        starts = range(0, max(len(lens), 1), BLOCK)
+        per, n = [lens[i : i + BLOCK] for i in starts], [counts[i : i + BLOCK] for i in starts]
+        ends = list(itertools.accumulate(map(sum, per)))
+        width = 1 << (len(per) - 1).bit_length()
+        tree = PieceTree(counter, [text[e - sum(x) : e] for e, x in zip(ends, per, strict=True)], per, n, [0] * (2 * width), [0] * (2 * width))
+        for i in range(len(per)):
+            tree._leaf(i)
+        for i in range(width - 1, 0, -1):
+            tree._sum(i)
+        return tree
+
+    def _leaf(self, i: int) -> None:
+        self.chars[self.width + i], self.tokens[self.width + i] = len(self.blocks[i]), sum(self.counts[i])
 
     def _sum(self, i: int) -> None:
         self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -76,6 +89,10 @@ class PieceTree:
     def count(self) -> int:
         return self.tokens[1]
 
+    @property
+    def text(self) -> str:
+        return "".join(self.blocks)
+
     def _find(self, at: int) -> tuple[int, int]:
         """The block that holds character ``at`` (or ends there) and where the block begins."""
         i, begin = 1, 0
@@ -88,50 +105,58 @@ class PieceTree:
 
     def edit(self, at: int, remove: int, insert: str) -> None:
         """Replaces ``remove`` characters from ``at`` on; places beyond the text are moved to its end."""
-        at = min(max(at, 0), len(self.text))
-        end = min(at + max(remove, 0), len(self.text))
-        first, begin = self._find(at - 1)
-        head = self.blocks[first]
-        keep = 0
+        at = min(max(at, 0), self.chars[1])
+        end = min(at + max(remove, 0), self.chars[1])
+        first, top = self._find(at - 1)
+        begin, keep, head = top, 0, self.lens[first]
         # a run of white space ends by what stands two places behind it, so a piece that ends just before the edit may change
-        while keep < len(head) and begin + len(head[keep]) < at - 1:
-            begin += len(head[keep])
+        while keep < len(head) and begin + head[keep] < at - 1:
+            begin += head[keep]
             keep += 1
-        self.text = self.text[:at] + insert + self.text[end:]
-        shift = len(insert) - (end - at)
-        # old pieces from the first touched one on, with the places where they begin
-        block, k, old = first, keep, begin
-        fresh: list[str] = []
-        for m in self.counter.split.finditer(self.text, begin):
-            place = m.start() - shift
-            if place >= end and m.start() >= at + len(insert):
-                while old < place and block < len(self.blocks):
-                    if k == len(self.blocks[block]):
-                        block, k = block + 1, 0
-                        continue
-                    old += len(self.blocks[block][k])
-                    k += 1
-                if old == place:
-                    break
-            fresh.append(m[0])
-        else:
-            block, k = len(self.blocks), 0
+        to, more = self._find(end)[0] + 1, 1
+        while (found := self._matched(first, min(to + more, len(self.blocks)), top, begin, at, end, insert)) is None:
+            more *= 2
+        fresh, block, k = found
         self.encoded += len(fresh)
-        tail = self.blocks[block][k:] if block < len(self.blocks) else []
-        merged = head[:keep] + fresh + tail
+        tail = (self.blocks[block][sum(self.lens[block][:k]) :], self.lens[block][k:], self.counts[block][k:]) if block < len(self.blocks) else ("", [], [])
         last = min(block, len(self.blocks) - 1)
-        if len(merged) > 8 * BLOCK:
-            self._build([x for b in self.blocks[:first] for x in b] + merged + [x for b in self.blocks[last + 1 :] for x in b])
-            return
-        self._leaf(first, merged)
+        self.blocks[first] = self.blocks[first][: begin - top] + "".join(fresh) + tail[0]
+        self.lens[first] = head[:keep] + list(map(len, fresh)) + tail[1]
+        self.counts[first] = self.counts[first][:keep] + list(map(self.counter.count, fresh)) + tail[2]
         for i in range(first + 1, last + 1):
-            self._leaf(i, [])
+            self.blocks[i], self.lens[i], self.counts[i] = "", [], []
+        if len(self.lens[first]) > 8 * BLOCK:
+            new = PieceTree.rebuilt(self.counter, self.text, [x for b in self.lens for x in b], [x for b in self.counts for x in b])
+            self.blocks, self.lens, self.counts, self.chars, self.tokens, self.width = new.blocks, new.lens, new.counts, new.chars, new.tokens, new.width
+            return
+        for i in range(first, last + 1):
+            self._leaf(i)
         changed = {(self.width + i) // 2 for i in range(first, last + 1)}
         while changed - {0}:
             for i in changed - {0}:
                 self._sum(i)
             changed = {i // 2 for i in changed}
 
+    def _matched(self, first: int, stop: int, top: int, begin: int, at: int, end: int, insert: str) -> tuple[list[str], int, int] | None:
+        """New pieces from ``begin`` on, and the block and piece from which on the old ones hold; None where the text of
+        the blocks up to ``stop`` does not tell."""
+        old = "".join(self.blocks[first:stop])
+        text = old[begin - top : at - top] + insert + old[end - top :]
+        whole, behind, shift = stop == len(self.blocks), at - begin + len(insert), len(insert) - (end - at)
+        starts, place = {}, top
+        for block in range(first, stop):
+            for k, n in enumerate(self.lens[block]):
+                starts[place] = block, k
+                place += n
+        fresh: list[str] = []
+        for m in self.counter.split.finditer(text):
+            if m.start() >= behind and (there := starts.get(begin + m.start() - shift)):
+                return fresh, *there
+            if not whole and m.end() > len(text) - 2:
+                return None
+            fresh.append(m[0])
+        return (fresh, len(self.blocks), 0) if whole else None
+
 
 _COUNTERS: dict[tuple[str, str], Counter] = {}
 
@@ -143,26 +168,77 @@ def counter_of(path: str, pattern: str) -> Counter:
     return _COUNTERS[key]
 
 
-def counted(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """doc_id, n_pieces, tokens_before, n_edits, tokens_after, n_reencoded, chars_after.
+KINDS = {
+    "doc_id": pa.int64(), "blocks": pa.list_(pa.string()), "sizes": pa.list_(pa.int32()), "lens": pa.list_(pa.int32()), "counts": pa.list_(pa.int32()),
+    "chars": pa.list_(pa.int64()), "tokens": pa.list_(pa.int64()), "n_pieces": pa.int64(), "tokens_before": pa.int64(), "n_edits": pa.int64(),
+    "tokens_after": pa.int64(), "n_reencoded": pa.int64(), "chars_after": pa.int64(),
+}
+SCHEMA = (
+    "doc_id long, blocks array<string>, sizes array<int>, lens array<int>, counts array<int>, chars array<long>, tokens array<long>, "
+    "n_pieces long, tokens_before long, n_edits long, tokens_after long, n_reencoded long, chars_after long"
+)
+
+
+def stored(trees: list[PieceTree]) -> list[pa.Array]:
+    """Columns blocks, sizes (pieces of each block), lens and counts (of the pieces), chars and tokens (of the nodes)."""
+    flat = lambda per: [x for b in per for x in b]
+    rows = [(t.blocks, list(map(len, t.lens)), flat(t.lens), flat(t.counts), t.chars, t.tokens) for t in trees]
+    return [pa.array(c, KINDS[name]) for name, c in zip(("blocks", "sizes", "lens", "counts", "chars", "tokens"), list(zip(*rows, strict=True)) or [[]] * 6, strict=True)]
 
-    ``docs``: doc_id, text, edits (array of structs at, remove, insert: code points, applied in turn, each to the
-    outcome of those before it). Null texts and edits count as empty; extra columns are ignored. ``rank_file`` is a
-    file that every executor has.
+
+def loaded(row: dict, counter: Counter) -> PieceTree:
+    ends = list(itertools.accumulate(row["sizes"]))
+    cut = lambda x: [x[e - n : e] for e, n in zip(ends, row["sizes"], strict=True)]
+    return PieceTree(counter, row["blocks"], cut(row["lens"]), cut(row["counts"]), row["chars"], row["tokens"])
+
+
+def built(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """The tree of every row of ``docs`` (doc_id, text) as a row to be stored, and its counts.
+
+    ``n_pieces`` and ``tokens_before`` are those of the text, and stay; ``n_edits``, ``tokens_after``, ``n_reencoded`` and
+    ``chars_after`` follow the edits. A null text is empty. Other columns are ignored. ``rank_file`` is a file that every
+    executor has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter_of(rank_file, pattern)
-        names = ["n_pieces", "tokens_before", "n_edits", "tokens_after", "n_reencoded", "chars_after"]
         for batch in slices(batches):
+            trees = [PieceTree.of(t or "", c) for t in batch.column("text").to_pylist()]
+            counts = [(sum(map(len, t.lens)), t.count, 0, t.count, 0, t.chars[1]) for t in trees]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *stored(trees), *(pa.array(x, pa.int64()) for x in zip(*counts, strict=True))], names=list(KINDS))
+
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def edited(trees: DataFrame, rank_file: str, pattern: str, policy: Callable[[str], list[dict]] | None = None) -> DataFrame:
+    """Stored trees after edits: of the column ``edits`` (array of structs at, remove, insert), or those that ``policy``
+    finds in each text.
+
+    Edits are in code points and applied in turn, each to the outcome of those before it; null ones are none. Only rows
+    with edits are unpacked, and only pre-tokens around edits are encoded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter_of(rank_file, pattern)
+        for batch in batches:
+            names = list(KINDS)
+            todo = batch.column("edits").to_pylist() if policy is None else [policy("".join(b)) for b in batch.column("blocks").to_pylist()]
+            some = pa.array([bool(e) for e in todo], pa.bool_())
+            yield batch.select(names).filter(pc.invert(some))
+            rows = batch.select(names).filter(some).to_pylist()
             out = []
-            for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
-                tree = PieceTree(text or "", c)
-                pieces, before = sum(map(len, tree.blocks)), tree.count
-                for e in edits or []:
+            for row, edits in zip(rows, filter(None, todo), strict=True):
+                tree = loaded(row, c)
+                for e in edits:
                     tree.edit(e["at"], e["remove"], e["insert"] or "")
-                out.append((pieces, before, len(edits or []), tree.count, tree.encoded, len(tree.text)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in zip(*out, strict=True))], names=["doc_id", *names])
+                out.append((tree, (row["doc_id"], row["n_pieces"], row["tokens_before"], row["n_edits"] + len(edits), tree.count, row["n_reencoded"] + tree.encoded, tree.chars[1])))
+            if out:
+                ids, *counts = (pa.array(x, pa.int64()) for x in zip(*(x for _, x in out), strict=True))
+                yield pa.RecordBatch.from_arrays([ids, *stored([t for t, _ in out]), *counts], names=names)
+
+    return trees.mapInArrow(run, SCHEMA)
+
 
-    kinds = "doc_id long, n_pieces long, tokens_before long, n_edits long, tokens_after long, n_reencoded long, chars_after long"
-    return docs.select("doc_id", "text", "edits").mapInArrow(run, kinds)
+def counted(trees: DataFrame) -> DataFrame:
+    """doc_id, n_pieces, tokens_before, n_edits, tokens_after, n_reencoded, chars_after of stored trees."""
+    return trees.select("doc_id", "n_pieces", "tokens_before", "n_edits", "tokens_after", "n_reencoded", "chars_after")

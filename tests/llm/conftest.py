@@ -9,7 +9,7 @@ def table(spark):
 
     def make(texts, extra=True):
         rows = [(x if isinstance(x, tuple) else (i, x)) for i, x in enumerate(texts)]
-        df = spark.createDataFrame([(i, t, "en", None if i % 3 == 2 else f"s{i % 3}", len(t or "")) for i, t in rows], SCHEMA)
+        df = spark.createDataFrame([(i, t, "en", None if (i or 0) % 3 == 2 else f"s{(i or 0) % 3}", len(t or "")) for i, t in rows], SCHEMA)
         return df.selectExpr("*", "'x' AS rep", "1 AS u", "2 AS bucket", "3 AS size", "'y' AS words") if extra else df
 
     return make
