@@ -52,10 +52,9 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees are stored; personal data are taken out of the stored trees, then first lines out of those."""
-    ranks, scratch = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", Scratch(spark)
-    trees = scratch.save(built(read(spark, sf_dir, "documents"), ranks, SPLIT), "trees", compression="zstd")
-    trees = scratch.save(edited(trees, ranks, SPLIT, redactions), "redacted", compression="zstd")
-    return counted(edited(trees, ranks, SPLIT, first_line))
+    ranks = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    trees = Scratch(spark).save(built(read(spark, sf_dir, "documents"), ranks, SPLIT), "trees", compression="zstd")
+    return counted(edited(edited(trees, ranks, SPLIT, redactions), ranks, SPLIT, first_line))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,27 +9,41 @@ behind the edit begins (from there on the old ones hold), and corrects the sums
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from evalspark.llm.common import slices
+from evalspark.llm.common import list_array, offsets_of, slices
 
 BLOCK = 64
 #: Pre-tokens whose counts a worker remembers.
 REMEMBERED = 400_000
 
 
+class Known(dict):
+    """Token counts of pre-tokens met before; a missing one is encoded."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        n = self[piece] = len(self.encode(piece))
+        return n
+
+
 @dataclass
 class Counter:
     """Token counts of pre-tokens, by a rank file of byte pairs and the pattern that splits texts."""
 
     path: str
     pattern: str
-    known: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
         import base64
@@ -42,45 +56,52 @@ class Counter:
         self.encode = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.split = regex.compile(self.pattern)
 
-    def count(self, piece: str) -> int:
-        n = self.known.get(piece)
-        if n is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            n = self.known[piece] = len(self.encode(piece))
-        return n
+        self.known = Known(self.encode)
+
+
+def numbers(values: Iterable[int], n: int) -> np.ndarray:
+    return np.fromiter(values, np.int32, n)
+
+
+def shape(lens: np.ndarray, counts: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray, list[int], list[int]]:
+    """sizes of the blocks, lens, counts, and the sums of characters and tokens by node of the tree."""
+    starts = np.arange(0, len(lens), BLOCK)
+    width = 1 << max(len(starts) - 1, 0).bit_length()
+    sums = []
+    for x in (lens, counts):
+        node = [0] * width + (np.add.reduceat(x, starts).tolist() if len(x) else [])
+        node += [0] * (2 * width - len(node))
+        for i in range(width - 1, 0, -1):
+            node[i] = node[2 * i] + node[2 * i + 1]
+        sums.append(node)
+    return np.diff(np.append(starts, len(lens))).tolist() or [0], lens, counts, *sums
 
 
 class PieceTree:
     """Pre-tokens of one text in blocks (text, lengths and counts of its pieces), and for every node of a binary tree over
     the blocks the characters and tokens below it."""
 
-    def __init__(self, counter: Counter, blocks: list[str], lens: list[list[int]], counts: list[list[int]], chars: list[int], tokens: list[int]):
+    def __init__(self, counter: Counter, text: str, sizes: list[int], lens: np.ndarray, counts: np.ndarray, chars: list[int], tokens: list[int]):
+        """``sizes``: pieces of each block; ``lens`` and ``counts``: of all pieces; ``chars`` and ``tokens``: of the nodes."""
         self.counter, self.encoded = counter, 0
-        self.blocks, self.lens, self.counts, self.chars, self.tokens = blocks, lens, counts, chars, tokens
-        self.width = len(chars) // 2
+        self.chars, self.tokens, self.width = chars, tokens, len(chars) // 2
+        ends = list(itertools.accumulate(sizes))
+        self.lens, self.counts = ([x[e - n : e] for e, n in zip(ends, sizes, strict=True)] for x in (lens, counts))
+        leaves = chars[self.width : self.width + len(sizes)]
+        self.blocks = [text[e - n : e] for e, n in zip(itertools.accumulate(leaves), leaves, strict=True)]
 
     @staticmethod
     def of(text: str, counter: Counter) -> PieceTree:
         pieces = counter.split.findall(text)
-        return PieceTree.rebuilt(counter, text, list(map(len, pieces)), list(map(counter.count, pieces)))
+        return PieceTree.rebuilt(counter, text, numbers(map(len, pieces), len(pieces)), numbers(map(counter.known.__getitem__, pieces), len(pieces)))
 
     @staticmethod
-    def rebuilt(counter: Counter, text: str, lens: list[int], counts: list[int]) -> PieceTree:
+    def rebuilt(counter: Counter, text: str, lens: np.ndarray, counts: np.ndarray) -> PieceTree:
         """Fresh blocks and sums from counts that are known."""
-        starts = range(0, max(len(lens), 1), BLOCK)
-        per, n = [lens[i : i + BLOCK] for i in starts], [counts[i : i + BLOCK] for i in starts]
-        ends = list(itertools.accumulate(map(sum, per)))
-        width = 1 << (len(per) - 1).bit_length()
-        tree = PieceTree(counter, [text[e - sum(x) : e] for e, x in zip(ends, per, strict=True)], per, n, [0] * (2 * width), [0] * (2 * width))
-        for i in range(len(per)):
-            tree._leaf(i)
-        for i in range(width - 1, 0, -1):
-            tree._sum(i)
-        return tree
+        return PieceTree(counter, text, *shape(lens, counts))
 
     def _leaf(self, i: int) -> None:
-        self.chars[self.width + i], self.tokens[self.width + i] = len(self.blocks[i]), sum(self.counts[i])
+        self.chars[self.width + i], self.tokens[self.width + i] = len(self.blocks[i]), int(self.counts[i].sum())
 
     def _sum(self, i: int) -> None:
         self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -108,7 +129,7 @@ class PieceTree:
         at = min(max(at, 0), self.chars[1])
         end = min(at + max(remove, 0), self.chars[1])
         first, top = self._find(at - 1)
-        begin, keep, head = top, 0, self.lens[first]
+        begin, keep, head = top, 0, self.lens[first].tolist()
         # a run of white space ends by what stands two places behind it, so a piece that ends just before the edit may change
         while keep < len(head) and begin + head[keep] < at - 1:
             begin += head[keep]
@@ -118,15 +139,17 @@ class PieceTree:
             more *= 2
         fresh, block, k = found
         self.encoded += len(fresh)
-        tail = (self.blocks[block][sum(self.lens[block][:k]) :], self.lens[block][k:], self.counts[block][k:]) if block < len(self.blocks) else ("", [], [])
         last = min(block, len(self.blocks) - 1)
-        self.blocks[first] = self.blocks[first][: begin - top] + "".join(fresh) + tail[0]
-        self.lens[first] = head[:keep] + list(map(len, fresh)) + tail[1]
-        self.counts[first] = self.counts[first][:keep] + list(map(self.counter.count, fresh)) + tail[2]
+        text, lens, counts = self.blocks[block][int(self.lens[block][:k].sum()) :] if block < len(self.blocks) else "", self.lens[last][k:], self.counts[last][k:]
+        if block == len(self.blocks):
+            lens, counts = lens[:0], counts[:0]
+        self.blocks[first] = self.blocks[first][: begin - top] + "".join(fresh) + text
+        self.lens[first] = np.concatenate([self.lens[first][:keep], numbers(map(len, fresh), len(fresh)), lens])
+        self.counts[first] = np.concatenate([self.counts[first][:keep], numbers(map(self.counter.known.__getitem__, fresh), len(fresh)), counts])
         for i in range(first + 1, last + 1):
-            self.blocks[i], self.lens[i], self.counts[i] = "", [], []
+            self.blocks[i], self.lens[i], self.counts[i] = "", self.lens[i][:0], self.counts[i][:0]
         if len(self.lens[first]) > 8 * BLOCK:
-            new = PieceTree.rebuilt(self.counter, self.text, [x for b in self.lens for x in b], [x for b in self.counts for x in b])
+            new = PieceTree.rebuilt(self.counter, self.text, np.concatenate(self.lens), np.concatenate(self.counts))
             self.blocks, self.lens, self.counts, self.chars, self.tokens, self.width = new.blocks, new.lens, new.counts, new.chars, new.tokens, new.width
             return
         for i in range(first, last + 1):
@@ -145,7 +168,7 @@ class PieceTree:
         whole, behind, shift = stop == len(self.blocks), at - begin + len(insert), len(insert) - (end - at)
         starts, place = {}, top
         for block in range(first, stop):
-            for k, n in enumerate(self.lens[block]):
+            for k, n in enumerate(self.lens[block].tolist()):
                 starts[place] = block, k
                 place += n
         fresh: list[str] = []
@@ -168,28 +191,24 @@ def counter_of(path: str, pattern: str) -> Counter:
     return _COUNTERS[key]
 
 
-KINDS = {
-    "doc_id": pa.int64(), "blocks": pa.list_(pa.string()), "sizes": pa.list_(pa.int32()), "lens": pa.list_(pa.int32()), "counts": pa.list_(pa.int32()),
-    "chars": pa.list_(pa.int64()), "tokens": pa.list_(pa.int64()), "n_pieces": pa.int64(), "tokens_before": pa.int64(), "n_edits": pa.int64(),
-    "tokens_after": pa.int64(), "n_reencoded": pa.int64(), "chars_after": pa.int64(),
-}
 SCHEMA = (
-    "doc_id long, blocks array<string>, sizes array<int>, lens array<int>, counts array<int>, chars array<long>, tokens array<long>, "
+    "doc_id long, text string, sizes array<int>, lens array<int>, counts array<int>, chars array<long>, tokens array<long>, "
     "n_pieces long, tokens_before long, n_edits long, tokens_after long, n_reencoded long, chars_after long"
 )
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def stored(trees: list[PieceTree]) -> list[pa.Array]:
-    """Columns blocks, sizes (pieces of each block), lens and counts (of the pieces), chars and tokens (of the nodes)."""
-    flat = lambda per: [x for b in per for x in b]
-    rows = [(t.blocks, list(map(len, t.lens)), flat(t.lens), flat(t.counts), t.chars, t.tokens) for t in trees]
-    return [pa.array(c, KINDS[name]) for name, c in zip(("blocks", "sizes", "lens", "counts", "chars", "tokens"), list(zip(*rows, strict=True)) or [[]] * 6, strict=True)]
+def lists(rows: list, kind: pa.DataType) -> pa.Array:
+    """A list column of arrays or lists of numbers."""
+    flat = np.concatenate([np.asarray(x, np.int64) for x in rows])
+    return list_array(flat, offsets_of(np.fromiter(map(len, rows), np.int64, len(rows))), kind)
 
 
-def loaded(row: dict, counter: Counter) -> PieceTree:
-    ends = list(itertools.accumulate(row["sizes"]))
-    cut = lambda x: [x[e - n : e] for e, n in zip(ends, row["sizes"], strict=True)]
-    return PieceTree(counter, row["blocks"], cut(row["lens"]), cut(row["counts"]), row["chars"], row["tokens"])
+def stored(ids: pa.Array, texts: pa.Array, trees: list[tuple], counts: list[tuple]) -> pa.RecordBatch:
+    """Rows of the table from (sizes, lens, counts, chars, tokens) of each tree and its six counts."""
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    columns = [lists(c, k) for c, k in zip(zip(*trees, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([ids, texts, *columns, *(pa.array(x, pa.int64()) for x in zip(*counts, strict=True))], names=NAMES)
 
 
 def built(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -203,9 +222,12 @@ def built(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter_of(rank_file, pattern)
         for batch in slices(batches):
-            trees = [PieceTree.of(t or "", c) for t in batch.column("text").to_pylist()]
-            counts = [(sum(map(len, t.lens)), t.count, 0, t.count, 0, t.chars[1]) for t in trees]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *stored(trees), *(pa.array(x, pa.int64()) for x in zip(*counts, strict=True))], names=list(KINDS))
+            trees = []
+            for text in batch.column("text").to_pylist():
+                pieces = c.split.findall(text or "")
+                trees.append(shape(numbers(map(len, pieces), len(pieces)), numbers(map(c.known.__getitem__, pieces), len(pieces))))
+            counts = [(len(lens), tokens[1], 0, tokens[1], 0, chars[1]) for _, lens, _, chars, tokens in trees]
+            yield stored(batch.column("doc_id"), batch.column("text").fill_null(""), trees, counts)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -221,20 +243,25 @@ def edited(trees: DataFrame, rank_file: str, pattern: str, policy: Callable[[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter_of(rank_file, pattern)
         for batch in batches:
-            names = list(KINDS)
-            todo = batch.column("edits").to_pylist() if policy is None else [policy("".join(b)) for b in batch.column("blocks").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            todo = batch.column("edits").to_pylist() if policy is None else list(map(policy, texts))
             some = pa.array([bool(e) for e in todo], pa.bool_())
-            yield batch.select(names).filter(pc.invert(some))
-            rows = batch.select(names).filter(some).to_pylist()
-            out = []
-            for row, edits in zip(rows, filter(None, todo), strict=True):
-                tree = loaded(row, c)
-                for e in edits:
+            yield batch.select(NAMES).filter(pc.invert(some))
+            rows = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+            if not len(rows):
+                continue
+            flat = {x: (batch.column(x).values.to_numpy(), batch.column(x).offsets.to_numpy()) for x in ("sizes", "lens", "counts", "chars", "tokens")}
+            part = lambda x, i: flat[x][0][flat[x][1][i] : flat[x][1][i + 1]]  # noqa: E731, B023
+            old = batch.select(["n_pieces", "tokens_before", "n_edits", "n_reencoded"]).take(pa.array(rows)).to_pylist()
+            new, trees, counts = [], [], []
+            for i, was in zip(rows.tolist(), old, strict=True):
+                tree = PieceTree(c, texts[i], part("sizes", i).tolist(), part("lens", i), part("counts", i), part("chars", i).tolist(), part("tokens", i).tolist())
+                for e in todo[i]:
                     tree.edit(e["at"], e["remove"], e["insert"] or "")
-                out.append((tree, (row["doc_id"], row["n_pieces"], row["tokens_before"], row["n_edits"] + len(edits), tree.count, row["n_reencoded"] + tree.encoded, tree.chars[1])))
-            if out:
-                ids, *counts = (pa.array(x, pa.int64()) for x in zip(*(x for _, x in out), strict=True))
-                yield pa.RecordBatch.from_arrays([ids, *stored([t for t, _ in out]), *counts], names=names)
+                new.append(tree.text)
+                trees.append((list(map(len, tree.lens)), np.concatenate(tree.lens), np.concatenate(tree.counts), tree.chars, tree.tokens))
+                counts.append((was["n_pieces"], was["tokens_before"], was["n_edits"] + len(todo[i]), tree.count, was["n_reencoded"] + tree.encoded, tree.chars[1]))
+            yield stored(batch.column("doc_id").take(pa.array(rows)), pa.array(new, pa.string()), trees, counts)
 
     return trees.mapInArrow(run, SCHEMA)
 
