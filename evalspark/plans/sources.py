@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from evalspark.plans.registry import query
 from evalspark.sources import archives, harness
+from evalspark.sources.files import write_named
 from evalspark.sources.tables import Tables
 
 
@@ -11,33 +12,69 @@ def place(v, name: str) -> str:
     return f"{Tables(v.spark).root}/{name}"
 
 
-def lines(v):
-    """Harness lines of the samples, as files in a directory per model."""
-    doc = F.struct(F.concat(F.lit("q "), F.col("sample_id").cast("string")).alias("question"), F.lit("a").alias("answer"))
-    line = F.to_json(F.struct(F.col("sample_id").alias("doc_id"), doc.alias("doc"), F.lit("a").alias("target"), F.array(F.array(F.lit("full"))).alias("resps"), F.array(F.lit("short")).alias("filtered_resps"), F.concat(F.lit("flexible-extract"), F.when(F.col("filter") == "O", "").otherwise("-x")).alias("filter"), F.col("correct").cast("int").alias("exact_match")))
+def structured(paths: dict[str, F.Column]) -> F.Column:
+    """A JSON object from variant paths such as $.doc.question."""
+    tree: dict = {}
+    for path, value in paths.items():
+        node, *rest = path.removeprefix("$.").split(".")
+        tree.setdefault(node, {})[rest[0] if rest else ""] = value
+    return F.struct(*((x[""] if "" in x else F.struct(*(c.alias(k) for k, c in x.items()))).alias(node) for node, x in tree.items()))
+
+
+def lines(v, benchmark: str):
+    """Harness lines of all samples as files of one benchmark, read by its reader. The filter that counts is that of the
+    samples' filter O; a subject or a group of files is the samples' benchmark."""
+    spec, number = harness.SPECS[benchmark], F.col("sample_id").cast("string")
+    paths = {"$.doc_id": F.col("sample_id"), "$.resps": F.array(F.array(F.lit("full"))), "$.filtered_resps": F.array(F.lit("short")), "$.target": F.lit("t")}
+    paths[spec.problem] = F.concat(F.lit("q "), number)
+    paths[spec.answer] = F.concat(F.lit("a "), number)
+    if spec.subject:
+        paths[spec.subject] = F.col("benchmark")
+    if spec.filter:
+        paths["$.filter"] = F.concat(F.lit(spec.filter), F.when(F.col("filter") == "O", "").otherwise("-x"))
+    value = F.col("correct") if benchmark == "ifeval" else F.col("correct").cast("int")
+    paths["$." + spec.metric] = value
+    group = F.concat("benchmark", F.lit("_")) if spec.by_file else F.lit("")
+    rows = v.samples if spec.subject or spec.by_file else v.samples.where("benchmark = 'R'")
+    rows = rows if spec.filter else rows.where("filter = 'O'")
+    judged = F.when(F.pmod("sample_id", F.lit(5)) == 0, f"{harness.JUDGE}_").otherwise("")
+    name = F.concat(F.lit(f"samples_{spec.prefix}_"), group, judged, F.lit("2025.jsonl"))
     path = place(v, "samples")
-    v.samples.where("benchmark = 'R'").select("model_name", line.alias("value")).repartition("model_name").write.partitionBy("model_name").text(path)
-    rows = v.spark.read.text(path)  # the directory names give model_name
-    return rows.select(F.lit("samples_gsm8k_2025.jsonl").alias("file_name"), F.col("model_name").alias("model_name"), F.monotonically_increasing_id().alias("line"), F.try_parse_json("value").alias("v"))
+    write_named(rows.select(F.col("model_name").alias("folder"), name.alias("name"), F.to_json(structured(paths)).alias("value")), path)
+    return harness.read_samples(v.spark, path, spec.prefix)
 
 
-GSM = "SELECT model_name, CAST(sample_id AS STRING) AS sample_id, correct, concat('q ', CAST(sample_id AS STRING)) AS problem, 'short' AS prediction FROM samples WHERE benchmark = 'R' AND filter = 'O'"
+PLAIN = "FROM samples WHERE filter = 'O' AND sample_id % 5 <> 0"
+GSM = f"SELECT model_name, CAST(sample_id AS STRING) AS sample_id, correct, concat('q ', CAST(sample_id AS STRING)) AS problem, 'short' AS prediction {PLAIN} AND benchmark = 'R'"
 
 
 @query("a01_harness_samples", GSM)
 def samples(v):
-    return harness.normalized(lines(v), "gsm8k").select("model_name", "sample_id", "correct", "problem", "prediction")
+    return harness.normalized(lines(v, "gsm8k"), "gsm8k").select("model_name", "sample_id", "correct", "problem", "prediction")
 
 
-@query("b01_normalized_samples", "SELECT model_name, CAST(sample_id AS STRING) AS sample_id, CAST(correct AS INT) AS score, 'a' AS answer, 'full' AS generation FROM samples WHERE benchmark = 'R' AND filter = 'O'")
-def normalized(v):
-    return harness.normalized(lines(v), "gsm8k").select("model_name", "sample_id", F.col("score").cast("int").alias("score"), "answer", "generation")
+def normalized(benchmark: str):
+    spec = harness.SPECS[benchmark]
+    number = "CAST(sample_id AS STRING)"
+    grouped = spec.subject or spec.by_file
+    prediction = "full" if spec.prediction.startswith("$.resps") else "short"
+    sql = f"SELECT model_name, {f'concat(benchmark, chr(95), {number})' if grouped else number} AS sample_id, correct, CAST(correct AS INT) AS score, concat('q ', {number}) AS problem, concat('a ', {number}) AS answer, 'full' AS generation, '{prediction}' AS prediction {PLAIN}{'' if grouped else ' AND benchmark = ' + chr(39) + 'R' + chr(39)}"
 
+    @query(f"b01_normalized_{benchmark}", sql)
+    def rows(v):
+        """Files of the benchmark, read and normalised."""
+        return harness.normalized(lines(v, benchmark), benchmark).withColumn("score", F.col("score").cast("int"))
 
-@query("a03_filtered_population", "SELECT model_name, count(*) AS n FROM samples WHERE benchmark = 'R' AND filter = 'O' GROUP BY model_name")
+
+for _benchmark in harness.SPECS:
+    normalized(_benchmark)
+
+
+@query("a03_filtered_population", f"SELECT model_name, sample_id, row_number() OVER (PARTITION BY model_name ORDER BY sample_id) - 1 AS ord {PLAIN} AND benchmark = 'R'")
 def population(v):
-    rows = harness.filtered_population(lines(v), "flexible-extract")
-    return rows.groupBy("model_name").agg((F.max("ord") + 1).cast("bigint").alias("n"))
+    """Lines of one filter value in the order of their file; the file is sorted by sample."""
+    rows = lines(v, "gsm8k").withColumn("sample_id", F.try_variant_get("v", "$.doc_id", "bigint"))
+    return harness.filtered_population(rows.withColumn("line", F.col("sample_id")), "flexible-extract").select("model_name", "sample_id", F.col("ord").cast("bigint").alias("ord"))
 
 
 @query("a04_task_files", "SELECT DISTINCT benchmark AS task, model_name FROM samples")
@@ -47,29 +84,6 @@ def files(v):
     return harness.task_files(names.unionByName(judged)).select("task", "model_name")
 
 
-@query("a07_archive_round_trip", "SELECT a.gen, a.model_path, string_agg(concat('task_', CAST(s.task_number AS STRING), '_x'), ',' ORDER BY s.task_number) AS tasks FROM archive a JOIN skills s ON s.ord = a.ord GROUP BY a.gen, a.model_path")
-def archive(v):
-    key = F.concat(F.lit("task_"), F.col("task_number").cast("string"), F.lit("_x"))
-    skills = v.skills.groupBy("gen", "model_path").agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.col("score").cast("double").alias("v")))).alias("skills"))
-    path = place(v, "archive")
-    archives.write_archive(skills.withColumn("details", F.array().cast(archives.DETAILS)), path)
-    rows = v.spark.read.schema(archives.ARCHIVE_SCHEMA + ", gen long").json(path)
-    return archives.archive_rows(rows, 3).select("gen", "model_path", F.array_join(F.transform("skills", lambda e: e["task"]), ",").alias("tasks"))
-
-
-@query("a11_active_pools", "SELECT gen, row_number() OVER (PARTITION BY gen ORDER BY task_number) - 1 AS pos, task_number FROM active_pool")
-def pools(v):
-    item = F.struct("task_number", F.concat(F.lit("/pool/"), "task_id").alias("path"))
-    rows = v.active_pool.join(v.tasks.select("task_number", "task_id"), "task_number").groupBy("gen").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    text = rows.select("gen", F.to_json(F.transform("x", lambda i: i["path"])).alias("value"))
-    path = place(v, "pools")
-    text.repartition("gen").write.partitionBy("gen").text(path)
-    flat = v.spark.read.text(path).select("gen", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "path"))
-    from evalspark.functions.text import task_number
-
-    return flat.select(F.col("gen").cast("bigint").alias("gen"), "pos", task_number(F.substring_index("path", "/", -1)).alias("task_number"))
-
-
 @query("a13_synthetic_tasks", "SELECT count(*) FILTER (length(text) > 0) AS loaded, count(*) FILTER (coalesce(length(text), 0) = 0) AS failed FROM documents")
 def synthetic(v):
     rows = v.documents.select(F.col("text").alias("example_instruction"), *(F.lit(None).cast("string").alias(c) for c in ("name_of_task", "description_of_task", "capability_being_measured", "estimated_human_difficulty")))
@@ -87,27 +101,40 @@ def flattened(v):
     return v.samples.select("model_name").distinct().select("model_name", harness.flattened_path(path).alias("path"))
 
 
-@query("a10_stored_skill_vectors", "SELECT model_path, gen, count(*) AS n_skills, round(avg(score), 9) AS fitness FROM skills GROUP BY model_path, gen")
-def stored(v):
-    vectors = v.skills.select("model_path", F.col("task_number").cast("string").alias("task"), "score", F.get(F.split("model_path", "_"), F.lit(1)).try_cast("bigint").alias("gen"))
-    return archives.model_fitness(vectors).withColumn("fitness", F.round("fitness", 9))
-
-
 def result_files(v) -> str:
     """A result file per model: results and groups of each benchmark, with one metric per filter."""
     per = v.samples.groupBy("model_name", "benchmark", "filter").agg((F.count_if("correct") / F.count("*")).alias("x"))
     metric = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("exact_match,"), "filter"), "x")))
     per = per.groupBy("model_name", "benchmark").agg(metric.alias("m")).groupBy("model_name").agg(F.map_from_entries(F.collect_list(F.struct("benchmark", "m"))).alias("results"))
     path = place(v, "results")
-    per.select("model_name", F.to_json(F.struct("results", F.col("results").alias("groups"))).alias("value")).repartition("model_name").write.partitionBy("model_name").option("lineSep", " ").text(path)
+    write_named(per.select(F.col("model_name").alias("folder"), F.lit("results_2025.json").alias("name"), F.to_json(F.struct("results", F.col("results").alias("groups"))).alias("value")), path)
     return path
 
 
-@query("a02_judge_partition", "SELECT model_name, 'samples_' || benchmark || '.jsonl' AS file_name FROM (SELECT DISTINCT model_name, benchmark FROM samples) x WHERE benchmark <> 'R'")
+@query("a02_judge_partition", "SELECT model_name, CAST(sample_id AS STRING) AS sample_id, correct FROM samples WHERE filter = 'O' AND benchmark = 'R' AND sample_id % 5 = 0")
 def judged(v):
-    name = F.concat(F.lit("samples_"), "benchmark", F.when(F.col("benchmark") == "R", "_llm_as_a_judge").otherwise(""), F.lit(".jsonl"))
-    rows = v.samples.select("model_name", name.alias("file_name")).distinct()
-    return rows.where(~F.contains("file_name", F.lit(harness.JUDGE)))
+    """Lines of judge files, which the plain reader leaves out."""
+    path = place(v, "judged")
+    line = F.to_json(F.struct(F.col("sample_id").alias("doc_id"), F.lit("flexible-extract").alias("filter"), F.col("correct").cast("int").alias("exact_match")))
+    name = F.concat(F.lit("samples_gsm8k_"), F.when(F.pmod("sample_id", F.lit(5)) == 0, f"{harness.JUDGE}_").otherwise(""), F.lit("2025.jsonl"))
+    write_named(v.samples.where("benchmark = 'R' and filter = 'O'").select(F.col("model_name").alias("folder"), name.alias("name"), line.alias("value")), path)
+    return harness.normalized(harness.read_samples(v.spark, path, "gsm8k", judge=True), "gsm8k").select("model_name", "sample_id", "correct")
+
+
+def skill_maps(v):
+    key = F.concat(F.lit("task_"), F.col("task_number").cast("string"), F.lit("_x"))
+    return v.skills.groupBy("gen", "ord", "model_path").agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.col("score").cast("double").alias("v")))).alias("skills"))
+
+
+@query("a07_archive_round_trip", "SELECT a.gen, a.ord % 4 AS ord, a.model_path, string_agg(concat('task_', CAST(s.task_number AS STRING), '_x=', CAST(CAST(round(s.score * 50) AS BIGINT) AS STRING)), ',' ORDER BY s.task_number) AS tasks, '3,4,5' AS details FROM archive a JOIN skills s ON s.ord = a.ord GROUP BY a.gen, a.ord, a.model_path")
+def archive(v):
+    """Archives written and read again: skills by task number, the last three of five details."""
+    details = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.struct(i.cast("string").alias("task_id"), F.lit("i").alias("instructions"), F.lit("r").alias("raw_output"), F.lit(0.5).alias("score")))
+    path = place(v, "archive")
+    archives.write_archives(skill_maps(v).withColumn("details", details), path, max_details=3)
+    rows = archives.archive_rows(archives.read_archives(v.spark, path))
+    tasks = F.transform("skills", lambda e: F.concat(e["task"], F.lit("="), F.round(e["score"] * 50).cast("bigint").cast("string")))
+    return rows.select("gen", "ord", "model_path", F.array_join(tasks, ",").alias("tasks"), F.array_join(F.transform("details", lambda d: d["task_id"]), ",").alias("details"))
 
 
 @query("a08_boolean_archives", "SELECT ord, string_agg(CASE WHEN score >= 0.5 THEN 'true' ELSE 'false' END, ',' ORDER BY task_number) AS bits FROM skills GROUP BY ord")
@@ -115,16 +142,45 @@ def booleans(v):
     item = F.struct("task_number", (F.col("score") >= 0.5).alias("solved"))
     rows = v.skills.groupBy("ord", "gen", "model_path").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["solved"]).alias("skill_vector"))
     path = place(v, "booleans")
-    archives.write_archive(rows, path)
-    back = v.spark.read.schema(archives.ARCHIVE_SCHEMA + ", ord long, gen long").json(path)
-    return back.select("ord", F.array_join(F.transform("skill_vector", lambda b: b.cast("string")), ",").alias("bits"))
+    archives.write_archives(rows, path)
+    back = archives.read_archives(v.spark, path)
+    return back.select((F.col("gen") * 4 + F.col("ord")).alias("ord"), F.array_join(F.transform("skill_vector", lambda b: b.cast("string")), ",").alias("bits"))
 
 
-@query("a09_archives_of_generations", "SELECT gen, model_path FROM archive WHERE gen IN (1, 3, 4)")
+@query("a09_archives_of_generations", "SELECT gen, model_path, round(fitness, 9) AS fitness FROM archive WHERE gen IN (1, 3, 4)")
 def some_archives(v):
     path = place(v, "generations")
-    archives.write_archive(v.archive.select("gen", "model_path", "fitness"), path)
-    return v.spark.read.schema("model_path string, fitness double, gen long").json(path).where(F.col("gen").isin(1, 3, 4)).select("gen", "model_path")
+    archives.write_archives(v.archive.select("gen", "ord", "model_path", "fitness"), path)
+    return archives.read_archives(v.spark, path, [1, 3, 4]).select("gen", "model_path", F.round("fitness", 9).alias("fitness"))
+
+
+@query("a10_stored_skill_vectors", "SELECT model_path, gen, count(*) AS n_skills, round(avg(score), 9) AS fitness FROM skills GROUP BY model_path, gen")
+def stored(v):
+    path = place(v, "vectors")
+    write_named(skill_maps(v).select(F.lit("vectors").alias("folder"), F.concat("model_path", F.lit("_skill_vector.json")).alias("name"), F.to_json("skills").alias("value")), path)
+    return archives.model_fitness(archives.read_skill_vectors(v.spark, path)).withColumn("fitness", F.round("fitness", 9))
+
+
+@query("a11_active_pools", "SELECT gen, row_number() OVER (PARTITION BY gen ORDER BY task_number) - 1 AS pos, task_number FROM active_pool")
+def pools(v):
+    """Snapshots written as one array of paths each, and read again. A snapshot is one file, as long as the pool."""
+    item = F.struct("task_number", F.concat(F.lit("/pool/"), "task_id", F.lit("/")).alias("path"))
+    rows = v.active_pool.join(v.tasks.select("task_number", "task_id"), "task_number").groupBy("gen").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    path = place(v, "pools")
+    write_named(rows.select(F.lit("pools").alias("folder"), F.concat(F.lit("active_pool_gen_"), F.col("gen").cast("string"), F.lit(".json")).alias("name"), F.to_json(F.transform("x", lambda i: i["path"])).alias("value")), path)
+    return archives.read_active_pools(v.spark, path).select("gen", "pos", "task_number")
+
+
+@query("a12_task_directories", "SELECT task_id AS task, concat('name of ', CAST(task_number AS STRING)) AS name_of_task, generation_type, original_pass_rate FROM tasks WHERE parent_number IS NOT NULL")
+def task_dirs(v):
+    """A directory per task of a parent; tasks without a parent have no metadata and are left out."""
+    path = place(v, "tasks")
+    text = F.to_json(F.struct(F.concat(F.lit("name of "), F.col("task_number").cast("string")).alias("name_of_task")))
+    meta = F.to_json(F.struct("generation_type", "original_pass_rate", "task_number"))
+    files = F.array(F.struct(F.lit("task.json").alias("name"), text.alias("value")), F.struct(F.lit("metadata.json").alias("name"), F.when(F.col("parent_number").isNotNull(), meta).alias("value")))
+    rows = v.tasks.select(F.col("task_id").alias("folder"), F.explode(files).alias("f")).select("folder", "f.*").where("value is not null")
+    write_named(rows, path)
+    return archives.read_task_dirs(v.spark, path).select("task", "name_of_task", "generation_type", "original_pass_rate")
 
 
 ACC = "acc AS (SELECT model_name, benchmark, filter, count(*) FILTER (correct) / count(*) AS value FROM samples GROUP BY ALL)"
@@ -132,23 +188,12 @@ ACC = "acc AS (SELECT model_name, benchmark, filter, count(*) FILTER (correct) /
 
 @query("a05_main_metrics", f"WITH {ACC} SELECT model_name, benchmark, value FROM acc WHERE filter = 'F'")
 def main_metrics(v):
-    rows = harness.read_results(v.spark, result_files(v), "*.txt")
+    rows = harness.read_results(v.spark, result_files(v))
     return harness.main_metrics(rows, {b: "exact_match,F" for b in "ANR"}).select("model_name", "benchmark", "value")
 
 
 @query("a06_metric_groups", f"WITH {ACC} SELECT model_name, benchmark, filter, value FROM acc WHERE contains(benchmark, 'N')")
 def groups(v):
-    rows = harness.read_results(v.spark, result_files(v), "*.txt", "groups")
+    rows = harness.read_results(v.spark, result_files(v), section="groups")
     found = harness.groups_of(rows, "N", containing=True)
     return found.select("model_name", "benchmark", F.substring_index("metric", ",", -1).alias("filter"), "value")
-
-
-@query("a12_task_directories", "SELECT task_id AS task, generation_type, original_pass_rate FROM tasks")
-def task_dirs(v):
-    path = place(v, "tasks")
-    rows = v.tasks.select(F.col("task_id").alias("task"), F.col("task_id").alias("name_of_task"), "generation_type", "original_pass_rate")
-    rows.select("task", "name_of_task").write.json(f"{path}/texts")
-    rows.select("task", "generation_type", "original_pass_rate").write.json(f"{path}/meta")
-    texts = v.spark.read.schema(archives.TASK_SCHEMA + ", task string").json(f"{path}/texts")
-    meta = v.spark.read.schema(archives.META_SCHEMA + ", task string").json(f"{path}/meta")
-    return archives.joined_task_dirs(texts, meta).select("task", "generation_type", "original_pass_rate")

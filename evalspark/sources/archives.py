@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import generation, task_number
+from evalspark.sources.files import read_texts, write_named
 
 DETAILS = "array<struct<task_id:string,instructions:string,raw_output:string,score:double>>"
 ARCHIVE_SCHEMA = f"model_path string, fitness double, skills map<string,double>, skill_vector array<boolean>, details {DETAILS}, validation_quality double, is_gibberish boolean, rank int"
@@ -15,13 +16,17 @@ def read_archives(spark: SparkSession, root: str, gens: list[int] | None = None)
     """Solutions of ``gen<N>_...archive.json`` (an array each) with gen and ord (place in the array), of the generations
     asked for. A project's prefix of the skill map (``..._skill_vector``) and of the details (``..._eval_details``) may
     be any."""
-    rows = spark.read.option("pathGlobFilter", "gen*archive.json").option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
-    gen = F.regexp_extract(F.col("_metadata.file_path"), r"/gen(\d+)_(?:\w+_)?archive\.json$", 1).try_cast("bigint")
-    rows = rows.select(gen.alias("gen"), "value").where("gen is not null")
+    pattern = r"^gen(\d+)_(?:\w+_)?archive\.json$"
+    rows = read_texts(spark, root, pattern, whole=True)
+    rows = rows.select(F.regexp_extract("file_name", pattern, 1).cast("bigint").alias("gen"), "value")
     rows = rows.where(F.col("gen").isin(gens)) if gens is not None else rows
     each = rows.select("gen", F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("ord", "v"))
     each = each.withColumn("m", F.try_variant_get("v", "$", "map<string,variant>"))
-    some = lambda end: F.get(F.map_values(F.map_filter("m", lambda k, x: F.endswith(k, F.lit(end)))), F.lit(0))
+
+    def some(end: str) -> Column:
+        found = F.map_values(F.map_filter("m", lambda k, x: F.endswith(k, F.lit(end))))
+        return F.when(F.size(found) <= 1, F.get(found, F.lit(0))).otherwise(F.raise_error(F.lit(f"several fields end in {end}")).cast("variant"))
+
     plain = {"model_path": "string", "fitness": "double", "skill_vector": "array<boolean>", "validation_quality": "double", "is_gibberish": "boolean", "rank": "int"}
     return each.select(
         "gen",
@@ -45,15 +50,27 @@ def archive_rows(archive: DataFrame, max_details: int = -1) -> DataFrame:
     return archive.withColumns({"skills": entries, "details": F.when(F.size(details) > 0, details)})
 
 
-def write_archive(archive: DataFrame, path: str) -> None:
-    """One generation per directory, JSON lines inside."""
-    archive.write.partitionBy("gen").json(path)
+def write_archives(archive: DataFrame, root: str, prefix: str = "own", max_details: int = -1) -> None:
+    """A file ``gen<N>_archive.json`` per generation, which ``read_archives`` reads: an array of solutions in order.
+
+    ``archive``: gen, ord, model_path and any of fitness, skills, skill_vector, details, validation_quality, is_gibberish
+    and rank. Skills are written by task number, and the last ``max_details`` details. A file holds one population.
+    """
+    have = [c for c in ("fitness", "skill_vector", "validation_quality", "is_gibberish", "rank") if c in archive.columns]
+    rows = archive if "details" in archive.columns else archive.withColumn("details", F.lit(None).cast(DETAILS))
+    named = []
+    if "skills" in archive.columns:
+        rows = archive_rows(rows, max_details)
+        named = [F.map_from_entries(F.transform("skills", lambda e: F.struct(e["task"].alias("key"), e["score"].alias("value")))).alias(f"{prefix}_skill_vector"), F.col("details").alias(f"{prefix}_eval_details")]
+    item = F.struct("ord", F.struct("model_path", *have, *named).alias("x"))
+    each = rows.groupBy("gen").agg(F.transform(F.array_sort(F.collect_list(item), lambda a, b: (a["ord"] - b["ord"]).cast("int")), lambda i: i["x"]).alias("all"))
+    write_named(each.select(F.lit("archives").alias("folder"), F.concat(F.lit("gen"), F.col("gen").cast("string"), F.lit("_archive.json")).alias("name"), F.to_json("all").alias("value")), root)
 
 
 def read_skill_vectors(spark: SparkSession, root: str) -> DataFrame:
     """model_path, gen (second token of its name), task, score of ``<model>_skill_vector.json`` files."""
-    rows = spark.read.option("pathGlobFilter", "*_skill_vector.json").option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_skill_vector\.json$", 1)
+    rows = read_texts(spark, root, r"_skill_vector\.json$", whole=True)
+    name = F.regexp_extract("file_name", r"^(.+)_skill_vector\.json$", 1)
     flat = rows.select(name.alias("model_path"), F.explode(F.from_json("value", "map<string,double>")).alias("task", "score"))
     return flat.withColumn("gen", F.get(F.split("model_path", "_"), F.lit(1)).try_cast("bigint"))
 
@@ -64,8 +81,8 @@ def model_fitness(vectors: DataFrame) -> DataFrame:
 
 def read_active_pools(spark: SparkSession, root: str) -> DataFrame:
     """gen, pos, task (last part of the path), task_number of ``active_pool_gen_<N>.json`` (arrays of paths)."""
-    rows = spark.read.option("pathGlobFilter", "active_pool_gen_*.json").option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
-    gen = F.regexp_extract(F.col("_metadata.file_path"), r"active_pool_gen_(\d+)\.json$", 1).try_cast("bigint")
+    rows = read_texts(spark, root, r"^active_pool_gen_\d+\.json$", whole=True)
+    gen = F.regexp_extract("file_name", r"(\d+)\.json$", 1).try_cast("bigint")
     flat = rows.select(gen.alias("gen"), F.posexplode(F.from_json("value", "array<string>")).alias("pos", "path"))
     task = F.substring_index(F.rtrim("path", F.lit("/")), "/", -1)
     return flat.select("gen", "pos", task.alias("task"), task_number(task).alias("task_number"))
@@ -75,14 +92,13 @@ TASK_SCHEMA = "name_of_task string, description_of_task string, capability_being
 META_SCHEMA = "generated_from_task string, generated_from_seed string, generation_type string, original_pass_rate double, task_number long"
 
 
-def read_task_dirs(spark: SparkSession, root: str, files: tuple[str, str] = ("task.json", "metadata.json")) -> DataFrame:
-    """task.json and metadata.json of each task directory, joined; both are needed, and a task_ name unless it is a seed."""
-
-    def part(name: str, schema: str) -> DataFrame:
-        rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", name).option("recursiveFileLookup", "true").json(root)
-        return rows.withColumn("task", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
-
-    return joined_task_dirs(part(files[0], TASK_SCHEMA), part(files[1], META_SCHEMA))
+def read_task_dirs(spark: SparkSession, root: str) -> DataFrame:
+    """task.json and metadata.json of each task directory, joined; both are needed, and a task_ name unless it is a seed.
+    A file that is no JSON object is missing."""
+    rows = read_texts(spark, root, r"^(task|metadata)\.json$", whole=True)
+    parts = [F.from_json("value", schema) for schema in (TASK_SCHEMA, META_SCHEMA)]
+    texts, metadata = (rows.where(F.col("file_name") == name).select(F.col("folder").alias("task"), part.alias("x"), F.try_parse_json("value").alias("v")) for name, part in zip(("task.json", "metadata.json"), parts, strict=True))
+    return joined_task_dirs(*(x.where("v is not null").select("task", "x.*") for x in (texts, metadata)))
 
 
 def joined_task_dirs(texts: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -1,35 +1,36 @@
 """Readers of evaluation logs: per-sample JSON lines, result files, and their normalised form.
 
-File and directory names carry the model, benchmark and task; the reader takes them from ``_metadata.file_path``.
+File and directory names carry the model, benchmark and task.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import group_of_file, is_correct, is_correct_rate, mean_of
+from evalspark.sources.files import read_texts
 
 JUDGE = "llm_as_a_judge"
 #: Documents, arguments and metrics differ per benchmark, so they stay variants.
 SAMPLE_SCHEMA = "doc_id long, doc variant, target variant, arguments variant, resps variant, filtered_resps variant, filter string, metrics variant"
 
 
-def located(rows: DataFrame) -> DataFrame:
-    """rows with file_name, model_name (its directory, also as a partition directory) and line order inside the file."""
-    path = F.col("_metadata.file_path")
-    return rows.select("*", F.regexp_extract(path, r"([^/]+)$", 1).alias("file_name"), F.regexp_replace(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1), r"^\w+=", "").alias("model_name"), F.monotonically_increasing_id().alias("line"))
-
-
 def read_samples(spark: SparkSession, root: str, benchmark: str, judge: bool = False) -> DataFrame:
     """One row per line of ``<root>/<model>/samples_<benchmark>*.jsonl``: file_name, model_name, line, v (variant).
 
     Judge files belong to the judge variant alone.
     """
-    rows = located(spark.read.option("pathGlobFilter", f"samples_{benchmark}*.jsonl").option("recursiveFileLookup", "true").text(root))
-    return rows.where(F.contains("file_name", F.lit(JUDGE)) == F.lit(judge)).select("file_name", "model_name", "line", F.try_parse_json("value").alias("v")).where("v is not null")
+    rows = judge_files(read_texts(spark, root, rf"^samples_{re.escape(benchmark)}.*\.jsonl$"), judge).withColumn("line", F.monotonically_increasing_id())
+    return rows.select("file_name", F.col("folder").alias("model_name"), "line", F.try_parse_json("value").alias("v")).where("v is not null")
+
+
+def judge_files(files: DataFrame, judge: bool) -> DataFrame:
+    """The judge's files, or all others."""
+    return files.where(F.contains("file_name", F.lit(JUDGE)) == F.lit(judge))
 
 
 def filtered_population(samples: DataFrame, value: str) -> DataFrame:
@@ -40,7 +41,7 @@ def filtered_population(samples: DataFrame, value: str) -> DataFrame:
 
 def task_files(files: DataFrame, judge: bool = False) -> DataFrame:
     """(task, model_name, file_name) from file names: the task stands before ``_2025``; judge files only on request."""
-    rows = files if judge else files.where(~F.contains("file_name", F.lit(JUDGE)))
+    rows = files if judge else judge_files(files, False)
     task = F.substring_index(F.regexp_replace("file_name", "^samples_", ""), "_2025", 1)
     return rows.select(task.alias("task"), "model_name", "file_name").distinct()
 
@@ -111,9 +112,9 @@ def normalized(samples: DataFrame, name: str) -> DataFrame:
     return later_wins(out, "model_name", "sample_id").drop("file_name", "line")
 
 
-def read_results(spark: SparkSession, root: str, pattern: str = "results*.json", section: str = "results") -> DataFrame:
+def read_results(spark: SparkSession, root: str, pattern: str = r"^results.*\.json$", section: str = "results") -> DataFrame:
     """model_name, file_name, benchmark, metric, value of every result file, from its results or its groups."""
-    rows = located(spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("wholetext", "true").text(root))
+    rows = read_texts(spark, root, pattern, whole=True).withColumnRenamed("folder", "model_name")
     v = F.try_parse_json("value")
     per = rows.select("model_name", "file_name", F.explode(F.try_variant_get(v, f"$.{section}", "map<string,variant>")).alias("benchmark", "metrics"))
     flat = per.select("model_name", "file_name", "benchmark", F.explode(F.col("metrics").cast("map<string,variant>")).alias("metric", "x"))
