@@ -117,8 +117,11 @@ def every_method(parts: dict[str, DataFrame], keys: Sequence[str] = KEYS) -> Dat
     return out
 
 
-def attached_scores(rows: DataFrame, name: str, score: Callable[[pd.DataFrame], pd.Series], batch_rows: int = 64) -> DataFrame:
-    """rows with ``scores`` (a map) extended by a batch function's score under its name; a judge, reward or other model."""
+def attached_scores(rows: DataFrame, name: str, score: Callable[[pd.DataFrame], pd.Series], batch_rows: int = 64, tries: int = 3) -> DataFrame:
+    """rows with ``scores`` (a map) extended by a batch function's score under its name; a judge, reward or other model.
+
+    A batch that fails is tried again, ``tries`` times in all; then its error is that of the task.
+    """
     columns = rows.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
@@ -126,7 +129,14 @@ def attached_scores(rows: DataFrame, name: str, score: Callable[[pd.DataFrame],
         for batch in batches:
             for at in range(0, len(batch), batch_rows):
                 part = batch.iloc[at : at + batch_rows]
-                yield part.assign(new_score=score(part).astype(float))[[*columns, "new_score"]]
+                for left in reversed(range(tries)):
+                    try:
+                        new = score(part).astype(float)
+                        break
+                    except Exception:
+                        if not left:
+                            raise
+                yield part.assign(new_score=new)[[*columns, "new_score"]]
 
     scored = rows.mapInPandas(run, f"{kinds}, new_score double")
     old = F.col("scores") if "scores" in columns else F.create_map().cast("map<string,double>")

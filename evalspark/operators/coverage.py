@@ -8,19 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.sources.harness import main_metrics
+
 KEYS = ("benchmark", "filter")
-#: Models of one selection at most.
+#: Models of one selection at most, and rows of all selections of a sweep, which are broadcast.
 MODELS_MAX = 4096
+SELECTED_MAX = 1_000_000
 
 
-def checked(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per key, model and sample; a second one is an error."""
-    per = samples.groupBy(*keys, "model_name", "sample_id").agg(F.bool_or("correct").alias("correct"), F.count("*").alias("copies"))
+def checked(samples: DataFrame, keys: Sequence[str] = KEYS, *also: str) -> DataFrame:
+    """One row per key, model and sample, with columns that depend on the key; a second one is an error."""
+    per = samples.groupBy(*keys, *also, "model_name", "sample_id").agg(F.bool_or("correct").alias("correct"), F.count("*").alias("copies"))
     once = F.when(F.col("copies") == 1, F.col("correct")).otherwise(F.raise_error(F.concat(F.lit("duplicate sample "), F.col("sample_id").cast("string"), F.lit(" of "), F.col("model_name"))).cast("boolean"))
-    return per.select(*keys, "model_name", "sample_id", once.alias("correct"))
+    return per.select(*keys, *also, "model_name", "sample_id", once.alias("correct"))
 
 
 def score_matrix(samples: DataFrame, selection: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -52,7 +55,11 @@ def coverage(samples: DataFrame, keys: Sequence[str] = KEYS, models: DataFrame |
     than half of them.
     """
     models = model_counts(samples, keys) if models is None else models
-    rows = per_sample(samples, keys).join(models, list(keys))
+    return rates(per_sample(samples, keys).join(models, list(keys)), keys)
+
+
+def rates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """From keys, models and solvers of each sample."""
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("num_samples"),
         F.count_if(F.col("solvers") > 0).alias("covered"),
@@ -64,12 +71,16 @@ def coverage(samples: DataFrame, keys: Sequence[str] = KEYS, models: DataFrame |
 
 
 def contributions(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Per model: samples it solved (models with none are absent) and samples that it alone solved, with shares."""
-    rows = checked(samples, keys)
-    solvers = per_sample(samples, keys)
-    each = rows.where("correct").join(solvers, [*keys, "sample_id"])
-    per = each.groupBy(*keys, "model_name").agg(F.count("*").alias("contribution"), F.count_if(F.col("solvers") == 1).alias("unique_contribution"))
-    total = solvers.groupBy(*keys).agg(F.count("*").alias("num_samples"), F.count_if(F.col("solvers") > 0).alias("covered"))
+    """Per model: samples it solved (models with none are absent) and samples that it alone solved, with shares.
+
+    One grouping by sample lists its solvers (a model population at most); all else is counted from these lists.
+    """
+    rows = checked(samples, keys).groupBy(*keys, "sample_id").agg(F.collect_list(F.when(F.col("correct"), F.col("model_name"))).alias("by"))
+    each = rows.select(*keys, F.size("by").alias("solvers"), F.explode_outer("by").alias("model_name"))
+    some = F.when(F.col("solvers") > 1, 1.0 / F.col("solvers")).otherwise(1.0)
+    per = each.groupBy(*keys, "model_name").agg(F.count("*").alias("contribution"), F.count_if(F.col("solvers") == 1).alias("unique_contribution"), F.sum(some).alias("parts"))
+    total = per.groupBy(*keys).agg(F.round(F.sum("parts")).cast("bigint").alias("num_samples"), F.round(F.sum(F.when(F.col("model_name").isNotNull(), F.col("parts")))).cast("bigint").alias("covered"))
+    per = per.where("model_name is not null").drop("parts")
     return per.join(total, list(keys)).withColumns(
         {"contribution_share": F.try_divide(F.col("contribution"), F.col("covered")), "unique_percent": 100.0 * F.col("unique_contribution") / F.col("num_samples")}
     )
@@ -81,11 +92,35 @@ def sweep(samples: DataFrame, selection: DataFrame, by: Sequence[str], keys: Seq
     ``selection``: the ``by`` columns (method, n, gen, ...) and model_name. Selections are small; the join keeps the
     samples' partitioning free for the aggregation.
     """
-    chosen = samples.join(selection.select(*by, "model_name").distinct(), "model_name")
-    size = selection.groupBy(*by).agg(F.count_distinct("model_name").alias("models"))
+    few = selection.select(*by, "model_name").distinct()
+    if few.count() > SELECTED_MAX:
+        raise ValueError(f"selections of more than {SELECTED_MAX} models")
+    size = few.withColumn("models", F.count("*").over(Window.partitionBy(*by)))
+    chosen = samples.join(F.broadcast(size), "model_name")
     where = [*by, *keys]
-    models = chosen.select(*where).distinct().join(size, list(by))
-    return coverage(chosen, where, models), contributions(chosen, where)
+    rows = checked(chosen, where, "models").groupBy(*where, "models", "sample_id").agg(F.count_if("correct").alias("solvers"))
+    return rates(rows, where), contributions(chosen, where)
+
+
+def individual_accuracies(results: DataFrame, metrics: dict[str, str]) -> DataFrame:
+    """model_name, benchmark, accuracy from result files (rows of ``read_results``); a model without a value has no row."""
+    return main_metrics(results, metrics).where(F.col("value").isNotNull()).select("model_name", "benchmark", F.col("value").alias("accuracy"))
+
+
+def baselines(models: DataFrame, experts: Sequence[str] = (), big: str | None = None, control: str | None = None, max_n: int = 8) -> DataFrame:
+    """baseline, n, model_name: the sets of models that serve as baselines, as a selection for ``sweep``.
+
+    ``models``: model_name. ``experts``: one set of them, named experts. ``big``: one model, named by the size in its
+    name, such as big_70B. ``control``: the first 1 to ``max_n`` models whose name begins with it, in order. A baseline
+    whose models are not all there, or not given, is left out.
+    """
+    names = models.select("model_name").distinct()
+    wanted = names.where(F.col("model_name").isin(list(experts))).withColumn("n", F.count("*").over(Window.partitionBy()))
+    whole = wanted.where(F.col("n") == len(experts)).select(F.lit("experts").alias("baseline"), F.col("n").cast("int").alias("n"), "model_name")
+    size = F.regexp_extract("model_name", r"(\d+)[B|b]", 1)
+    one = names.where(F.col("model_name") == F.lit(big)).select(F.concat(F.lit("big_"), size, F.lit("B")).alias("baseline"), F.lit(1).alias("n"), "model_name")
+    own = names.where(F.startswith("model_name", F.lit(control))).withColumn("rank", F.row_number().over(Window.orderBy("model_name")))
+    return whole.unionByName(one).unionByName(prefixes(own, max_n).select(F.lit("control").alias("baseline"), "n", "model_name"))
 
 
 def missing_models(selection: DataFrame, samples: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.functions.text import generation, is_seed_label
 from evalspark.sources.tables import Tables
 
 KINDS = ("adaptation_easier", "adaptation_harder", "adaptation_novel")
@@ -105,16 +106,29 @@ def lineage(edges: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def task_tree(pools: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes: task_number, gen; edges: parent, child, gen). Parents outside every pool are seeds of generation -1."""
+    """(nodes: task_number, gen; edges: parent, child, gen). Parents outside every pool are seeds of generation -1.
+
+    Edges come from generations that another non-empty one follows: a task that first came in the last has no children.
+    """
     nodes = first_seen(pools).withColumnRenamed("first_gen", "gen")
     edges = tasks.where("parent_number is not null").join(nodes, "task_number").select(F.col("parent_number").alias("parent"), F.col("task_number").alias("child"), "gen")
+    last = nodes.groupBy("gen").agg(F.count("*").alias("n")).agg(F.max("gen").alias("gen"))
+    late = nodes.join(F.broadcast(last), "gen").select(F.col("task_number").alias("parent"))
+    edges = edges.join(late, "parent", "left_anti")
     seeds = edges.select(F.col("parent").alias("task_number")).distinct().join(nodes, "task_number", "left_anti").withColumn("gen", F.lit(-1).cast("bigint"))
     return nodes.select("task_number", F.col("gen").cast("bigint").alias("gen")).unionByName(seeds), edges
 
 
-def model_tree(edges: DataFrame, models: DataFrame) -> DataFrame:
-    """Edges whose parent is known."""
-    return edges.join(models.select(F.col("model_path").alias("parent")), "parent", "left_semi")
+def model_tree(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes: model, gen, is_seed; edges: parent, child) of a table of parents.
+
+    Nodes are all children and parents; seeds have generation -1. An edge needs a parent that is a child itself or a seed.
+    """
+    names = edges.select(F.col("child").alias("model")).union(edges.select("parent")).distinct()
+    seed = is_seed_label(F.col("model"))
+    nodes = names.select("model", F.when(seed, F.lit(-1)).otherwise(generation(F.col("model"))).cast("bigint").alias("gen"), seed.alias("is_seed"))
+    known = edges.select(F.col("child").alias("parent")).union(nodes.where("is_seed").select(F.col("model").alias("parent"))).distinct()
+    return nodes, edges.join(known, "parent", "left_semi").select("parent", "child")
 
 
 def change_points(pools: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -133,6 +133,7 @@ def synced(skills: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(skills in the pool, missing): missing lists per model the pool tasks without a score; it must be one set for all."""
     kept = skills.join(pool.select("task_number"), "task_number", "left_semi")
     had = kept.groupBy("ord").agg(F.collect_set("task_number").alias("had"))
+    had = skills.select("ord").distinct().join(had, "ord", "left").withColumn("had", F.coalesce("had", F.array().cast("array<bigint>")))
     all_ = pool.agg(F.array_sort(F.collect_set("task_number")).alias("all"))
     missing = had.join(F.broadcast(all_), F.lit(True)).select("ord", F.array_except("all", "had").alias("missing"))
     return kept, missing
@@ -148,6 +149,24 @@ def merged_scores(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("ord", "task_number").agg(F.max_by("score", "age").alias("score"))
 
 
+def merged_evaluations(archive: DataFrame, results: DataFrame) -> DataFrame:
+    """The archive after a new evaluation: ord, skills (map), details, fitness.
+
+    ``archive`` and ``results``: ord, skills (map of task to score), details. New scores replace old ones of the same
+    task, new details follow the old ones; fitness is the mean of all scores, also of a model without a result, and 0
+    without scores.
+    """
+    new = results.select("ord", F.col("skills").alias("new_skills"), F.col("details").alias("new_details"))
+    both = archive.join(new, "ord", "left")
+    none = F.create_map().cast("map<string,double>")
+    scores = F.coalesce("new_skills", none)
+    old = F.map_filter(F.coalesce("skills", none), lambda k, x: ~F.map_contains_key(scores, k))
+    details = archive.schema["details"].dataType
+    rows = both.select("ord", F.map_concat(old, scores).alias("skills"), F.concat(*(F.coalesce(c, F.array().cast(details)) for c in ("details", "new_details"))).alias("details"))
+    values = F.map_values("skills")
+    return rows.withColumn("fitness", F.coalesce(F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values)), F.lit(0.0)))
+
+
 def resumed(pools: DataFrame, valid: DataFrame) -> DataFrame:
     """gen, task_number, next_number: the newest snapshot all of whose tasks are valid, and the number for the next task."""
     bad = pools.join(valid.select("task_number"), "task_number", "left_anti").select("gen").distinct()
@@ -166,13 +185,13 @@ def novel_candidates(candidates: DataFrame, similar: DataFrame, verdicts: DataFr
     return free.unionByName(close.join(verdicts.where("verdict = 'Yes'").select("candidate"), "candidate", "left_semi"))
 
 
-def initial_queue(candidates: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """The first ``size`` accepted candidates in order: those that no earlier candidate, accepted or not, is similar to.
+def initial_queue(candidates: DataFrame, close: DataFrame, size: int, verdicts: DataFrame | None = None) -> DataFrame:
+    """The first ``size`` accepted candidates in order: those that no earlier candidate, accepted or not, is similar to,
+    or that a judge calls new all the same.
 
-    ``pairs``: candidate, earlier (places of similar ones).
+    ``close``: candidates with a similar earlier one. ``verdicts``: candidate, verdict (Yes accepts).
     """
-    hit = pairs.where("earlier < candidate").select("candidate").distinct()
-    good = candidates.join(hit, "candidate", "left_anti")
+    good = novel_candidates(candidates, close, verdicts)
     return good.withColumn("place", F.row_number().over(Window.orderBy("candidate"))).where(F.col("place") <= size)
 
 

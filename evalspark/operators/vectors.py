@@ -17,7 +17,8 @@ from evalspark.functions.text import safe_id
 
 
 def embedded(rows: DataFrame, text: str, embed: Callable[[pd.Series], list], dim: int) -> DataFrame:
-    """rows with an embedding from a batch function (a model or a service); a text that fails gets the zero vector."""
+    """rows with an embedding from a batch function (a model or a service), and whether it ``failed``: a text that fails
+    gets the zero vector."""
     columns = rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -31,10 +32,12 @@ def embedded(rows: DataFrame, text: str, embed: Callable[[pd.Series], list], dim
                         vectors.append(list(embed(batch[text].iloc[i : i + 1]))[0])
                     except Exception:
                         vectors.append(None)
-            yield batch.assign(embedding=[[0.0] * dim if v is None or len(v) != dim else [float(x) for x in v] for v in vectors])[[*columns, "embedding"]]
+            failed = [v is None or len(v) != dim for v in vectors]
+            filled = [[0.0] * dim if f else [float(x) for x in v] for v, f in zip(vectors, failed, strict=True)]
+            yield batch.assign(embedding=filled, failed=failed)[[*columns, "embedding", "failed"]]
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{kinds}, embedding array<float>")
+    return rows.mapInPandas(run, f"{kinds}, embedding array<float>, failed boolean")
 
 
 def hashed_embedding(text: Column, dim: int) -> Column:
@@ -68,6 +71,22 @@ def added(store: DataFrame, new: DataFrame, dim: int) -> tuple[DataFrame, DataFr
     return store.unionByName(good), judged.where("reason is not null").select("sample_id", "reason")
 
 
+def got(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with the given ids, which are made safe first."""
+    return store.join(ids.select(safe_id(F.col("sample_id")).alias("sample_id")).distinct(), "sample_id", "left_semi")
+
+
+def listed(store: DataFrame, limit: int | None = None, benchmark: str | None = None) -> DataFrame:
+    """Rows by id, the first ``limit`` of them, of one benchmark if asked for."""
+    rows = store if benchmark is None else store.where(F.try_element_at("metadata", F.lit("benchmark")) == benchmark)
+    rows = rows.orderBy("sample_id")
+    return rows if limit is None else rows.limit(limit)
+
+
+def counted(store: DataFrame) -> DataFrame:
+    return store.agg(F.count("*").alias("n"))
+
+
 def deleted(store: DataFrame, ids: DataFrame) -> DataFrame:
     return store.join(ids.select(safe_id(F.col("sample_id")).alias("sample_id")), "sample_id", "left_anti")
 
@@ -126,8 +145,10 @@ def find_similar(store: DataFrame, queries: DataFrame, top_n: int | None, thresh
                 sim = np.divide(q @ v.T, norm, out=np.zeros((len(q), len(v))), where=norm > 0)
                 ids, out = np.asarray(x.ids), []
                 for i, name in enumerate(x.asked):
-                    best = np.lexsort((ids, -sim[i]))[:top_n]
-                    best = best[sim[i][best] >= threshold]
+                    good = np.flatnonzero(sim[i] >= threshold)
+                    if top_n is not None and len(good) > top_n:  # the best ones, and all that tie with the last of them
+                        good = good[sim[i][good] >= np.partition(sim[i][good], len(good) - top_n)[len(good) - top_n]]
+                    best = good[np.lexsort((ids[good], -sim[i][good]))[:top_n]]
                     out.append(pd.DataFrame({"query_id": name, "sample_id": ids[best], "similarity": sim[i][best]}))
                 yield pd.concat(out)
 
@@ -139,8 +160,47 @@ def find_similar(store: DataFrame, queries: DataFrame, top_n: int | None, thresh
     return near.withColumn("rank", rank).where(F.col("rank") <= top_n)
 
 
-def similarity_pairs(vectors: DataFrame, key: str) -> DataFrame:
-    """a, b, similarity of every pair a <= b with one ``key`` (a small set such as one generation): norms get 1e-8."""
+def with_earlier(vectors: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+    """sample_id of the vectors that are similar, at the threshold or above, to one with a smaller sample_id.
+
+    Exact: ranges of ids in order, every block of one against every block before it, as matrix products. A task takes
+    a block and all before it in turn and gives back one row for a vector at most.
+    """
+    n = vectors.count()
+    blocks = max(1, -(-n // block))
+    cut = vectors.select("sample_id", F.col("embedding").cast("array<double>").alias("v"))
+    bounds = cut.stat.approxQuantile("sample_id", [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
+    number = F.lit(0)
+    if bounds:
+        number = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b <= F.col("sample_id").cast("double")))
+    item = F.array_sort(F.collect_list(F.struct(F.col("sample_id").alias("id"), "v")))
+    per = cut.groupBy(number.cast("long").alias("block")).agg(item.alias("x"))
+    packed = per.select("block", F.transform("x", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("x", lambda x: x["v"])).alias("rows"))
+    right = packed.select("block", F.col("ids").alias("asked"), F.col("rows").alias("asks"))
+    left = packed.select(F.col("block").alias("other"), "ids", "rows")
+    pairs = right.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block")))).join(left, "other")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in batch.itertuples():
+                q, v = np.asarray(x.asks).reshape(len(x.asked), -1), np.asarray(x.rows).reshape(len(x.ids), -1)
+                norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+                sim = np.divide(q @ v.T, norm, out=np.zeros((len(q), len(v))), where=norm > 0)
+                hit = ((sim >= threshold) & (np.asarray(x.ids)[None, :] < np.asarray(x.asked)[:, None])).any(1)
+                yield pd.DataFrame({"sample_id": np.asarray(x.asked)[hit]})
+
+    kind = vectors.schema["sample_id"].dataType.simpleString()
+    return pairs.select("asked", "asks", "ids", "rows").mapInPandas(run, f"sample_id {kind}").distinct()
+
+
+def similarity_pairs(vectors: DataFrame, key: str, most: int = 20_000) -> DataFrame:
+    """a, b, similarity of every pair a <= b with one ``key`` (a set such as one generation): norms get 1e-8.
+
+    The whole matrix is the result, so a key with more than ``most`` vectors is an error; ``gram_entropy`` needs no matrix.
+    """
+    large = vectors.groupBy(key).count().where(F.col("count") > most).limit(1).collect()
+    if large:
+        raise ValueError(f"a matrix of {large[0]['count']} vectors")
     unit = vectors.withColumn("u", F.transform("embedding", lambda x: x.cast("double") / (F.sqrt(dot(F.col("embedding"), F.col("embedding"))) + F.lit(1e-8))))
     a = unit.select(key, F.col("vec_id").alias("a"), F.col("u").alias("ua"))
     b = unit.select(key, F.col("vec_id").alias("b"), F.col("u").alias("ub"))

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from evalspark.operators import coverage as c
 from evalspark.plans.registry import query
+from evalspark.plans.sources import result_files
+from evalspark.sources import harness
 
 PER = "per AS (SELECT benchmark, filter, sample_id, count(*) FILTER (correct) AS solvers, min(model_name) FILTER (correct) AS a_solver FROM samples GROUP BY ALL)"
 SETS = """sets AS (
@@ -53,9 +55,11 @@ def shares(v):
     return c.contributions(v.samples).select(*c.KEYS, "model_name", "contribution_share", "unique_percent")
 
 
-@query("c08_individual_accuracies", "SELECT benchmark, filter, model_name, count(*) FILTER (correct) AS solved, count(*) FILTER (correct) / count(*) AS accuracy FROM samples GROUP BY ALL")
+@query("c08_individual_accuracies", "SELECT benchmark, model_name, count(*) FILTER (correct) / count(*) AS accuracy FROM samples WHERE filter = 'F' AND NOT (benchmark = 'N' AND ord % 3 = 0) GROUP BY ALL")
 def individual(v):
-    return v.samples.groupBy(*c.KEYS, "model_name").agg(F.count_if("correct").alias("solved"), (F.count_if("correct") / F.count("*")).alias("accuracy"))
+    """From result files, some of whose values are null."""
+    files = harness.read_results(v.spark, result_files(v, F.when(~((F.col("benchmark") == "N") & (F.col("ord") % 3 == 0)), 1.0)))
+    return c.individual_accuracies(files, {b: "exact_match,F" for b in "ANR"})
 
 
 @query("c09_benchmark_sweep", f"WITH {PER}, m AS (SELECT benchmark, filter, count(DISTINCT model_name) AS models FROM samples GROUP BY ALL) SELECT benchmark, filter, count(*) AS num_samples, count(*) FILTER (solvers > 0) AS covered, count(*) FILTER (solvers > models / 2) AS majority, count(*) FILTER (solvers = 1) AS unique_solved FROM per JOIN m USING (benchmark, filter) GROUP BY ALL")
@@ -80,6 +84,18 @@ def baseline(v):
     return c.sweep(v.samples, c.prefixes(ranked), ["n"])[0].select("n", *c.KEYS, "covered")
 
 
+EXPERTS = [f"expert_{i}" for i in range(3)]
+
+
+@query("c12_baselines", "WITH named AS (SELECT *, CASE WHEN ord < 3 THEN concat('expert_', CAST(ord AS STRING)) WHEN ord = 3 THEN 'Some-70B-of-2025b' ELSE concat('control/seed_', CAST(ord AS STRING)) END AS name FROM samples), names AS (SELECT DISTINCT name FROM named), sel AS (SELECT 'experts' AS baseline, 3 AS n, name FROM names WHERE name LIKE 'expert%' UNION ALL SELECT 'big_70B', 1, name FROM names WHERE name LIKE 'Some%' UNION ALL SELECT 'control', n, name FROM (SELECT name, row_number() OVER (ORDER BY name) AS r FROM names WHERE name LIKE 'control%') x, (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS n) k WHERE r <= n), per AS (SELECT baseline, n, benchmark, filter, sample_id, count(*) FILTER (correct) AS solvers FROM sel JOIN named USING (name) GROUP BY ALL) SELECT baseline, n, benchmark, filter, count(*) FILTER (solvers > 0) AS covered, count(*) FILTER (solvers > n / 2) AS majority, count(*) AS num_samples FROM per GROUP BY ALL")
+def baselines(v):
+    """A set of three experts, a big model and growing sets of one model's seeds; a set with an absent model is no baseline."""
+    name = F.when(F.col("ord") < 3, F.concat(F.lit("expert_"), F.col("ord").cast("string"))).when(F.col("ord") == 3, "Some-70B-of-2025b").otherwise(F.concat(F.lit("control/seed_"), F.col("ord").cast("string")))
+    rows = v.samples.withColumn("model_name", name)
+    sets = c.baselines(rows, EXPERTS, "Some-70B-of-2025b", "control/").unionByName(c.baselines(rows, [*EXPERTS, "absent"], "absent-8B", "absent"))
+    return c.sweep(rows, sets, ["baseline", "n"])[0].select("baseline", "n", *c.KEYS, "covered", "majority", "num_samples")
+
+
 @query("c13_unique_rate", f"WITH {PER} SELECT benchmark, filter, 100.0 * (count(*) FILTER (solvers = 1) / count(*)) AS unique_rate FROM per GROUP BY ALL")
 def unique_rate(v):
     return c.coverage(v.samples).select(*c.KEYS, "unique_rate")

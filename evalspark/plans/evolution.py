@@ -76,9 +76,33 @@ def tree_nodes(v):
     return e.task_tree(v.active_pool, v.tasks)[0]
 
 
-@query("j11_model_tree_edges", "SELECT child, parent FROM model_edges WHERE parent IN (SELECT model_path FROM archive)")
+@query("j11_task_tree_edges", f"WITH {FIRST} SELECT t.parent_number AS parent, t.task_number AS child FROM tasks t JOIN first f ON f.task_number = t.task_number LEFT JOIN first p ON p.task_number = t.parent_number WHERE t.parent_number IS NOT NULL AND (p.first_gen IS NULL OR p.first_gen < (SELECT max(first_gen) FROM first))")
+def task_edges(v):
+    return e.task_tree(v.active_pool, v.tasks)[1].select("parent", "child")
+
+
+PARENTS = "parents AS (SELECT child, CASE WHEN parent LIKE 'gen_0%' THEN concat('Seed-', substring(parent, 11)) ELSE parent END AS parent FROM model_edges)"
+
+
+def parents(v):
+    """Models of generation 0 are not themselves children; half of the edges to them name a seed instead."""
+    return v.model_edges.withColumn("parent", F.when(F.startswith("parent", F.lit("gen_0")), F.concat(F.lit("Seed-"), F.substring("parent", 11, 9))).otherwise(F.col("parent")))
+
+
+@query("j11_model_tree_nodes", f"WITH {PARENTS}, n AS (SELECT child AS model FROM parents UNION SELECT parent FROM parents) SELECT model, CASE WHEN model LIKE 'gen_%' THEN CAST(split_part(model, '_', 2) AS BIGINT) ELSE -1 END AS gen, NOT model LIKE 'gen_%' AS is_seed FROM n")
+def model_nodes(v):
+    return e.model_tree(parents(v))[0]
+
+
+@query("j11_model_tree_edges", "SELECT child, parent FROM model_edges WHERE parent IN (SELECT child FROM model_edges)")
 def tree_edges(v):
-    return e.model_tree(v.model_edges, v.archive).select("child", "parent")
+    """Parents of generation 0 are no seeds by name and have no parents: edges to them are left out."""
+    return e.model_tree(v.model_edges)[1].select("child", "parent")
+
+
+@query("j11_seeded_tree_edges", f"WITH {PARENTS} SELECT child, parent FROM parents WHERE parent IN (SELECT child FROM parents) OR parent LIKE 'Seed%'")
+def seeded_edges(v):
+    return e.model_tree(parents(v))[1].select("child", "parent")
 
 
 @query("j12_change_points", "WITH s AS (SELECT gen, string_agg(CAST(task_number AS STRING), ',' ORDER BY task_number) AS t FROM active_pool GROUP BY gen), l AS (SELECT gen, t, lag(t) OVER (ORDER BY gen) AS b FROM s) SELECT gen, row_number() OVER (ORDER BY gen) AS change FROM l WHERE b IS NULL OR b <> t")
@@ -86,7 +110,7 @@ def changes(v):
     return e.change_points(v.active_pool)[0]
 
 
-@query("j12_change_step", "SELECT 1 AS step")
+@query("j12_change_step", "WITH s AS (SELECT gen, string_agg(CAST(task_number AS STRING), ',' ORDER BY task_number) AS t FROM active_pool GROUP BY gen), l AS (SELECT gen, t, lag(t) OVER (ORDER BY gen) AS b FROM s), c AS (SELECT gen, row_number() OVER (ORDER BY gen) AS change FROM l WHERE b IS NULL OR b <> t) SELECT max(gen) FILTER (change = 3) - max(gen) FILTER (change = 2) AS step FROM c")
 def step(v):
     return e.change_points(v.active_pool)[1]
 
@@ -139,7 +163,7 @@ def not_evaluated(v):
     return k.not_evaluated(v.archive, done).select("model_path")
 
 
-@query("k05_open_benchmarks", "SELECT DISTINCT benchmark FROM samples WHERE benchmark = 'R'")
+@query("k05_open_benchmarks", "WITH stored AS (SELECT DISTINCT benchmark, method FROM samples, (SELECT unnest(['judge', 'logprob']) AS method) m WHERE NOT (benchmark = 'R' AND method = 'judge')) SELECT s.benchmark FROM (SELECT DISTINCT benchmark FROM samples) s LEFT JOIN stored t ON t.benchmark = s.benchmark GROUP BY s.benchmark HAVING count(t.method) < 2")
 def open_benchmarks(v):
     stored = v.samples.select("benchmark").distinct().withColumn("method", F.explode(F.array(F.lit("judge"), F.lit("logprob")))).where("NOT (benchmark = 'R' AND method = 'judge')")
     return k.open_benchmarks(v.samples.select("benchmark").distinct(), stored, ["judge", "logprob"])

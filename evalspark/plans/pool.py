@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.hashing import M, draw, draw_sql, uniform
 from evalspark.operators import pool as p
-from evalspark.operators.vectors import find_similar
+from evalspark.operators.vectors import with_earlier
 from evalspark.plans.registry import query
 
 RATED = """pool AS (SELECT task_number FROM active_pool WHERE gen = 2),
@@ -78,7 +78,19 @@ def uniform_parents(v):
     return p.uniform_parents(rated(v), 50, lambda k: draw(k, 2))
 
 
-@query("g10_biased_parents")
+G10 = f"""WITH {RATED}, r AS (SELECT task_number, rate, difficulty, row_number() OVER (PARTITION BY difficulty ORDER BY {draw_sql('task_number', 5)}, task_number) AS at_ FROM classed),
+  c AS (SELECT count(*) FILTER (difficulty = 'impossible') AS imp, count(*) FILTER (difficulty IN ('hard', 'easy')) AS he, count(*) FILTER (difficulty = 'medium') AS med FROM r),
+  q AS (SELECT least(60, imp) AS first, least(60 - least(60, imp), he) AS second, med FROM c),
+  w AS (SELECT task_number, abs(rate - 0.5) + 0.000001 AS w FROM r WHERE difficulty IN ('hard', 'easy')),
+  bands AS (SELECT task_number, sum(w) OVER (ORDER BY task_number) - w AS lo, sum(w) OVER (ORDER BY task_number) AS hi, sum(w) OVER () AS total FROM w),
+  d AS (SELECT id AS draw, {draw_sql('id', 6)} / {float(M)} AS u FROM (SELECT unnest(range(0, 60)) AS id) x, q WHERE id < second),
+  every AS (SELECT 1 AS phase, at_, task_number, 'impossible' AS how FROM r, q WHERE difficulty = 'impossible' AND at_ <= first
+    UNION ALL SELECT 2, draw, task_number, 'weighted' FROM d JOIN bands ON u * total >= lo AND u * total < hi
+    UNION ALL SELECT 3, at_, task_number, 'medium' FROM r, q WHERE difficulty = 'medium' AND at_ <= least(60 - first - second, med))
+SELECT row_number() OVER (ORDER BY phase, at_) AS slot, task_number, how FROM every"""
+
+
+@query("g10_biased_parents", G10)
 def biased_parents(v):
     return p.biased_parents(rated(v), 60, lambda k: draw(k, 5), lambda k: uniform(k, 6), impossible=True)
 
@@ -98,7 +110,7 @@ def synced(v):
     return kept.groupBy("ord").agg(F.count("*").alias("n"), F.sum("points").alias("points"))
 
 
-@query("g12_missing_tasks", "WITH g AS (SELECT m.ord, a.task_number FROM (SELECT DISTINCT ord FROM points WHERE task_number IN (SELECT task_number FROM active_pool WHERE gen = 0)) m CROSS JOIN active_pool a WHERE a.gen = 0) SELECT g.ord, count(*) FILTER (p.ord IS NULL) AS missing FROM g LEFT JOIN points p ON p.ord = g.ord AND p.task_number = g.task_number GROUP BY g.ord")
+@query("g12_missing_tasks", "WITH g AS (SELECT m.ord, a.task_number FROM (SELECT DISTINCT ord FROM points) m CROSS JOIN active_pool a WHERE a.gen = 0) SELECT g.ord, count(*) FILTER (p.ord IS NULL) AS missing FROM g LEFT JOIN points p ON p.ord = g.ord AND p.task_number = g.task_number GROUP BY g.ord")
 def missing(v):
     return p.synced(v.points, v.active_pool.where("gen = 0"))[1].select("ord", F.size("missing").cast("bigint").alias("missing"))
 
@@ -109,6 +121,24 @@ def merged(v):
     return p.merged_scores(old, old.where("not solved").withColumn("score", F.col("score") + 100))
 
 
+@query("g13_merged_evaluations", "WITH m AS (SELECT ord, task_number, CASE WHEN NOT solved AND ord < 20 THEN points + 100 ELSE points END AS score, CASE WHEN NOT solved AND ord < 20 THEN 1 ELSE 0 END AS again FROM points) SELECT ord, count(*) AS tasks, CAST(sum(score) AS BIGINT) AS total, count(*) + sum(again) AS details, round(avg(score), 6) AS fitness FROM m GROUP BY ord")
+def merged_evaluations(v):
+    """Models from 20 on have no result; their fitness is worked out anew all the same."""
+    def evaluation(rows, add: int):
+        entry = F.struct(F.col("task_number").cast("string").alias("k"), (F.col("points") + add).cast("double").alias("v"))
+        detail = F.collect_list(F.struct(F.col("task_number").cast("string").alias("task_id")))
+        return rows.groupBy("ord").agg(F.map_from_entries(F.collect_list(entry)).alias("skills"), detail.alias("details"))
+
+    merged = p.merged_evaluations(evaluation(v.points, 0), evaluation(v.points.where("not solved and ord < 20"), 100))
+    total = F.aggregate(F.map_values("skills"), F.lit(0.0), lambda a, x: a + x).cast("bigint")
+    return merged.select("ord", F.size("skills").cast("bigint").alias("tasks"), total.alias("total"), F.size("details").cast("bigint").alias("details"), F.round("fitness", 6).alias("fitness"))
+
+
+@query("g12_same_missing", "WITH g AS (SELECT m.ord, string_agg(CASE WHEN p.ord IS NULL THEN CAST(a.task_number AS STRING) END, ',' ORDER BY a.task_number) AS missing FROM (SELECT DISTINCT ord FROM points) m CROSS JOIN (SELECT task_number FROM active_pool WHERE gen = 0) a LEFT JOIN points p ON p.ord = m.ord AND p.task_number = a.task_number GROUP BY m.ord) SELECT count(DISTINCT coalesce(missing, '')) <= 1 AS same FROM g")
+def same_missing(v):
+    return p.same_missing(p.synced(v.points, v.active_pool.where("gen = 0"))[1])
+
+
 @query("g14_resumed_pool", "WITH valid AS (SELECT task_number FROM active_pool WHERE gen = 3), good AS (SELECT gen FROM active_pool GROUP BY gen HAVING bool_and(task_number IN (SELECT task_number FROM valid))) SELECT gen, task_number, (SELECT max(task_number) + 1 FROM valid) AS next_number FROM active_pool WHERE gen = (SELECT max(gen) FROM good)")
 def resumed(v):
     return p.resumed(v.active_pool, v.active_pool.where("gen = 3").select("task_number"))
@@ -123,9 +153,13 @@ NEAR = "near AS (SELECT a.vec_id AS candidate, b.vec_id AS earlier FROM embeddin
 
 
 def near(v):
-    rows = v.embeddings.select(F.col("vec_id").alias("sample_id"), "embedding")
-    hits = find_similar(rows, rows.withColumnRenamed("sample_id", "query_id"), None, 0.35)
-    return hits.where("sample_id < query_id").select(F.col("query_id").alias("candidate"), F.col("sample_id").alias("earlier"))
+    return with_earlier(v.embeddings.select(F.col("vec_id").alias("sample_id"), "embedding"), 0.35).select(F.col("sample_id").alias("candidate"))
+
+
+@query("g16_judged_queue", f"WITH {NEAR}, good AS (SELECT vec_id AS candidate, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings WHERE vec_id NOT IN (SELECT candidate FROM near) OR label = 3) SELECT candidate, place FROM good WHERE place <= 10")
+def judged_queue(v):
+    c = v.embeddings.select(F.col("vec_id").alias("candidate"), F.when(F.col("label") == 3, "Yes").otherwise("No").alias("verdict"))
+    return p.initial_queue(c.select("candidate"), near(v), 10, c)
 
 
 @query("g16_novelty_gate", f"WITH {NEAR} SELECT vec_id AS candidate FROM embeddings WHERE vec_id NOT IN (SELECT candidate FROM near) OR label = 3")

@@ -101,13 +101,15 @@ def flattened(v):
     return v.samples.select("model_name").distinct().select("model_name", harness.flattened_path(path).alias("path"))
 
 
-def result_files(v) -> str:
-    """A result file per model: results and groups of each benchmark, with one metric per filter."""
-    per = v.samples.groupBy("model_name", "benchmark", "filter").agg((F.count_if("correct") / F.count("*")).alias("x"))
+def result_files(v, times=None) -> str:
+    """A result file per model: results and groups of each benchmark, with one metric per filter (``times``, null is a
+    null value in the file)."""
+    per = v.samples.groupBy("model_name", "ord", "benchmark", "filter").agg((F.count_if("correct") / F.count("*")).alias("x"))
+    per = per if times is None else per.withColumn("x", F.col("x") * times)
     metric = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("exact_match,"), "filter"), "x")))
     per = per.groupBy("model_name", "benchmark").agg(metric.alias("m")).groupBy("model_name").agg(F.map_from_entries(F.collect_list(F.struct("benchmark", "m"))).alias("results"))
     path = place(v, "results")
-    write_named(per.select(F.col("model_name").alias("folder"), F.lit("results_2025.json").alias("name"), F.to_json(F.struct("results", F.col("results").alias("groups"))).alias("value")), path)
+    write_named(per.select(F.col("model_name").alias("folder"), F.lit("results_2025.json").alias("name"), F.to_json(F.struct("results", F.col("results").alias("groups")), {"ignoreNullFields": "false"}).alias("value")), path)
     return path
 
 

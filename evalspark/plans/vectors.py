@@ -56,6 +56,27 @@ def rejected(v):
     return o.added(old, rows, 64)[1]
 
 
+@query("h04_get", "SELECT concat('d_', CAST(doc_id AS STRING)) AS sample_id, md5(text) AS digest FROM documents WHERE lang = 'es'")
+def get(v):
+    rows = store(v).withColumn("sample_id", F.replace("sample_id", F.lit("/"), F.lit("_")))
+    return o.got(rows, store(v).where("metadata['subgroup'] = 'es'")).select("sample_id", F.md5("content").alias("digest"))
+
+
+@query("h04_list", "SELECT concat('d/', CAST(doc_id AS STRING)) AS sample_id FROM documents ORDER BY concat('d/', CAST(doc_id AS STRING)) LIMIT 25")
+def first(v):
+    return o.listed(store(v), 25).select("sample_id")
+
+
+@query("h04_count", "SELECT count(*) AS n FROM documents")
+def count(v):
+    return o.counted(store(v))
+
+
+@query("h14_list", "SELECT concat('d/', CAST(doc_id AS STRING)) AS sample_id, source AS benchmark FROM documents WHERE source = 'src1' ORDER BY concat('d/', CAST(doc_id AS STRING)) LIMIT 20")
+def of_benchmark(v):
+    return o.listed(store(v), 20, "src1").select("sample_id", F.col("metadata")["benchmark"].alias("benchmark"))
+
+
 @query("h04_delete", "SELECT concat('d_', CAST(doc_id AS STRING)) AS sample_id FROM documents WHERE lang <> 'de'")
 def delete(v):
     rows = store(v)

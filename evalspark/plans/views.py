@@ -22,7 +22,7 @@ SELECT l_suppkey % 8 AS gen, CAST((l_suppkey % 8) * 4 + (l_linenumber % 4) AS BI
 FROM lineitem GROUP BY l_suppkey % 8, l_linenumber % 4, l_partkey""",
     "active_pool": """
 SELECT g.r_regionkey AS gen, p.p_partkey AS task_number FROM region g
-JOIN part p ON (p.p_partkey + g.r_regionkey * 7) % 3 <> 0 AND p.p_partkey <= 100 + 20 * g.r_regionkey""",
+JOIN part p ON g.r_regionkey >= p.p_size % 5 AND g.r_regionkey <= p.p_size % 5 + p.p_size % 3""",
     "tasks": """
 SELECT p_partkey AS task_number, concat('task_', CAST(p_partkey AS STRING), '_', lower(replace(p_name, ' ', '_'))) AS task_id,
   CASE WHEN p_partkey > 4 THEN CAST(floor(p_partkey / 2) AS BIGINT) END AS parent_number,
