@@ -6,9 +6,15 @@ population squared and stay small; tasks may be many, so pairs are aggregated ov
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.operators.skills import POPULATION_MAX
+
 #: Positions of one packed word.
 WORD_BITS = 62
 
@@ -41,8 +47,10 @@ def fitter(models: DataFrame) -> DataFrame:
     """s, f: for each model s the models f that count as fitter.
 
     Up to the first fittest place these are strictly fitter; behind it, those of equal or higher fitness and another
-    path. A theta join of the population with itself.
+    path. A theta join of the population with itself, whose size is checked.
     """
+    if models.limit(POPULATION_MAX + 1).count() > POPULATION_MAX:
+        raise ValueError(f"a population of more than {POPULATION_MAX} models")
     p = first_fittest(models)
     s = models.select(F.col("ord").alias("s"), F.col("fitness").alias("sf"), F.col("model_path").alias("sp")).join(F.broadcast(p), F.lit(True))
     f = models.select(F.col("ord").alias("f"), F.col("fitness").alias("ff"), F.col("model_path").alias("fp"))
@@ -50,6 +58,31 @@ def fitter(models: DataFrame) -> DataFrame:
     return s.join(f, rule).select("s", "f")
 
 
+def weighted_sums(bits: DataFrame, weights: DataFrame) -> DataFrame:
+    """s, f, num, den, full for all pairs of models: sums of the weights of positions that s solves and f does not, that
+    f does not solve, and that both have.
+
+    A position is one row with its models; batches of positions are 0-1 matrices, whose products are summed.
+    """
+    item = F.collect_list(F.struct("ord", "solved"))
+    rows = bits.groupBy("pos").agg(F.transform(item, lambda x: x["ord"]).alias("ords"), F.transform(item, lambda x: x["solved"]).alias("bits")).join(weights, "pos")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = batch["ords"].map(len).to_numpy()
+            names, place = np.unique(np.concatenate(batch["ords"].to_numpy()), return_inverse=True)
+            seen, solved = (np.zeros((len(batch), len(names))) for _ in range(2))
+            row = np.repeat(np.arange(len(batch)), n)
+            seen[row, place] = 1
+            solved[row, place] = np.concatenate(batch["bits"].to_numpy())
+            w, fails = batch["weight"].to_numpy(float)[:, None], seen - solved
+            s, f = (x.ravel() for x in np.meshgrid(names, names, indexing="ij"))
+            yield pd.DataFrame({"s": s, "f": f, "num": ((solved * w).T @ fails).ravel(), "den": ((seen * w).T @ fails).ravel(), "full": ((seen * w).T @ seen).ravel()})
+
+    parts = rows.select("ords", "bits", "weight").mapInPandas(run, "s long, f long, num double, den double, full double")
+    return parts.groupBy("s", "f").agg(*(F.sum(c).alias(c) for c in ("num", "den", "full")))
+
+
 def pair_ratios(bits: DataFrame, pairs: DataFrame, weights: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """s, f, ratio and ratio_full: 100 * what s solves and f does not, over what f does not solve, or over everything.
 
@@ -69,15 +102,7 @@ def pair_ratios(bits: DataFrame, pairs: DataFrame, weights: DataFrame | None = N
             F.sum(F.bit_count(F.col("ss").bitwiseAND(free))).alias("num"), F.sum(F.bit_count(free)).alias("den"), F.sum(F.bit_count("seen")).alias("full")
         )
     else:
-        s = bits.select(F.col("ord").alias("s"), "pos", F.col("solved").alias("ss")).join(weights, "pos")
-        f = bits.select(F.col("ord").alias("f"), "pos", F.col("solved").alias("fs"))
-        rows = pairs.join(s, "s").join(f, ["f", "pos"])
-        zero = F.lit(0.0)
-        sums = rows.groupBy("s", "f").agg(
-            F.sum(F.when(F.col("ss") & ~F.col("fs"), F.col("weight")).otherwise(zero)).alias("num"),
-            F.sum(F.when(~F.col("fs"), F.col("weight")).otherwise(zero)).alias("den"),
-            F.sum("weight").alias("full"),
-        )
+        sums = pairs.join(weighted_sums(bits, weights), ["s", "f"])
     part = lambda d: F.when(F.col(d) > 0, 100.0 * F.col("num") / F.col(d)).otherwise(0.0)
     return sums.select("s", "f", part("den").alias("ratio"), part("full").alias("ratio_full"))
 

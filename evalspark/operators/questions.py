@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.functions.hashing import draw
 from evalspark.functions.text import without_options
 
 LETTERS = "ABCDEFGHIJ"
@@ -59,38 +60,82 @@ FORMATS: dict[str, tuple[str, str | None]] = {
 }
 
 
+#: The question type of each data set.
+TYPES = {
+    "mmlu": "multiple_choice",
+    "mmlu_pro": "multiple_choice",
+    "bbh": "reasoning",
+    "math": "math_problem",
+    "gsm8k": "math_word_problem",
+    "humaneval": "code_generation",
+    "mbpp": "code_generation",
+    "gpqa": "multiple_choice",
+}
+
+
 def formatted(rows: DataFrame, dataset: str) -> DataFrame:
     text, choices = FORMATS[dataset]
+    if choices == "shuffled":
+        rows = rows.withColumn("shuffled", gpqa_choices()[0])
     body = without_options(F.col(text)) if dataset == "bbh" else F.col(text)
     return rows.withColumn("content", F.trim(body, F.lit(" \n")) if choices is None else with_options(body, F.col(choices)))
 
 
 def final_answer(solution: Column) -> Column:
-    """What stands behind the last ``####``."""
-    return F.trim(F.substring_index(solution, "####", -1), F.lit(" \n"))
+    """What stands behind the last ``####``; the whole answer without one."""
+    return F.when(F.contains(solution, F.lit("####")), F.trim(F.substring_index(solution, "####", -1), F.lit(" \n"))).otherwise(solution)
 
 
-def metadata(dataset: str, row: dict[str, Column]) -> Column:
-    """Metadata map of a question; ``row`` names the columns a data set has."""
-    items: list[Column] = [F.lit("benchmark"), F.lit(dataset)]
-    if "choices" in row:
-        index = row["answer_index"]
-        items += [F.lit("type"), F.lit("multiple_choice"), F.lit("answer_index"), index.cast("string"), F.lit("answer_letter"), F.substring(F.lit(LETTERS), index + 1, F.lit(1)), F.lit("answer"), F.try_element_at(row["choices"], index + 1), F.lit("num_choices"), F.size(row["choices"]).cast("string")]
-    elif "solution" in row:
-        items += [F.lit("type"), F.lit("open"), F.lit("answer"), final_answer(row["solution"])]
-    elif "tests" in row:
-        items += [F.lit("type"), F.lit("code"), F.lit("num_tests"), F.size(row["tests"]).cast("string")]
-    if "subgroup" in row:
-        items += [F.lit("subgroup"), row["subgroup"]]
-    return F.create_map(*items)
+def letter(index: Column) -> Column:
+    return F.substring(F.lit(LETTERS), index + 1, F.lit(1))
 
 
 def shuffled_choices(correct: Column, wrong: Sequence[Column], key: Column) -> tuple[Column, Column]:
-    """(choices in an order that depends on the question alone, letter of the correct one)."""
-    item = lambda c, right: F.struct(F.xxhash64(key, c).alias("h"), c.alias("c"), F.lit(right).alias("right"))
-    order = F.array_sort(F.array(item(correct, True), *(item(w, False) for w in wrong)))
-    at = F.array_position(F.transform(order, lambda x: x["right"]), True).cast("int")
-    return F.transform(order, lambda x: x["c"]), F.substring(F.lit(LETTERS), at, F.lit(1))
+    """(choices in an order that depends on the question's number alone, place of the correct one from 0)."""
+    every = [correct, *wrong]
+    item = lambda i, c: F.struct(draw(key * len(every) + i, 9).alias("h"), F.lit(i).alias("i"), c.alias("c"))
+    order = F.array_sort(F.array(*(item(i, c) for i, c in enumerate(every))))
+    return F.transform(order, lambda x: x["c"]), F.array_position(F.transform(order, lambda x: x["i"]), 0).cast("int") - 1
+
+
+def gpqa_choices() -> tuple[Column, Column]:
+    return shuffled_choices(F.col("Correct Answer"), [F.col(f"Incorrect Answer {i}") for i in (1, 2, 3)], F.col("idx"))
+
+
+def metadata(rows: DataFrame, dataset: str) -> DataFrame:
+    """``rows`` of a data set, with the column names it is published with, and their metadata map.
+
+    Every map has benchmark, question_type and, where there is one, subgroup; the rest is what the data set tells about
+    answers. Optional columns that are absent have no entry; lists are JSON.
+    """
+    col, have = F.col, set(rows.columns)
+    text = lambda c: col(c).cast("string")
+    fields: dict[str, Column]
+    if dataset == "mmlu":
+        fields = {"answer_index": text("answer"), "answer_letter": letter(col("answer")), "answer_text": F.try_element_at("choices", col("answer") + 1), "num_choices": F.size("choices").cast("string")}
+    elif dataset == "mmlu_pro":
+        fields = {"answer_letter": text("answer"), "answer_index": text("answer_index"), "num_choices": F.size("options").cast("string"), **optional(have, original_question_id="question_id", source="src")}
+    elif dataset == "bbh":
+        fields = {"answer": text("target")}
+    elif dataset == "math":
+        fields = optional(have, difficulty="level", solution="solution", category_from_data="type")
+    elif dataset == "gsm8k":
+        fields = {"answer": final_answer(col("answer")), "full_solution": text("answer")}
+    elif dataset == "humaneval":
+        fields = {"task_id": text("task_id"), "entry_point": text("entry_point"), "language": F.lit("python"), **optional(have, canonical_solution="canonical_solution")}
+    elif dataset == "mbpp":
+        fields = {"task_id": text("task_id"), "language": F.lit("python"), **optional(have, canonical_solution="code")}
+        fields |= {"test_cases": F.to_json("test_list")} if "test_list" in have else {}
+    else:
+        at = gpqa_choices()[1]
+        given = lambda c: text(c) if c in have else F.lit("")
+        fields = {"answer_index": at.cast("string"), "answer_letter": letter(at), "answer_text": text("Correct Answer"), "num_choices": F.lit("4"), "subdomain": given("Subdomain"), "difficulty": given("Writer's Difficulty Estimate")}
+    head = {"benchmark": F.lit(dataset), "question_type": F.lit(TYPES[dataset])} | optional(have, subgroup="subgroup")
+    return rows.withColumn("metadata", F.create_map(*(x for k, c in {**head, **fields}.items() for x in (F.lit(k), c))))
+
+
+def optional(have: set[str], **columns: str) -> dict[str, Column]:
+    return {k: F.col(c).cast("string") for k, c in columns.items() if c in have}
 
 
 def question_store(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:

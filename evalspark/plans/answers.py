@@ -52,7 +52,20 @@ def pair_verdicts(v):
     return left.join(right, "sample_id").where("a < b").withColumn("winner", F.pmod(F.col("sample_id") + F.col("a") + F.col("b"), F.lit(3)) - 1)
 
 
-@query("l05_tournament")
+def tournament_sql(rounds: int) -> str:
+    """Every round as three queries: places by draw, pairs of neighbours, and those that stay."""
+    text, left = [], "samples"
+    for k in range(rounds):
+        where = "benchmark, filter, sample_id"
+        text.append(f"p{k} AS (SELECT {where}, ord, (row_number() OVER (PARTITION BY {where} ORDER BY {draw_sql('sample_id * 64 + ord', k)}, ord) - 1) // 2 AS match_ FROM {left})")
+        text.append(f"m{k} AS (SELECT {where}, match_, min(ord) AS a, max(ord) AS b FROM p{k} GROUP BY ALL)")
+        won = f"CASE WHEN a < b AND (sample_id + a + b) % 3 > 0 THEN (sample_id + a + b) % 3 - 1 ELSE {draw_sql('sample_id + match_', 100 + k)} % 2 END"
+        text.append(f"r{k} AS (SELECT {where}, CASE WHEN {won} = 0 THEN a ELSE b END AS ord FROM m{k})")
+        left = f"r{k}"
+    return f"WITH {', '.join(text)} SELECT benchmark, filter, sample_id, model_name, correct FROM {left} JOIN samples USING (benchmark, filter, sample_id, ord)"
+
+
+@query("l05_tournament", tournament_sql(5))
 def tournament(v):
     return a.tournament(v.samples, pair_verdicts(v), draw, 5)
 

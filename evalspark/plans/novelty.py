@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from evalspark.operators import novelty as n
 from evalspark.operators.skills import difficulty_weights
 from evalspark.plans.registry import query
-from evalspark.plans.skills import BITS, bits_of
+from evalspark.plans.skills import BITS, bits_of as grid_bits
+from evalspark.sources.tables import Tables
 
 MODELS = "models AS (SELECT ord, model_path, CAST(round(fitness * 20) AS BIGINT) AS fitness FROM archive)"
 FITTER = """p AS (SELECT min(ord) AS p FROM models WHERE fitness = (SELECT max(fitness) FROM models)),
@@ -25,7 +26,12 @@ SCORES = """ranked AS (SELECT s, ratio, row_number() OVER (PARTITION BY s ORDER
 
 
 def models(v):
-    return v.archive.select("ord", "model_path", F.round(F.col("fitness") * 20).cast("bigint").alias("fitness"))
+    """The population, written once: it is read for the fittest, for pairs and for the result."""
+    return Tables(v.spark).save(v.archive.select("ord", "model_path", F.round(F.col("fitness") * 20).cast("bigint").alias("fitness")), "models")
+
+
+def bits_of(v):
+    return Tables(v.spark).save(grid_bits(v), "bits")
 
 
 @query("e01_hamming", f"WITH {BITS} SELECT a.ord AS a, b.ord AS b, count(*) FILTER (a.solved <> b.solved) AS distance FROM bits a JOIN bits b ON a.pos = b.pos AND a.ord < b.ord GROUP BY ALL")
