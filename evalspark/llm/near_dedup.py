@@ -7,9 +7,9 @@ Every stage is a Spark job over tables that hold one small row per document, buc
 2. SuperMinHash signs the sets, bands of the signature become buckets;
 3. the most central member of each bucket is compared with the bucket's other members, links are confirmed on whole
    sets, and union-find makes components of them;
-4. what a bucket then holds outside its central component is compared with all members around that component, block
-   against block. So every pair that shares a bucket is compared or already connected, and a group of near copies
-   never emits its pairs.
+4. where buckets then hold several components, all members around a central component are joined by their rarest
+   shingles, without a loss. So every pair that shares a bucket is compared, or unlike, or already connected, and a
+   group of near copies never emits its pairs.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ class NearDedup:
     bands: int = 36
     rows: int = 6
     seed: int = 7
-    #: Expected members of one block of step 4.
-    block_rows: int = 128
+    #: Members up to which a list of step 4 gives pairs, and expected shingles of one block of longer lists.
+    list_rows: int = 64
+    block_shingles: int = 1 << 17
 
 
 def shingle_sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,12 +157,12 @@ def whole_sets(docs: DataFrame, p: NearDedup) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets meet 100 * intersection >= percent * union."""
+    """The pairs (a, b and other columns) some of whose whole sets meet 100 * intersection >= percent * union."""
     a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     sized = pairs.join(a, "a").join(b, "b").where(100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb")))
     both = F.size(F.array_intersect("sa", "sb"))
-    return sized.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return sized.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select(*pairs.columns)
 
 
 def intersections(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, columns: int = 1 << 15) -> np.ndarray:
@@ -182,22 +183,45 @@ def intersections(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarr
     return np.rint(out).astype(np.int64)
 
 
-def block_links(around: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
+def late_links(around: DataFrame, sets: DataFrame, p: NearDedup, scratch: Scratch) -> DataFrame:
     """(u, v): components that a confirmed link joins, among the members around each heart.
 
-    ``around``: heart, rep, comp. Members outside the heart's component, in blocks, meet all members, in blocks: every
-    pair of different components that shares a bucket is compared on whole sets, and a block gives back no more links
-    than it has members.
+    ``around``: heart, rep, comp. Two sets that are similar enough share one of their rarest shingles: with shingles in
+    one order, here by their frequency among these members, each has a common one among its first (100 - percent) % + 1.
+    So members meet in lists by heart and such a shingle; lists of one component, as those of unique shingles, are done.
+    Short lists give pairs, long ones are compared block against block.
     """
-    full = around.join(sets, "rep")
-    n = around.groupBy("heart").agg(F.count_if(F.col("comp") != F.col("heart")).alias("m"), F.count("*").alias("n"))
-    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / p.block_rows)).cast("int")
-    full = full.join(n.select("heart", parts("m").alias("few"), parts("n").alias("all")), "heart")
+    mine = sets.join(around.select("rep").distinct(), "rep", "left_semi")
+    flat = mine.select("rep", "digest", F.explode("shingles").alias("shingle"))
+    often = flat.groupBy("shingle").agg(F.count("*").alias("often"))
+    order = F.array_sort(F.collect_list(F.struct("often", "shingle")))
+    first = F.slice(order, 1, (F.floor(F.count("*") * (100 - p.percent) / 100) + 1).cast("int"))
+    rare = flat.join(often, "shingle").groupBy("rep", "digest").agg(first.alias("first"))
+    rare = rare.select("rep", F.explode("first").alias("x")).where("x.often > 1").select("rep", "x.shingle").distinct()
+    lists = scratch.save(around.join(rare, "rep").select(F.xxhash64("heart", "shingle").alias("list"), "rep", "comp"), "lists")
+    mixed = lists.groupBy("list").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    mixed = scratch.save(lists.join(mixed.select("list", "members"), "list"), "mixed")
+    few, many = mixed.where(F.col("members") <= p.list_rows), mixed.where(F.col("members") > p.list_rows)
+    a, b = (few.select("list", F.col("rep").alias(x), F.col("comp").alias(c)) for x, c in (("a", "u"), ("b", "v")))
+    pairs = a.join(b, "list").where("a < b and u <> v").select("a", "b", "u", "v").distinct()
+    return confirmed(scratch.save(pairs, "pairs"), sets, p.percent).select("u", "v").union(block_links(many, sets, p)).distinct()
+
+
+def block_links(lists: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
+    """The same for long lists (list, rep, comp): members outside the list's largest component, in blocks, meet all
+    members, in blocks; a block gives back no more links than it has members."""
+    sizes = lists.groupBy("list", "comp").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("list").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    full = lists.join(largest, "list").join(sets, "rep")
+    many = F.size("shingles")
+    n = full.groupBy("list").agg(F.sum(F.when(F.col("comp") != F.col("main"), many)).alias("m"), F.sum(many).alias("n"))
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / p.block_shingles)).cast("int")
+    full = full.join(n.select("list", parts("m").alias("few"), parts("n").alias("all")), "list")
     item = F.collect_list(F.struct("rep", "comp", "shingles"))
     place = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
-    left = full.where("comp <> heart").groupBy("heart", place("few").alias("x")).agg(item.alias("left"))
-    right = full.groupBy("heart", "few", place("all").alias("y")).agg(item.alias("right"))
-    right = right.select("heart", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("x"), "right")
+    left = full.where("comp <> main").groupBy("list", place("few").alias("x")).agg(item.alias("left"))
+    right = full.groupBy("list", "few", place("all").alias("y")).agg(item.alias("right"))
+    right = right.select("list", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("x"), "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,8 +239,7 @@ def block_links(around: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
                 out += forest(ca[i].tolist(), cb[j].tolist())
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
 
-    pairs = left.join(right, ["heart", "x"])
-    return pairs.select("left", "right").mapInArrow(run, "u long, v long").distinct()
+    return left.join(right, ["list", "x"]).select("left", "right").mapInArrow(run, "u long, v long")
 
 
 def forest(us: list[int], vs: list[int]) -> list[tuple[int, int]]:
@@ -303,7 +326,7 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
     scratch.drop(rows, members)
     wanted = live.select("rep").distinct()
     sets = whole_sets(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi"), p).withColumn("digest", F.xxhash64("shingles"))
-    sets = scratch.save(sets.dropDuplicates(["rep", "digest"]).drop("digest"), "sets")
+    sets = scratch.save(sets.dropDuplicates(["rep", "digest"]), "sets")
     # the most central member of each bucket against the others
     best = live.groupBy("bucket").agg(F.max(F.struct("popularity", (-F.col("rep")).alias("minus"))).alias("best"))
     pivots = scratch.save(best.select("bucket", (-F.col("best.minus")).alias("pivot")), "pivots")
@@ -318,7 +341,7 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
     placed = scratch.save(live.join(comp, "rep").join(heart, "bucket").select("bucket", "rep", "comp", "heart"), "placed")
     open_ = placed.where("comp <> heart").select("bucket").distinct()
     around = scratch.save(placed.join(open_, "bucket", "left_semi").select("heart", "rep", "comp").distinct(), "around")
-    late = scratch.save(block_links(around, sets, p), "late")
+    late = scratch.save(late_links(around, sets, p, scratch), "late")
     comp = relabelled(comp, late, scratch)
     grouped = copies.join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     alone = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -42,8 +42,8 @@ def test_whole_table_against_all_pairs(documents, k):
     assert found(documents, NearDedup(shingle_words=k)) == brute(rows, k)
 
 
-@pytest.mark.parametrize("block_rows", [4, 128])
-def test_group_of_near_copies(table, block_rows):
+@pytest.mark.parametrize("limits", [{}, {"list_rows": 1, "block_shingles": 500}, {"list_rows": 8}])
+def test_group_of_near_copies(table, limits):
     """A template with many variants, some too far from the centre but near another variant, in several blocks."""
     rng = random.Random(4)
     base = [f"w{rng.randrange(500)}" for _ in range(120)]
@@ -54,10 +54,30 @@ def test_group_of_near_copies(table, block_rows):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10_000)}"
         texts.append(" ".join(w))
     rng.shuffle(texts)
-    got = found(table(texts), NearDedup(shingle_words=2, block_rows=block_rows))
+    got = found(table(texts), NearDedup(shingle_words=2, **limits))
     assert got == brute(list(enumerate(texts)), 2)
 
 
+def test_many_outside_the_central_component(table):
+    """Buckets with a third of the table outside their central component: a template whose slots differ too much."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for group in range(40):
+        own = [f"g{group}x{i}" for i in range(30)]
+        for _ in range(4):
+            w = base[:]
+            for i, x in enumerate(own):
+                w[i * 6] = x
+            w[rng.randrange(200)] = f"y{rng.randrange(10_000)}"
+            texts.append(" ".join(w))
+    texts += [f"another text number {i} of its own" for i in range(160)]
+    # bands of one row put every pair of the template into common buckets
+    got = found(table(texts), NearDedup(shingle_words=2, bands=8, rows=1))
+    want = brute(list(enumerate(texts)), 2)
+    assert got == want and len({c for _, c in want.values()}) > 40
+
+
 def test_edges(table, spark):
     texts = [None, "", " \n\t ", "one", "One", "one two", "a b", "ONE TWO", "long " * 30_000, "long " * 30_000]
     got = found(table(texts), NearDedup(shingle_words=2))
