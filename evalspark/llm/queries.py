@@ -54,7 +54,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees are stored; personal data are taken out of the stored trees, then first lines out of those."""
     ranks = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     trees = Scratch(spark).save(built(read(spark, sf_dir, "documents"), ranks, SPLIT), "trees", compression="zstd")
-    return counted(edited(edited(trees, ranks, SPLIT, redactions), ranks, SPLIT, first_line))
+    return counted(edited(trees, ranks, SPLIT, redactions, first_line))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

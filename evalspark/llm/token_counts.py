@@ -232,9 +232,9 @@ def built(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def edited(trees: DataFrame, rank_file: str, pattern: str, policy: Callable[[str], list[dict]] | None = None) -> DataFrame:
-    """Stored trees after edits: of the column ``edits`` (array of structs at, remove, insert), or those that ``policy``
-    finds in each text.
+def edited(trees: DataFrame, rank_file: str, pattern: str, *policies: Callable[[str], list[dict]]) -> DataFrame:
+    """Stored trees after edits: of the column ``edits`` (array of structs at, remove, insert), or those that each policy
+    in turn finds in the text that it is given.
 
     Edits are in code points and applied in turn, each to the outcome of those before it; null ones are none. Only rows
     with edits are unpacked, and only pre-tokens around edits are encoded.
@@ -244,8 +244,8 @@ def edited(trees: DataFrame, rank_file: str, pattern: str, policy: Callable[[str
         c = counter_of(rank_file, pattern)
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            todo = batch.column("edits").to_pylist() if policy is None else list(map(policy, texts))
-            some = pa.array([bool(e) for e in todo], pa.bool_())
+            todo = [[] if e is None else e for e in batch.column("edits").to_pylist()] if not policies else list(map(policies[0], texts))
+            some = pa.array([bool(e) or any(policy(t) for policy in policies[1:]) for e, t in zip(todo, texts, strict=True)], pa.bool_())
             yield batch.select(NAMES).filter(pc.invert(some))
             rows = np.flatnonzero(some.to_numpy(zero_copy_only=False))
             if not len(rows):
@@ -256,11 +256,15 @@ def edited(trees: DataFrame, rank_file: str, pattern: str, policy: Callable[[str
             new, trees, counts = [], [], []
             for i, was in zip(rows.tolist(), old, strict=True):
                 tree = PieceTree(c, texts[i], part("sizes", i).tolist(), part("lens", i), part("counts", i), part("chars", i).tolist(), part("tokens", i).tolist())
-                for e in todo[i]:
-                    tree.edit(e["at"], e["remove"], e["insert"] or "")
+                n_edits = 0
+                for policy in policies or (None,):
+                    edits = todo[i] if policy is None else policy(tree.text)
+                    n_edits += len(edits)
+                    for e in edits:
+                        tree.edit(e["at"], e["remove"], e["insert"] or "")
                 new.append(tree.text)
                 trees.append((list(map(len, tree.lens)), np.concatenate(tree.lens), np.concatenate(tree.counts), tree.chars, tree.tokens))
-                counts.append((was["n_pieces"], was["tokens_before"], was["n_edits"] + len(todo[i]), tree.count, was["n_reencoded"] + tree.encoded, tree.chars[1]))
+                counts.append((was["n_pieces"], was["tokens_before"], was["n_edits"] + n_edits, tree.count, was["n_reencoded"] + tree.encoded, tree.chars[1]))
             yield stored(batch.column("doc_id").take(pa.array(rows)), pa.array(new, pa.string()), trees, counts)
 
     return trees.mapInArrow(run, SCHEMA)

@@ -47,6 +47,8 @@ def test_stored_trees_edited_twice(table, documents, spark):
         trees = scratch.save(built(docs, RANKS, SPLIT), "trees")
         once = scratch.save(edited(trees, RANKS, SPLIT, redactions), "once")
         got = counted(edited(once, RANKS, SPLIT, first_line)).collect()
+        both = counted(edited(trees, RANKS, SPLIT, redactions, first_line)).collect()
+        assert sorted(both, key=str) == sorted(got, key=str)
         want = sorted(((r["doc_id"], len(c.encode(r["text"] or "")), len(c.encode(after(r["text"] or ""))), len(after(r["text"] or ""))) for r in docs.collect()), key=str)
         assert sorted(((r["doc_id"], r["tokens_before"], r["tokens_after"], r["chars_after"]) for r in got), key=str) == want
     rows = {r["doc_id"]: r for r in counted(edited(edited(built(table(texts[:4]), RANKS, SPLIT), RANKS, SPLIT, redactions), RANKS, SPLIT, first_line)).collect()}
