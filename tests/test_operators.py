@@ -231,3 +231,82 @@ def test_ancestry_has_no_limit_of_rows_or_depth(spark):
     with pytest.raises(ValueError):
         ancestry(ring)
 
+
+
+def vendi(x, q):
+    x = np.asarray(x, float)
+    x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+    e = np.linalg.eigvalsh(x @ x.T / len(x))
+    e = e[e > 1e-12]
+    return np.exp(-(e * np.log(e)).sum()) if q == 1 else (e**q).sum() ** (1 / (1 - q))
+
+
+def test_diversity_queries_against_similarity_matrices(spark, sf_dir):
+    from evalspark.plans import registry
+    from evalspark.plans.views import Views
+
+    registry.load()
+    v = Views(spark, sf_dir)
+    e = {r["vec_id"]: (r["label"], r["embedding"]) for r in v.embeddings.collect()}
+    got = {r["gen"]: r["score"] for r in registry.QUERIES["h09_diversity_per_generation"](spark, sf_dir).collect()}
+    labels = {k for k, _ in e.values()}
+    assert got.keys() == labels and all(abs(got[k] - vendi([x for n, x in e.values() if n == k], 1)) < 1e-4 for k in labels)
+    pools = {(r["gen"], r["task_number"]) for r in v.active_pool.collect()}
+    got = {r["gen"]: (r["n"], r["score"]) for r in registry.QUERIES["h10_diversity_cumulative"](spark, sf_dir).collect()}
+    for gen in {g for g, _ in pools}:
+        x = [e[t][1] for t in {t for g, t in pools if g <= gen} if t in e]
+        assert got[gen][0] == len(x) and abs(got[gen][1] - vendi(x, 0.5)) < 1e-4
+
+
+def test_projection_is_onto_the_main_axes(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows, bounds = vectors.projected(df, 5)
+    got = rows.toPandas().sort_values("vec_id")
+    x = np.stack(df.toPandas().sort_values("vec_id")["embedding"].to_numpy()).astype(float)
+    axes = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :2]
+    for k, c in enumerate("xy"):
+        want = x @ axes[:, k]
+        assert min(np.abs(got[c] - want).max(), np.abs(got[c] + want).max()) < 1e-6
+    assert set(got["cluster"]) == set(range(5))
+    low, high, pad = got["x"].min(), got["x"].max(), 0.05 * (got["x"].max() - got["x"].min())
+    b = bounds.first()
+    assert abs(b["x_low"] - low + pad) < 1e-9 and abs(b["x_high"] - high - pad) < 1e-9
+
+
+def test_scores_are_tried_again(spark, tmp_path):
+    def once_broken(batch):
+        mark = tmp_path / f"tried-{batch['i'].iloc[0]}"
+        if not mark.exists():
+            mark.write_text("")
+            raise ValueError("busy")
+        return batch["i"] * 2
+
+    df = spark.range(5).withColumnRenamed("id", "i").coalesce(1)
+    assert {r["i"]: r["scores"]["rm"] for r in answers.attached_scores(df, "rm", once_broken, batch_rows=2).collect()} == {i: 2.0 * i for i in range(5)}
+    with pytest.raises(Exception, match="never"):
+        answers.attached_scores(df, "rm", lambda b: (_ for _ in ()).throw(ValueError("never"))).collect()
+
+
+def test_similar_earlier_ones_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    df = spark.createDataFrame([(i * 7, x[i].tolist()) for i in range(300)], "sample_id long, embedding array<double>").repartition(4)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {i * 7 for i in range(300) if (unit[:i] @ unit[i] >= 0.9).any()}
+    for block in (512, 40, 7):
+        assert {r["sample_id"] for r in vectors.with_earlier(df, 0.9, block).collect()} == want
+
+
+def test_baselines_whose_models_are_absent_are_left_out(spark):
+    from evalspark.operators import coverage
+
+    names = spark.createDataFrame([(n,) for n in ("a", "b", "Big-70B", "c/1", "c/2")], "model_name string")
+    got = {(r["baseline"], r["n"], r["model_name"]) for r in coverage.baselines(names, ["a", "b"], "Big-70B", "c/").collect()}
+    assert got == {("experts", 2, "a"), ("experts", 2, "b"), ("big_70B", 1, "Big-70B"), ("control", 1, "c/1"), ("control", 2, "c/1"), ("control", 2, "c/2"), *(("control", n, f"c/{i}") for n in range(3, 9) for i in (1, 2))}
+    assert coverage.baselines(names, ["a", "x"], "y-8B", "z").count() == 0
+
+
+def test_two_fields_with_one_ending_are_an_error(spark, tmp_path):
+    (tmp_path / "gen1_archive.json").write_text(json.dumps([{"model_path": "m", "a_skill_vector": {"t": 1.0}, "b_skill_vector": {"t": 0.0}}]))
+    with pytest.raises(Exception, match="several fields"):
+        archives.read_archives(spark, str(tmp_path)).collect()
