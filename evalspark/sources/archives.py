@@ -96,13 +96,10 @@ def read_task_dirs(spark: SparkSession, root: str) -> DataFrame:
     """task.json and metadata.json of each task directory, joined; both are needed, and a task_ name unless it is a seed.
     A file that is no JSON object is missing."""
     rows = read_texts(spark, root, r"^(task|metadata)\.json$", whole=True)
-    parts = [F.from_json("value", schema) for schema in (TASK_SCHEMA, META_SCHEMA)]
-    texts, metadata = (rows.where(F.col("file_name") == name).select(F.col("folder").alias("task"), part.alias("x"), F.try_parse_json("value").alias("v")) for name, part in zip(("task.json", "metadata.json"), parts, strict=True))
-    return joined_task_dirs(*(x.where("v is not null").select("task", "x.*") for x in (texts, metadata)))
-
-
-def joined_task_dirs(texts: DataFrame, metadata: DataFrame) -> DataFrame:
-    both = texts.join(metadata, "task")
+    text, metadata = (F.max(F.when(F.col("file_name") == name, F.col("value"))) for name in ("task.json", "metadata.json"))
+    per = rows.groupBy(F.col("folder").alias("task")).agg(text.alias("text"), metadata.alias("metadata"))
+    there = F.try_parse_json("text").isNotNull() & F.try_parse_json("metadata").isNotNull()
+    both = per.where(there).select("task", F.from_json("text", TASK_SCHEMA).alias("x"), F.from_json("metadata", META_SCHEMA).alias("y")).select("task", "x.*", "y.*")
     return both.where(F.startswith("task", F.lit("task_")) | (F.col("generation_type") == "seed"))
 
 

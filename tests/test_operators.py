@@ -310,3 +310,14 @@ def test_two_fields_with_one_ending_are_an_error(spark, tmp_path):
     (tmp_path / "gen1_archive.json").write_text(json.dumps([{"model_path": "m", "a_skill_vector": {"t": 1.0}, "b_skill_vector": {"t": 0.0}}]))
     with pytest.raises(Exception, match="several fields"):
         archives.read_archives(spark, str(tmp_path)).collect()
+
+
+def test_task_directories_from_files(spark, tmp_path):
+    for name, task, meta in (("task_1_a", {"name_of_task": "a"}, {"generation_type": "initial", "task_number": 1}), ("old", {"name_of_task": "o"}, {"generation_type": "seed"}), ("other", {}, {"generation_type": "initial"}), ("task_2_b", {}, None), ("task_3_c", None, {"task_number": 3})):
+        (tmp_path / name).mkdir()
+        for file, value in (("task.json", task), ("metadata.json", meta)):
+            if value is not None:
+                (tmp_path / name / file).write_text(json.dumps(value, indent=1))
+    (tmp_path / "task_3_c" / "task.json").write_text("no JSON")
+    got = {r["task"]: (r["name_of_task"], r["task_number"]) for r in archives.read_task_dirs(spark, str(tmp_path)).collect()}
+    assert got == {"task_1_a": ("a", 1), "old": ("o", None)}
