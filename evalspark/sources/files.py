@@ -15,7 +15,7 @@ def named(path: Column) -> tuple[Column, Column]:
 
 def read_texts(spark: SparkSession, root: str, name: str, whole: bool = False) -> DataFrame:
     """folder, file_name, value of the files under ``root`` whose name matches a pattern: a row per line, or per file."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("wholetext", str(whole).lower()).text(root)
+    rows = spark.read.text(root, wholetext=whole, recursiveFileLookup=True)
     folder, file_name = named(F.col("_metadata.file_path"))
     return rows.select(folder.alias("folder"), file_name.alias("file_name"), "value").where(F.col("file_name").rlike(name))
 

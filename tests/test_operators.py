@@ -180,7 +180,7 @@ def test_samples_from_files(spark, tmp_path):
         (tmp_path / m).mkdir()
         (tmp_path / m / "samples_gsm8k_2025-01.jsonl").write_text("\n".join([line(1, "flexible-extract", 0), line(1, "flexible-extract", 1), line(2, "strict-match", 1)]))
         (tmp_path / m / "samples_gsm8k_llm_as_a_judge_2025.jsonl").write_text(line(9, "flexible-extract", 1))
-        (tmp_path / m / "results_1.json").write_text(json.dumps({"results": {"gsm8k": {"exact_match,flexible-extract": 0.5, "alias": "gsm8k"}}}))
+        (tmp_path / m / "results_1.json").write_text(json.dumps({"results": {"gsm8k": {"exact_match,flexible-extract": 0.5, "alias": "gsm8k"}}}, indent=2))
     rows = harness.read_samples(spark, str(tmp_path), "gsm8k")
     got = harness.normalized(rows, "gsm8k").orderBy("model_name").collect()
     assert [(r["model_name"], r["sample_id"], r["correct"], r["prediction"]) for r in got] == [("m1", "1", True, "p"), ("m2", "1", True, "p")]
@@ -192,7 +192,7 @@ def test_samples_from_files(spark, tmp_path):
 def test_archives_from_files(spark, tmp_path):
     solution = {"model_path": "gen_0_ind_1", "fitness": 0.5, "own_skill_vector": {"task_10_b": 1.0, "other": 0.0, "task_2_a": 0.5}, "own_eval_details": [{"task_id": str(i)} for i in range(4)]}
     (tmp_path / "gen0_archive.json").write_text(json.dumps([solution]))
-    (tmp_path / "gen5_own_archive.json").write_text(json.dumps([solution, solution]))
+    (tmp_path / "gen5_own_archive.json").write_text(json.dumps([solution, solution], indent=2))
     (tmp_path / "active_pool_gen_3.json").write_text(json.dumps(["/p/task_7_x", "/p/seed"]))
     rows = archives.read_archives(spark, str(tmp_path), [5])
     assert rows.count() == 2
