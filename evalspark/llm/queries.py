@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evalspark.llm import quality, toxicity
 from evalspark.llm.chat import formatted
-from evalspark.llm.common import Scratch, held_out, read
+from evalspark.llm.common import Scratch, batch_bytes, held_out, read
 from evalspark.llm.language_id import predicted, train
 from evalspark.llm.mixing import mixed
 from evalspark.llm.near_dedup import NearDedup, near_duplicates
@@ -53,8 +53,11 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees are stored; personal data are taken out of the stored trees, then first lines out of those."""
     ranks = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
-    trees = Scratch(spark).save(built(read(spark, sf_dir, "documents"), ranks, SPLIT), "trees", compression="zstd")
-    return counted(edited(trees, ranks, SPLIT, redactions, first_line))
+    scratch = Scratch(spark)
+    with batch_bytes(spark, 8 << 20):
+        # a tree has about three times its text's bytes: small row groups keep few of them in memory at a time
+        trees = scratch.save(built(read(spark, sf_dir, "documents"), ranks, SPLIT), "trees", compression="zstd", **{"parquet.block.size": str(8 << 20)})
+        return scratch.save(counted(edited(trees, ranks, SPLIT, redactions, first_line)), "counts")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
