@@ -26,3 +26,12 @@ def text_draw(*keys: Column, seed: int = 0) -> Column:
 
 def draw_sql(key: str, seed: int = 0) -> str:
     return f"(((({key})::BIGINT * {A} + {C + seed * 7919}) % {M}) * {A} + {C}) % {M}"
+
+
+def set_digest(*columns: str) -> Column:
+    """A digest of the set of a group's distinct rows: their number, and the exclusive or and the sum of two hashes.
+
+    It does not depend on the order, and partial digests merge, so no task holds the set.
+    """
+    wide = F.xxhash64(*columns, F.lit(2)).cast("decimal(20,0)")
+    return F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*columns, F.lit(1))).alias("x"), F.sum(wide).alias("s"))

@@ -1,17 +1,18 @@
 """Coverage metrics: what share of the samples a set of models solves, and who adds what.
 
 ``samples``: model_name, sample_id, correct and the grouping keys (benchmark, filter). A pair without a row is not
-solved. Selections name models per (method, n, ...); one join and one aggregation serve all of them.
+solved. Selections name models per (method, n, ...); one grouping of the samples into bits of models serves all of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.sources.harness import main_metrics
+from evalspark.sources.tables import Tables
 
 KEYS = ("benchmark", "filter")
 #: Models of one selection at most, and rows of all selections of a sweep, which are broadcast.
@@ -86,20 +87,78 @@ def contributions(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
+def solver_bits(samples: DataFrame, names: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, sample_id, s0, s1, ... and h0, h1, ...: one row per sample, with a bit per model of ``names``.
+
+    Bit i of the words s is set where model i solves the sample, of the words h where it has a row. One grouping with
+    partial aggregation, whatever is asked of the bits later; a second row of a model and sample is an error.
+    """
+    word, bit = F.shiftright("place", 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place") % 64)
+    table = samples.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "model_name string, place int")
+    rows = samples.join(F.broadcast(table), "model_name")
+    words = range(words_of(len(names)))
+    none = F.lit(0).cast("long")
+    solved = [F.coalesce(F.bit_or(F.when(F.col("correct") & (word == w), bit)), none).alias(f"s{w}") for w in words]
+    had = [F.coalesce(F.bit_or(F.when(word == w, bit)), none).alias(f"h{w}") for w in words]
+    per = rows.groupBy(*keys, "sample_id").agg(*solved, *had, F.count("*").alias("rows"))
+    once = F.when(bits_in(*(F.col(f"h{w}") for w in words)) == F.col("rows"), F.col("sample_id"))
+    once = once.otherwise(F.raise_error(F.concat(F.lit("duplicate sample "), F.col("sample_id").cast("string"))).cast(samples.schema["sample_id"].dataType))
+    return per.withColumn("sample_id", once).drop("rows")
+
+
+def words_of(models: int) -> int:
+    return -(-models // 64)
+
+
+def bits_in(*words: Column) -> Column:
+    total = F.lit(0).cast("long")
+    for w in words:
+        total = total + F.bit_count(w)
+    return total
+
+
+def masks(few: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """by, models, m0, m1, ...: the words of every selection."""
+    table = few.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "model_name string, place int")
+    place = few.join(F.broadcast(table), "model_name")
+    word, bit = F.shiftright("place", 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place") % 64)
+    of = [F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0).cast("long")).alias(f"m{w}") for w in range(words_of(len(names)))]
+    return place.groupBy(*by).agg(F.count("*").alias("models"), *of)
+
+
 def sweep(samples: DataFrame, selection: DataFrame, by: Sequence[str], keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
-    """(coverage, contributions) for every selection in one pass.
+    """(coverage, contributions) for every selection.
 
-    ``selection``: the ``by`` columns (method, n, gen, ...) and model_name. Selections are small; the join keeps the
-    samples' partitioning free for the aggregation.
+    ``selection``: the ``by`` columns (method, n, gen, ...) and model_name. Samples are shuffled once, into one row per
+    sample with a bit per model; selections are masks, which are broadcast (their size is checked). Every row meets
+    every mask in the task that reads it and is counted there, so the shuffle after it holds one row per task,
+    selection and key. Both results read the table of bits.
     """
     few = selection.select(*by, "model_name").distinct()
+    names = [r[0] for r in few.select("model_name").where("model_name is not null").distinct().orderBy("model_name").limit(MODELS_MAX + 1).collect()]
+    if len(names) > MODELS_MAX:
+        raise ValueError(f"selections of more than {MODELS_MAX} models")
     if few.count() > SELECTED_MAX:
         raise ValueError(f"selections of more than {SELECTED_MAX} models")
-    size = few.withColumn("models", F.count("*").over(Window.partitionBy(*by)))
-    chosen = samples.join(F.broadcast(size), "model_name")
+    names = names or [""]
+    words = range(words_of(len(names)))
+    bits = Tables(samples.sparkSession).save(solver_bits(samples, names, keys), "bits")
+    met = bits.join(F.broadcast(masks(few, by, names)), F.lit(True)).where(" or ".join(f"h{w} & m{w} <> 0" for w in words))
+    solvers = bits_in(*(F.col(f"s{w}").bitwiseAND(F.col(f"m{w}")) for w in words))
+    met = met.withColumn("solvers", solvers)
     where = [*by, *keys]
-    rows = checked(chosen, where, "models").groupBy(*where, "models", "sample_id").agg(F.count_if("correct").alias("solvers"))
-    return rates(rows, where), contributions(chosen, where)
+    covered = rates(met, where)
+    # how often each model solves a sample, in any selection; how often it alone does, in each
+    at = lambda i: F.call_function("shiftright", F.element_at(F.array(*(F.col(f"s{w}") for w in words)), F.shiftright(i, 6) + 1), (i % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    solved = bits.select(*keys, F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), at)).alias("place")).groupBy(*keys, "place").agg(F.count("*").alias("contribution"))
+    only = lambda w: F.col(f"s{w}").bitwiseAND(F.col(f"m{w}"))
+    place = F.coalesce(*(F.when(only(w) != 0, F.lit(64 * w) + F.when(only(w) < 0, 63).otherwise(F.bit_count(only(w) - 1))) for w in words))
+    alone = met.where("solvers = 1").groupBy(*where, place.cast("int").alias("place")).agg(F.count("*").alias("unique_contribution"))
+    table = samples.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "model_name string, place int")
+    per = few.join(F.broadcast(table), "model_name").join(F.broadcast(solved), "place").join(covered.select(*where, "num_samples", "covered"), where)
+    per = per.join(alone, [*where, "place"], "left").withColumn("unique_contribution", F.coalesce("unique_contribution", F.lit(0)))
+    shares = {"contribution_share": F.try_divide(F.col("contribution"), F.col("covered")), "unique_percent": 100.0 * F.col("unique_contribution") / F.col("num_samples")}
+    return covered, per.drop("place").withColumns(shares)
 
 
 def individual_accuracies(results: DataFrame, metrics: dict[str, str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.functions.hashing import set_digest
 from evalspark.functions.text import generation, is_seed_label
 from evalspark.sources.tables import Tables
 
@@ -132,8 +133,11 @@ def model_tree(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def change_points(pools: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(generations whose task set differs from the one before, step: third change less the second)."""
-    sets = pools.groupBy("gen").agg(F.array_sort(F.collect_set("task_number")).alias("tasks"))
+    """(generations whose task set differs from the one before, step: third change less the second).
+
+    Sets are compared by digests that partial aggregation merges; a row per generation is left.
+    """
+    sets = pools.select("gen", "task_number").distinct().groupBy("gen").agg(set_digest("task_number").alias("tasks"))
     before = F.lag("tasks").over(Window.orderBy("gen"))
     changes = sets.withColumn("before", before).where("before is null or before <> tasks").select("gen", F.row_number().over(Window.orderBy("gen")).alias("change"))
     at = lambda k: F.max(F.when(F.col("change") == k, F.col("gen")))

@@ -8,6 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.functions.hashing import set_digest
+from evalspark.operators.order import drawn, placed
+from evalspark.operators.skills import POPULATION_MAX
+from evalspark.sources.tables import Tables
+
 EASY, HARD = 0.7, 0.3
 
 
@@ -26,7 +31,7 @@ def difficulty(rate: Column, easy: float = EASY, hard: float = HARD) -> Column:
 def class_order(rated: DataFrame) -> DataFrame:
     """Place of each task in its class: impossible and unevaluated by path, easy by falling rate, others by rate."""
     key = F.when(F.col("difficulty") == "easy", -F.col("rate")).when(F.col("difficulty").isin("hard", "medium"), F.col("rate")).otherwise(0.0)
-    return rated.withColumn("place", F.row_number().over(Window.partitionBy("difficulty").orderBy(key, "task_id")))
+    return placed(rated.withColumn("key_", key), ["key_", "task_id"], keys=["difficulty"]).drop("key_")
 
 
 def adaptation(kind: Column, u: Column, novel: float = 0.5) -> Column:
@@ -42,7 +47,7 @@ def adaptation(kind: Column, u: Column, novel: float = 0.5) -> Column:
 
 def ordered(pool: DataFrame) -> DataFrame:
     """Places by task number; paths without a number have -1 and come first, in their old order."""
-    return pool.withColumn("place", F.row_number().over(Window.orderBy("task_number", "ord")))
+    return placed(pool, ["task_number", "ord"])
 
 
 def updated(pool: DataFrame, replaced: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,14 +70,12 @@ def without_impossible(rated: DataFrame) -> DataFrame:
 
 def newest(pool: DataFrame, size: int) -> DataFrame:
     """At most ``size`` tasks: the lowest numbers go first, tasks without a number go last."""
-    rank = F.row_number().over(Window.orderBy(F.desc_nulls_first("task_number")))
-    return pool.withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
+    return placed(pool, [F.desc_nulls_first("task_number")], "rank").where(F.col("rank") <= size).drop("rank")
 
 
 def oldest(pool: DataFrame, size: int) -> DataFrame:
     """At most ``size`` tasks with the lowest numbers."""
-    rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("task_number")))
-    return pool.withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
+    return placed(pool, [F.asc_nulls_last("task_number")], "rank").where(F.col("rank") <= size).drop("rank")
 
 
 def uniform_parents(rated: DataFrame, k: int, seed_draw, impossible: bool = False) -> DataFrame:
@@ -84,41 +87,32 @@ def uniform_parents(rated: DataFrame, k: int, seed_draw, impossible: bool = Fals
     normal = rows.where(F.col("difficulty") != "impossible")
     some = normal.agg((F.count("*") > 0).alias("some"))
     allowed = rows.join(F.broadcast(some), F.lit(True)).where((F.col("difficulty") != "impossible") | F.lit(impossible) | ~F.col("some"))
-    placed = allowed.select("task_number", (F.row_number().over(Window.orderBy("task_number")) - 1).alias("at"), F.count("*").over(Window.partitionBy()).alias("n"))
-    size = placed.agg(F.max("n").alias("n"))
-    draws = rated.sparkSession.range(k).withColumnRenamed("id", "draw").join(F.broadcast(size), F.lit(True)).where("n is not null")
-    return draws.withColumn("at", F.pmod(seed_draw(F.col("draw")), F.col("n"))).join(placed.drop("n"), "at").select("draw", "task_number")
+    places = placed(allowed.select("task_number"), ["task_number"], "at", start=0)
+    size = places.agg(F.count("*").alias("n"))
+    draws = rated.sparkSession.range(k).withColumnRenamed("id", "draw").join(F.broadcast(size), F.lit(True)).where("n > 0")
+    return draws.withColumn("at", F.pmod(seed_draw(F.col("draw")), F.col("n"))).join(places, "at").select("draw", "task_number")
 
 
 def biased_parents(rated: DataFrame, k: int, seed_draw, seed_uniform, impossible: bool = False) -> DataFrame:
     """slot, task_number, how: impossible tasks first if allowed (without replacement); then as many draws as there are
     hard and easy tasks, with replacement, weighted by |rate - 0.5| + 1e-6; then medium ones without replacement;
     impossible ones only as the last resort."""
-    rows = rated.where(F.col("difficulty") != "unevaluated")
-    shuffled = Window.orderBy(seed_draw(F.col("task_number")), "task_number")
-
-    def without(kind: str) -> DataFrame:
-        return rows.where(F.col("difficulty") == kind).select("task_number", F.row_number().over(shuffled).alias("at"))
-
-    counts = rows.agg(*(F.count_if(F.col("difficulty") == c).alias(c) for c in ("impossible", "hard", "easy", "medium")))
-    first = F.least(F.lit(k), F.col("impossible")) if impossible else F.lit(0)
-    second = F.least(F.lit(k) - F.col("first"), F.col("hard") + F.col("easy"))
-    third = F.least(F.lit(k) - F.col("first") - F.col("second"), F.col("medium"))
-    last = F.when((F.col("first") + F.col("second") + F.col("third") == 0), F.least(F.lit(k), F.col("impossible"))).otherwise(0)
-    plan = counts.withColumn("first", first).withColumn("second", second).withColumn("third", third).withColumn("last", last)
+    rows = rated.where(F.col("difficulty") != "unevaluated").select("task_number", "rate", "difficulty")
+    rows = Tables(rated.sparkSession).save(rows.withColumn("random", seed_draw(F.col("task_number"))), "rated")
+    n = rows.agg(*(F.count_if(F.col("difficulty") == c).alias(c) for c in ("impossible", "hard", "easy", "medium"))).first()
+    first = min(k, n["impossible"]) if impossible else 0
+    second = min(k - first, n["hard"] + n["easy"])
+    third = min(k - first - second, n["medium"])
+    last = min(k, n["impossible"]) if first + second + third == 0 else 0
+    # impossible and medium tasks in random order; where a place counts from, and how many places are taken
+    shuffled = placed(rows.where(F.col("difficulty").isin("impossible", "medium")), ["random", "task_number"], "at", keys=["difficulty"])
+    parts = [("impossible", 0, first, "impossible"), ("medium", first + second, third, "medium"), ("impossible", 0, last, "last resort")]
+    taken = F.array(*(F.struct(F.lit(c).alias("kind"), F.lit(begin).cast("long").alias("begin"), F.lit(quota).alias("quota"), F.lit(how).alias("how")) for c, begin, quota, how in parts))
+    out = shuffled.select("*", F.inline(taken)).where("difficulty = kind and at <= quota").select((F.col("begin") + F.col("at")).alias("slot"), "task_number", "how")
     weighted = rows.where(F.col("difficulty").isin("hard", "easy")).select("task_number", (F.abs(F.col("rate") - 0.5) + 1e-6).alias("w"))
-    run = Window.orderBy("task_number")
-    bands = weighted.select("task_number", (F.sum("w").over(run) - F.col("w")).alias("lo"), F.sum("w").over(run).alias("hi"), F.sum("w").over(Window.partitionBy()).alias("total"))
-    total = bands.agg(F.max("total").alias("total"))
-    draws = rated.sparkSession.range(k).withColumnRenamed("id", "draw").join(F.broadcast(plan), F.lit(True)).where("draw < second").join(F.broadcast(total), F.lit(True))
-    draws = draws.select("draw", (seed_uniform(F.col("draw")) * F.col("total")).alias("u"))
-    hit = draws.join(bands.drop("total"), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select(F.lit(2).alias("phase"), F.col("draw").alias("at"), "task_number", F.lit("weighted").alias("how"))
-    parts = []
-    for phase, kind, column, how in ((1, "impossible", "first", "impossible"), (3, "medium", "third", "medium"), (4, "impossible", "last", "last resort")):
-        chosen = without(kind).join(F.broadcast(plan.select(F.col(column).alias("quota"))), F.lit(True)).where("at <= quota")
-        parts.append(chosen.select(F.lit(phase).alias("phase"), F.col("at").cast("long").alias("at"), "task_number", F.lit(how).alias("how")))
-    every = hit.unionByName(parts[0]).unionByName(parts[1]).unionByName(parts[2])
-    return every.select(F.row_number().over(Window.orderBy("phase", "at")).alias("slot"), "task_number", "how")
+    draws = rated.sparkSession.range(second).select(F.col("id").alias("draw"), seed_uniform(F.col("id")).alias("u"))
+    hit = drawn(weighted, ["task_number"], "w", draws, "u").select((F.col("draw") + 1 + first).alias("slot"), "task_number", F.lit("weighted").alias("how"))
+    return out.unionByName(hit)
 
 
 def reinstated(pool: DataFrame, rated: DataFrame, limbo: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -130,17 +124,29 @@ def reinstated(pool: DataFrame, rated: DataFrame, limbo: DataFrame) -> tuple[Dat
 
 
 def synced(skills: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(skills in the pool, missing): missing lists per model the pool tasks without a score; it must be one set for all."""
+    """(skills in the pool, missing: ord, task_number): the pool tasks without a score of a model, in one row each.
+
+    ``same_missing`` tells whether it is one set for all.
+    """
     kept = skills.join(pool.select("task_number"), "task_number", "left_semi")
-    had = kept.groupBy("ord").agg(F.collect_set("task_number").alias("had"))
-    had = skills.select("ord").distinct().join(had, "ord", "left").withColumn("had", F.coalesce("had", F.array().cast("array<bigint>")))
-    all_ = pool.agg(F.array_sort(F.collect_set("task_number")).alias("all"))
-    missing = had.join(F.broadcast(all_), F.lit(True)).select("ord", F.array_except("all", "had").alias("missing"))
-    return kept, missing
+    whole = grid_of(skills.select("ord").distinct(), pool.select("task_number").distinct())
+    return kept, whole.join(kept.select("ord", "task_number"), ["ord", "task_number"], "left_anti")
+
+
+def grid_of(models: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Every model against every task; models are a population, which is broadcast after a check of its size."""
+    places = [r[0] for r in models.orderBy("ord").limit(POPULATION_MAX + 1).collect()]
+    if len(places) > POPULATION_MAX:
+        raise ValueError(f"a population of more than {POPULATION_MAX} models")
+    few = models.sparkSession.createDataFrame([(p,) for p in places], models.schema)
+    return tasks.join(F.broadcast(few), F.lit(True))
 
 
-def same_missing(missing: DataFrame) -> DataFrame:
-    return missing.agg((F.count_distinct("missing") <= 1).alias("same"))
+def same_missing(skills: DataFrame, pool: DataFrame) -> DataFrame:
+    """Whether every model lacks the same pool tasks: whether those it has are one set, by a digest of each set."""
+    kept = skills.join(pool.select("task_number"), "task_number", "left_semi").select("ord", "task_number").distinct()
+    per = skills.select("ord").distinct().join(kept.groupBy("ord").agg(set_digest("task_number").alias("digest")), "ord", "left")
+    return per.agg((F.count_distinct(F.coalesce(F.col("digest").cast("string"), F.lit(""))) <= 1).alias("same"))
 
 
 def merged_scores(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -192,7 +198,7 @@ def initial_queue(candidates: DataFrame, close: DataFrame, size: int, verdicts:
     ``close``: candidates with a similar earlier one. ``verdicts``: candidate, verdict (Yes accepts).
     """
     good = novel_candidates(candidates, close, verdicts)
-    return good.withColumn("place", F.row_number().over(Window.orderBy("candidate"))).where(F.col("place") <= size)
+    return placed(good, ["candidate"]).where(F.col("place") <= size)
 
 
 def context_rows(similar: DataFrame, content: DataFrame, n: int) -> DataFrame:

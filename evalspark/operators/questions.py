@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.hashing import draw
 from evalspark.functions.text import without_options
+from evalspark.operators.order import placed
 
 LETTERS = "ABCDEFGHIJ"
 
@@ -36,9 +37,9 @@ def valid_only(questions: DataFrame, invalid: DataFrame) -> tuple[DataFrame, Dat
 
 def question_ids(questions: DataFrame) -> DataFrame:
     """{benchmark in lower case and underscores}[_{subgroup}]_{index inside the subgroup}."""
-    at = F.row_number().over(Window.partitionBy("benchmark", "subgroup").orderBy("idx")) - 1
     name = F.regexp_replace(F.lower("benchmark"), r"[\s-]+", "_")
-    return questions.withColumn("question_id", F.concat_ws("_", name, "subgroup", at.cast("string")))
+    rows = placed(questions, ["idx"], "at_subgroup", ["benchmark", "subgroup"], start=0)
+    return rows.withColumn("question_id", F.concat_ws("_", name, "subgroup", F.col("at_subgroup").cast("string"))).drop("at_subgroup")
 
 
 def with_options(question: Column, choices: Column) -> Column:

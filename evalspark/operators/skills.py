@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.operators.order import placed
+
 MODEL = ("ord", "model_path")
 POPULATION_MAX = 10_000
 
@@ -44,9 +46,7 @@ def grid(models: DataFrame, pool: DataFrame, skills: DataFrame) -> DataFrame:
 
 def binarize(models: DataFrame, pool: DataFrame, skills: DataFrame, threshold: float = 0.5) -> DataFrame:
     """ord, pos (place of the task in the pool's order), solved."""
-    order = Window.orderBy("task_number")
-    placed = pool.select("task_number", (F.row_number().over(order) - 1).alias("pos"))
-    cells = grid(models, pool, skills).join(placed, "task_number")
+    cells = grid(models, pool, skills).join(placed(pool.select("task_number"), ["task_number"], "pos", start=0), "task_number")
     return cells.select("ord", "pos", (F.col("score") >= threshold).alias("solved"))
 
 

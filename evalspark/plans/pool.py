@@ -112,7 +112,8 @@ def synced(v):
 
 @query("g12_missing_tasks", "WITH g AS (SELECT m.ord, a.task_number FROM (SELECT DISTINCT ord FROM points) m CROSS JOIN active_pool a WHERE a.gen = 0) SELECT g.ord, count(*) FILTER (p.ord IS NULL) AS missing FROM g LEFT JOIN points p ON p.ord = g.ord AND p.task_number = g.task_number GROUP BY g.ord")
 def missing(v):
-    return p.synced(v.points, v.active_pool.where("gen = 0"))[1].select("ord", F.size("missing").cast("bigint").alias("missing"))
+    gone = p.synced(v.points, v.active_pool.where("gen = 0"))[1].groupBy("ord").agg(F.count("*").alias("missing"))
+    return v.points.select("ord").distinct().join(gone, "ord", "left").select("ord", F.coalesce("missing", F.lit(0)).alias("missing"))
 
 
 @query("g13_merged_scores", "SELECT ord, task_number, CASE WHEN NOT solved THEN points + 100 ELSE points END AS score FROM points")
@@ -136,7 +137,7 @@ def merged_evaluations(v):
 
 @query("g12_same_missing", "WITH g AS (SELECT m.ord, string_agg(CASE WHEN p.ord IS NULL THEN CAST(a.task_number AS STRING) END, ',' ORDER BY a.task_number) AS missing FROM (SELECT DISTINCT ord FROM points) m CROSS JOIN (SELECT task_number FROM active_pool WHERE gen = 0) a LEFT JOIN points p ON p.ord = m.ord AND p.task_number = a.task_number GROUP BY m.ord) SELECT count(DISTINCT coalesce(missing, '')) <= 1 AS same FROM g")
 def same_missing(v):
-    return p.same_missing(p.synced(v.points, v.active_pool.where("gen = 0"))[1])
+    return p.same_missing(v.points, v.active_pool.where("gen = 0"))
 
 
 @query("g14_resumed_pool", "WITH valid AS (SELECT task_number FROM active_pool WHERE gen = 3), good AS (SELECT gen FROM active_pool GROUP BY gen HAVING bool_and(task_number IN (SELECT task_number FROM valid))) SELECT gen, task_number, (SELECT max(task_number) + 1 FROM valid) AS next_number FROM active_pool WHERE gen = (SELECT max(gen) FROM good)")
