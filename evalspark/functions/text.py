@@ -138,9 +138,9 @@ def without_options(text: Column) -> Column:
 
 
 def describe(fields: Column) -> Column:
-    """``Key: value`` lines of a map, without task_family and done."""
+    """``Key: value`` lines of a map, without task_family and done; underscores of keys are spaces."""
     kept = F.map_filter(fields, lambda k, v: ~k.isin("task_family", "done"))
-    line = F.transform(F.map_entries(kept), lambda e: F.concat(F.upper(F.substring(e["key"], 1, 1)), F.lower(F.substring(e["key"], 2, 1 << 20)), F.lit(": "), e["value"]))
+    line = F.transform(F.map_entries(kept), lambda e: F.concat(F.upper(F.substring(e["key"], 1, 1)), F.replace(F.lower(F.substring(e["key"], 2, 1 << 20)), F.lit("_"), F.lit(" ")), F.lit(": "), e["value"]))
     return F.array_join(line, "\n")
 
 

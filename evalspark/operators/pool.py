@@ -5,12 +5,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.hashing import set_digest
+from evalspark.functions.text import describe
 from evalspark.operators.order import drawn, placed
 from evalspark.operators.skills import POPULATION_MAX
+from evalspark.operators.vectors import find_similar
 from evalspark.sources.tables import Tables
 
 EASY, HARD = 0.7, 0.3
@@ -201,15 +205,59 @@ def initial_queue(candidates: DataFrame, close: DataFrame, size: int, verdicts:
     return placed(good, ["candidate"]).where(F.col("place") <= size)
 
 
-def context_rows(similar: DataFrame, content: DataFrame, n: int) -> DataFrame:
-    """candidate, context: the n most similar rows, between markers, most similar first.
+# What stands around a task in a prompt, and before its parts.
+CONTEXT_BEGIN, CONTEXT_END = "[[START OF ADDITIONAL EXISTING TASK]]\n", "[[END OF ADDITIONAL EXISTING TASK]]\n\n"
+DESCRIPTION, CODE = "Task description: \n", "Task code: \n"
+REPRESENTATIONS = ("metadata", "content", "all")
+
+
+def similar_tasks(store: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
+    """candidate, other, similarity, rank: the n stored tasks nearest to each candidate, of similarity 0 or more.
+
+    ``store``: sample_id, embedding; ``candidates``: candidate, embedding. An exact search over the index of balls.
+    """
+    found = find_similar(store, candidates.withColumnRenamed("candidate", "query_id"), n)
+    return found.select(F.col("query_id").alias("candidate"), F.col("sample_id").alias("other"), "similarity", "rank")
+
+
+def random_tasks(candidates: DataFrame, pool: DataFrame, n: int, seed_draw: Callable[[Column, int], Column] | None) -> DataFrame:
+    """candidate, other, similarity (1.0), rank: n tasks of the pool for each candidate, none twice (all, if fewer).
 
-    ``similar``: candidate, other, similarity.
+    ``seed_draw``: a whole random number of a candidate and the number of the draw; None takes the first n of the pool.
+    Draws are places in the pool: the i-th of n is one of the first size - n + i + 1 places, or the last of them if that
+    is taken already. So every set of n is equally likely, and no candidate meets the pool but for its n rows.
     """
-    rank = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("similarity"), "other"))
-    few = similar.withColumn("rank", rank).where(F.col("rank") <= n).join(content.select(F.col("task_number").alias("other"), "task_id"), "other")
-    item = F.struct("rank", F.concat(F.lit("<task>\n"), F.col("task_id"), F.lit("\n</task>")).alias("text"))
-    return few.groupBy("candidate").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), "\n").alias("context"))
+    places = placed(pool.select(F.col("task_number").alias("other")), ["other"], "at", start=0)
+    size = places.count()
+    n = min(n, size)
+    taken = F.array().cast("array<bigint>")
+    for i in range(n):
+        top = size - n + i
+        at = F.lit(i).cast("long") if seed_draw is None else F.pmod(seed_draw(F.col("candidate"), i), F.lit(top + 1)).cast("long")
+        at = at if seed_draw is None else F.when(F.array_contains(taken, at), F.lit(top).cast("long")).otherwise(at)
+        taken = F.array_append(taken, at)
+    drawn_ = candidates.select("candidate", F.posexplode(taken).alias("rank", "at")) if n else candidates.select("candidate", F.lit(0).alias("rank"), F.lit(-1).cast("long").alias("at"))
+    return drawn_.join(places, "at").select("candidate", "other", F.lit(1.0).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+
+
+def represented(fields: Column, content: Column, representation: str) -> Column:
+    """A task in a prompt: its description from the fields, its code, or both, between markers."""
+    if representation not in REPRESENTATIONS:
+        raise ValueError(f"no such representation: {representation}")
+    lines = describe(fields)
+    about = F.concat(F.lit(DESCRIPTION), lines, F.when(lines == "", "").otherwise("\n"), F.lit("\n"))
+    code = F.concat(F.lit(CODE), F.coalesce(content, F.lit("")), F.lit("\n"))
+    parts = {"metadata": [about], "content": [code], "all": [about, code]}[representation]
+    return F.concat(F.lit(CONTEXT_BEGIN), *parts, F.lit(CONTEXT_END))
+
+
+def context_rows(candidates: DataFrame, near: DataFrame, tasks: DataFrame, representation: str = "metadata") -> DataFrame:
+    """candidate, context: the tasks that ``near`` (of ``similar_tasks`` or ``random_tasks``) names, by rank, as one text;
+    empty for a candidate without any. ``tasks``: other, fields (map), content."""
+    shown = near.join(tasks.select("other", represented(F.col("fields"), F.col("content"), representation).alias("text")), "other")
+    item = F.array_sort(F.collect_list(F.struct("rank", "text")))
+    per = shown.groupBy("candidate").agg(F.array_join(F.transform(item, lambda x: x["text"]), "").alias("context"))
+    return candidates.select("candidate").join(per, "candidate", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
 def without_seeds(tasks: DataFrame, seeds: DataFrame) -> DataFrame:

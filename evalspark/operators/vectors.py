@@ -10,10 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import safe_id
+from evalspark.operators import balls
 
 
 def embedded(rows: DataFrame, text: str, embed: Callable[[pd.Series], list], dim: int) -> DataFrame:
@@ -119,78 +121,71 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-def find_similar(store: DataFrame, queries: DataFrame, top_n: int | None, threshold: float = 0.0, block: int = 512, shard: int = 4096) -> DataFrame:
-    """query_id, rank, sample_id, similarity: exact search of stated queries, in blocks, over every row of the store.
+def find_similar(store: DataFrame, queries: DataFrame, top_n: int | None, threshold: float = 0.0, sizes: balls.Sizes = balls.Sizes()) -> DataFrame:
+    """query_id, rank, sample_id, similarity: exact search of stated queries over every row of the store with a vector.
 
-    Rows and queries are packed into shards and blocks of bounded expected size; a task takes one block and one shard
-    as a matrix product and keeps the best ``top_n`` per query; a window merges the shards' lists. Without ``top_n``
-    every row at the threshold or above comes back, without a rank.
+    The store is indexed by balls. What a query's n-th best row reaches at least is known from the index's sample; it
+    visits the balls whose bound is that high, and keeps its best ``top_n`` of each; a window merges them. Without
+    ``top_n`` every row at the threshold or above comes back, without a rank. Similarities that agree to 12 places are
+    ties, which go to the smaller id.
     """
-    shards, blocks = max(1, -(-store.count() // shard)), max(1, -(-queries.count() // block))
-
-    def packed(rows: DataFrame, key: str, parts: int, names: tuple[str, str, str]) -> DataFrame:
-        item = F.struct(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-        per = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias(names[0])).agg(F.collect_list(item).alias("x"))
-        return per.select(names[0], F.transform("x", lambda x: x["id"]).alias(names[1]), F.flatten(F.transform("x", lambda x: x["v"])).alias(names[2]))
-
-    left = packed(store, "sample_id", shards, ("shard", "ids", "rows"))
-    right = packed(queries, "query_id", blocks, ("block", "asked", "asks"))
-    pairs = right.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint")))).join(left, "shard")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for x in batch.itertuples():
-                q, v = np.asarray(x.asks).reshape(len(x.asked), -1), np.asarray(x.rows).reshape(len(x.ids), -1)
-                norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-                sim = np.divide(q @ v.T, norm, out=np.zeros((len(q), len(v))), where=norm > 0)
-                ids, out = np.asarray(x.ids), []
-                for i, name in enumerate(x.asked):
-                    good = np.flatnonzero(sim[i] >= threshold)
-                    if top_n is not None and len(good) > top_n:  # the best ones, and all that tie with the last of them
-                        good = good[sim[i][good] >= np.partition(sim[i][good], len(good) - top_n)[len(good) - top_n]]
-                    best = good[np.lexsort((ids[good], -sim[i][good]))[:top_n]]
-                    out.append(pd.DataFrame({"query_id": name, "sample_id": ids[best], "similarity": sim[i][best]}))
-                yield pd.concat(out)
-
-    kinds = {f.name: f.dataType.simpleString() for f in [queries.schema["query_id"], store.schema["sample_id"]]}
-    near = pairs.select("ids", "rows", "asked", "asks").mapInPandas(run, f"query_id {kinds['query_id']}, sample_id {kinds['sample_id']}, similarity double")
+    index = balls.indexed(store.select("sample_id", "embedding"), "sample_id", sizes)
+    asks = index.tables.save(balls.as_bytes(queries.withColumnRenamed("query_id", "ask"), "ask"), "asks")
+    near = hits(index, asks, top_n, threshold).withColumnRenamed("ask", "query_id").withColumnRenamed("id", "sample_id")
     if top_n is None:
         return near
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "sample_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= top_n)
 
 
-def with_earlier(vectors: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+def least_of(top_n: int | None, threshold: float) -> Callable[[balls.Centres, np.ndarray], np.ndarray]:
+    """A bound of the hits that matter: the threshold, or what the top_n-th best is known to reach."""
+    return lambda c, u: np.full(len(u), threshold) if top_n is None else np.maximum(threshold, c.at_least(u, top_n))
+
+
+def hits(index: balls.Balls, asks: DataFrame, top_n: int | None, threshold: float) -> DataFrame:
+    """ask, id, similarity: the best ``top_n`` of every shard that a query visits, or all at the threshold."""
+    kinds = f"ask {asks.schema['ask'].dataType.simpleString()}, id {index.points.schema['id'].dataType.simpleString()}, similarity double"
+
+    def answer(ids: pa.Array, v: np.ndarray, part: pa.RecordBatch, u: np.ndarray) -> pa.RecordBatch:
+        sim = np.round(u @ v.T, 12)
+        low = np.maximum(threshold, part.column("least").to_numpy() - 1e-9)
+        if top_n is not None and len(ids) > top_n:  # the best ones, and all that tie with the last of them
+            low = np.maximum(low, np.partition(sim, len(ids) - top_n, axis=1)[:, len(ids) - top_n])
+        who, what = np.nonzero(sim >= low[:, None])
+        found = pa.RecordBatch.from_arrays([part.column("ask").take(pa.array(who)), ids.take(pa.array(what)), pa.array(sim[who, what])], names=["ask", "id", "similarity"])
+        if top_n is None or len(who) <= top_n * len(u):
+            return found
+        order = pa.Table.from_batches([found.append_column("row", pa.array(who))]).sort_by([("row", "ascending"), ("similarity", "descending"), ("id", "ascending")])
+        row = order.column("row").to_numpy()
+        first = np.searchsorted(row, row)  # where the rows of the same query begin
+        kept = order.filter(pa.array(np.arange(len(row)) - first < top_n)).select(["ask", "id", "similarity"])
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in kept.columns], names=kept.column_names)
+
+    return balls.visited(index, balls.routed(index, asks, least_of(top_n, threshold)), answer, kinds)
+
+
+def with_earlier(vectors: DataFrame, threshold: float, sizes: balls.Sizes = balls.Sizes()) -> DataFrame:
     """sample_id of the vectors that are similar, at the threshold or above, to one with a smaller sample_id.
 
-    Exact: ranges of ids in order, every block of one against every block before it, as matrix products. A task takes
-    a block and all before it in turn and gives back one row for a vector at most.
+    An exact similarity join with pruning: vectors first meet their own ball, where most find an earlier one; those that
+    do not visit the other balls that may reach the threshold and hold an earlier id. Balls too far away for a vector
+    never meet it. Thresholds of 0 or less let zero vectors in, as their similarity is 0.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    cut = vectors.select("sample_id", F.col("embedding").cast("array<double>").alias("v"))
-    bounds = cut.stat.approxQuantile("sample_id", [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
-    number = F.lit(0)
-    if bounds:
-        number = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b <= F.col("sample_id").cast("double")))
-    item = F.array_sort(F.collect_list(F.struct(F.col("sample_id").alias("id"), "v")))
-    per = cut.groupBy(number.cast("long").alias("block")).agg(item.alias("x"))
-    packed = per.select("block", F.transform("x", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("x", lambda x: x["v"])).alias("rows"))
-    right = packed.select("block", F.col("ids").alias("asked"), F.col("rows").alias("asks"))
-    left = packed.select(F.col("block").alias("other"), "ids", "rows")
-    pairs = right.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block")))).join(left, "other")
+    index = balls.indexed(vectors.select("sample_id", "embedding"), "sample_id", sizes)
+    asks = index.points.select(F.col("id").alias("ask"), "vec")
+    kind = vectors.schema["sample_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for x in batch.itertuples():
-                q, v = np.asarray(x.asks).reshape(len(x.asked), -1), np.asarray(x.rows).reshape(len(x.ids), -1)
-                norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-                sim = np.divide(q @ v.T, norm, out=np.zeros((len(q), len(v))), where=norm > 0)
-                hit = ((sim >= threshold) & (np.asarray(x.ids)[None, :] < np.asarray(x.asked)[:, None])).any(1)
-                yield pd.DataFrame({"sample_id": np.asarray(x.asked)[hit]})
+    def answer(ids: pa.Array, v: np.ndarray, part: pa.RecordBatch, u: np.ndarray) -> pa.RecordBatch:
+        own, before = part.column("ask").to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
+        hit = ((u @ v.T >= threshold) & (before[None, :] < own[:, None])).any(1)
+        return pa.RecordBatch.from_arrays([part.column("ask").filter(pa.array(hit))], names=["ask"])
 
-    kind = vectors.schema["sample_id"].dataType.simpleString()
-    return pairs.select("asked", "asks", "ids", "rows").mapInPandas(run, f"sample_id {kind}").distinct()
+    least = least_of(None, threshold)
+    first = index.tables.save(balls.visited(index, balls.routed(index, asks, least, "own"), answer, f"ask {kind}").distinct(), "found")
+    open_ = asks.join(first, "ask", "left_anti")
+    rest = balls.visited(index, balls.routed(index, open_, least, "other").where("first < ask"), answer, f"ask {kind}")
+    return first.unionByName(rest).distinct().withColumnRenamed("ask", "sample_id")
 
 
 def similarity_pairs(vectors: DataFrame, key: str, most: int = 20_000) -> DataFrame:

@@ -174,11 +174,56 @@ def queue(v):
     return p.initial_queue(v.embeddings.select(F.col("vec_id").alias("candidate")), near(v), 10)
 
 
-@query("g17_context_rows", "WITH s AS (SELECT task_number AS candidate, (task_number * 7 + k) % 50 + 1 AS other, k AS similarity FROM tasks, (SELECT unnest([1, 2, 3, 4]) AS k) x), r AS (SELECT s.candidate, t.task_id, row_number() OVER (PARTITION BY s.candidate ORDER BY s.similarity DESC, s.other) AS rank FROM s JOIN tasks t ON t.task_number = s.other) SELECT candidate, string_agg(concat('<task>', chr(10), task_id, chr(10), '</task>'), chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 3 GROUP BY candidate")
+def stored_tasks(v):
+    """Tasks with a vector: other, embedding, fields, content."""
+    fields = F.create_map(F.lit("task_family"), F.lit("x"), F.lit("name_of_task"), F.col("source"), F.lit("estimated_human_difficulty"), F.col("lang"))
+    rows = v.documents.select(F.col("doc_id").alias("other"), fields.alias("fields"), F.col("text").alias("content"))
+    return rows.join(v.embeddings.select(F.col("vec_id").alias("other"), "embedding"), "other")
+
+
+def asked_tasks(v):
+    return v.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("candidate"), "embedding")
+
+
+SHOWN = """kept AS (SELECT doc_id, text, embedding, concat('Task description: ', chr(10), 'Name of task: ', source, chr(10), 'Estimated human difficulty: ', lang, chr(10), chr(10)) AS about,
+    concat('Task code: ', chr(10), text, chr(10)) AS code FROM documents JOIN embeddings ON vec_id = doc_id),
+  shown AS (SELECT doc_id, concat('[[START OF ADDITIONAL EXISTING TASK]]', chr(10), {parts}, '[[END OF ADDITIONAL EXISTING TASK]]', chr(10), chr(10)) AS block FROM kept),
+  asked AS (SELECT vec_id AS candidate, embedding FROM embeddings WHERE vec_id % 20 = 0)"""
+NEAREST = """hits AS (SELECT candidate, doc_id AS other, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[])) AS similarity FROM asked a CROSS JOIN kept k),
+  ranked AS (SELECT candidate, other, row_number() OVER (PARTITION BY candidate ORDER BY round(similarity, 12) DESC, other) AS rank FROM hits WHERE similarity >= 0)"""
+
+
+def context_sql(parts: str, n: int) -> str:
+    return f"WITH {SHOWN.format(parts=parts)}, {NEAREST}, t AS (SELECT candidate, string_agg(block, '' ORDER BY rank) AS context FROM ranked JOIN shown ON doc_id = other WHERE rank <= {n} GROUP BY candidate) SELECT a.candidate, md5(coalesce(context, '')) AS context FROM asked a LEFT JOIN t USING (candidate)"
+
+
+def similar_context(v, representation: str, n: int):
+    tasks, asked = stored_tasks(v), asked_tasks(v)
+    near = p.similar_tasks(tasks.select(F.col("other").alias("sample_id"), "embedding"), asked, n)
+    return p.context_rows(asked, near, tasks, representation).select("candidate", F.md5("context").alias("context"))
+
+
+@query("g17_context_rows", context_sql("about", 3))
 def context(v):
-    s = v.tasks.select(F.col("task_number").alias("candidate"), F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("similarity"))
-    s = s.withColumn("other", (F.col("candidate") * 7 + F.col("similarity")) % 50 + 1)
-    return p.context_rows(s, v.tasks, 3)
+    return similar_context(v, "metadata", 3)
+
+
+@query("g17_context_of_code", context_sql("code", 2))
+def context_of_code(v):
+    return similar_context(v, "content", 2)
+
+
+@query("g17_context_of_both", context_sql("about, code", 1))
+def context_of_both(v):
+    return similar_context(v, "all", 1)
+
+
+@query("g17_random_context", f"WITH {SHOWN.format(parts='about')}, pool AS (SELECT doc_id AS other, row_number() OVER (ORDER BY doc_id) - 1 AS at_, count(*) OVER () AS n FROM kept), d AS (SELECT candidate, {draw_sql('candidate', 21)} % (n - 2) AS a, {draw_sql('candidate', 22)} % (n - 1) AS b, {draw_sql('candidate', 23)} % n AS c, n FROM asked, (SELECT count(*) AS n FROM kept) x), e AS (SELECT candidate, a, CASE WHEN b = a THEN n - 2 ELSE b END AS b, c, n FROM d), f AS (SELECT candidate, a, b, CASE WHEN c IN (a, b) THEN n - 1 ELSE c END AS c FROM e), g AS (SELECT candidate, 1 AS rank, a AS at_ FROM f UNION ALL SELECT candidate, 2, b FROM f UNION ALL SELECT candidate, 3, c FROM f) SELECT candidate, md5(string_agg(block, '' ORDER BY rank)) AS context FROM g JOIN pool USING (at_) JOIN shown ON doc_id = other GROUP BY candidate")
+def random_context(v):
+    """Three tasks of the pool at random for each candidate."""
+    tasks, asked = stored_tasks(v), asked_tasks(v)
+    near = p.random_tasks(asked, tasks.select(F.col("other").alias("task_number")), 3, lambda c, i: draw(c, 21 + i))
+    return p.context_rows(asked, near, tasks).select("candidate", F.md5("context").alias("context"))
 
 
 @query("g18_seed_exclusion", "SELECT task_number FROM tasks WHERE generation_type <> 'initial'")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import text as t
 from evalspark.functions.hashing import draw, uniform
-from evalspark.operators import answers, coverage, novelty, pool, selection, skills, vectors
+from evalspark.operators import answers, balls, coverage, novelty, pool, selection, skills, vectors
 from evalspark.sources import archives, harness
 from evalspark.streaming.ingest import current, upsert_stream
 
@@ -293,8 +293,8 @@ def test_similar_earlier_ones_in_blocks(spark):
     df = spark.createDataFrame([(i * 7, x[i].tolist()) for i in range(300)], "sample_id long, embedding array<double>").repartition(4)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {i * 7 for i in range(300) if (unit[:i] @ unit[i] >= 0.9).any()}
-    for block in (512, 40, 7):
-        assert {r["sample_id"] for r in vectors.with_earlier(df, 0.9, block).collect()} == want
+    for ball in (512, 40, 7):
+        assert {r["sample_id"] for r in vectors.with_earlier(df, 0.9, balls.Sizes(ball=ball, chunk_bytes=32 * 25)).collect()} == want
 
 
 def test_baselines_whose_models_are_absent_are_left_out(spark):
