@@ -11,6 +11,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.operators import cover_search
 from evalspark.operators.novelty import packed
 from evalspark.sources.tables import Tables
 
@@ -57,8 +58,17 @@ def greedy_cover(skills: DataFrame, n: int, by: Sequence[str] = (), include: Seq
 def optimal_cover(bits: DataFrame, n: int) -> DataFrame:
     """members (places), covered: the n-subset that covers most positions, the first in order on ties; none if none covers.
 
-    Subsets grow by joins on increasing places over packed words; more than SUBSETS_MAX subsets is an error.
+    Branch and bound over patterns of solvers; if there are too many patterns to broadcast, every subset is tried.
     """
+    found = cover_search.patterns(bits)
+    if found is None:
+        return every_subset(bits, n)
+    best = cover_search.best_cover(bits.sparkSession, found, n)
+    return bits.sparkSession.createDataFrame([best] if best else [], "members array<bigint>, covered bigint")
+
+
+def every_subset(bits: DataFrame, n: int) -> DataFrame:
+    """The same by trying all: subsets grow by joins on increasing places over packed words; more than SUBSETS_MAX is an error."""
     w = packed(bits).select("ord", "word", "solved")
     count = w.select("ord").distinct().count()
     if comb(count, n) > SUBSETS_MAX:

@@ -57,6 +57,14 @@ def optimal(v):
     return s.optimal_cover(bits, 2).select(F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "covered")
 
 
+@query("f02_optimal_six", f"WITH RECURSIVE {BITS}, pos AS (SELECT pos, CAST(sum(CASE WHEN solved THEN 1::BIGINT << CAST(ord - 16 AS INT) ELSE 0 END) AS BIGINT) AS mask FROM bits WHERE ord >= 16 GROUP BY pos), pats AS (SELECT mask, count(*) AS n FROM pos WHERE mask <> 0 GROUP BY mask), sets AS (SELECT CAST(o AS INT) AS last, 1::BIGINT << CAST(o AS INT) AS picked, 1 AS size FROM (SELECT unnest(range(0, 16)) AS o) x UNION ALL SELECT CAST(o AS INT), picked | (1::BIGINT << CAST(o AS INT)), size + 1 FROM sets, (SELECT unnest(range(0, 16)) AS o) x WHERE o > last AND size < 6), r AS (SELECT picked, sum(n) FILTER (mask & picked <> 0) AS covered FROM sets, pats WHERE size = 6 GROUP BY picked), named AS (SELECT array_to_string(list_transform(list_filter(range(0, 16), lambda o: (picked >> CAST(o AS INT)) & 1 = 1), lambda o: CAST(o + 16 AS STRING)), ',') AS members, list_filter(range(0, 16), lambda o: (picked >> CAST(o AS INT)) & 1 = 1) AS places, CAST(covered AS BIGINT) AS covered FROM r) SELECT members, covered FROM named ORDER BY covered DESC, places LIMIT 1")
+def optimal_six(v):
+    """Six of the models from place 16 on; the SQL tries every subset."""
+    rows = v.points.where("ord >= 16")
+    bits = binarize(rows.select("ord", "model_path").distinct(), v.points.select("task_number").distinct(), rows.withColumn("score", F.col("points")), 45)
+    return s.optimal_cover(bits, 6).select(F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "covered")
+
+
 @query("f03_top_by_fitness", f"WITH {FIT}, r AS (SELECT ord, model_path, row_number() OVER (ORDER BY fitness DESC, gen, ord) AS rank FROM fit) SELECT ord, model_path, rank FROM r WHERE rank <= 8")
 def top(v):
     return s.top_n(fit(v), 8).select("ord", "model_path", "rank")

@@ -79,7 +79,9 @@ def test_greedy_repeats_the_last_pick_and_takes_forced_models_first(spark):
 def test_optimal_cover_has_no_result_without_cover(spark):
     assert selection.optimal_cover(bits(spark, [[0, 0], [0, 0]]), 2).count() == 0
     with pytest.raises(ValueError, match="subsets"):
-        selection.optimal_cover(spark.range(60).selectExpr("id AS ord", "0 AS pos", "true AS solved"), 12)
+        selection.every_subset(spark.range(60).selectExpr("id AS ord", "0 AS pos", "true AS solved"), 12)
+    got = selection.optimal_cover(spark.range(60).selectExpr("id AS ord", "0 AS pos", "true AS solved"), 12).first()
+    assert (got["members"], got["covered"]) == (list(range(12)), 1)
 
 
 def test_biased_draw_fills_the_slots_in_order(spark):
