@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from evalspark.functions.hashing import draw, draw_sql
 from evalspark.plans.registry import query
 from evalspark.sources import archives, harness
 from evalspark.sources.files import write_named
@@ -21,11 +22,23 @@ def structured(paths: dict[str, F.Column]) -> F.Column:
     return F.struct(*((x[""] if "" in x else F.struct(*(c.alias(k) for k, c in x.items()))).alias(node) for node, x in tree.items()))
 
 
+#: A number of each sample over all benchmarks, and the order of a file's lines, which is that of no key.
+NUMBER = "sample_id * 4 + CASE benchmark WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
+
+
 def lines(v, benchmark: str):
     """Harness lines of all samples as files of one benchmark, read by its reader. The filter that counts is that of the
-    samples' filter O; a subject or a group of files is the samples' benchmark."""
-    spec, number = harness.SPECS[benchmark], F.col("sample_id").cast("string")
-    paths = {"$.doc_id": F.col("sample_id"), "$.resps": F.array(F.array(F.lit("full"))), "$.filtered_resps": F.array(F.lit("short")), "$.target": F.lit("t")}
+    samples' filter O; a subject or a group of files is the samples' benchmark, else all benchmarks share the files.
+
+    Lines stand in a random order. Every third sample has an earlier line with the opposite verdict.
+    """
+    spec = harness.SPECS[benchmark]
+    grouped = spec.subject or spec.by_file
+    rows = v.samples if spec.filter else v.samples.where("filter = 'O'")
+    rows = rows.withColumn("number", F.col("sample_id") if grouped else F.expr(NUMBER)).withColumn("version", F.lit(1))
+    rows = rows.unionByName(rows.where("sample_id % 3 = 0").withColumns({"correct": ~F.col("correct"), "version": F.lit(0)}))
+    number = F.col("number").cast("string")
+    paths = {"$.doc_id": F.col("number"), "$.resps": F.array(F.array(F.lit("full"))), "$.filtered_resps": F.array(F.lit("short")), "$.target": F.lit("t")}
     paths[spec.problem] = F.concat(F.lit("q "), number)
     paths[spec.answer] = F.concat(F.lit("a "), number)
     if spec.subject:
@@ -35,17 +48,16 @@ def lines(v, benchmark: str):
     value = F.col("correct") if benchmark == "ifeval" else F.col("correct").cast("int")
     paths["$." + spec.metric] = value
     group = F.concat("benchmark", F.lit("_")) if spec.by_file else F.lit("")
-    rows = v.samples if spec.subject or spec.by_file else v.samples.where("benchmark = 'R'")
-    rows = rows if spec.filter else rows.where("filter = 'O'")
     judged = F.when(F.pmod("sample_id", F.lit(5)) == 0, f"{harness.JUDGE}_").otherwise("")
     name = F.concat(F.lit(f"samples_{spec.prefix}_"), group, judged, F.lit("2025.jsonl"))
     path = place(v, "samples")
-    write_named(rows.select(F.col("model_name").alias("folder"), name.alias("name"), F.to_json(structured(paths)).alias("value")), path)
+    order = F.struct("version", draw(F.col("number"), 31), "number")
+    write_named(rows.select(F.col("model_name").alias("folder"), name.alias("name"), order.alias("order"), F.to_json(structured(paths)).alias("value")), path, "order")
     return harness.read_samples(v.spark, path, spec.prefix)
 
 
 PLAIN = "FROM samples WHERE filter = 'O' AND sample_id % 5 <> 0"
-GSM = f"SELECT model_name, CAST(sample_id AS STRING) AS sample_id, correct, concat('q ', CAST(sample_id AS STRING)) AS problem, 'short' AS prediction {PLAIN} AND benchmark = 'R'"
+GSM = f"SELECT model_name, CAST({NUMBER} AS STRING) AS sample_id, correct, concat('q ', CAST({NUMBER} AS STRING)) AS problem, 'short' AS prediction {PLAIN}"
 
 
 @query("a01_harness_samples", GSM)
@@ -55,10 +67,10 @@ def samples(v):
 
 def normalized(benchmark: str):
     spec = harness.SPECS[benchmark]
-    number = "CAST(sample_id AS STRING)"
     grouped = spec.subject or spec.by_file
+    number = f"CAST({'sample_id' if grouped else NUMBER} AS STRING)"
     prediction = "full" if spec.prediction.startswith("$.resps") else "short"
-    sql = f"SELECT model_name, {f'concat(benchmark, chr(95), {number})' if grouped else number} AS sample_id, correct, CAST(correct AS INT) AS score, concat('q ', {number}) AS problem, concat('a ', {number}) AS answer, 'full' AS generation, '{prediction}' AS prediction {PLAIN}{'' if grouped else ' AND benchmark = ' + chr(39) + 'R' + chr(39)}"
+    sql = f"SELECT model_name, {f'concat(benchmark, chr(95), {number})' if grouped else number} AS sample_id, correct, CAST(correct AS INT) AS score, concat('q ', {number}) AS problem, concat('a ', {number}) AS answer, 'full' AS generation, '{prediction}' AS prediction {PLAIN}"
 
     @query(f"b01_normalized_{benchmark}", sql)
     def rows(v):
@@ -70,11 +82,11 @@ for _benchmark in harness.SPECS:
     normalized(_benchmark)
 
 
-@query("a03_filtered_population", f"SELECT model_name, sample_id, row_number() OVER (PARTITION BY model_name ORDER BY sample_id) - 1 AS ord {PLAIN} AND benchmark = 'R'")
+@query("a03_filtered_population", f"WITH k AS (SELECT model_name, {NUMBER} AS sample_id, 1 AS version {PLAIN}), l AS (SELECT * FROM k UNION ALL SELECT model_name, {NUMBER}, 0 {PLAIN} AND sample_id % 3 = 0) SELECT model_name, sample_id, row_number() OVER (PARTITION BY model_name ORDER BY version, {draw_sql('sample_id', 31)}, sample_id) - 1 AS ord FROM l")
 def population(v):
-    """Lines of one filter value in the order of their file; the file is sorted by sample."""
+    """Lines of one filter value in the order of their file, which is sorted by no key."""
     rows = lines(v, "gsm8k").withColumn("sample_id", F.try_variant_get("v", "$.doc_id", "bigint"))
-    return harness.filtered_population(rows.withColumn("line", F.col("sample_id")), "flexible-extract").select("model_name", "sample_id", F.col("ord").cast("bigint").alias("ord"))
+    return harness.filtered_population(rows, "flexible-extract").select("model_name", "sample_id", F.col("ord").cast("bigint").alias("ord"))
 
 
 @query("a04_task_files", "SELECT DISTINCT benchmark AS task, model_name FROM samples")
@@ -113,13 +125,13 @@ def result_files(v, times=None) -> str:
     return path
 
 
-@query("a02_judge_partition", "SELECT model_name, CAST(sample_id AS STRING) AS sample_id, correct FROM samples WHERE filter = 'O' AND benchmark = 'R' AND sample_id % 5 = 0")
+@query("a02_judge_partition", f"SELECT model_name, CAST({NUMBER} AS STRING) AS sample_id, correct FROM samples WHERE filter = 'O' AND sample_id % 5 = 0")
 def judged(v):
     """Lines of judge files, which the plain reader leaves out."""
     path = place(v, "judged")
-    line = F.to_json(F.struct(F.col("sample_id").alias("doc_id"), F.lit("flexible-extract").alias("filter"), F.col("correct").cast("int").alias("exact_match")))
+    line = F.to_json(F.struct(F.expr(NUMBER).alias("doc_id"), F.lit("flexible-extract").alias("filter"), F.col("correct").cast("int").alias("exact_match")))
     name = F.concat(F.lit("samples_gsm8k_"), F.when(F.pmod("sample_id", F.lit(5)) == 0, f"{harness.JUDGE}_").otherwise(""), F.lit("2025.jsonl"))
-    write_named(v.samples.where("benchmark = 'R' and filter = 'O'").select(F.col("model_name").alias("folder"), name.alias("name"), line.alias("value")), path)
+    write_named(v.samples.where("filter = 'O'").select(F.col("model_name").alias("folder"), name.alias("name"), line.alias("value")), path)
     return harness.normalized(harness.read_samples(v.spark, path, "gsm8k", judge=True), "gsm8k").select("model_name", "sample_id", "correct")
 
 

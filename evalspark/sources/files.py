@@ -14,12 +14,19 @@ def named(path: Column) -> tuple[Column, Column]:
 
 
 def read_texts(spark: SparkSession, root: str, name: str, whole: bool = False) -> DataFrame:
-    """folder, file_name, value of the files under ``root`` whose name matches a pattern: a row per line, or per file."""
+    """folder, file_name, value of the files under ``root`` whose name matches a pattern: a row per line, or per file.
+
+    Lines also have ``line``: the byte at which the split of the file begins that holds the line, and a number that grows
+    inside the split. So lines of one file are in the order of ``line``, however the file is split and whichever tasks
+    read its splits.
+    """
     rows = spark.read.text(root, wholetext=whole, recursiveFileLookup=True)
     folder, file_name = named(F.col("_metadata.file_path"))
-    return rows.select(folder.alias("folder"), file_name.alias("file_name"), "value").where(F.col("file_name").rlike(name))
+    place = [] if whole else [F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("line")]
+    return rows.select(folder.alias("folder"), file_name.alias("file_name"), "value", *place).where(F.col("file_name").rlike(name))
 
 
-def write_named(rows: DataFrame, root: str) -> None:
-    """Writes rows of folder, name and value (a line or a whole text), one file for each name of a folder."""
-    rows.select("folder", "name", "value").repartition("folder", "name").write.partitionBy("folder", "name").text(root)
+def write_named(rows: DataFrame, root: str, *order: str) -> None:
+    """Writes rows of folder, name and value (a line or a whole text), one file for each name of a folder, its lines in order."""
+    sorted_ = rows.select("folder", "name", *order, "value").repartition("folder", "name").sortWithinPartitions("folder", "name", *order)
+    sorted_.drop(*order).write.partitionBy("folder", "name").text(root)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import group_of_file, is_correct, is_correct_rate, mean_of
+from evalspark.operators.order import placed
 from evalspark.sources.files import read_texts
 
 JUDGE = "llm_as_a_judge"
@@ -20,11 +21,11 @@ SAMPLE_SCHEMA = "doc_id long, doc variant, target variant, arguments variant, re
 
 
 def read_samples(spark: SparkSession, root: str, benchmark: str, judge: bool = False) -> DataFrame:
-    """One row per line of ``<root>/<model>/samples_<benchmark>*.jsonl``: file_name, model_name, line, v (variant).
+    """One row per line of ``<root>/<model>/samples_<benchmark>*.jsonl``: file_name, model_name, line (its place), v (variant).
 
     Judge files belong to the judge variant alone.
     """
-    rows = judge_files(read_texts(spark, root, rf"^samples_{re.escape(benchmark)}.*\.jsonl$"), judge).withColumn("line", F.monotonically_increasing_id())
+    rows = judge_files(read_texts(spark, root, rf"^samples_{re.escape(benchmark)}.*\.jsonl$"), judge)
     return rows.select("file_name", F.col("folder").alias("model_name"), "line", F.try_parse_json("value").alias("v")).where("v is not null")
 
 
@@ -34,9 +35,9 @@ def judge_files(files: DataFrame, judge: bool) -> DataFrame:
 
 
 def filtered_population(samples: DataFrame, value: str) -> DataFrame:
-    """Rows whose ``filter`` is the value, with their place in the file."""
+    """Rows whose ``filter`` is the value, with their place among these in the file; a file may be larger than a task."""
     rows = samples.where(F.try_variant_get("v", "$.filter", "string") == value)
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("model_name", "file_name").orderBy("line")) - 1)
+    return placed(rows, ["line"], "ord", ["model_name", "file_name"], start=0)
 
 
 def task_files(files: DataFrame, judge: bool = False) -> DataFrame:

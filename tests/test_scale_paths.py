@@ -142,3 +142,33 @@ def test_missing_tasks(spark):
     assert sorted(map(tuple, missing.collect())) == [(0, 3), (1, 3), (2, 1), (2, 2), (2, 3)] and kept.count() == 4
     assert not pool.same_missing(skills, tasks).first()["same"]
     assert pool.same_missing(skills.where("ord < 2"), tasks).first()["same"]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """One file over many splits and tasks: lines keep their order, and of two lines with one key the later one counts."""
+    from evalspark.sources import harness
+    from evalspark.sources.files import read_texts
+
+    folder = tmp_path / "model"
+    folder.mkdir()
+    numbers = [(i * 37) % 200 for i in range(400)]
+    lines = [f'{{"doc_id": {n}, "filter": "{"flexible-extract" if i % 2 else "x"}", "exact_match": {int(i >= 200)}, "pad": "{"p" * (i % 50)}"}}' for i, n in enumerate(numbers)]
+    (folder / "samples_gsm8k_2025.jsonl").write_text("\n".join(lines) + "\n")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "3000")
+        spark.conf.set(names[1], "1")
+        text = read_texts(spark, str(tmp_path), "samples")
+        assert text.select("line.split").distinct().count() > 5
+        ordered = order.placed(text, ["line"], "n", ["file_name"], start=0).select("n", "value")
+        assert sorted(map(tuple, ordered.collect())) == list(enumerate(lines))
+        rows = harness.read_samples(spark, str(tmp_path), "gsm8k")
+        of = harness.filtered_population(rows, "flexible-extract").select("ord", F.try_variant_get("v", "$.doc_id", "int").alias("n"))
+        assert [r["n"] for r in of.orderBy("ord").collect()] == numbers[1::2]
+        last = {n: i for i, n in enumerate(numbers) if i % 2}
+        got = {int(r["sample_id"]): r["correct"] for r in harness.normalized(rows, "gsm8k").collect()}
+        assert got == {n: i >= 200 for n, i in last.items()}
+    finally:
+        for n, x in zip(names, before, strict=True):
+            spark.conf.set(n, x)
