@@ -1,8 +1,8 @@
 """Toxicity: a learned lexicon, met with misspellings by Levenshtein automata, and context windows.
 
 Terms are whole words or word stems whose documents are marked toxic far more often than others. The lexicon is a trie;
-the automaton that accepts every term with at most one edit is intersected with it and made deterministic, so a word is
-one walk through a table and all words of a batch are walked in step. Each hit is weighed by its term and looks at its
+the automaton that accepts every term with at most one edit is intersected with it, state by state as a word asks for it.
+Each hit is weighed by its term and looks at its
 context window: hits between quotation marks are counted apart from open ones, hits close together strengthen each
 other. A small logistic model turns these sums into a score.
 """
@@ -138,104 +138,119 @@ def uncovered(good: DataFrame, p: Toxicity) -> DataFrame:
     return kept.join(covered, "term", "left_anti")
 
 
+#: Words that a worker remembers with what they met; beyond, it begins anew.
+REMEMBERED = 400_000
+
+
 @dataclass
 class Automaton:
-    """Deterministic: ``step[state, class of the letter]``; state 0 is dead, 1 the start.
+    """The lexicon's trie, intersected with the automaton of at most one edit as words ask for it.
+
+    A state of the intersection is a trie node and the edits spent. Without an edit there is one path. Where a path
+    spends its edit, the children from which the next letter leads on are looked up, not tried: ``onward[node, letter]``.
+    So nothing is made deterministic ahead, and memory is linear in the letters of all terms, whatever the alphabet.
 
-    ``hit[state]`` is the number of the term met when a word ends there (-1 none), ``edits[state]`` how it was met.
+    ``hit[state]`` of the state that ``walk`` gives is the number of the term met (-1 none), ``edits[state]`` how.
     """
 
-    classes: np.ndarray
-    step: np.ndarray
+    #: Children by (node, letter); children by node and the letter behind them; and the smallest number of a stem and of
+    #: a whole word that ends at a node, and at a child of a node.
+    child: dict[tuple[int, str], int]
+    onward: dict[tuple[int, str], tuple[int, ...]]
+    stems: dict[int, int]
+    wholes: dict[int, int]
+    stems_below: dict[int, int]
+    wholes_below: dict[int, int]
+    exact_stems: dict[str, int]
+    exact_wholes: dict[str, int]
+    stem_sizes: list[int]
     hit: np.ndarray
     edits: np.ndarray
     weights: np.ndarray
     terms: list[str] = field(default_factory=list)
+    known: dict[str, int] = field(default_factory=dict)
 
     @staticmethod
     def build(terms: list[tuple[str, float]], p: Toxicity) -> Automaton:
-        letters = sorted({c for t, _ in terms for c in t.rstrip("*")})
-        class_of = {c: i + 1 for i, c in enumerate(letters)}
-        classes = np.zeros(0x110000, np.int16)
-        for c, i in class_of.items():
-            classes[ord(c)] = i
-        # trie: (children, whole term, stem term); one for exact matches, one for terms that may carry an edit
-        tries: list[list[tuple[dict, int, int]]] = []
-        for fuzzy in (False, True):
-            nodes: list[list] = [[{}, -1, -1]]
-            for i, (term, _) in enumerate(terms):
-                stem = term.rstrip("*")
-                if fuzzy and len(stem) < (p.fuzzy_stem if term != stem else p.fuzzy_word):
-                    continue
-                at = 0
-                for c in stem:
-                    if class_of[c] not in nodes[at][0]:
-                        nodes[at][0][class_of[c]] = len(nodes)
-                        nodes.append([{}, -1, -1])
-                    at = nodes[at][0][class_of[c]]
-                nodes[at][2 if term != stem else 1] = i
-            tries.append(nodes)
-
-        def closed(states: set) -> frozenset:
-            """Adds what a missing letter allows, and turns a met stem into a state that stays."""
-            todo = list(states)
-            while todo:
-                kind, node, e = todo.pop()
-                if kind == 2:
-                    continue
-                if kind == 1 and e == 0:
-                    new = [(1, child, 1) for child in tries[1][node][0].values()]
-                    todo += [s for s in new if s not in states]
-                    states.update(new)
-                if tries[kind][node][2] >= 0:
-                    states.add((2, tries[kind][node][2], e))
-            exact = sorted(s for s in states if s[0] == 2 and s[2] == 0)
-            if exact:
-                return frozenset(exact[:1])
-            met = sorted(s for s in states if s[0] == 2)
-            return frozenset([s for s in states if s[0] != 2] + met[:1])
-
-        start = closed({(0, 0, 0), (1, 0, 0)})
-        number, queue, table = {frozenset(): 0, start: 1}, [start], [np.zeros(len(letters) + 1, np.int32)]
-        for states in queue:
-            row = np.zeros(len(letters) + 1, np.int32)
-            named = {c for kind, node, _ in states if kind < 2 for c in tries[kind][node][0]}
-            for c in [0, *named]:
-                after: set = set()
-                for kind, node, e in states:
-                    if kind == 2:
-                        after.add((kind, node, e))
-                        continue
-                    children = tries[kind][node][0]
-                    if c in children:
-                        after.add((kind, children[c], e))
-                    if kind == 1 and e == 0:
-                        after.add((1, node, 1))
-                        after.update((1, child, 1) for child in children.values())
-                done = closed(after)
-                if done not in number:
-                    number[done] = len(number)
-                    queue.append(done)
-                if c:
-                    row[c] = number[done]
+        child, parent, stems, wholes, exact_stems, exact_wholes = {}, [-1], {}, {}, {}, {}
+        for i, (term, _) in enumerate(terms):
+            stem = term.rstrip("*")
+            (exact_stems if term != stem else exact_wholes).setdefault(stem, i)
+            if len(stem) < (p.fuzzy_stem if term != stem else p.fuzzy_word):
+                continue
+            at = 0
+            for c in stem:
+                if (at, c) not in child:
+                    child[at, c] = len(parent)
+                    parent.append(at)
+                at = child[at, c]
+            (stems if term != stem else wholes).setdefault(at, i)
+        onward: dict = {}
+        for (node, c), _ in child.items():
+            if node:
+                onward.setdefault((parent[node], c), []).append(node)
+        below: list[dict[int, int]] = [{}, {}]
+        for found, of in zip((stems, wholes), below, strict=True):
+            for node, i in found.items():
+                of[parent[node]] = min(i, of.get(parent[node], i))
+        numbers = np.arange(len(terms), dtype=np.int32)
+        return Automaton(
+            child, {k: tuple(x) for k, x in onward.items()}, stems, wholes, *below, exact_stems, exact_wholes, sorted({len(x) for x in exact_stems}),
+            np.concatenate([[-1], np.repeat(numbers, 2)]).astype(np.int32), np.concatenate([[0], np.tile([0, 1], len(terms))]).astype(np.int8),
+            np.array([w for _, w in terms]), [t for t, _ in terms],
+        )
+
+    def near(self, w: str) -> int:
+        """The smallest number of a term that is one edit away from the word (a stem: from a beginning of it); -1 if none."""
+        best, n, child, node = len(self.terms), len(w), self.child, 0
+        for i in range(n + 1):
+            # the edit is here: a letter too many, another letter, a missing letter; then all is as in the term
+            ways = [(node, i + 1)] if i < n else []
+            for j in (i + 1, i) if i < n else (i,):
+                best = min(best, self.stems_below.get(node, best))
+                if j == n:
+                    best = min(best, self.wholes_below.get(node, best))
                 else:
-                    row[:] = number[done]
-            table.append(row)
-        hit, edits = np.full(len(number), -1, np.int32), np.zeros(len(number), np.int8)
-        for states, n in number.items():
-            met = sorted((e, node if kind == 2 else tries[kind][node][1]) for kind, node, e in states if kind == 2 or tries[kind][node][1] >= 0)
-            if met:
-                edits[n], hit[n] = met[0]
-        return Automaton(classes, np.stack(table), hit, edits, np.array([w for _, w in terms]), [t for t, _ in terms])
+                    ways += [(x, j) for x in self.onward.get((node, w[j]), ())]
+            for at, j in ways:
+                while at is not None:
+                    best = min(best, self.stems.get(at, best))
+                    if j == n:
+                        best = min(best, self.wholes.get(at, best))
+                        break
+                    at, j = child.get((at, w[j])), j + 1
+            node = child.get((node, w[i])) if i < n else None
+            if node is None:
+                break
+        return best if best < len(self.terms) else -1
+
+    def met(self, w: str) -> int:
+        """State of a word: its shortest exact stem, else itself, else the first term that is one edit away."""
+        for k in self.stem_sizes:
+            if k > len(w):
+                break
+            if w[:k] in self.exact_stems:
+                return 1 + 2 * self.exact_stems[w[:k]]
+        if w in self.exact_wholes:
+            return 1 + 2 * self.exact_wholes[w]
+        i = self.near(w)
+        return 2 + 2 * i if i >= 0 else 0
 
     def walk(self, t: Tokens) -> np.ndarray:
         """The state in which each token ends."""
-        state, live, i = np.ones(len(t.begin), np.int32), np.arange(len(t.begin)), 0
-        while len(live):
-            state[live] = self.step[state[live], self.classes[t.chars[t.begin[live] + i]]]
-            i += 1
-            live = live[(state[live] > 0) & (t.size[live] > i)]
-        return state
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, text = self.known, t.chars.astype("<u4").tobytes().decode("utf-32-le")
+        out = np.zeros(len(t.begin), np.int32)
+        for k, (b, n) in enumerate(zip(t.begin.tolist(), t.size.tolist(), strict=True)):
+            w = text[b : b + n]
+            state = known.get(w)
+            if state is None:
+                state = self.met(w)
+                if n <= 64:
+                    known[w] = state
+            out[k] = state
+        return out
 
 
 def features(batch: pa.RecordBatch, a: Automaton, p: Toxicity) -> np.ndarray:

@@ -97,3 +97,51 @@ def test_whole_words_and_their_extensions_are_all_met(table):
     got = dict(zip([*dict.fromkeys(words), "scumpole", "vileda", "words"], met([*dict.fromkeys(words), "scumpole", "vileda", "words"], Automaton.build(terms, Toxicity()))))
     assert all(got[w] == (True, 0) for w in set(words)), (terms, got)
     assert not any(got[w][0] for w in ("scumpole", "vileda", "words"))
+
+
+def test_a_large_lexicon_of_many_letters_builds_fast():
+    """20,000 terms over 3,000 letters: seconds and megabytes, and each term is met exactly and with an edit."""
+    import pickle
+    import time
+
+    r = np.random.default_rng(1)
+    letters = [chr(0xAC00 + i) for i in range(3000)]
+    terms = [("".join(letters[k] for k in r.integers(0, 3000, r.integers(5, 9))) + "*" * int(r.integers(0, 2)), 1.0) for _ in range(20_000)]
+    began = time.time()
+    a = Automaton.build(terms, Toxicity())
+    assert time.time() - began < 10 and len(pickle.dumps(a)) < 100 << 20
+    words = [t.rstrip("*") for t, _ in terms[:2000]]
+    assert all(h and e == 0 for h, e in met(words, a))
+    long = [w for w in words if len(w) >= 6]
+    assert all(h for h, _ in met([w[:2] + letters[0] + w[3:] for w in long], a)) and all(h for h, _ in met([w[:3] + w[4:] for w in long], a))
+    assert not any(h for h, _ in met(["".join(letters[k] for k in r.integers(0, 3000, 7)) for _ in range(2000)], a))
+
+
+def test_edits_at_every_place():
+    """Every word within one edit of random terms over two letters, against the distance itself; the smallest number counts."""
+    r = np.random.default_rng(3)
+    p = Toxicity(fuzzy_word=3, fuzzy_stem=4)
+    for _ in range(5):
+        terms = list({"".join(r.choice(list("ab"), r.integers(2, 7))) + "*" * int(r.integers(0, 2)): 1.0 for _ in range(5)}.items())
+        a = Automaton.build(terms, p)
+        for w in ("".join(x) for n in range(1, 8) for x in itertools.product("ab", repeat=n)):
+            stems = sorted((len(t) - 1, i) for i, (t, _) in enumerate(terms) if t[-1] == "*" and w.startswith(t[:-1]))
+            whole = [i for i, (t, _) in enumerate(terms) if t == w]
+            near = [i for i, (t, _) in enumerate(terms) if len(t.rstrip("*")) >= (4 if t[-1] == "*" else 3)
+                    and min(distance(t.rstrip("*"), e) for e in ([w[:k] for k in range(len(w) + 1)] if t[-1] == "*" else [w])) == 1]
+            want = (stems[0][1], 0) if stems else (whole[0], 0) if whole else (min(near), 1) if near else (-1, 0)
+            state = a.met(w)
+            assert (int(a.hit[state]), int(a.edits[state])) == want, (terms, w)
+
+
+def test_ids_and_texts_of_any_kind(spark, table):
+    """Null and repeated ids are rows like others; null and empty texts score alike; clashing columns do no harm."""
+    docs, labels = corpus(table)
+    model = train(docs, labels)
+    rows = table([(None, "you horrid fool"), (3, "you horrid fool"), (3, "plain words"), (4, None), (5, ""), (None, None), (6, "x" * 300_000)])
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 9)) for r in scored(rows, model).collect()))
+    by = {}
+    for none, i, score in got:
+        by.setdefault((none, i), []).append(score)
+    assert len(got) == 7 and by[True, 0][1] in by[False, 3] and by[True, 0][0] == by[False, 4][0] == by[False, 5][0] == by[False, 6][0] < 0.5
+    assert scored(table([]), model).count() == 0
