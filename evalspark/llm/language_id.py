@@ -31,10 +31,10 @@ REST, DIGEST = "__language_rest", "__language_digest"
 @dataclass(frozen=True)
 class LanguageId:
     order: int = 4
-    #: N-grams that executors receive at most, with up to ``languages`` languages; with more languages fewer. The others
-    #: are met by joins.
+    #: N-grams that executors receive at most, with up to ``languages`` languages; with more languages fewer, so that
+    #: n-grams times languages stay below 7.8 million (under 100 MB sent, under 600 MB to fit). The others are met by joins.
     grams: int = 600_000
-    languages: int = 64
+    languages: int = 13
     #: Documents of each language that calibrate scores and rejection and teach nothing else (a share by hash, about this
     #: many, and no more than a fifth; none of a language with fewer than ``few`` documents).
     calibration: int = 400
@@ -372,7 +372,8 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` with lang_pred, lang_score (0 to 1), cross_entropy and rejected.
 
     A text that is null or has no letter gets ``und``, score 0 and is rejected, as does every text if there is no
-    model. Ties go to the language that comes first by name. All columns of ``docs`` but these stay as they are.
+    model. Ties go to the language that comes first by name. All columns of ``docs`` but these stay as they are; null
+    and repeated ids are rows like others.
     """
     docs = docs.drop("lang_pred", "lang_score", "cross_entropy", "rejected")
     if model is None:

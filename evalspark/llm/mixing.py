@@ -57,11 +57,12 @@ def mixed(docs: DataFrame, params: Mixing = Mixing()) -> DataFrame:
 
     Null and empty texts have size 0 and are taken 0 times; null is a source of its own. Sources whose documents are
     all empty have target 0. Equal rows are placed next to each other and may share one place only if they are alike
-    in every column that counts, so reruns agree. Extra columns are ignored.
+    in every column that counts, so reruns agree. A row without an id is placed by its text; rows that repeat an id are
+    rows like others. Extra columns are ignored.
     """
     p = params
     scratch = Scratch(docs.sparkSession)
-    key = F.md5(F.concat_ws("|", F.lit(p.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws("|", F.lit(p.seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     along, order = (["text", "rest"], ["key", "doc_id", "size", F.xxhash64("text")]) if "rest" in docs.columns else ([], ["key", "doc_id", "size"])
     whole = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *along).withColumn("bucket", F.substring("key", 1, p.bucket_digits))

@@ -170,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, params: Quality = Quality()) -> Mo
 def judged(docs: DataFrame, model: Model | None, params: Quality = Quality()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality_score, kept.
 
-    Null and empty texts count 0 throughout and fail the rules. Without a model the rules decide alone.
+    Null and empty texts count 0 throughout and fail the rules. Without a model the rules decide alone. One row in, one
+    row out, so null and repeated ids stay as they are; extra columns are ignored.
     """
     p, shared = params, docs.sparkSession.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

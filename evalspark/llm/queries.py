@@ -136,7 +136,7 @@ FROM sized"""
 ORACLES: dict[str, str] = {
     "op4_mix_sources": f"""
 WITH sizes AS (
-  SELECT doc_id, source, len({WORDS_SQL})::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+  SELECT doc_id, source, len({WORDS_SQL})::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS key FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM sizes GROUP BY source),
 weighed AS (SELECT *, CASE pos % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 2 AS cap FROM per),
 filled AS (SELECT *,

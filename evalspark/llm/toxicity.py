@@ -309,7 +309,8 @@ def train(docs: DataFrame, labels: DataFrame, params: Toxicity = Toxicity()) ->
 
 
 def scored(docs: DataFrame, model: Model, params: Toxicity = Toxicity()) -> DataFrame:
-    """doc_id, score (0 to 1), predicted (score >= threshold). Null and empty texts score as texts without a hit."""
+    """doc_id, score (0 to 1), predicted (score >= threshold). Null and empty texts score as texts without a hit. One row
+    in, one row out, so null and repeated ids stay as they are; extra columns are ignored."""
     p, shared = params, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,3 +94,29 @@ def test_more_than_64_languages(spark):
     texts = [(i, f"{chr(0x4E00 + i) * 5} {chr(0x5E00 + i)}" * 4, f"l{i:03d}") for i in range(70)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
     assert predicted(docs, train(docs)).where("lang <> lang_pred").count() == 0
+
+
+def test_memory_of_many_languages():
+    """The most n-grams that are sent with 64 languages: under 600 MB to fit, under 100 MB to send."""
+    import pickle
+    import tracemalloc
+
+    import numpy as np
+
+    p, r = LanguageId(), np.random.default_rng(1)
+    size = p.grams * p.languages // 64
+    grams = np.unique(r.integers(97, 123, (size * 2, p.order)), axis=0)
+    grams = grams[r.permutation(len(grams))[:size]].astype(np.int32)
+    tracemalloc.start()
+    model = Model.fit([f"l{i}" for i in range(64)], r.integers(0, 64, len(grams)), grams, r.integers(1, 50, len(grams)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(grams) > 100_000 and peak < 600 << 20 and len(pickle.dumps(model)) < 100 << 20
+
+
+def test_ids_of_any_kind(table, documents):
+    """Null and repeated ids are rows like others, judged by their own texts."""
+    model = train(documents.where(~held_out()))
+    text = documents.where("lang = 'de'").select("text").first()[0]
+    rows = predicted(table([(None, text), (3, text), (3, None), (None, "")]).select("doc_id", "text"), model).collect()
+    assert sorted((str(r["doc_id"]), r["lang_pred"]) for r in rows) == [("3", "de"), ("3", "und"), ("None", "de"), ("None", "und")]

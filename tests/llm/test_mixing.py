@@ -35,3 +35,13 @@ def test_edges(table):
     assert {r["source"] for r in rows} == {"s0", "s1", None}
     assert mixed(table([])).count() == 0
     assert [r["taken"] for r in mixed(table([None, ""])).collect()] == [0, 0]
+
+
+def test_ids_of_any_kind(spark):
+    """Rows without an id are dealt out by their texts, and repeated ids are rows like others: budgets hold, reruns agree."""
+    rows = [(None, f"word {i} " * (i % 7)) for i in range(300)] + [(i % 10, f"text {i}") for i in range(100)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").selectExpr("*", "1 AS bucket", "2 AS key")
+    got, again = (sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in mixed(x).collect()) for x in (df, df.repartition(7)))
+    assert got == again and len(got) == 400
+    total = sum(s for _, s, _ in got)
+    assert sum(t for *_, t in got) == int(1.5 * total) and all(t <= 2 * s for _, s, t in got)

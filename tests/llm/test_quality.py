@@ -45,3 +45,8 @@ def test_edges(table):
     assert got[0] > got[1] and got[2] == got[3]
     assert train(rows, labels.where("quality = 1")) is None and train(table([]), labels) is None
     assert judged(table([]), model).count() == 0
+
+
+def test_ids_of_any_kind(table):
+    rows = judged(table([(None, "a b c"), (3, "a b c"), (3, "d"), (None, None)]), None).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"]) for r in rows) == [("3", 1), ("3", 3), ("None", 0), ("None", 3)]

@@ -109,3 +109,29 @@ def test_table(table, documents):
     assert all(r["exact"] for r in rows.values())
     assert encoded(table([]), MODEL).count() == 0
     assert encoded(documents, MODEL).where("not exact").count() == 0
+
+
+def test_long_chunks_are_cut_where_no_piece_crosses(v):
+    import time
+
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for text in ("".join(chr(0x4E00 + k) for k in r.integers(0, 3000, 400)), "https://example.org/" + "".join(r.choice(list("abcdefgh-/"), 500)), "x" * 300, "ab" * 200 + "é\U0001f600" * 40):
+        chunk = text.encode()
+        parts = v.cut(chunk)
+        assert b"".join(parts) == chunk
+        together = [i for p in parts for i in v._single(p).tolist()]
+        whole = v._single(chunk).tolist()
+        assert abs(score(v, together) - score(v, whole)) < 1e-6 and len(together) == len(whole)
+        assert v.decode(v.encode([chunk])[0].tolist()) == chunk
+    text = "".join(chr(0x4E00 + k) for k in r.integers(0, 3000, 300_000)).encode()
+    assert len(v.cut(text)) > 100_000
+    began = time.time()
+    v.encode([text])
+    assert time.time() - began < 5
+
+
+def test_ids_of_any_kind(table):
+    rows = encoded(table([(None, "one"), (3, "one"), (3, "two"), (None, None)]), MODEL).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in rows) == [("3", "one"), ("3", "two"), ("None", "None"), ("None", "one")]
