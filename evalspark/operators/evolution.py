@@ -76,16 +76,24 @@ def ancestry(tasks: DataFrame) -> DataFrame:
     that is its own ancestor is an error of the data.
     """
     tables, reach = Tables(tasks.sparkSession), 1
-    found = tables.save(tasks.select("task_number", F.lit(0).alias("step"), F.col("task_number").alias("ancestor"), F.col("original_pass_rate").alias("rate")), "ancestry")
+    parts = [tables.save(tasks.select("task_number", F.lit(0).alias("step"), F.col("task_number").alias("ancestor"), F.col("original_pass_rate").alias("rate")), "ancestry")]
     jumps = tables.save(tasks.where("parent_number is not null").select("task_number", F.col("parent_number").alias("up")), "jumps")
     while not jumps.isEmpty():
-        above = found.withColumnRenamed("task_number", "up")
+        above = all_of(parts).withColumnRenamed("task_number", "up")
         more = tables.save(jumps.join(above, "up").select("task_number", (F.col("step") + reach).alias("step"), "ancestor", "rate"), "ancestry")
         if not more.where("ancestor = task_number").isEmpty():
             raise ValueError("a task is its own ancestor")
-        found, reach = tables.save(found.unionByName(more), "ancestry"), 2 * reach
+        parts.append(more)
+        reach *= 2
         jumps = tables.save(jumps.join(jumps.select(F.col("task_number").alias("up"), F.col("up").alias("next")), "up").select("task_number", F.col("next").alias("up")), "jumps")
-    return found
+    return all_of(parts)
+
+
+def all_of(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def reported_rates(tasks: DataFrame) -> DataFrame:
@@ -95,15 +103,22 @@ def reported_rates(tasks: DataFrame) -> DataFrame:
 
 
 def lineage(edges: DataFrame, models: DataFrame) -> DataFrame:
-    """child, ancestor: all ancestors of the given models (column child), found level by level until none is new."""
+    """child, ancestor: all ancestors of the given models (column child), each pair once; cycles are no harm.
+
+    By doubling: a pair at most 2^k steps apart and a pair exactly 2^k steps apart make one at most 2^(k+1) apart. What a
+    round finds anew is a table of its own, so every pair is written once, and a chain of a thousand takes ten rounds.
+    """
     tables = Tables(edges.sparkSession)
-    found = tables.save(edges.join(models.select("child"), "child", "left_semi").select("child", F.col("parent").alias("ancestor")).distinct(), "lineage")
-    front = found
-    while not front.isEmpty():
-        up = front.join(edges.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
-        front = tables.save(up.join(found, ["child", "ancestor"], "left_anti"), "front")
-        found = tables.save(found.union(front), "lineage")
-    return found
+    exact = tables.save(edges.select("child", F.col("parent").alias("ancestor")).distinct(), "exact")
+    parts = [tables.save(exact.join(models.select("child"), "child", "left_semi"), "lineage")]
+    while True:
+        found = all_of(parts)
+        up = found.join(exact.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("top")), "ancestor").select("child", F.col("top").alias("ancestor")).distinct()
+        more = tables.save(up.join(found, ["child", "ancestor"], "left_anti"), "lineage")
+        if more.isEmpty():
+            return found
+        parts.append(more)
+        exact = tables.save(exact.join(exact.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("top")), "ancestor").select("child", F.col("top").alias("ancestor")).distinct(), "exact")
 
 
 def task_tree(pools: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:

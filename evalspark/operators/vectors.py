@@ -208,36 +208,70 @@ def gram_entropy(rows: DataFrame, key: str, q: float) -> DataFrame:
     The eigenvalues of the n x n similarity matrix over n are those of the d x d matrix of outer products over n, which
     partial sums build; only that small matrix is solved.
     """
+    parts = grams(rows.select(F.col(key).alias("key"), "embedding", F.lit(1).alias("sign")))
+    return vendi(parts.groupBy("key", "cell").agg(F.sum("x").alias("x"), F.sum("n").alias("n")), q).withColumnRenamed("key", key)
+
+
+def grams(rows: DataFrame) -> DataFrame:
+    """key, cell, x, n: for each task and key the sum of the vectors' outer products by sign, cell by cell, and of signs.
+
+    ``rows``: key, embedding, sign (1 or -1). A task holds one matrix per key that it sees.
+    """
+    kind = rows.schema["key"].dataType.simpleString()
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
         for batch in batches:
-            for k, part in batch.groupby(key):
+            for k, part in batch.groupby("key"):
                 x = np.stack(part["embedding"].to_numpy()).astype(float)
                 x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-8
-                yield pd.DataFrame({key: [k], "n": [len(x)], "gram": [(x.T @ x).ravel()]})
+                sign = part["sign"].to_numpy()
+                gram, n = held.get(k, (0.0, 0))
+                held[k] = gram + (x * sign[:, None]).T @ x, n + int(sign.sum())
+        for k, (gram, n) in held.items():
+            yield pd.DataFrame({"key": [k], "n": [n], "gram": [gram.ravel()]})
 
-    kind = rows.schema[key].dataType.simpleString()
-    parts = rows.select(key, "embedding").mapInPandas(partial, f"{key} {kind}, n long, gram array<double>")
-    cells = parts.select(key, "n", F.posexplode("gram").alias("cell", "x")).groupBy(key, "cell").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    grams = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cell", "x"))).alias("cells"), F.max("n").alias("n"))
+    return rows.mapInPandas(partial, f"key {kind}, n long, gram array<double>").select("key", "n", F.posexplode("gram").alias("cell", "x"))
+
+
+def vendi(cells: DataFrame, q: float) -> DataFrame:
+    """key, n, score from the cells (key, cell, x, n) of one matrix per key."""
+    whole = cells.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cell", "x"))).alias("cells"), F.max("n").alias("n")).where("n > 0")
+    kind = cells.schema["key"].dataType.simpleString()
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for k, cells, n in zip(batch[key], batch["cells"], batch["n"], strict=True):
+            for k, cells, n in zip(batch["key"], batch["cells"], batch["n"], strict=True):
                 d = int(round(len(cells) ** 0.5))
                 e = np.linalg.eigvalsh(np.array([c["x"] for c in cells]).reshape(d, d) / n)
                 e = e[e > 1e-12]
                 out.append((k, n, float(np.exp(-(e * np.log(e)).sum()) if q == 1 else (e**q).sum() ** (1 / (1 - q)))))
-            yield pd.DataFrame(out, columns=[key, "n", "score"])
+            yield pd.DataFrame(out, columns=["key", "n", "score"])
 
-    return grams.select(key, "n", "cells").mapInPandas(solve, f"{key} {kind}, n long, score double")
+    return whole.select("key", "n", "cells").mapInPandas(solve, f"key {kind}, n long, score double")
 
 
-def cumulative(rows: DataFrame, gens: DataFrame) -> DataFrame:
-    """Rows seen up to each generation; of one task number the last embedding up to then."""
-    upto = rows.withColumnRenamed("gen", "seen").join(F.broadcast(gens.select("gen").distinct()), F.col("seen") <= F.col("gen"))
-    return upto.groupBy("gen", "task_number").agg(F.max_by("embedding", "seen").alias("embedding"))
+def cumulative_entropy(rows: DataFrame, gens: DataFrame, q: float) -> DataFrame:
+    """gen, n, score: the Vendi score of all tasks seen up to each generation, each with its last embedding up to then.
+
+    ``rows``: gen, task_number, embedding; ``gens``: gen. A generation adds the outer product of each task that is new or
+    has another embedding, and takes away that of the embedding it replaces; running sums of these differences give the
+    matrix of every generation. So a row is read once, however many generations follow.
+    """
+    once = rows.groupBy("gen", "task_number").agg(F.max("embedding").alias("embedding"))
+    before = F.lag("embedding").over(Window.partitionBy("task_number").orderBy("gen"))
+    steps = once.withColumn("before", before).where("before is null or before <> embedding")
+    each = F.array(F.struct("embedding", F.lit(1).alias("sign")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("embedding"), F.lit(-1).alias("sign"))))
+    changes = grams(steps.select(F.col("gen").alias("key"), F.inline(F.array_compact(each))))
+    # every generation has every cell, so that running sums reach it
+    cells = steps.agg(F.max(F.size("embedding")).alias("d")).where("d > 0").select(F.explode(F.sequence(F.lit(0), F.col("d") * F.col("d") - 1)).alias("cell"))
+    zero = gens.select(F.col("gen").alias("key")).distinct().join(F.broadcast(cells), F.lit(True)).select("key", F.lit(0).cast("long").alias("n"), "cell", F.lit(0.0).alias("x"))
+    per = changes.unionByName(zero).groupBy("key", "cell").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    upto = Window.partitionBy("cell").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    found = per.select("key", "cell", F.sum("x").over(upto).alias("x"), F.sum("n").over(upto).alias("n"))
+    asked = gens.select(F.col("gen").alias("key")).distinct()
+    return vendi(found.join(F.broadcast(asked), "key", "left_semi"), q).withColumnRenamed("key", "gen")
 
 
 def projected(vectors: DataFrame, clusters: int, seed: int = 7) -> tuple[DataFrame, DataFrame]:

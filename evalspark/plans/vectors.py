@@ -115,7 +115,7 @@ def diversity(v):
 @query("h10_diversity_cumulative")
 def diversity_cumulative(v):
     rows = v.active_pool.join(v.embeddings.select(F.col("vec_id").alias("task_number"), "embedding"), "task_number")
-    return o.gram_entropy(o.cumulative(rows, v.active_pool), "gen", 0.5)
+    return o.cumulative_entropy(rows, v.active_pool, 0.5)
 
 
 @query("h11_projection")

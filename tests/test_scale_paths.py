@@ -172,3 +172,35 @@ def test_lines_of_split_files(spark, tmp_path):
     finally:
         for n, x in zip(names, before, strict=True):
             spark.conf.set(n, x)
+
+
+def test_lineage_of_a_long_chain(spark, tmp_path):
+    """A chain of 1,000, a diamond and a cycle: every pair once, and written once."""
+    from pathlib import Path
+
+    chain = [(f"c{i:04}", f"c{i - 1:04}") for i in range(1, 1000)]
+    diamond = [("d3", "d1"), ("d3", "d2"), ("d1", "d0"), ("d2", "d0"), ("d0", "c0005"), ("d3", "d1")]
+    ring = [("r0", "r1"), ("r1", "r2"), ("r2", "r0")]
+    edges = spark.createDataFrame(chain + diamond + ring, "child string, parent string")
+    models = spark.createDataFrame([("c0999",), ("c0500",), ("d3",), ("r0",)], "child string")
+    want = {("c0999", f"c{i:04}") for i in range(999)} | {("c0500", f"c{i:04}") for i in range(500)}
+    want |= {("d3", x) for x in ("d0", "d1", "d2", *(f"c{i:04}" for i in range(6)))} | {("r0", f"r{i}") for i in range(3)}
+    got = evolution.lineage(edges, models)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    parts = {str(Path(f).parent) for f in got.inputFiles()}
+    assert len(parts) <= 12 and sum(spark.read.parquet(p).count() for p in parts) == len(want)
+
+
+def test_cumulative_entropy_equals_copies(spark):
+    """Embeddings that change, tasks that come late, a generation without rows, against copying every row into all later ones."""
+    from evalspark.operators import vectors
+
+    r = np.random.default_rng(8)
+    rows = [(g, t, [float(x) for x in r.normal(size=5)]) for g in (0, 1, 3) for t in range(30) if r.random() < 0.5] + [(3, 99, [1.0, 0.0, 0.0, 0.0, 0.0]), (1, 99, [1.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "gen long, task_number long, embedding array<double>")
+    gens = spark.createDataFrame([(g,) for g in (0, 1, 2, 3, 5)], "gen long")
+    upto = df.withColumnRenamed("gen", "seen").join(gens, F.col("seen") <= F.col("gen")).groupBy("gen", "task_number").agg(F.max_by("embedding", "seen").alias("embedding"))
+    want = {x["gen"]: (x["n"], x["score"]) for x in vectors.gram_entropy(upto, "gen", 0.5).collect()}
+    got = {x["gen"]: (x["n"], x["score"]) for x in vectors.cumulative_entropy(df, gens, 0.5).collect()}
+    assert got.keys() == want.keys() and all(got[g][0] == want[g][0] and abs(got[g][1] - want[g][1]) < 1e-6 for g in want)
