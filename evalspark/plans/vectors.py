@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from evalspark.operators import clusters
 from evalspark.operators import vectors as o
 from evalspark.plans.registry import query
 
@@ -123,6 +124,20 @@ def projection(v):
     return o.projected(v.embeddings, 5)[0]
 
 
+DENSE = """u AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  hits AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON round(list_cosine_similarity(a.e, b.e), 12) >= 0.35),
+  dense AS (SELECT a AS id FROM hits GROUP BY a HAVING count(*) >= 3),
+  links AS (SELECT a, b FROM hits WHERE a IN (SELECT id FROM dense) AND b IN (SELECT id FROM dense)),
+  reach AS (SELECT id AS a, id AS b FROM dense UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+  least AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a),
+  large AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS cluster FROM least GROUP BY component HAVING count(*) >= 3)"""
+
+
+@query("h11_density_clusters", f"WITH RECURSIVE {DENSE} SELECT vec_id AS sample_id, CAST(coalesce(cluster, -1) AS INT) AS cluster FROM embeddings LEFT JOIN least ON id = vec_id LEFT JOIN large USING (component)")
+def density(v):
+    return clusters.density_clusters(v.embeddings.select(F.col("vec_id").alias("sample_id"), "embedding"), 0.35, 3, 3)
+
+
 @query("h12_solved_by", "WITH s AS (SELECT task_number, count(*) FILTER (solved) AS n, string_agg(CASE WHEN solved THEN model_path END, ',' ORDER BY model_path) AS models FROM points WHERE gen < 2 GROUP BY task_number) SELECT task_number, coalesce(models, '') AS models, CASE WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'one' ELSE 'many' END AS category FROM s")
 def solved_by(v):
     return o.solved_by(v.points, v.archive.where("gen < 2")).select("task_number", F.array_join("models", ",").alias("models"), "category")
