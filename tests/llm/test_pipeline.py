@@ -1,8 +1,21 @@
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
+
 import corpus_pipeline as c
+import numpy as np
 import pytest
 
 from evalspark.llm import queries
+from evalspark.llm.language_id import LanguageId
+from evalspark.llm.sentencepiece import vocabulary
 from tests.compare import connection, rows
+from tests.llm.test_mixing import water
+from tests.llm.test_near_dedup import brute as near_groups
+from tests.llm.test_sentencepiece import best_score, score
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -72,3 +85,144 @@ def test_mix_repeats_and_cuts(spark, documents, sf_dir):
     got = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit(WORD))).alias("n")).collect()}
     assert got == {r["doc_id"]: r["taken"] for r in mixed(documents).where("taken > 0").collect()}
     assert out.where("n_chars <> length(text)").count() == documents.join(out.select("doc_id"), "doc_id", "left_semi").where("n_chars <> length(text)").count()
+
+
+def plain_letters(text):
+    out = []
+    for ch in text or "":
+        low = (ch.lower() if len(ch.lower()) == 1 else ch) if ch.isalpha() else " "
+        if low != " " or (out and out[-1] != " "):
+            out.append(low)
+    return out
+
+
+def plain_languages(docs, p=LanguageId()):
+    """Stage 1 with dictionaries: interpolated Kneser-Ney by its definition, limits from the documents that teach."""
+    learned = [d for d in docs if d[0] is not None and zlib.crc32(str(d[0]).encode()) % 3 != 1 and d[1] is not None and d[2] is not None]
+    assert max(Counter(d[2] for d in learned).values()) < p.few  # so none is left out of training
+    names, top = sorted({d[2] for d in learned}), defaultdict(Counter)
+    for _, text, lang, _ in learned:
+        x = [" "] * (p.order - 1) + plain_letters(text)
+        top[lang].update(tuple(x[i : i + p.order]) for i in range(len(x) - p.order + 1))
+    levels = {n: [top[n]] for n in names}
+    for n in names:
+        for _ in range(p.order - 1):
+            levels[n].insert(0, Counter(g[1:] for g in levels[n][0]))
+    base = 1 / (len({g for n in names for g in levels[n][0]}) + 1)
+    less, total, kinds = {}, defaultdict(int), Counter()
+    for n in names:
+        for k, level in enumerate(levels[n]):
+            ones, twos = (sum(v == m for v in level.values()) for m in (1, 2))
+            less[n, k] = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.9)
+            for g, v in level.items():
+                total[n, g[:-1]] += v
+                kinds[n, g[:-1]] += 1
+
+    def probability(n, gram):
+        out = base
+        for k in range(p.order):
+            g = gram[p.order - 1 - k :]
+            if total.get((n, g[:-1])):
+                out = (max(levels[n][k][g] - less[n, k], 0) + less[n, k] * kinds[n, g[:-1]] * out) / total[n, g[:-1]]
+        return out
+
+    def entropies(text):
+        x = [" "] * (p.order - 1) + plain_letters(text)
+        grams = [tuple(x[i : i + p.order]) for i in range(len(x) - p.order + 1)]
+        return [-sum(math.log(probability(n, g)) for g in grams) / len(grams) for n in names] if grams else None, len(grams)
+
+    own = [(names.index(d[2]), *entropies(d[1])) for d in learned]
+    own = [(k, e[k], n) for k, e, n in own if n]
+    usual = [np.median([e for j, e, _ in own if j == k]) for k in range(len(names))]
+    slack = max(p.slack + p.margin, 2 * np.quantile([e - usual[k] - p.spread / math.sqrt(n) for k, e, n in own], 0.99))
+    kept = []
+    for i, text, lang, source in docs:
+        e, n = entropies(text)
+        if n and min(e) <= usual[e.index(min(e))] + slack + p.spread / math.sqrt(n):
+            kept.append((i, text, names[e.index(min(e))] if lang is None else lang, source))
+    return kept
+
+
+def plain_near_dedup(docs):
+    groups = near_groups([d[:2] for d in docs if d[0] is not None], 5)
+    return [d for d in docs if d[0] is None or groups[d[0]][1] == d[0]]
+
+
+def plain_substrings(docs, window=50):
+    first, kept = {}, []
+    cut = [(d, d[1].encode().split()) for d in docs]
+    for (i, *_), w in cut:
+        for k in range(len(w) - window + 1 if i is not None else 0):
+            key = tuple(w[k : k + window])
+            first[key] = min(first.get(key, i), i)
+    for (i, text, lang, source), w in cut:
+        gone = {j for k in range(len(w) - window + 1 if i is not None else 0) if first[tuple(w[k : k + window])] < i for j in range(k, k + window)}
+        left = b" ".join(x for j, x in enumerate(w) if j not in gone).decode() if gone else text
+        if not gone or left:
+            kept.append((i, left, lang, source))
+    return kept
+
+
+def plain_mix(docs):
+    sources = defaultdict(list)
+    for i, text, _, source in docs:
+        key = hashlib.md5(text.encode()).hexdigest() if i is None else str(i)
+        sources[source].append((hashlib.md5(f"mix|{key}".encode()).hexdigest(), i, text, text.encode().split()))
+    names = sorted(sources, key=lambda s: (s is None, s or ""))
+    sizes = [sum(len(w) for *_, w in sources[s]) for s in names]
+    out = []
+    for s, size, target in zip(names, sizes, water(sizes, [Fraction((5, 2, 1)[k % 3]) for k in range(len(names))], Fraction(3, 2) * sum(sizes)), strict=True):
+        left = math.floor(target)
+        while left and size:
+            for _, i, text, w in sorted(sources[s], key=lambda r: r[0]):
+                if w and left:
+                    out.append((i, text if len(w) <= left else " ".join(x.decode() for x in w[:left])))
+                    left -= min(left, len(w))
+    return out
+
+
+def planted_documents():
+    """Two languages, near and exact copies, chains of them, shared passages of over 50 words, other scripts, no letters."""
+    rng = random.Random(8)
+    words = {"aa": [rng.choice("bdfgl") + rng.choice("aeo") + rng.choice(["n", "r", "st"]) for _ in range(90)], "bb": [rng.choice("kmpt") + rng.choice("iuy") + rng.choice(["k", "sh", "v"]) + rng.choice("iu") for _ in range(90)]}
+    passages = {lang: [" ".join(rng.choice(words[lang]) for _ in range(rng.randrange(55, 90))) for _ in range(3)] for lang in words}
+    texts = []
+    for _ in range(44):
+        lang = rng.choice(["aa", "bb"])
+        parts = [" ".join(rng.choice(words[lang]) for _ in range(rng.randrange(5, 120)))]
+        if rng.random() < 0.4:
+            parts.insert(rng.randrange(2), rng.choice(passages[lang]))
+        texts.append((rng.choice(["  ", "\n", " "]).join(parts), lang))
+    for _ in range(25):
+        text, lang = rng.choice(texts)
+        w = text.split()
+        for _ in range(rng.randrange(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(words[lang])
+        texts.append((" ".join(w), lang))
+    texts += [(p, lang) for lang in words for p in passages[lang][:1]]
+    docs = [(i, t, None if rng.random() < 0.1 else lang, rng.choice(["web", "books", None, "code"])) for i, (t, lang) in enumerate(rng.sample(texts, len(texts)), 100)]
+    odd = [None, "", "123 !?", "鿕鿖鿗 鿘鿙鿚鿛鿜鿝 " * 9, "qzx" * 60]
+    return docs + [(i, t, None, "web") for i, t in enumerate(odd)] + [(None, texts[0][0], "aa", "web"), (None, texts[0][0] + " end", "aa", None)]
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    docs = planted_documents()
+    df = spark.createDataFrame([(*d, len(d[1] or "")) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    by_language = plain_languages(docs)
+    near = plain_near_dedup(by_language)
+    cut = plain_substrings(near)
+    # each step has something to do
+    assert len(docs) > len(by_language) > len(near) and near != cut
+    order = lambda rows_: sorted(rows_, key=str)
+    now = df
+    for (name, stage), want in zip(c.STAGES[:3], (by_language, near, cut), strict=True):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        assert order(tuple(r) for r in now.select("doc_id", "text", "lang", "source").collect()) == order(want)
+    got, v = c.run(spark, str(tmp_path)).collect(), vocabulary(f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    assert order((r["doc_id"], r["text"]) for r in got) == order(plain_mix(cut))
+    for r in got:
+        assert r["exact"] and r["n_tokens"] == len(r["ids"])
+        assert b"".join(v.pieces[k] for k in r["ids"]).decode() == " " + r["text"]
+        assert abs(score(v, r["ids"]) - best_score(v, r["text"])) < 1e-6
