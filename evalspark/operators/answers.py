@@ -75,7 +75,9 @@ def tournament(candidates: DataFrame, pairs: DataFrame, seed_draw: Callable[[Col
         coin = F.pmod(seed_draw(F.col("sample_id") + F.col("match"), 100 + k), F.lit(2))
         side = F.when(F.coalesce("winner", F.lit(-1)).isin(0, 1), F.col("winner")).otherwise(coin)
         winner = F.when(side == 0, F.col("a")).otherwise(F.col("b"))
-        left = tables.save(left.join(judged.select(*where, winner.alias("ord")), [*where, "ord"], "left_semi"), "round")
+        stay = tables.save(left.join(judged.select(*where, winner.alias("ord")), [*where, "ord"], "left_semi"), "round")
+        tables.drop(left)
+        left = stay
     return left.select(*where, "model_name", "correct")
 
 

@@ -149,6 +149,7 @@ def indexed(rows: DataFrame, key: str, sizes: Sizes = Sizes()) -> Balls:
 
     kind = points.schema["id"].dataType.simpleString()
     dealt = tables.save(points.mapInArrow(deal, f"id {kind}, vec binary, ball long, angle double"), "dealt")
+    tables.drop(points)
     size = max(1, sizes.chunk_bytes // (8 * max(dim, 1)))
     chunks = dealt.groupBy("ball").agg(F.ceil(F.count("*") / size).alias("chunks"), F.min("id").alias("first"), F.max("angle").alias("radius"))
     chunks = tables.save(chunks, "chunks")
@@ -156,6 +157,7 @@ def indexed(rows: DataFrame, key: str, sizes: Sizes = Sizes()) -> Balls:
         centres.radius[r["ball"]] = r["radius"] + 1e-9
     place = shard(F.col("ball"), F.pmod(F.xxhash64("id"), F.col("chunks")))
     points = tables.save(dealt.join(F.broadcast(chunks), "ball").select(place.alias("shard"), "id", "vec"), "points")
+    tables.drop(dealt)
     return Balls(points, chunks.select("ball", "chunks", "first"), spark.sparkContext.broadcast(centres), dim, tables)
 
 

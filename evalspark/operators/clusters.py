@@ -22,7 +22,8 @@ def components(links: DataFrame) -> DataFrame:
     """id, component (the smallest id it is linked with, over any number of links) of every id in ``links`` (a, b).
 
     Rounds of two kinds of stars: larger neighbours move to the smallest one known, then smaller ones. Both are groupings
-    with a minimum and a join, and the number of rounds grows with the logarithm of the ids. A round writes its links.
+    with a minimum and a join, and the number of rounds grows with the logarithm of the ids. A round writes its links
+    and deletes those of the round before.
     """
     tables = Tables(links.sparkSession)
     now = tables.save(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -35,8 +36,11 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         after = tables.save(small, "links")
+        tables.drop(large)
         if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+            tables.drop(after)
             break
+        tables.drop(now)
         now = after
     return ids.join(now.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -72,7 +76,10 @@ def density_clusters(vectors: DataFrame, similarity: float, neighbours: int = 4,
         return pa.RecordBatch.from_arrays([left, right], names=["a", "b"])
 
     links = balls.visited(index, balls.routed(index, asks, least_of(None, similarity)), forest, f"a {kind}, b {kind}")
-    found = tables.save(components(tables.save(links.distinct(), "forest")), "components")
+    forest_ = tables.save(links.distinct(), "forest")
+    tables.drop(dense, index.points)
+    found = tables.save(components(forest_), "components")
+    tables.drop(forest_)
     large = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("component")
     named = placed(large, ["component"], "cluster", start=0)
     labels = found.join(named, "component").select(F.col("id").alias("sample_id"), "cluster")

@@ -85,7 +85,9 @@ def ancestry(tasks: DataFrame) -> DataFrame:
             raise ValueError("a task is its own ancestor")
         parts.append(more)
         reach *= 2
-        jumps = tables.save(jumps.join(jumps.select(F.col("task_number").alias("up"), F.col("up").alias("next")), "up").select("task_number", F.col("next").alias("up")), "jumps")
+        twice = tables.save(jumps.join(jumps.select(F.col("task_number").alias("up"), F.col("up").alias("next")), "up").select("task_number", F.col("next").alias("up")), "jumps")
+        tables.drop(jumps)
+        jumps = twice
     return all_of(parts)
 
 
@@ -116,9 +118,12 @@ def lineage(edges: DataFrame, models: DataFrame) -> DataFrame:
         up = found.join(exact.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("top")), "ancestor").select("child", F.col("top").alias("ancestor")).distinct()
         more = tables.save(up.join(found, ["child", "ancestor"], "left_anti"), "lineage")
         if more.isEmpty():
+            tables.drop(more, exact)
             return found
         parts.append(more)
-        exact = tables.save(exact.join(exact.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("top")), "ancestor").select("child", F.col("top").alias("ancestor")).distinct(), "exact")
+        twice = tables.save(exact.join(exact.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("top")), "ancestor").select("child", F.col("top").alias("ancestor")).distinct(), "exact")
+        tables.drop(exact)
+        exact = twice
 
 
 def task_tree(pools: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:

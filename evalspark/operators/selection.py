@@ -46,7 +46,10 @@ def greedy_cover(skills: DataFrame, n: int, by: Sequence[str] = (), include: Seq
         picked.append(now)
         used = used.union(now.select(*by, "ord"))
         taken = left.join(now.select(*by, "ord"), [*by, "ord"], "left_semi").select(*by, "task_number")
-        left = tables.save(left.join(taken, [*by, "task_number"], "left_anti"), "left")
+        fewer = tables.save(left.join(taken, [*by, "task_number"], "left_anti"), "left")
+        tables.drop(left)
+        left = fewer
+    tables.drop(left, models)
     out = picked[0]
     for more in picked[1:]:
         out = out.union(more)
