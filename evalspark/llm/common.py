@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,26 +13,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evalspark.sources.tables import delete, scratch_dir
+
 #: Text bytes that one numpy step of a task works on; a longer document is a step of its own.
 SLICE_BYTES = 2 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables, which driver and executors must share: ``spark.checkpoint.dir``.
-
-    Only in local mode, where all run on one machine, an unset name is made up.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="evalspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Tables written under the shared folder, so that they outlive executors and cut lineage."""
 
@@ -50,10 +37,8 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that nothing still reads."""
-        jvm = self.spark._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, df.scratch_path)
 
 
 @contextmanager
