@@ -1,9 +1,10 @@
 """A training-data pipeline over ``documents``: each stage keeps or rewrites rows, the last one writes token ids.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet under the shared
-folder and reads it again for the next stage. Null and empty texts leave in the first stage; all other columns, whatever
-their names, travel in one struct beside those that a stage works on, and stay until the last stage. A row without a
-doc_id is a document like no other.
+folder and reads it again for the next stage. What a stage wrote on its way goes when its result is written, and so does
+the result before it. Null and empty texts leave in the first stage; all other columns, whatever their names, travel in
+one struct beside those that a stage works on, and stay until the last stage. A row without a doc_id is a document like
+no other.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from evalspark.llm.near_dedup import near_duplicates
 from evalspark.llm.queries import TOKENIZERS
 from evalspark.llm.sentencepiece import encoded
 from evalspark.llm.substring_dedup import substring_dedup
+from evalspark.sources.tables import scratch
 
 
 def beside(docs: DataFrame, *used: str) -> DataFrame:
@@ -84,7 +86,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, docs = Scratch(spark), read(spark, sf_dir, "documents")
+    tables, docs, before = Scratch(spark), read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = tables.save(stage(spark, docs, sf_dir), name)
+        tables.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
