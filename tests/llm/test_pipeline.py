@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import corpus_pipeline as c
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 from evalspark.llm import queries
 from evalspark.llm.language_id import LanguageId
 from evalspark.llm.sentencepiece import vocabulary
+from evalspark.sources.tables import scratch
 from tests.compare import connection, rows
 from tests.llm.test_mixing import water
 from tests.llm.test_near_dedup import brute as near_groups
@@ -220,7 +222,11 @@ def test_run_against_brute_force(spark, tmp_path):
         stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         now = spark.read.parquet(f"{tmp_path}/{name}")
         assert order(tuple(r) for r in now.select("doc_id", "text", "lang", "source").collect()) == order(want)
-    got, v = c.run(spark, str(tmp_path)).collect(), vocabulary(f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    v = vocabulary(f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    with scratch(spark) as folder:
+        got = c.run(spark, str(tmp_path)).collect()
+        # only what the last stage reads is left
+        assert [x.name for x in Path(folder.removeprefix("file:")).glob("*/*")] == ["004-mix_sources"]
     assert order((r["doc_id"], r["text"]) for r in got) == order(plain_mix(cut))
     for r in got:
         assert r["exact"] and r["n_tokens"] == len(r["ids"])
