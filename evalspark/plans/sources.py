@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.hashing import draw, draw_sql
 from evalspark.plans.registry import query
 from evalspark.sources import archives, harness
+from evalspark.sources.arrays import write_arrays
 from evalspark.sources.files import write_named
 from evalspark.sources.tables import Tables
 
@@ -177,11 +178,12 @@ def stored(v):
 
 @query("a11_active_pools", "SELECT gen, row_number() OVER (PARTITION BY gen ORDER BY task_number) - 1 AS pos, task_number FROM active_pool")
 def pools(v):
-    """Snapshots written as one array of paths each, and read again. A snapshot is one file, as long as the pool."""
-    item = F.struct("task_number", F.concat(F.lit("/pool/"), "task_id", F.lit("/")).alias("path"))
-    rows = v.active_pool.join(v.tasks.select("task_number", "task_id"), "task_number").groupBy("gen").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    """Snapshots written as one array of paths each, and read again by elements."""
+    rows = v.active_pool.join(v.tasks.select("task_number", "task_id"), "task_number")
+    name = F.concat(F.lit("active_pool_gen_"), F.col("gen").cast("string"), F.lit(".json"))
+    value = F.regexp_extract(F.to_json(F.array(F.concat(F.lit("/pool/"), "task_id", F.lit("/")))), r"^\[(.*)\]$", 1)
     path = place(v, "pools")
-    write_named(rows.select(F.lit("pools").alias("folder"), F.concat(F.lit("active_pool_gen_"), F.col("gen").cast("string"), F.lit(".json")).alias("name"), F.to_json(F.transform("x", lambda i: i["path"])).alias("value")), path)
+    write_arrays(rows.select(F.lit("pools").alias("folder"), name.alias("name"), "task_number", value.alias("value")), path, "task_number")
     return archives.read_active_pools(v.spark, path).select("gen", "pos", "task_number")
 
 

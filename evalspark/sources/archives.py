@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import generation, task_number
-from evalspark.sources.files import read_texts, write_named
+from evalspark.sources.arrays import read_arrays, write_arrays
+from evalspark.sources.files import read_texts
 
 DETAILS = "array<struct<task_id:string,instructions:string,raw_output:string,score:double>>"
 ARCHIVE_SCHEMA = f"model_path string, fitness double, skills map<string,double>, skill_vector array<boolean>, details {DETAILS}, validation_quality double, is_gibberish boolean, rank int"
@@ -14,13 +15,12 @@ ARCHIVE_SCHEMA = f"model_path string, fitness double, skills map<string,double>,
 
 def read_archives(spark: SparkSession, root: str, gens: list[int] | None = None) -> DataFrame:
     """Solutions of ``gen<N>_...archive.json`` (an array each) with gen and ord (place in the array), of the generations
-    asked for. A project's prefix of the skill map (``..._skill_vector``) and of the details (``..._eval_details``) may
-    be any."""
-    pattern = r"^gen(\d+)_(?:\w+_)?archive\.json$"
-    rows = read_texts(spark, root, pattern, whole=True)
-    rows = rows.select(F.regexp_extract("file_name", pattern, 1).cast("bigint").alias("gen"), "value")
-    rows = rows.where(F.col("gen").isin(gens)) if gens is not None else rows
-    each = rows.select("gen", F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("ord", "v"))
+    asked for; files of others are not cut up. A solution is one row, an archive never. A project's prefix of the skill
+    map (``..._skill_vector``) and of the details (``..._eval_details``) may be any."""
+    number = r"\d+" if gens is None else f"0*(?:{'|'.join(map(str, gens)) or '(?!)'})"
+    pattern = rf"^gen({number})_(?:\w+_)?archive\.json$"
+    rows = read_arrays(spark, root, pattern)
+    each = rows.select(F.regexp_extract("file_name", pattern, 1).cast("bigint").alias("gen"), "ord", F.try_parse_json("value").alias("v"))
     each = each.withColumn("m", F.try_variant_get("v", "$", "map<string,variant>"))
 
     def some(end: str) -> Column:
@@ -30,7 +30,7 @@ def read_archives(spark: SparkSession, root: str, gens: list[int] | None = None)
     plain = {"model_path": "string", "fitness": "double", "skill_vector": "array<boolean>", "validation_quality": "double", "is_gibberish": "boolean", "rank": "int"}
     return each.select(
         "gen",
-        F.col("ord").cast("bigint").alias("ord"),
+        "ord",
         *(F.try_variant_get("v", f"$.{c}", kind).alias(c) for c, kind in plain.items()),
         F.try_variant_get(some("_skill_vector"), "$", "map<string,double>").alias("skills"),
         F.try_variant_get(some("_eval_details"), "$", DETAILS).alias("details"),
@@ -51,10 +51,11 @@ def archive_rows(archive: DataFrame, max_details: int = -1) -> DataFrame:
 
 
 def write_archives(archive: DataFrame, root: str, prefix: str = "own", max_details: int = -1) -> None:
-    """A file ``gen<N>_archive.json`` per generation, which ``read_archives`` reads: an array of solutions in order.
+    """A file ``gen<N>_archive.json`` per generation, which ``read_archives`` reads: an array of solutions in order,
+    each on its line.
 
     ``archive``: gen, ord, model_path and any of fitness, skills, skill_vector, details, validation_quality, is_gibberish
-    and rank. Skills are written by task number, and the last ``max_details`` details. A file holds one population.
+    and rank. Skills are written by task number, and the last ``max_details`` details.
     """
     have = [c for c in ("fitness", "skill_vector", "validation_quality", "is_gibberish", "rank") if c in archive.columns]
     rows = archive if "details" in archive.columns else archive.withColumn("details", F.lit(None).cast(DETAILS))
@@ -62,9 +63,9 @@ def write_archives(archive: DataFrame, root: str, prefix: str = "own", max_detai
     if "skills" in archive.columns:
         rows = archive_rows(rows, max_details)
         named = [F.map_from_entries(F.transform("skills", lambda e: F.struct(e["task"].alias("key"), e["score"].alias("value")))).alias(f"{prefix}_skill_vector"), F.col("details").alias(f"{prefix}_eval_details")]
-    item = F.struct("ord", F.struct("model_path", *have, *named).alias("x"))
-    each = rows.groupBy("gen").agg(F.transform(F.array_sort(F.collect_list(item), lambda a, b: (a["ord"] - b["ord"]).cast("int")), lambda i: i["x"]).alias("all"))
-    write_named(each.select(F.lit("archives").alias("folder"), F.concat(F.lit("gen"), F.col("gen").cast("string"), F.lit("_archive.json")).alias("name"), F.to_json("all").alias("value")), root)
+    name = F.concat(F.lit("gen"), F.col("gen").cast("string"), F.lit("_archive.json"))
+    value = F.to_json(F.struct("model_path", *have, *named))
+    write_arrays(rows.select(F.lit("archives").alias("folder"), name.alias("name"), "ord", value.alias("value")), root, "ord")
 
 
 def read_skill_vectors(spark: SparkSession, root: str) -> DataFrame:
@@ -81,9 +82,9 @@ def model_fitness(vectors: DataFrame) -> DataFrame:
 
 def read_active_pools(spark: SparkSession, root: str) -> DataFrame:
     """gen, pos, task (last part of the path), task_number of ``active_pool_gen_<N>.json`` (arrays of paths)."""
-    rows = read_texts(spark, root, r"^active_pool_gen_\d+\.json$", whole=True)
+    rows = read_arrays(spark, root, r"^active_pool_gen_\d+\.json$")
     gen = F.regexp_extract("file_name", r"(\d+)\.json$", 1).try_cast("bigint")
-    flat = rows.select(gen.alias("gen"), F.posexplode(F.from_json("value", "array<string>")).alias("pos", "path"))
+    flat = rows.select(gen.alias("gen"), F.col("ord").cast("int").alias("pos"), F.try_variant_get(F.try_parse_json("value"), "$", "string").alias("path"))
     task = F.substring_index(F.rtrim("path", F.lit("/")), "/", -1)
     return flat.select("gen", "pos", task.alias("task"), task_number(task).alias("task_number"))
 

@@ -28,5 +28,9 @@ def read_texts(spark: SparkSession, root: str, name: str, whole: bool = False) -
 
 def write_named(rows: DataFrame, root: str, *order: str) -> None:
     """Writes rows of folder, name and value (a line or a whole text), one file for each name of a folder, its lines in order."""
-    sorted_ = rows.select("folder", "name", *order, "value").repartition("folder", "name").sortWithinPartitions("folder", "name", *order)
-    sorted_.drop(*order).write.partitionBy("folder", "name").text(root)
+    write_sorted(rows.select("folder", "name", *order, "value").repartition("folder", "name"), root, *order)
+
+
+def write_sorted(rows: DataFrame, root: str, *order: str) -> None:
+    """As ``write_named``, for rows whose names are in one partition each."""
+    rows.sortWithinPartitions("folder", "name", *order).drop(*order).write.partitionBy("folder", "name").text(root)
