@@ -140,13 +140,17 @@ def optional(have: set[str], **columns: str) -> dict[str, Column]:
 
 
 def question_store(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(question_id, content, metadata of all data sets; added and failed counts per data set). Empty contents fail."""
+    """(question_id, content, metadata of all data sets; added and failed counts per data set). Empty contents fail.
+
+    ``parts``: subgroup, idx, content and metadata by data set. All sets get their ids in one sort.
+    """
     every = None
     for name, rows in parts.items():
-        rows = rows.select(F.lit(name).alias("dataset"), "question_id", "content", "metadata")
+        rows = rows.select(F.lit(name).alias("benchmark"), "subgroup", "idx", "content", "metadata")
         every = rows if every is None else every.unionByName(rows)
     ok = F.coalesce(F.length("content") > 0, F.lit(False))
-    return every.where(ok).drop("dataset"), every.groupBy("dataset").agg(F.count_if(ok).alias("added"), F.count_if(~ok).alias("failed"))
+    report = every.groupBy(F.col("benchmark").alias("dataset")).agg(F.count_if(ok).alias("added"), F.count_if(~ok).alias("failed"))
+    return question_ids(every).where(ok).select("question_id", "content", "metadata"), report
 
 
 def validity_report(verdicts: DataFrame) -> DataFrame:

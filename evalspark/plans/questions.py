@@ -121,8 +121,7 @@ def all_datasets(v):
     """Questions dealt to the eight data sets, formatted, with metadata and ids."""
     parts = {}
     for i, name in enumerate(o.FORMATS):
-        rows = o.metadata(o.formatted(dataset(v, name).where(F.pmod("idx", F.lit(8)) == i), name), name)
-        parts[name] = o.question_ids(rows.withColumn("benchmark", F.lit(name)))
+        parts[name] = o.metadata(o.formatted(dataset(v, name).where(F.pmod("idx", F.lit(8)) == i), name), name)
     return o.question_store(parts)
 
 

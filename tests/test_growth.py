@@ -1,8 +1,21 @@
 """Steps whose cost has to grow no faster than their input: each on a small case that the earlier form could not do."""
 
+import io
+from contextlib import redirect_stdout
+from pathlib import Path
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from evalspark.operators import pool
+from evalspark.operators import pool, questions, vectors
+from evalspark.sources.tables import scratch
+
+
+def plan(df):
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain("simple")
+    return out.getvalue()
 
 
 def test_merged_evaluations_of_many_tasks(spark):
@@ -17,3 +30,25 @@ def test_merged_evaluations_of_many_tasks(spark):
     assert {tuple(r) for r in models.collect()} == {(1, n, 2.0 * n, 2.0), (2, 0, 0.0, 0.0)}
     assert {tuple(r) for r in shown.collect()} == {(1, "a", 0), (2, "b", 0), (1, "c", 1)}
     assert merged.count() == n and merged.where("task_number = 4 and score = 3").count() == 1
+
+
+def test_hashed_embedding_reads_its_text_once(spark):
+    rows = spark.createDataFrame([(0, "One two  two three\n"), (1, " "), (2, "x " * 50 + "y")], "id long, t string")
+    got = rows.select("id", vectors.hashed_embedding(F.col("t"), 4).alias("e"))
+    assert plan(got).count("split(") == 1
+    word = F.explode(F.split(F.lower("t"), r"\s+")).alias("w")
+    slots = rows.select("id", word).where("w <> ''").select("id", F.pmod(F.xxhash64("w"), F.lit(4)).alias("at"), (1 - 2 * F.pmod(F.xxhash64("w", F.lit(1)), F.lit(2))).alias("sign"))
+    want = np.zeros((3, 4))
+    for r in slots.collect():
+        want[r["id"], r["at"]] += r["sign"]
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose([r["e"] for r in got.orderBy("id").collect()], np.divide(want, norm, out=np.zeros_like(want), where=norm > 0))
+
+
+def test_question_store_sorts_once(spark, tmp_path):
+    rows = spark.createDataFrame([("s", i, "text" if i % 4 else "") for i in range(20)], "subgroup string, idx long, content string").withColumn("metadata", F.create_map(F.lit("k"), F.lit("v")))
+    with scratch(spark) as folder:
+        stored, report = questions.question_store({"b one": rows.where("idx < 10"), "c": rows.where("idx >= 10")})
+        assert {r["question_id"] for r in stored.collect()} == {*(f"b_one_s_{i}" for i in range(10) if i % 4), *(f"c_s_{i - 10}" for i in range(10, 20) if i % 4)}
+        assert {tuple(r) for r in report.collect()} == {("b one", 7, 3), ("c", 8, 2)}
+        assert len(list(Path(folder).glob("tables-*/*-ranges"))) == 1
