@@ -52,3 +52,19 @@ def test_question_store_sorts_once(spark, tmp_path):
         assert {r["question_id"] for r in stored.collect()} == {*(f"b_one_s_{i}" for i in range(10) if i % 4), *(f"c_s_{i - 10}" for i in range(10, 20) if i % 4)}
         assert {tuple(r) for r in report.collect()} == {("b one", 7, 3), ("c", 8, 2)}
         assert len(list(Path(folder).glob("tables-*/*-ranges"))) == 1
+
+
+def test_similarity_pairs_by_blocks(spark):
+    """Blocks of any size give the pairs of a plain join, with repeated ids, nulls and other lengths; no key is too large."""
+    r = np.random.default_rng(3)
+    rows = [(i % 60, "ab"[i % 7 > 4], [float(x) for x in r.normal(size=3)]) for i in range(70)]
+    rows += [(90, "a", None), (91, "a", [1.0, None, 2.0]), (92, "b", [1.0, 2.0]), (93, "b", [2.0, 2.0]), (94, "b", [0.0] * 3), (None, "a", [1.0] * 3), (95, None, [1.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, k string, embedding array<float>")
+    unit = df.withColumn("u", F.transform("embedding", lambda x: x.cast("double") / (F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))) + F.lit(1e-8))))
+    a, b = (unit.select("k", F.col("vec_id").alias(c), F.col("u").alias(f"u{c}")) for c in "ab")
+    shown = lambda rows: sorted(((r["k"], r["a"], r["b"], None if r["similarity"] is None else round(r["similarity"], 9) + 0.0) for r in rows.collect()), key=str)
+    want = shown(a.join(b, "k").where("a <= b").select("k", "a", "b", vectors.dot(F.col("ua"), F.col("ub")).alias("similarity")))
+    for block in (4, 1000):
+        assert shown(vectors.similarity_pairs(df, "k", block=block)) == want
+    large = spark.range(20_100).select(F.col("id").alias("vec_id"), F.lit(1).alias("k"), F.array(F.lit(1.0)).alias("embedding"))
+    assert vectors.similarity_pairs(large, "k").count() == 20_100 * 20_101 // 2
