@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.text import generation, task_number
 from evalspark.sources.arrays import read_arrays, write_arrays
-from evalspark.sources.files import read_texts
+from evalspark.sources.files import read_packed, read_texts
 
 DETAILS = "array<struct<task_id:string,instructions:string,raw_output:string,score:double>>"
 ARCHIVE_SCHEMA = f"model_path string, fitness double, skills map<string,double>, skill_vector array<boolean>, details {DETAILS}, validation_quality double, is_gibberish boolean, rank int"
@@ -93,10 +93,11 @@ TASK_SCHEMA = "name_of_task string, description_of_task string, capability_being
 META_SCHEMA = "generated_from_task string, generated_from_seed string, generation_type string, original_pass_rate double, task_number long"
 
 
-def read_task_dirs(spark: SparkSession, root: str) -> DataFrame:
+def read_task_dirs(spark: SparkSession, root: str, packed: bool = False) -> DataFrame:
     """task.json and metadata.json of each task directory, joined; both are needed, and a task_ name unless it is a seed.
-    A file that is no JSON object is missing."""
-    rows = read_texts(spark, root, r"^(task|metadata)\.json$", whole=True)
+    A file that is no JSON object is missing. ``packed``: the directories are in a pack, with a row per file."""
+    pattern = r"^(task|metadata)\.json$"
+    rows = read_packed(spark, root, pattern) if packed else read_texts(spark, root, pattern, whole=True)
     text, metadata = (F.max(F.when(F.col("file_name") == name, F.col("value"))) for name in ("task.json", "metadata.json"))
     per = rows.groupBy(F.col("folder").alias("task")).agg(text.alias("text"), metadata.alias("metadata"))
     there = F.try_parse_json("text").isNotNull() & F.try_parse_json("metadata").isNotNull()

@@ -26,6 +26,18 @@ def read_texts(spark: SparkSession, root: str, name: str, whole: bool = False) -
     return rows.select(folder.alias("folder"), file_name.alias("file_name"), "value", *place).where(F.col("file_name").rlike(name))
 
 
+def read_packed(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """folder, file_name, value of the whole files in a pack of ``write_packed`` whose name matches a pattern."""
+    rows = spark.read.schema("folder string, name string, value string").parquet(root)
+    return rows.select("folder", F.col("name").alias("file_name"), "value").where(F.col("file_name").rlike(name))
+
+
+def write_packed(rows: DataFrame, root: str) -> None:
+    """Writes rows of folder, name and value (a whole text) as a pack: a table with a row per file. Files that are many and
+    small cost a request each to write, to list and to read; in a pack they cost their bytes."""
+    rows.select("folder", "name", "value").write.parquet(root)
+
+
 def write_named(rows: DataFrame, root: str, *order: str) -> None:
     """Writes rows of folder, name and value (a line or a whole text), one file for each name of a folder, its lines in order."""
     write_sorted(rows.select("folder", "name", *order, "value").repartition("folder", "name"), root, *order)

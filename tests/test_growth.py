@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from evalspark.operators import pool, questions, vectors
+from evalspark.sources import archives
+from evalspark.sources.files import write_named, write_packed
 from evalspark.sources.tables import scratch
 
 
@@ -68,3 +70,15 @@ def test_similarity_pairs_by_blocks(spark):
         assert shown(vectors.similarity_pairs(df, "k", block=block)) == want
     large = spark.range(20_100).select(F.col("id").alias("vec_id"), F.lit(1).alias("k"), F.array(F.lit(1.0)).alias("embedding"))
     assert vectors.similarity_pairs(large, "k").count() == 20_100 * 20_101 // 2
+
+
+def test_packed_task_directories(spark, tmp_path):
+    """A pack has the rows of the directories it holds, in a few files."""
+    files = [(f"task_{i}_x", "task.json", f'{{"name_of_task": "n {i}\\n"}}') for i in range(30)]
+    files += [(f"task_{i}_x", "metadata.json", f'{{"task_number": {i}}}') for i in range(0, 30, 2)] + [("task_40_x", "task.json", "no JSON"), ("task_40_x", "metadata.json", "{}"), ("task_0_x", "other.json", "{}")]
+    rows = spark.createDataFrame(files, "folder string, name string, value string").coalesce(2)
+    write_named(rows, f"{tmp_path}/loose")
+    write_packed(rows, f"{tmp_path}/pack")
+    got, want = (sorted(map(tuple, archives.read_task_dirs(spark, f"{tmp_path}/{p}", packed=p == "pack").collect())) for p in ("pack", "loose"))
+    assert got == want and len(got) == 15
+    assert len(list(Path(f"{tmp_path}/pack").glob("*.parquet"))) <= 2
