@@ -7,7 +7,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import functions as F
 
-from evalspark.operators import pool, questions, vectors
+from evalspark.operators import balls, pool, questions, vectors
 from evalspark.sources import archives
 from evalspark.sources.files import write_named, write_packed
 from evalspark.sources.tables import scratch
@@ -82,3 +82,17 @@ def test_packed_task_directories(spark, tmp_path):
     got, want = (sorted(map(tuple, archives.read_task_dirs(spark, f"{tmp_path}/{p}", packed=p == "pack").collect())) for p in ("pack", "loose"))
     assert got == want and len(got) == 15
     assert len(list(Path(f"{tmp_path}/pack").glob("*.parquet"))) <= 2
+
+
+def test_routed_queries_go_in_small_batches(spark, monkeypatch):
+    """Queries that reach every ball leave in batches of a bounded number of rows, and none is lost."""
+    r = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)]) for i in range(300)], "id long, embedding array<double>")
+    index = balls.indexed(rows, "id", balls.Sizes(ball=10))
+    asks = index.points.select(F.col("id").alias("ask"), "vec").coalesce(1)
+    sent = []
+    monkeypatch.setattr(type(asks), "mapInArrow", lambda self, run, schema: (sent.extend(run(iter(self.toArrow().combine_chunks().to_batches()))), spark.createDataFrame([], schema))[1])
+    balls.routed(index, asks, lambda c, u: np.full(len(u), -1.0))
+    assert max(b.num_rows for b in sent) <= balls.SENT
+    reached = index.centres.value.radius >= 0
+    assert sum(b.num_rows for b in sent) == 300 * reached[:-1].sum() + 300 * reached[-1]
