@@ -5,11 +5,12 @@ from contextlib import redirect_stdout
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from evalspark.functions.hashing import draw
 from evalspark.operators import answers, balls, pool, questions, vectors
-from evalspark.sources import archives
+from evalspark.sources import archives, harness
 from evalspark.sources.files import write_named, write_packed
 from evalspark.sources.tables import scratch
 
@@ -109,3 +110,14 @@ def test_tournament_judges_the_pairs_that_meet(spark):
     asked = answers.tournament(df, lambda met: met.withColumn("winner", F.when(F.col("a") < F.col("b"), winner)), draw, 4)
     assert sorted(map(tuple, asked.collect())) == sorted(map(tuple, answers.tournament(df, table, draw, 4).collect()))
     assert asked.count() == 80 and plan(asked).split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_embedding_sees_few_texts_at_a_time(spark):
+    def embed(texts):
+        if len(texts) > 300 or "bad" in set(texts):
+            raise ValueError
+        return [[float(len(t)), 1.0] for t in texts]
+
+    rows = spark.range(2000).coalesce(1).select("id", F.when(F.col("id") == 7, "bad").otherwise(F.repeat(F.lit("x"), (F.col("id") % 9).cast("int"))).alias("t"))
+    got = vectors.embedded(rows, "t", embed, 2).orderBy("id").collect()
+    assert [(list(r["embedding"]), r["failed"]) for r in got] == [([0.0, 0.0], True) if i == 7 else ([float(i % 9), 1.0], False) for i in range(2000)]
