@@ -134,6 +134,7 @@ def attached_scores(rows: DataFrame, name: str, score: Callable[[pd.DataFrame],
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            scores = []
             for at in range(0, len(batch), batch_rows):
                 part = batch.iloc[at : at + batch_rows]
                 for left in reversed(range(tries)):
@@ -143,7 +144,9 @@ def attached_scores(rows: DataFrame, name: str, score: Callable[[pd.DataFrame],
                     except Exception:
                         if not left:
                             raise
-                yield part.assign(new_score=new)[[*columns, "new_score"]]
+                scores.append(new if new.index.equals(part.index) else new.reindex(part.index))
+            if scores:
+                yield batch.assign(new_score=pd.concat(scores))[[*columns, "new_score"]]
 
     scored = rows.mapInPandas(run, f"{kinds}, new_score double")
     old = F.col("scores") if "scores" in columns else F.create_map().cast("map<string,double>")

@@ -112,6 +112,16 @@ def test_tournament_judges_the_pairs_that_meet(spark):
     assert asked.count() == 80 and plan(asked).split("Initial Plan")[-1].count("Exchange") == 1
 
 
+def test_scores_of_small_batches_leave_as_one(spark, monkeypatch):
+    """A batch function sees at most 64 rows; what it gives leaves in the batches that came."""
+    df, sent = spark.createDataFrame([(i,) for i in range(1000)], "id long"), []
+    frame = pd.DataFrame({"id": range(1000)})
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema: (sent.extend(run(iter([frame, frame[:0]]))), spark.createDataFrame([], schema))[1])
+    sizes = []
+    answers.attached_scores(df, "rm", lambda part: (sizes.append(len(part)), part["id"] % 7)[1])
+    assert max(sizes) == 64 and len(sent) == 1 and (sent[0]["new_score"] == frame["id"] % 7).all()
+
+
 def test_embedding_sees_few_texts_at_a_time(spark):
     def embed(texts):
         if len(texts) > 300 or "bad" in set(texts):
