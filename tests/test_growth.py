@@ -122,6 +122,14 @@ def test_scores_of_small_batches_leave_as_one(spark, monkeypatch):
     assert max(sizes) == 64 and len(sent) == 1 and (sent[0]["new_score"] == frame["id"] % 7).all()
 
 
+def test_lines_are_parsed_once(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "samples_gsm8k_2025.jsonl").write_text('{"doc_id": 1, "filter": "flexible-extract", "exact_match": 1}\nno JSON\n')
+    rows = harness.normalized(harness.read_samples(spark, str(tmp_path), "gsm8k"), "gsm8k")
+    assert "Generate explode" in plan(rows)
+    assert [(r["sample_id"], r["correct"]) for r in rows.collect()] == [("1", True)]
+
+
 def test_embedding_sees_few_texts_at_a_time(spark):
     def embed(texts):
         if len(texts) > 300 or "bad" in set(texts):
