@@ -40,32 +40,48 @@ def read_archives(spark: SparkSession, root: str, gens: list[int] | None = None)
 def archive_rows(archive: DataFrame, max_details: int = -1) -> DataFrame:
     """What a saved archive holds: the skill map as entries by task number (names without one last), and the last
     ``max_details`` details where there are more (all if negative; null if there are none)."""
-    number = lambda e: F.coalesce(F.regexp_extract(e["key"], r"task_(\d+)_", 1).try_cast("bigint"), F.lit(1 << 62))
-    numbered = F.transform(F.map_entries("skills"), lambda e: F.struct(number(e).alias("n"), e["key"].alias("key"), e["value"].alias("value")))
-    entries = F.transform(F.array_sort(numbered), lambda e: F.struct(e["key"].alias("task"), e["value"].alias("score")))
+    numbered = F.transform(F.map_entries("skills"), lambda e: F.struct(number(e["key"]).alias("n"), e["key"].alias("key"), e["value"].alias("value")))
+    entries = F.transform(F.sort_array(numbered), lambda e: F.struct(e["key"].alias("task"), e["value"].alias("score")))
+    return archive.withColumns({"skills": entries, "details": last_details(max_details)})
+
+
+def number(task: Column) -> Column:
+    """Number in a task's name; names without one come last."""
+    return F.coalesce(F.regexp_extract(task, r"task_(\d+)_", 1).try_cast("bigint"), F.lit(1 << 62))
+
+
+def last_details(max_details: int) -> Column:
     details = F.col("details")
     if max_details >= 0:
         last = F.slice(details, -max_details, max_details) if max_details else F.slice(details, 1, 0)
         details = F.when(F.size(details) > max_details, last).otherwise(details)
-    return archive.withColumns({"skills": entries, "details": F.when(F.size(details) > 0, details)})
+    return F.when(F.size(details) > 0, details)
 
 
-def write_archives(archive: DataFrame, root: str, prefix: str = "own", max_details: int = -1) -> None:
+def write_archives(archive: DataFrame, root: str, prefix: str = "own", max_details: int = -1, skills: DataFrame | None = None) -> None:
     """A file ``gen<N>_archive.json`` per generation, which ``read_archives`` reads: an array of solutions in order,
     each on its line.
 
     ``archive``: gen, ord, model_path and any of fitness, skills, skill_vector, details, validation_quality, is_gibberish
-    and rank. Skills are written by task number, and the last ``max_details`` details.
+    and rank. Skills are written by task number, and the last ``max_details`` details. ``skills``: in place of that
+    column, rows of gen, ord, task and score, each task once; so they are sorted and written by rows, however many a
+    solution has. Every solution then has the field.
     """
     have = [c for c in ("fitness", "skill_vector", "validation_quality", "is_gibberish", "rank") if c in archive.columns]
     rows = archive if "details" in archive.columns else archive.withColumn("details", F.lit(None).cast(DETAILS))
-    named = []
-    if "skills" in archive.columns:
+    named, vector = [], f"{prefix}_skill_vector"
+    if skills is not None:
+        rows = rows.withColumn("details", last_details(max_details))
+        named = [F.col("details").alias(f"{prefix}_eval_details")]
+    elif "skills" in archive.columns:
         rows = archive_rows(rows, max_details)
-        named = [F.map_from_entries(F.transform("skills", lambda e: F.struct(e["task"].alias("key"), e["score"].alias("value")))).alias(f"{prefix}_skill_vector"), F.col("details").alias(f"{prefix}_eval_details")]
-    name = F.concat(F.lit("gen"), F.col("gen").cast("string"), F.lit("_archive.json"))
-    value = F.to_json(F.struct("model_path", *have, *named))
-    write_arrays(rows.select(F.lit("archives").alias("folder"), name.alias("name"), "ord", value.alias("value")), root, "ord")
+        named = [F.map_from_entries(F.transform("skills", lambda e: F.struct(e["task"].alias("key"), e["score"].alias("value")))).alias(vector), F.col("details").alias(f"{prefix}_eval_details")]
+    keys = [F.lit("archives").alias("folder"), F.concat(F.lit("gen"), F.col("gen").cast("string"), F.lit("_archive.json")).alias("name"), "ord"]
+    rows = rows.select(*keys, F.to_json(F.struct("model_path", *have, *named)).alias("value"))
+    if skills is None:
+        return write_arrays(rows, root, "ord")
+    entry = F.regexp_extract(F.to_json(F.create_map("task", F.col("score").cast("double"))), r"(?s)^\{(.*)\}$", 1)
+    write_arrays(rows, root, "ord", field=vector, entries=skills.select(*keys, number(F.col("task")).alias("n"), "task", entry.alias("value")), within=["n", "task"])
 
 
 def read_skill_vectors(spark: SparkSession, root: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +31,20 @@ def read_arrays(spark: SparkSession, root: str, name: str) -> DataFrame:
     A file that is no array, or is broken anywhere, has no elements, as has an empty array.
     """
     tables = Tables(spark)
-    folder, file_name = named(F.col("_metadata.file_path"))
     place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")]
     rows = spark.read.text(root, lineSep=",", recursiveFileLookup=True)
-    rows = rows.select(folder.alias("folder"), file_name.alias("file_name"), *place, "value").where(F.col("file_name").rlike(name))
+    rows = rows.where(named(F.col("_metadata.file_path"))[1].rlike(name)).select(*place, "value")
 
-    # A comma of valid JSON is never escaped, so a piece holds its escapes whole.
-    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    # A comma of valid JSON is never escaped, so a piece holds its escapes whole. Most pieces have no escape and no bracket.
+    bare = F.when(F.contains("value", F.lit("\\")), F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
+    rows = rows.withColumn("bare", bare).withColumn("flat", F.translate("bare", "[]{}", "") == F.col("bare"))
     strings = r'"[^"]*("|\z)'
-    outside = opened(F.regexp_replace(bare, strings, ""))
-    inside = opened(F.regexp_replace(F.regexp_replace(bare, r'^[^"]*("|\z)', ""), strings, ""))
+    outside = opened(F.regexp_replace("bare", strings, ""))
+    inside = opened(F.regexp_replace(F.regexp_replace("bare", r'^[^"]*("|\z)', ""), strings, ""))
+    outside, inside = (F.when(F.col("flat"), 0).otherwise(x) for x in (outside, inside))
     of_split = Window.partitionBy("path", "split").orderBy("row")
     so_far, before = (of_split.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
-    rows = rows.withColumns({"quotes": F.length(bare) - F.length(F.translate(bare, '"', "")), "outside": outside, "inside": inside})
+    rows = rows.withColumns({"quotes": F.length("bare") - F.length(F.translate("bare", '"', "")), "outside": outside, "inside": inside}).drop("bare", "flat")
     rows = rows.withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
     rows = rows.withColumns({
         "depth_0": F.sum(F.when(F.col("odd") == 0, F.col("outside")).otherwise(F.col("inside"))).over(so_far),
@@ -71,8 +75,9 @@ def read_arrays(spark: SparkSession, root: str, name: str) -> DataFrame:
 
     numbered = known.withColumn("ord", F.coalesce(F.sum("ends").over(before), F.lit(0)))
     numbered = numbered.join(beside(per.select("path", "split", "first")), ["path", "split"]).withColumn("ord", F.col("ord") + F.col("first"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "row", "value"))), lambda x: x["value"]), ",")
-    each = numbered.groupBy("path", "folder", "file_name", "ord").agg(whole.alias("value")).join(beside(files), "path")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("split", "row", "value"))), lambda x: x["value"]), ",")
+    folder, file_name = named(F.col("path"))
+    each = numbered.groupBy("path", "ord").agg(whole.alias("value")).join(beside(files), "path").withColumns({"folder": folder, "file_name": file_name})
 
     head, tail = r"^\x{FEFF}?\s*\[", r"\]\s*\z"
     first, last = F.col("ord") == 0, F.col("ord") == F.col("last")
@@ -82,7 +87,7 @@ def read_arrays(spark: SparkSession, root: str, name: str) -> DataFrame:
     each = each.withColumn("value", F.when(last, F.regexp_replace("value", tail, "")).otherwise(F.col("value")))
     empty = first & last & F.col("value").rlike(r"^\s*\z")
     # The parser stops after one value; with a second one behind it, nothing else can stand between.
-    alone = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "value", F.lit(",null]"))), "$", "array<variant>")) == 2
+    alone = F.is_variant_null(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "value", F.lit(",null]"))), "$[1]", "variant"))
     each = each.withColumns({"empty": empty, "good": F.col("framed") & (empty | F.coalesce(alone, F.lit(False)))})
     each = tables.save(each.select("path", "folder", "file_name", "ord", "value", "empty", "good"), "elements")
     tables.drop(pieces, splits, per)
@@ -91,11 +96,27 @@ def read_arrays(spark: SparkSession, root: str, name: str) -> DataFrame:
     return good.select("folder", "file_name", "ord", F.btrim("value", F.lit(" \t\r\n")).alias("value"))
 
 
-def write_arrays(rows: DataFrame, root: str, *order: str) -> None:
+def write_arrays(rows: DataFrame, root: str, *order: str, field: str = "", entries: DataFrame | None = None, within: Sequence[str] = ()) -> None:
     """Writes rows of folder, name and value (JSON text) as an array for each name of a folder, in order, an element a
-    line. Rows stream to their file; a name without rows has no file."""
+    line. Rows stream to their file; a name without rows has no file.
+
+    ``entries``: folder, name, the columns of order and of ``within``, and value, such as "a":1. They become an object in a
+    field more of their element, itself an object, an entry a line, so that no row holds an element. Elements then differ
+    in their order, each has the field, and an entry without an element is an error.
+    """
     of_name = Window.partitionBy("folder", "name").orderBy(*order)
     begin = F.when(F.row_number().over(of_name) == 1, "[").otherwise("")
     end = F.when(F.lead(F.lit(1)).over(of_name).isNull(), "]").otherwise(",")
-    lines = rows.select("folder", "name", F.concat(begin, "value", end).alias("value"), F.row_number().over(of_name).alias("line"))
-    write_sorted(lines, root, "line")
+    if entries is None:
+        lines = rows.select("folder", "name", F.concat(begin, "value", end).alias("value"), F.row_number().over(of_name).alias("line"))
+        return write_sorted(lines, root, "line")
+    keys = ["folder", "name", *order]
+    head = F.concat(F.when(F.col("value") == "{}", "{").otherwise(F.concat(F.regexp_replace("value", r"\}$", ""), F.lit(","))), F.lit(f"{json.dumps(field)}:{{"))
+    ends = rows.select(*keys, F.concat(begin, head).alias("head"), F.concat(F.lit("}}"), end).alias("tail"))
+    ends = ends.select(*keys, F.explode(F.create_map(F.lit(0), "head", F.lit(2), "tail")).alias("part", "value"))
+    lines = ends.unionByName(entries.select(*keys, F.lit(1).alias("part"), *within, "value"), allowMissingColumns=True)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("part", *within))
+    lines = lines.repartition("folder", "name").withColumn("place", place)
+    alone = F.when((F.col("place") == 1) != (F.col("part") == 0), F.raise_error(F.lit("an entry without an element, or two elements of one order")).cast("string"))
+    value = F.coalesce(alone, F.concat(F.when((F.col("part") == 1) & (F.col("place") > 2), ",").otherwise(""), "value"))
+    write_sorted(lines.withColumn("value", value).drop("place"), root, *order, "part", *within)

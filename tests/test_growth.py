@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from evalspark.functions.hashing import draw
@@ -139,3 +140,22 @@ def test_embedding_sees_few_texts_at_a_time(spark):
     rows = spark.range(2000).coalesce(1).select("id", F.when(F.col("id") == 7, "bad").otherwise(F.repeat(F.lit("x"), (F.col("id") % 9).cast("int"))).alias("t"))
     got = vectors.embedded(rows, "t", embed, 2).orderBy("id").collect()
     assert [(list(r["embedding"]), r["failed"]) for r in got] == [([0.0, 0.0], True) if i == 7 else ([float(i % 9), 1.0], False) for i in range(2000)]
+
+
+def test_archives_written_by_rows(spark, tmp_path):
+    """Skills as rows give what a map gives, in order of their numbers and with any names; no row holds a solution's skills."""
+    names = [f"task_{i}_x" for i in range(40)] + ['a "b", {c}', "z\\", "line\nend}"]
+    each = spark.createDataFrame([(g, o, n, float(len(n) + o) / 7) for g in (0, 1) for o in (0, 1, 2) for n in names[o:]], "gen long, ord long, task string, score double")
+    details = spark.createDataFrame([([("1", "i", "}{,", 0.5), ("2", "i", "r", 1.0)],)], f"details {archives.DETAILS}")
+    models = each.select("gen", "ord", F.concat(F.lit("m"), "ord").alias("model_path")).distinct().crossJoin(details)
+    maps = each.groupBy("gen", "ord").agg(F.map_from_entries(F.collect_list(F.struct("task", "score"))).alias("skills"))
+    archives.write_archives(models.join(maps, ["gen", "ord"]), f"{tmp_path}/maps", max_details=1)
+    archives.write_archives(models, f"{tmp_path}/rows", max_details=1, skills=each)
+    shown = lambda p: sorted((r.asDict(True) for r in archives.archive_rows(archives.read_archives(spark, f"{tmp_path}/{p}")).collect()), key=lambda r: (r["gen"], r["ord"]))
+    assert shown("rows") == shown("maps") and [len(r["skills"]) for r in shown("rows")] == [43, 42, 41] * 2
+    text = next(Path(f"{tmp_path}/rows").rglob("name=gen0*/part-*")).read_text()
+    assert len(text.splitlines()) == 43 + 42 + 41 + 6 and text.index("task_2_x") < text.index("task_10_x")
+    archives.write_archives(models, f"{tmp_path}/none", skills=each.where("ord = 1"))
+    assert [len(r["skills"] or []) for r in shown("none")] == [0, 42, 0] * 2
+    with pytest.raises(Exception, match="without an element"):
+        archives.write_archives(models.where("ord > 0"), f"{tmp_path}/lost", skills=each)
