@@ -20,9 +20,13 @@ def selections(v):
     return a.unionByName(sets.where("ord % 2 = 0 AND ord < 2 * n").select(F.lit("every_second").alias("method"), "n", "model_name"))
 
 
+def covered(v):
+    return c.coverage(v.samples_by_sample, models=c.model_counts(v.samples))
+
+
 @query("c01_score_matrix", "WITH chosen AS (SELECT DISTINCT model_name FROM samples WHERE ord < 4), ids AS (SELECT DISTINCT benchmark, filter, sample_id FROM samples) SELECT i.benchmark, i.filter, i.sample_id, c.model_name, coalesce(s.correct, false) AS correct FROM ids i CROSS JOIN chosen c LEFT JOIN samples s ON s.benchmark = i.benchmark AND s.filter = i.filter AND s.sample_id = i.sample_id AND s.model_name = c.model_name")
 def score_matrix(v):
-    return c.score_matrix(v.samples, v.samples.where("ord < 4"))
+    return c.score_matrix(v.samples_by_sample, v.samples.where("ord < 4"))
 
 
 @query("c02_num_unique_samples", "SELECT benchmark, filter, count(DISTINCT sample_id) AS num_samples FROM samples GROUP BY ALL")
@@ -32,27 +36,27 @@ def unique_samples(v):
 
 @query("c03_coverage_accuracy", f"WITH {PER} SELECT benchmark, filter, count(*) FILTER (solvers > 0) AS covered, count(*) FILTER (solvers > 0) / count(*) AS coverage_accuracy FROM per GROUP BY ALL")
 def coverage_accuracy(v):
-    return c.coverage(v.samples).select(*c.KEYS, "covered", "coverage_accuracy")
+    return covered(v).select(*c.KEYS, "covered", "coverage_accuracy")
 
 
 @query("c04_majority_vote", f"WITH {PER}, m AS (SELECT benchmark, filter, count(DISTINCT model_name) AS models FROM samples GROUP BY ALL) SELECT benchmark, filter, count(*) FILTER (solvers > models / 2) AS majority, count(*) FILTER (solvers > models / 2) / count(*) AS majority_accuracy FROM per JOIN m USING (benchmark, filter) GROUP BY ALL")
 def majority(v):
-    return c.coverage(v.samples).select(*c.KEYS, "majority", "majority_accuracy")
+    return covered(v).select(*c.KEYS, "majority", "majority_accuracy")
 
 
 @query("c05_coverage_contributions", "SELECT benchmark, filter, model_name, count(*) AS contribution FROM samples WHERE correct GROUP BY ALL")
 def contributions(v):
-    return c.contributions(v.samples).select(*c.KEYS, "model_name", "contribution")
+    return c.contributions(v.samples_by_sample).select(*c.KEYS, "model_name", "contribution")
 
 
 @query("c06_unique_contributions", f"WITH {PER} SELECT benchmark, filter, a_solver AS model_name, count(*) AS unique_contribution FROM per WHERE solvers = 1 GROUP BY ALL")
 def unique_contributions(v):
-    return c.contributions(v.samples).where("unique_contribution > 0").select(*c.KEYS, "model_name", "unique_contribution")
+    return c.contributions(v.samples_by_sample).where("unique_contribution > 0").select(*c.KEYS, "model_name", "unique_contribution")
 
 
 @query("c07_contribution_shares", f"WITH {PER}, t AS (SELECT benchmark, filter, count(*) AS num_samples, count(*) FILTER (solvers > 0) AS covered FROM per GROUP BY ALL) SELECT s.benchmark, s.filter, s.model_name, count(*) / any_value(covered) AS contribution_share, 100.0 * count(*) FILTER (solvers = 1) / any_value(num_samples) AS unique_percent FROM samples s JOIN per p ON s.benchmark = p.benchmark AND s.filter = p.filter AND s.sample_id = p.sample_id JOIN t ON t.benchmark = s.benchmark AND t.filter = s.filter WHERE s.correct GROUP BY ALL")
 def shares(v):
-    return c.contributions(v.samples).select(*c.KEYS, "model_name", "contribution_share", "unique_percent")
+    return c.contributions(v.samples_by_sample).select(*c.KEYS, "model_name", "contribution_share", "unique_percent")
 
 
 @query("c08_individual_accuracies", "SELECT benchmark, model_name, count(*) FILTER (correct) / count(*) AS accuracy FROM samples WHERE filter = 'F' AND NOT (benchmark = 'N' AND ord % 3 = 0) GROUP BY ALL")
@@ -64,7 +68,7 @@ def individual(v):
 
 @query("c09_benchmark_sweep", f"WITH {PER}, m AS (SELECT benchmark, filter, count(DISTINCT model_name) AS models FROM samples GROUP BY ALL) SELECT benchmark, filter, count(*) AS num_samples, count(*) FILTER (solvers > 0) AS covered, count(*) FILTER (solvers > models / 2) AS majority, count(*) FILTER (solvers = 1) AS unique_solved FROM per JOIN m USING (benchmark, filter) GROUP BY ALL")
 def sweep(v):
-    return c.coverage(v.samples).select(*c.KEYS, "num_samples", "covered", "majority", "unique_solved")
+    return covered(v).select(*c.KEYS, "num_samples", "covered", "majority", "unique_solved")
 
 
 @query("c10_generation_sweep", "WITH sel AS (SELECT gen, n, ord, model_name FROM (SELECT DISTINCT gen, ord, model_name FROM samples) s, (SELECT unnest([1, 2, 3, 4]) AS n) k WHERE s.ord % 4 < k.n), per AS (SELECT e.gen, e.n, s.benchmark, s.filter, s.sample_id, count(*) FILTER (s.correct) AS solvers FROM sel e JOIN samples s ON s.model_name = e.model_name GROUP BY ALL) SELECT gen, n, benchmark, filter, count(*) AS num_samples, count(*) FILTER (solvers > 0) AS covered, count(*) FILTER (solvers > n / 2) AS majority FROM per GROUP BY ALL")
@@ -98,7 +102,7 @@ def baselines(v):
 
 @query("c13_unique_rate", f"WITH {PER} SELECT benchmark, filter, 100.0 * (count(*) FILTER (solvers = 1) / count(*)) AS unique_rate FROM per GROUP BY ALL")
 def unique_rate(v):
-    return c.coverage(v.samples).select(*c.KEYS, "unique_rate")
+    return covered(v).select(*c.KEYS, "unique_rate")
 
 
 @query("c14_missing_models", "WITH gone AS (SELECT DISTINCT model_name FROM samples WHERE ord >= 30) SELECT DISTINCT model_name FROM gone")

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.functions.hashing import draw
-from evalspark.operators import answers, balls, pool, questions, vectors
+from evalspark.operators import answers, balls, coverage, pool, questions, vectors
+from evalspark.plans import views
 from evalspark.sources import archives, harness
 from evalspark.sources.files import write_named, write_packed
 from evalspark.sources.tables import scratch
@@ -159,3 +160,25 @@ def test_archives_written_by_rows(spark, tmp_path):
     assert [len(r["skills"] or []) for r in shown("none")] == [0, 42, 0] * 2
     with pytest.raises(Exception, match="without an element"):
         archives.write_archives(models.where("ord > 0"), f"{tmp_path}/lost", skills=each)
+
+
+def test_samples_are_dealt_out_once_by_sample(spark, sf_dir, monkeypatch):
+    """Tasks grow in number with the table, and all groupings by sample lie in the one that a sample was dealt to."""
+    v = views.Views(spark, sf_dir)
+    monkeypatch.setattr(views, "DEALT_ROWS", 100)
+    assert v.samples_by_sample.rdd.getNumPartitions() == -(-v.lineitem.count() // 100)
+    assert sorted(map(tuple, v.samples_by_sample.collect())) == sorted(map(tuple, v.samples.collect()))
+    shuffles = plan(coverage.per_sample(v.samples_by_sample)).split("Initial Plan")[-1]
+    assert shuffles.count("Exchange") == 1 and "partial_max" in shuffles.split("Exchange")[0]
+    shuffles = plan(coverage.score_matrix(v.samples_by_sample, v.samples.where("ord < 4"))).split("Initial Plan")[-1]
+    assert shuffles.count("Exchange") == 1 and "Join" not in shuffles
+
+
+def test_score_matrix_of_absent_rows(spark):
+    """Absent rows, null verdicts and null keys are not solved; names that no sample has are columns of the grid too."""
+    rows = [("b", "f", 1, "m1", True), ("b", "f", 1, "m9", True), ("b", "f", 2, "m2", None), (None, "f", 3, "m1", True), ("b", "f", 4, "m9", True)]
+    df = spark.createDataFrame(rows, "benchmark string, filter string, sample_id long, model_name string, correct boolean")
+    chosen = spark.createDataFrame([("m1",), ("m2",), ("m3",)], "model_name string")
+    got = {tuple(r) for r in coverage.score_matrix(df, chosen).collect()}
+    assert got == {(b, "f", s, m, (s, m) == (1, "m1")) for b, s in (("b", 1), ("b", 2), (None, 3), ("b", 4)) for m in ("m1", "m2", "m3")}
+    assert coverage.score_matrix(df, chosen.limit(0)).count() == 0
