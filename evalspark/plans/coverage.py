@@ -56,7 +56,7 @@ def unique_contributions(v):
 
 @query("c07_contribution_shares", f"WITH {PER}, t AS (SELECT benchmark, filter, count(*) AS num_samples, count(*) FILTER (solvers > 0) AS covered FROM per GROUP BY ALL) SELECT s.benchmark, s.filter, s.model_name, count(*) / any_value(covered) AS contribution_share, 100.0 * count(*) FILTER (solvers = 1) / any_value(num_samples) AS unique_percent FROM samples s JOIN per p ON s.benchmark = p.benchmark AND s.filter = p.filter AND s.sample_id = p.sample_id JOIN t ON t.benchmark = s.benchmark AND t.filter = s.filter WHERE s.correct GROUP BY ALL")
 def shares(v):
-    return c.contributions(v.samples_by_sample).select(*c.KEYS, "model_name", "contribution_share", "unique_percent")
+    return c.contributions(v.samples_by_sample).dropna(subset=list(c.KEYS)).select(*c.KEYS, "model_name", "contribution_share", "unique_percent")
 
 
 @query("c08_individual_accuracies", "SELECT benchmark, model_name, count(*) FILTER (correct) / count(*) AS accuracy FROM samples WHERE filter = 'F' AND NOT (benchmark = 'N' AND ord % 3 = 0) GROUP BY ALL")

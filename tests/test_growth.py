@@ -182,3 +182,12 @@ def test_score_matrix_of_absent_rows(spark):
     got = {tuple(r) for r in coverage.score_matrix(df, chosen).collect()}
     assert got == {(b, "f", s, m, (s, m) == (1, "m1")) for b, s in (("b", 1), ("b", 2), (None, 3), ("b", 4)) for m in ("m1", "m2", "m3")}
     assert coverage.score_matrix(df, chosen.limit(0)).count() == 0
+
+
+def test_contributions_group_samples_once(spark):
+    """Totals of a key come from the rows of its models, not from a second pass over the samples; a null key has rows too."""
+    rows = [("b", "f", 1, "m1", True), ("b", "f", 1, "m2", True), ("b", "f", 2, "m1", True), ("b", "f", 3, "m1", False), (None, "f", 1, "m1", True)]
+    df = spark.createDataFrame(rows, "benchmark string, filter string, sample_id long, model_name string, correct boolean")
+    got = coverage.contributions(df)
+    assert plan(got).split("Initial Plan")[-1].count("Scan") == 1
+    assert {tuple(r) for r in got.select("benchmark", "model_name", "contribution", "unique_contribution", "num_samples", "covered").collect()} == {("b", "m1", 2, 1, 3, 2), ("b", "m2", 1, 0, 3, 2), (None, "m1", 1, 1, 1, 1)}
