@@ -60,3 +60,35 @@ def test_clusters_equal_the_cut_tree(spark):
         assert [got[i] for i in range(500)] == want and len(set(want)) > 2 and -1 in want
     none = df.withColumn("embedding", F.when(F.col("sample_id") < 0, F.col("embedding")))
     assert {r_["cluster"] for r_ in clusters.density_clusters(none, 0.9).collect()} == {-1}
+
+
+def test_clusters_without_structure_send_few_vectors(spark, monkeypatch):
+    """Vectors that have their neighbours in a block are never sent to balls; those that do not are, and ids may repeat or be null."""
+    r = np.random.default_rng(8)
+    x = np.column_stack([r.normal(size=(900, 5)), np.zeros(900)])
+    x[8], x[9] = 0.0, x[10]
+    lone = np.array([0.0] * 5 + [9.0])
+    ids = [*range(900)]
+    ids[20], ids[30] = 21, None
+    rows = [(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + [(2000 + i, (lone + 1e-3 * i).tolist()) for i in range(4)]
+    df = spark.createDataFrame(rows, "sample_id long, embedding array<double>").repartition(3)
+    sent, visited = [], balls.visited
+    monkeypatch.setattr(balls, "visited", lambda index, asks, *rest: (sent.append(asks.select("ask").distinct().count()), visited(index, asks, *rest))[1])
+    got = sorted(map(tuple, clusters.density_clusters(df, 0.8, 3, 3, balls.Sizes(ball=64, chunk_bytes=8 * 6 * 300)).collect()), key=str)
+    assert len(sent) == 2 and 0 < max(sent) < 450
+    u = np.array([v for _, v in rows])
+    u = balls.units(u)
+    hit = np.round(u @ u.T, 12) >= 0.8
+    ids = [i for i, _ in rows]
+    met = {}
+    for a, i in enumerate(ids):
+        if i is not None:
+            met[i] = met.get(i, 0) + int(hit[a].sum())
+    links = [(ids[a], ids[b]) for a, b in np.argwhere(hit) if ids[a] is not None and ids[b] is not None and met[ids[a]] >= 3 and met[ids[b]] >= 3]
+    top = joined(2004, links)
+    members = {}
+    for i, n in met.items():
+        if n >= 3:
+            members.setdefault(top[i], []).append(i)
+    number = {t: k for k, t in enumerate(sorted(t for t, m in members.items() if len(m) >= 3))}
+    assert got == sorted(((i, -1 if i is None else number.get(top[i], -1)) for i in ids), key=str) and len(number) >= 2
