@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.functions.hashing import draw
-from evalspark.operators import answers, balls, coverage, pool, questions, vectors
+from evalspark.operators import answers, balls, coverage, order, pool, questions, vectors
 from evalspark.plans import views
-from evalspark.sources import archives, harness
-from evalspark.sources.files import write_named, write_packed
+from evalspark.sources import archives, files, harness
+from evalspark.sources.files import read_texts, write_lines, write_named, write_packed
 from evalspark.sources.tables import scratch
 
 
@@ -191,3 +191,17 @@ def test_contributions_group_samples_once(spark):
     got = coverage.contributions(df)
     assert plan(got).split("Initial Plan")[-1].count("Scan") == 1
     assert {tuple(r) for r in got.select("benchmark", "model_name", "contribution", "unique_contribution", "num_samples", "covered").collect()} == {("b", "m1", 2, 1, 3, 2), ("b", "m2", 1, 0, 3, 2), (None, "m1", 1, 1, 1, 1)}
+
+
+def test_lines_are_written_in_compressed_parts(spark, tmp_path, monkeypatch):
+    """Lines of a name lie in compressed parts of bounded size, and are read in order; only the columns of rows are sorted."""
+    monkeypatch.setattr(files, "PART_LINES", 300)
+    rows = spark.range(4000).select((F.col("id") % 2).cast("string").alias("folder"), F.lit("samples_gsm8k_2025.jsonl").alias("name"), F.col("id").alias("n"))
+    line = F.to_json(F.struct(F.col("n").alias("doc_id"), F.lit("flexible-extract").alias("filter"), F.repeat(F.lit("text "), 20).alias("text")))
+    write_lines(rows, f"{tmp_path}/out", line, draw(F.col("n"), 3), F.col("n"))
+    parts = [p for p in tmp_path.rglob("part-*")]
+    assert len(parts) == 2 * -(-2000 // 300) and {p.suffix for p in parts} == {".gz"} and sum(p.stat().st_size for p in parts) < 4000 * 100 / 4
+    text = read_texts(spark, f"{tmp_path}/out", "samples").withColumn("n", F.get_json_object("value", "$.doc_id").cast("long"))
+    got = {(r["folder"], r["place"]): r["n"] for r in order.placed(text, ["line"], "place", ["folder"], start=0).collect()}
+    want = sorted(range(4000), key=lambda n: ((((n * 48271 + 11 + 3 * 7919) % 2147483647) * 48271 + 11) % 2147483647, n))
+    assert got == {(str(k), i): n for k in (0, 1) for i, n in enumerate(x for x in want if x % 2 == k)}
