@@ -6,14 +6,16 @@ File and directory names carry the model, benchmark and task.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import group_of_file, is_correct, is_correct_rate, mean_of
-from evalspark.operators.order import placed
+from evalspark.operators.order import BROADCAST_ROWS, placed
 from evalspark.sources.files import read_texts
+from evalspark.sources.tables import Tables
 
 JUDGE = "llm_as_a_judge"
 #: Documents, arguments and metrics differ per benchmark, so they stay variants.
@@ -36,10 +38,25 @@ def judge_files(files: DataFrame, judge: bool) -> DataFrame:
     return files.where(F.contains("file_name", F.lit(JUDGE)) == F.lit(judge))
 
 
-def filtered_population(samples: DataFrame, value: str) -> DataFrame:
-    """Rows whose ``filter`` is the value, with their place among these in the file; a file may be larger than a task."""
-    rows = samples.where(F.try_variant_get("v", "$.filter", "string") == value)
-    return placed(rows, ["line"], "ord", ["model_name", "file_name"], start=0)
+def filtered_population(samples: DataFrame, value: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows whose ``filter`` is the value, with their place among these in the file; a file may be larger than a task.
+
+    ``keep``: the columns that go on, all if empty. Rows as they are read stand in order in each split of a file, so a table
+    of splits gives the places; rows that were dealt out anew are sorted.
+    """
+    keep, tables = keep or samples.columns, Tables(samples.sparkSession)
+    all_ = samples.where(F.try_variant_get("v", "$.filter", "string") == value).select(*dict.fromkeys([*keep, "model_name", "file_name", "line"]))
+    rows = all_.withColumn("at_", F.monotonically_increasing_id())
+    rows = rows.withColumns({"part_": F.col("line.part"), "split_": F.col("line.split"), "moved_": F.shiftright("line.row", 33) != F.shiftright("at_", 33)})
+    rows = tables.save(rows if "line" in keep else rows.drop("line"), "population")
+    split = ["model_name", "file_name", "part_", "split_"]
+    before = Window.partitionBy("model_name", "file_name").orderBy("part_", "split_").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(*split).agg(F.min("at_").alias("first_"), F.count("*").alias("n_"), F.bool_or("moved_").alias("moved"))
+    per = tables.save(per.withColumn("ahead_", F.coalesce(F.sum("n_").over(before), F.lit(0))), "splits")
+    if not per.where("moved").isEmpty():
+        return placed(all_, ["line"], "ord", ["model_name", "file_name"], start=0).select(*keep, "ord")
+    found = rows.join(F.broadcast(per) if per.count() <= BROADCAST_ROWS else per, split)
+    return found.select(*keep, (F.col("at_") - F.col("first_") + F.col("ahead_")).alias("ord"))
 
 
 def task_files(files: DataFrame, judge: bool = False) -> DataFrame:

@@ -205,3 +205,17 @@ def test_lines_are_written_in_compressed_parts(spark, tmp_path, monkeypatch):
     got = {(r["folder"], r["place"]): r["n"] for r in order.placed(text, ["line"], "place", ["folder"], start=0).collect()}
     want = sorted(range(4000), key=lambda n: ((((n * 48271 + 11 + 3 * 7919) % 2147483647) * 48271 + 11) % 2147483647, n))
     assert got == {(str(k), i): n for k in (0, 1) for i, n in enumerate(x for x in want if x % 2 == k)}
+
+
+def test_population_keeps_what_goes_on(spark, tmp_path):
+    """Places without a sort of lines as they are read, and no table on the way holds the lines; dealt out anew, they are sorted."""
+    (tmp_path / "in" / "m").mkdir(parents=True)
+    (tmp_path / "in" / "m" / "samples_gsm8k_2025.jsonl").write_text("".join(f'{{"doc_id": {i}, "filter": "{"xy"[i % 3 > 0]}"}}\n' for i in range(200)))
+    with scratch(spark) as folder:
+        rows = harness.read_samples(spark, f"{tmp_path}/in", "gsm8k").withColumn("n", F.try_variant_get("v", "$.doc_id", "int"))
+        found = harness.filtered_population(rows, "x", ["n"])
+        assert sorted(map(tuple, found.collect())) == [(i, i // 3) for i in range(0, 200, 3)]
+        saved = {p.name[4:]: spark.read.parquet(str(p)).columns for p in Path(folder).glob("tables-*/*")}
+        assert "v" not in saved["population"] and "ranges" not in saved
+        again = harness.filtered_population(rows.repartition(5, "n").sortWithinPartitions(F.desc("n")), "x", ["n"])
+        assert sorted(map(tuple, again.collect())) == [(i, i // 3) for i in range(0, 200, 3)]
