@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import generation, task_number
-from evalspark.sources.arrays import read_arrays, write_arrays
+from evalspark.sources.arrays import read_arrays, read_objects, write_arrays
 from evalspark.sources.files import read_packed, read_texts
 
 DETAILS = "array<struct<task_id:string,instructions:string,raw_output:string,score:double>>"
@@ -17,10 +22,30 @@ def read_archives(spark: SparkSession, root: str, gens: list[int] | None = None)
     """Solutions of ``gen<N>_...archive.json`` (an array each) with gen and ord (place in the array), of the generations
     asked for; files of others are not cut up. A solution is one row, an archive never. A project's prefix of the skill
     map (``..._skill_vector``) and of the details (``..._eval_details``) may be any."""
+    pattern = archive_name(gens)
+    return solutions(read_arrays(spark, root, pattern), pattern)
+
+
+def read_archive_rows(spark: SparkSession, root: str, gens: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(solutions as ``read_archives`` gives them, with ``has_skills`` in place of the map; skills: gen, ord, task, score), for
+    solutions of any number of skills: no row holds a solution's skills."""
+    pattern = archive_name(gens)
+    elements, entries = read_objects(spark, root, pattern, "_skill_vector")
+    rows = solutions(elements, pattern).withColumn("skills", F.col("skills").isNotNull()).withColumnRenamed("skills", "has_skills")
+    return rows, entries.select(generation_of(pattern), "ord", F.col("key").alias("task"), F.col("number").alias("score"))
+
+
+def archive_name(gens: list[int] | None) -> str:
     number = r"\d+" if gens is None else f"0*(?:{'|'.join(map(str, gens)) or '(?!)'})"
-    pattern = rf"^gen({number})_(?:\w+_)?archive\.json$"
-    rows = read_arrays(spark, root, pattern)
-    each = rows.select(F.regexp_extract("file_name", pattern, 1).cast("bigint").alias("gen"), "ord", F.try_parse_json("value").alias("v"))
+    return rf"^gen({number})_(?:\w+_)?archive\.json$"
+
+
+def generation_of(pattern: str) -> Column:
+    return F.regexp_extract("file_name", pattern, 1).cast("bigint").alias("gen")
+
+
+def solutions(elements: DataFrame, pattern: str) -> DataFrame:
+    each = elements.select(generation_of(pattern), "ord", F.try_parse_json("value").alias("v"))
     each = each.withColumn("m", F.try_variant_get("v", "$", "map<string,variant>"))
 
     def some(end: str) -> Column:
@@ -37,6 +62,29 @@ def read_archives(spark: SparkSession, root: str, gens: list[int] | None = None)
     )
 
 
+def skill_texts(skills: DataFrame, text: Column, sep: str = ",") -> DataFrame:
+    """gen, ord, text: the texts of a solution's skills by task number (names without one last), as one string.
+
+    Skills are sorted over ranges and put together where they lie, some thousands at a time; what comes to one task for
+    a solution is these pieces, not its skills.
+    """
+    order = ["gen", "ord", number(F.col("task")), "task"]
+    rows = skills.orderBy(*order).select("gen", "ord", F.monotonically_increasing_id().alias("at"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gen, ord_ = batch.column("gen").to_numpy(), batch.column("ord").to_numpy()
+            first = np.r_[0, np.flatnonzero((np.diff(gen) != 0) | (np.diff(ord_) != 0)) + 1]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, batch.num_rows], pa.int32()), batch.column("text"))
+            if batch.num_rows:
+                at = batch.select(["gen", "ord", "at"]).take(pa.array(first))
+                yield pa.RecordBatch.from_arrays([*at.columns, pc.binary_join(lists, sep)], names=["gen", "ord", "at", "text"])
+
+    pieces = rows.mapInArrow(run, "gen long, ord long, at long, text string")
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
+    return pieces.groupBy("gen", "ord").agg(F.array_join(whole, sep).alias("text"))
+
+
 def archive_rows(archive: DataFrame, max_details: int = -1) -> DataFrame:
     """What a saved archive holds: the skill map as entries by task number (names without one last), and the last
     ``max_details`` details where there are more (all if negative; null if there are none)."""

@@ -31,14 +31,20 @@ def part_number(path: Column) -> Column:
     return F.when(F.startswith(F.substring_index(path, "/", -1), F.lit("part-")), F.shiftleft(number(r"^part-(\d+)-"), 32) + number(r"[.-]c(\d+)\.")).otherwise(F.lit(0).cast("bigint"))
 
 
-def with_files(rows: DataFrame, read: DataFrame, name: str) -> DataFrame:
-    """``rows`` (path and value) of the files behind ``read`` whose name matches a pattern, with their folder, file_name and
-    part: paths are taken apart once a file, not once a line."""
+def file_names(read: DataFrame, name: str, others: bool = False) -> DataFrame:
+    """path, folder, file_name, part and ``wanted`` of the files behind ``read`` whose name matches a pattern, or of all."""
     paths = [re.sub(r"^([\w+.-]+):///", r"\1:/", p) for p in read.inputFiles()]  # as lines name them
     folder, file_name = named(F.col("path"))
     files = read.sparkSession.createDataFrame(pa.table({"path": pa.array(paths, pa.string())}))
     files = files.select("path", folder.alias("folder"), file_name.alias("file_name"), part_number(F.col("path")).alias("part")).withColumn("wanted", F.col("file_name").rlike(name))
-    rows = rows.join(F.broadcast(files) if len(paths) <= BROADCAST_FILES else files, "path", "left").where("wanted is null or wanted")
+    files = files if others else files.where("wanted")
+    return F.broadcast(files) if len(paths) <= BROADCAST_FILES else files
+
+
+def with_files(rows: DataFrame, read: DataFrame, name: str) -> DataFrame:
+    """``rows`` (path and value) of the files behind ``read`` whose name matches a pattern, with their folder, file_name and
+    part: paths are taken apart once a file, not once a line."""
+    rows = rows.join(file_names(read, name, others=True), "path", "left").where("wanted is null or wanted")
     unknown = F.raise_error(F.concat(F.lit("a file that was not listed: "), "path")).cast("string")
     return rows.withColumn("value", F.when(F.col("wanted").isNull(), unknown).otherwise(F.col("value"))).drop("wanted")
 

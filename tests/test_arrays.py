@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.sources import archives
-from evalspark.sources.arrays import read_arrays, write_arrays
+from evalspark.sources.arrays import read_arrays, read_objects, write_arrays
 from evalspark.sources.files import read_texts
 
 BROKEN = ["", " ", "[", "]", "[1, 2", "[1,, 2]", "[1, ]", '{"a": [1, 2]}', '["a, "b"]', '["a", "b]', '[{"a": 1]}', '[1, {"a": 1]', "[1}", "[1 2]", '"[1, 2]"', '[{"a": 1, "a": 2}]']
@@ -113,3 +113,39 @@ def test_equal_places_make_one_array(spark, tmp_path):
     path = str(tmp_path / "out")
     write_arrays(spark.range(50).select(F.lit("f").alias("folder"), F.lit("a.json").alias("name"), F.lit(0).alias("n"), F.col("id").cast("string").alias("value")), path, "n")
     assert sorted(r["value"] for r in read_arrays(spark, path, "json$").collect()) == sorted(map(str, range(50)))
+
+
+def test_members_of_long_objects_are_rows(spark, tmp_path):
+    """Members of a field's objects as rows, however files are split, and no element holds them; broken files have none."""
+    odd = lambda j: f"task_{j}_x" + ('"é,{' if j % 17 == 0 else "\\" if j % 13 == 0 else "")
+    objects = [{"m": f'x{i},"[{{', "a_skills": {odd(j): j / 7 for j in range(i * 40)}, "other": {f"k{j}": j for j in range(9)}, "d": [{"a": [1, {"z": {"q": 1, "r": 2, "s": 3}}]}], "v": [1, 2, 3, 4]} for i in range(4)]
+    text = json.dumps(objects)
+    (tmp_path / "a.json").write_text(text)
+    (tmp_path / "b.json").write_text("﻿" + json.dumps(objects[::-1], indent=1, ensure_ascii=False), encoding="utf-8")
+    for i, wrong in enumerate([text[:-1], text + "]", text.replace('"task_5_x": ', '"task_5_x" '), text.replace('"task_13_x\\\\": ', '"task_13_x\\": '), *BROKEN, *LONGER]):
+        (tmp_path / f"c{i}.json").write_text(wrong)
+    (tmp_path / "d.json").write_text("[1, 2]")
+    for size in (2000, 1 << 20):
+        with small_splits(spark, size):
+            elements, members = read_objects(spark, str(tmp_path), r"json$", "_skills")
+            found, got = {}, {}
+            for r in elements.collect():
+                found.setdefault(r["file_name"], {})[r["ord"]] = r["value"]
+            for r in members.collect():
+                got.setdefault((r["file_name"], r["ord"]), []).append((r["key"], r["number"]))
+        assert found.keys() == {"a.json", "b.json", "d.json"} and found["d.json"] == {0: "1", 1: "2"}
+        for name, want in (("a.json", objects), ("b.json", objects[::-1])):
+            for i, x in enumerate(want):
+                kept = json.loads(found[name][i])
+                assert {**kept, "a_skills": x["a_skills"]} == x and len(kept["a_skills"]) < 20
+                assert sorted(got.pop((name, i), [])) == sorted(x["a_skills"].items())
+        assert not got
+
+
+def test_texts_of_skills_in_order(spark):
+    names = [f"task_{i * 7919 % 30011}_x" for i in range(30000)] + ["other", "another"]
+    rows = spark.createDataFrame([(g, 1, n, 0.5) for g in (0, 2) for n in names[g:]], "gen long, ord long, task string, score double")
+    got = {r["gen"]: r["text"].split(",") for r in archives.skill_texts(rows, F.col("task")).collect()}
+    number = lambda n: int(n.split("_")[1]) if "_" in n else 1 << 62
+    assert got == {g: sorted(names[g:], key=lambda n: (number(n), n)) for g in (0, 2)}
+    assert archives.skill_texts(rows.limit(0), F.col("task")).count() == 0
